@@ -139,8 +139,9 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
-def words(block: Block, word_byte: np.ndarray, lower: bool = True) -> Words:
-    """The words of a block: maximal runs of ``word_byte`` bytes within a text."""
+def words(block: Block, word_byte: np.ndarray, lower: bool = True, split: np.ndarray | None = None) -> Words:
+    """The words of a block: maximal runs of ``word_byte`` bytes within a text, cut further between bytes of classes 1
+    and 2 of ``split`` if that is given."""
     data = LOWER[block.data] if lower else block.data
     n = len(data)
     docs = len(block.bounds) - 1
@@ -152,6 +153,11 @@ def words(block: Block, word_byte: np.ndarray, lower: bool = True) -> Words:
     begin[1:] &= ~inside[:-1]
     finish = inside.copy()
     finish[:-1] &= ~inside[1:]
+    if split is not None:
+        kind = split[data]
+        cut = np.flatnonzero(kind[1:] + kind[:-1] == 3)
+        finish[cut] = True
+        begin[cut + 1] = True
     edges = block.bounds[1:-1]
     edges = edges[(edges > 0) & (edges < n)]
     begin[edges] = inside[edges]

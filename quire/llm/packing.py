@@ -7,8 +7,10 @@
    counts give offsets, and a piece's rank is its bucket's offset plus its rank there. A rank falls into one use of
    one pattern, which is its sequence; offsets are running sums within a sequence.
 
-Tokens are looked up by word: a word between white space always gets the same ids, whatever stands around it, since
-the tokenizer's pieces never cross white space. Words not yet in an executor's bounded table are tokenised together.
+Tokens are looked up by word: the tokenizer's pieces never cross white space, nor the border between an ASCII letter
+and most ASCII marks, and it lowers all letters, so that a word gets the same ids whatever stands around it. Texts
+near a special token's string are cut at white space only and keep their case. Words not yet in an executor's bounded
+table are tokenised together.
 
 Defined results: null text is an empty text and still one piece of one token (the end id); repeated rows are packed
 once each; an empty table gives an empty one; other columns are ignored.
@@ -32,7 +34,12 @@ from .common import staged
 SEQUENCE = 2048
 QUANTUM = 8
 END_ID = 1
-TABLE_WORDS = 200_000
+TABLE_WORDS = 400_000
+#: 1: ASCII letters; 2: marks that end a run of letters. The apostrophe begins contractions, and <, | and > stand in
+#: special tokens: no cut is made beside them.
+CUTS = np.zeros(256, np.uint8)
+CUTS[[*range(65, 91), *range(97, 123)]] = 1
+CUTS[list(b'!"#$%&()*+,-./:;=?@[]^_`{}~')] = 2
 LONG_TEXT = 4_000_000
 
 
@@ -88,14 +95,19 @@ class WordTokens:
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block's texts one after the other, and where each text begins (one more at the end)."""
-        w = words(block, NOT_SPACE, lower=False)
+        raw = block.data.tobytes()
+        special = b"<|" in raw
+        w = words(block, NOT_SPACE, lower=not special, split=None if special else CUTS)
+        if special:
+            w.name ^= np.uint64(0x5BD1E9955BD1E995)
         if len(self.slot) > TABLE_WORDS:
             self._clear()
         distinct, at, inverse = np.unique(w.name, return_index=True, return_inverse=True)
         listed = distinct.tolist()
         missing = [k for k, name in enumerate(listed) if name not in self.slot]
         if missing:
-            texts = [block.data[w.start[k] : w.end[k]].tobytes().decode("utf-8", "replace") for k in at[missing].tolist()]
+            pick = at[missing]
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[pick].tolist(), w.end[pick].tolist(), strict=True)]
             self._learn([listed[k] for k in missing], texts)
         slot = np.array([self.slot[name] for name in listed], np.int64)[inverse.ravel()]
         size, first = self.size[slot], self.first[slot]
