@@ -11,16 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes that the plan's own statistics give for ``df``; reads no data."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
-
-
-def partitions_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """Number of shuffle partitions that keeps each near ``bytes_each`` of ``df``'s stored bytes."""
-    wanted = -(-input_bytes(df) // bytes_each)
-    return int(max(least, min(wanted, 200_000)))
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes that the plan's own statistics give for ``df``, which reads no data; None where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 57 else None
+
+
+def partitions_for(df: DataFrame, bytes_each: int) -> int:
+    """Number of shuffle partitions that keeps each near ``bytes_each`` of ``df``'s stored bytes, and no fewer than the
+    session's own number."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(df)
+    return least if size is None else max(least, min(-(-size // bytes_each), 100_000))
 
 
 def shared_dir(spark: SparkSession) -> str:
