@@ -6,11 +6,11 @@
 2. Documents with equal sets collapse to their least doc_id by a digest of the set.
 3. In each band's bucket every representative is paired with the bucket's least one only, and every such pair is
    confirmed on the full sets. Links join to components.
-4. Buckets whose members are in several components are looked through exhaustively: pairs of members of different
-   components, less those that the triangle inequality rules out (Jaccard distance is a metric, and each member's
-   distance to the bucket's least member is known from step 3). They are confirmed too and the components joined, so
-   that no link between members of a bucket is lost, while pairs within a component, the bulk of a hot group, are
-   never made.
+4. Buckets whose members are in several components may still hide links between them. Their members are joined
+   exactly: shingles ordered by rarity (counts by hash slot over those members; any fixed order is exact, a rare-first
+   one is fast), the prefix filter, and the length and positional filters within the join, so that neither a passage
+   that thousands of documents share nor a hot group of near copies makes all its pairs. Only pairs of different
+   components are made; they are confirmed and the components joined.
 
 Words are maximal runs without white space, A-Z lowered. A set is the distinct ``shingle``-word sequences; a text with
 fewer words has its whole word sequence as its one shingle. Texts without words have no set and link with nothing.
@@ -34,6 +34,8 @@ from .components import components
 PERMUTATIONS, BANDS, ROWS = 48, 24, 4
 #: A table of ids is broadcast up to this many; a larger one is joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Counters of shingle frequency.
+SLOTS = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20_260_101))
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
@@ -150,6 +152,52 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(joined.mapInArrow(run, "a long, b long, inter long, union long"))
 
 
+def _cross_pairs(sets: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that may reach ``percent``, by an exact set-similarity join."""
+    ids = F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed
+    theirs = sets.dropDuplicates(["node"]).join(ids, "node")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+
+    counts = theirs.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = np.zeros(SLOTS, np.int64)
+    for r in counts.toLocalIterator():  # SLOTS rows at most
+        table[r["slot"]] = r["n"]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, row, at, size = [], [], [], []
+            for k, x in enumerate(batch.column(2)):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                order = np.lexsort((s, table[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))
+                p = len(s) + 1 - -(-percent * len(s) // 100)
+                token.append(s[order[:p]].view(np.int64))
+                row.append(np.full(p, k))
+                at.append(np.arange(p))
+                size.append(np.full(p, len(s)))
+            token, row, at, size = (pa.array(np.concatenate(x)) for x in (token, row, at, size))
+            yield pa.RecordBatch.from_arrays([token, batch.column(0).take(row), batch.column(1).take(row), at, size], names=["token", "node", "component", "at", "n"])
+
+    rows = theirs.select("node", "component", "set").mapInArrow(prefixes, "token long, node long, component long, at long, n long")
+    several = rows.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("token")
+    rows = staged(rows.join(several, "token"))
+    one = rows.toDF("k", "a", "ca", "ia", "na")
+    two = rows.toDF("token", "b", "cb", "ib", "nb")
+    can = (
+        (F.col("token") == F.col("k"))
+        & (F.col("ca") < F.col("cb"))
+        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        & ((100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb")))
+    )
+    return staged(one.join(two, can).select("a", "b").distinct())
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links) and kept."""
     sketched = staged(sketch(docs, shingle))
@@ -166,22 +214,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     linked = f"100 * inter >= {percent} * union"
     links = tried.where(linked).select("a", "b")
     found = staged(components(links))
-    # members of buckets that several components meet in, each with its distance to the bucket's least member
     of = shared.join(found.select(F.col("node").alias("x"), "component"), F.col("node") == F.col("x"), "left").withColumn("component", F.coalesce("component", "node"))
     met = of.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select(F.col("bucket").alias("k"))
-    far = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"), (1 - F.col("inter") / F.col("union")).alias("far"))
-    mixed = of.join(met, F.col("bucket") == F.col("k")).join(far, (F.col("node") == F.col("ta")) & (F.col("center") == F.col("tb")), "left")
-    mixed = staged(mixed.select("bucket", "node", "n", "component", "center", F.coalesce("far", F.lit(0.0)).alias("far")))
-    one = mixed.where("node <> center").select(F.col("bucket").alias("k"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("far").alias("fa"))
-    two = mixed.where("node <> center").select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("far").alias("fb"))
-    can = (
-        (F.col("bucket") == F.col("k"))
-        & (F.col("ca") < F.col("cb"))
-        & (100 * F.col("na") >= percent * F.col("nb"))
-        & (100 * F.col("nb") >= percent * F.col("na"))
-        & (F.abs(F.col("fa") - F.col("fb")) <= 1 - percent / 100 + 1e-9)
-    )
-    rest = staged(one.join(two, can).select("a", "b").distinct())
+    mixed = staged(of.join(met, F.col("bucket") == F.col("k"), "left_semi").groupBy("node").agg(F.min("component").alias("component")))
+    rest = _cross_pairs(sets, mixed, percent)
     more = _confirm(rest, sets).where(linked)
     if more.limit(1).count():
         step = found.select(F.col("node").alias("x"), "component")
