@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, near_dedup, packing, pii, sharding, suffix_dedup
+from . import decontaminate, html_extract, near_dedup, packing, pii, quality_rules, sharding, suffix_dedup
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -41,6 +45,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_suffix_array": op2_suffix_array,
+    "op3_quality_rules": op3_quality_rules,
     "op4_html": op4_html,
     "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
