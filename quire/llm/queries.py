@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, near_dedup, packing, pii, quality_rules, sharding, suffix_dedup
+from . import decontaminate, html_extract, near_dedup, packing, pii, quality_cnn, quality_rules, sharding, suffix_dedup
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_html": op4_html,
     "op5_decontamination": op5_decontamination,
+    "op6_quality_cnn": op6_quality_cnn,
     "op7_packing": op7_packing,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
