@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +26,31 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return least if size is None else max(least, min(-(-size // bytes_each), 100_000))
 
 
+def _spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of an int column (Murmur3, seed 42)."""
+    u = np.uint32
+    turn = lambda v, n: (v << u(n)) | (v >> u(32 - n))
+    k = turn(x.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593)
+    h = turn(u(42) ^ k, 13) * u(5) + u(0xE6546B64)
+    h = h ^ u(4)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).astype(np.int32)
+
+
+def even_keys(parts: int) -> np.ndarray:
+    """Ints of which ``repartition(parts, key)`` deals one to each partition: key k goes to partition k."""
+    out, missing, lo = np.full(parts, -1, np.int64), parts, 0
+    while missing:
+        x = np.arange(lo, lo + 4 * parts + 64)
+        to = _spark_hash(x).astype(np.int64) % parts
+        place, first = np.unique(to, return_index=True)
+        new = out[place] < 0
+        out[place[new]] = x[first[new]]
+        missing, lo = int((out < 0).sum()), lo + len(x)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder; one of our own only where none is set, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -36,6 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to shared storage and read back: lineage is cut, lost executors lose nothing."""
     spark = df.sparkSession
+    spark.sparkContext._jvm.System.gc()  # so that shuffle files of steps that are done are dropped
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

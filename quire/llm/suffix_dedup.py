@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import blocks, pair
-from .common import partitions_for, staged
+from .common import even_keys, partitions_for, staged
 
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
@@ -84,8 +85,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     return {
         "key": key,
         "ctx": pair(pair(n50[lo], n50[lo + span]), (span * 64 + off).astype(np.uint64)),
-        "left": (pair(n16[np.maximum(at - SIDE, 0)], key) >> np.uint64(56)).astype(np.uint8),
-        "right": (pair(key, n16[np.minimum(at + SIDE, top)]) >> np.uint64(56)).astype(np.uint8),
+        "left": (pair(n16[np.maximum(at - SIDE, 0)], key) >> np.uint64(48)).astype("<u2"),
+        "right": (pair(key, n16[np.minimum(at + SIDE, top)]) >> np.uint64(48)).astype("<u2"),
         "lo": lo,
         "span": span.astype(np.uint8),
         "off": off.astype(np.uint8),
@@ -152,7 +153,7 @@ def _packed(a: dict[str, np.ndarray], rows: np.ndarray) -> bytes:
 def _unpacked(raw: bytes) -> dict[str, np.ndarray]:
     n, small, base = np.frombuffer(raw, "<i8", 3).tolist()
     at, got = 24, []
-    for kind in ("<u4", "<u2", "<u4", "<u2", "u1", "u1", "<u4", "u1", "u1", "<u4" if small else "<i8"):
+    for kind in ("<u4", "<u2", "<u4", "<u2", "<u2", "<u2", "<u4", "u1", "u1", "<u4" if small else "<i8"):
         got.append(np.frombuffer(raw, kind, n, at))
         at += got[-1].nbytes
     join = lambda h, l: h.astype(np.uint64) << np.uint64(16) | l  # noqa: E731, E741
@@ -160,53 +161,78 @@ def _unpacked(raw: bytes) -> dict[str, np.ndarray]:
     return {"key": join(got[0], got[1]), "ctx": join(got[2], got[3]), "left": got[4], "right": got[5], "lo": got[6].astype(np.int64), "span": got[7].astype(np.int64), "off": got[8].astype(np.int64), "doc": doc}
 
 
-def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Union of ranges as rows of (start, end); ranges that touch join."""
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
-    new = np.ones(len(start), bool)
-    new[1:] = start[1:] > end[:-1]
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of each document's ranges (doc, start, end), in order; ranges that touch join."""
+    if not len(doc):
+        return doc, start, end
+    _, rank = np.unique(doc, return_inverse=True)
+    base = rank.ravel().astype(np.int64) << 33
+    order = np.argsort(base + start, kind="stable")
+    low, high = (base + start)[order], np.maximum.accumulate((base + end)[order])
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] > high[:-1]
     first = np.flatnonzero(new)
-    return np.stack([start[first], end[np.append(first[1:], len(start)) - 1]], 1) if len(start) else np.zeros((0, 2), np.int64)
+    at = order[first]
+    return doc[at], start[at], high[np.append(first[1:], len(low)) - 1] - base[at]
 
 
-def _by_doc(doc: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int, out: list[list]) -> None:
-    """Rows (doc_id, kind, ranges) appended to ``out``, one for each document."""
-    for mine in _each(*_groups(doc)):
-        out[0].append(int(doc[mine[0]]))
+def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Union of ranges that come as blobs of (start, end)."""
+    raw = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64).reshape(-1, 2) for x in blobs])
+    _, start, end = _merged(np.zeros(len(raw), np.int64), raw[:, 0], raw[:, 1])
+    return start, end
+
+
+def _ranges(doc: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int, buckets: int, out: list[list]) -> None:
+    """Ranges merged and packed by their documents' bucket, appended to ``out`` (bucket, kind, blob)."""
+    doc, start, end = _merged(doc.astype(np.int64), start.astype(np.int64), end.astype(np.int64))
+    to = doc % buckets
+    for mine in _each(*_groups(to)):
+        out[0].append(int(to[mine[0]]))
         out[1].append(kind)
-        out[2].append(_merged(start[mine], end[mine]).astype("<u4").tobytes())
+        out[2].append(np.array([len(mine)], "<i8").tobytes() + doc[mine].astype("<i8").tobytes() + start[mine].astype("<u4").tobytes() + end[mine].astype("<u4").tobytes())
+
 
+def _rows(out: list[list], keys: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys[np.array(out[0], np.int64)], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["bucket", "kind", "blob"])
 
-def _rows(out: list[list], *more: tuple[str, list]) -> pa.RecordBatch:
-    arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())]
-    return pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.int32()) for _, x in more)], names=["doc_id", "kind", "blob", *(n for n, _ in more)])
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed ranges of whole documents to one row for each document and kind."""
+    held: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for kind, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            n = int(np.frombuffer(raw, "<i8", 1)[0])
+            held.setdefault(kind, []).append((np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<u4", n, 8 + 8 * n).astype(np.int64), np.frombuffer(raw, "<u4", n, 8 + 12 * n).astype(np.int64)))
+    for kind, got in held.items():
+        doc, start, end = _merged(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        both = np.stack([start, end], 1).astype("<u4")
+        first = np.flatnonzero(np.diff(doc, prepend=-1 - doc[0])) if len(doc) else []
+        blobs = [both[a:b].tobytes() for a, b in zip(first, [*first[1:], len(doc)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "kind", "blob"])
 
 
 PACKED, RANGES, ASKED = 0, 1, 2
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     held: list[dict[str, np.ndarray]] = []
     size = docs = 0
 
     def flush() -> pa.RecordBatch:
         a = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         out: list[list] = [[], [], []]
-        bucket: list[int] = []
         low = _least(a["doc"], a["key"], a["ctx"])
         known = np.flatnonzero(a["doc"] > low)
-        _by_doc(a["doc"][known], a["lo"][known], a["lo"][known] + a["span"][known] + LENGTH, RANGES, out)
-        bucket += [d % buckets for d in out[0]]
+        _ranges(a["doc"][known], a["lo"][known], a["lo"][known] + a["span"][known] + LENGTH, RANGES, len(keys), out)
         rest = np.flatnonzero(a["doc"] == low)
-        to = ((a["key"][rest] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        to = ((a["key"][rest] >> np.uint64(32)) % np.uint64(len(keys))).astype(np.int64)
         for mine in _each(*_groups(to)):
-            out[0].append(None)
+            out[0].append(int(to[mine[0]]))
             out[1].append(PACKED)
             out[2].append(_packed(a, rest[mine]))
-            bucket.append(int(to[mine[0]]))
         held.clear()
-        return _rows(out, ("bucket", bucket))
+        return _rows(out, keys)
 
     for batch in batches:
         ids = np.asarray(batch.column(0).fill_null(0))
@@ -224,61 +250,64 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         yield flush()
 
 
-def _judge_anchors(a: dict[str, np.ndarray], out: list[list]) -> None:
+def _judge_anchors(a: dict[str, np.ndarray], buckets: int, out: list[list]) -> None:
     """Anchors of some buckets, all of each key: ranges that repeat, and strings that must be looked at one by one."""
     doc = a["doc"]
     low = _least(doc, a["key"])
     high = -_least(-doc, a["key"])
     many = np.flatnonzero(low < high)
     a = {k: v[many] for k, v in a.items()}
-    doc, low = a["doc"], low[many]
+    doc = a["doc"]
     same = _least(doc, a["key"], a["ctx"])
     gone = np.flatnonzero(doc > same)
-    _by_doc(doc[gone], a["lo"][gone], a["lo"][gone] + a["span"][gone] + LENGTH, RANGES, out)
+    _ranges(doc[gone], a["lo"][gone], a["lo"][gone] + a["span"][gone] + LENGTH, RANGES, buckets, out)
     stay = np.flatnonzero(doc == same)
-    a, low = {k: v[stay] for k, v in a.items()}, low[stay]
-    doc = a["doc"]
-    near = np.zeros(len(doc), bool)
-    for side in ("left", "right"):
-        near |= _least(doc, a["key"], a[side]) < -_least(-doc, a["key"], a[side])
-    open_ = near & (doc > low)
-    wanted = np.flatnonzero(near & (_least(np.where(open_, 0, 1), a["key"]) == 0))
-    # strings asked for: ranges of starts
-    _by_doc(doc[wanted], a["lo"][wanted], a["lo"][wanted] + a["span"][wanted] + 1, ASKED, out)
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a = {k: v[stay] for k, v in a.items()}
+    doc, lo = a["doc"], a["lo"]
+    left, right = (_least(doc, a["key"], a[side]) < -_least(-doc, a["key"], a[side]) for side in ("left", "right"))
+    # a string reaches SIDE bytes to the left of the anchor, or as far to its right, or both
+    turn, top = np.maximum(lo, lo + a["off"] - SIDE), lo + a["span"]
+    start = np.where(left, lo, turn)
+    end = np.where(right, top, np.minimum(turn, top)) + 1
+    wanted = np.flatnonzero((left | right) & (start < end))
+    _ranges(doc[wanted], start[wanted], end[wanted], ASKED, buckets, out)
+
+
+def _judge(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     held: list[dict[str, np.ndarray]] = []
     for batch in batches:
-        kind = np.asarray(batch.column(1))
-        passed = batch.filter(pa.array(kind == RANGES))
+        packed = pa.array(np.asarray(batch.column(1)) == PACKED)
+        passed = batch.filter(pa.compute.invert(packed))
         if passed.num_rows:
-            yield pa.RecordBatch.from_arrays(passed.columns[:3], names=["doc_id", "kind", "blob"])
-        held += [_unpacked(x) for x in batch.filter(pa.array(kind == PACKED)).column(2).to_pylist()]
+            yield passed
+        held += [_unpacked(x) for x in batch.filter(packed).column(2).to_pylist()]
     if held:
         out: list[list] = [[], [], []]
-        _judge_anchors({k: np.concatenate([h[k] for h in held]) for k in held[0]}, out)
-        yield _rows(out)
+        _judge_anchors({k: np.concatenate([h[k] for h in held]) for k in held[0]}, len(keys), out)
+        yield _rows(out, keys)
 
 
-def _string_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, asked: the 50-byte names asked for, packed by bucket."""
+def _string_rows(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Columns doc_id, text, found: the 50-byte names asked for, packed by bucket. Of equal names in a batch only the
+    least document's are dealt; the others are known to repeat."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         name, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        to = ((name >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         out: list[list] = [[], [], []]
-        bucket = []
+        low = _least(doc, name)
+        known = np.flatnonzero(doc > low)
+        _ranges(doc[known], at[known], at[known] + LENGTH, RANGES, len(keys), out)
+        rest = np.flatnonzero(doc == low)
+        name, doc, at = name[rest], doc[rest], at[rest]
+        to = ((name >> np.uint64(32)) % np.uint64(len(keys))).astype(np.int64)
         for mine in _each(*_groups(to)):
-            head = np.array([len(mine)], "<i8")
-            out[0].append(None)
+            out[0].append(int(to[mine[0]]))
             out[1].append(PACKED)
-            out[2].append(b"".join(c.tobytes() for c in (head, name[mine], doc[mine].astype("<i8"), at[mine].astype("<u4"))))
-            bucket.append(int(to[mine[0]]))
-        return _rows(out, ("bucket", bucket))
+            out[2].append(b"".join(c.tobytes() for c in (np.array([len(mine)], "<i8"), name[mine], doc[mine].astype("<i8"), at[mine].astype("<u4"))))
+        return _rows(out, keys)
 
     for batch in batches:
         ids, asked = np.asarray(batch.column(0)), batch.column(2).to_pylist()
@@ -287,25 +316,28 @@ def _string_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
                 continue
             n50 = names(data)[1]
             for k, row in enumerate(rows.tolist()):
-                runs = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64).reshape(-1, 2) for x in asked[row]])
-                runs = _merged(runs[:, 0], runs[:, 1]) - shift
+                start, end = _runs(asked[row])
                 top = max(0, int(bounds[k + 1] - bounds[k]) - LENGTH + 1)
-                lo, hi = np.clip(runs[:, 0], 0, top), np.clip(runs[:, 1], 0, top)
+                lo, hi = np.clip(start - shift, 0, top), np.clip(end - shift, 0, top)
                 count = hi - lo
                 at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 held.append((n50[bounds[k] + at], np.full(len(at), ids[row]), at + shift))
                 size += len(at)
-            if size >= 1_000_000:
+            if size >= 1_500_000:
                 yield flush()
                 size = 0
     if held:
         yield flush()
 
 
-def _judge_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge_strings(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     name, doc, at = [], [], []
     for batch in batches:
-        for raw in batch.column(2).to_pylist():
+        packed = pa.array(np.asarray(batch.column(1)) == PACKED)
+        passed = batch.filter(pa.compute.invert(packed))
+        if passed.num_rows:
+            yield passed
+        for raw in batch.filter(packed).column(2).to_pylist():
             n = int(np.frombuffer(raw, "<i8", 1)[0])
             name.append(np.frombuffer(raw, "<u8", n, 8))
             doc.append(np.frombuffer(raw, "<i8", n, 8 + 8 * n))
@@ -314,8 +346,8 @@ def _judge_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         n, d, a = np.concatenate(name), np.concatenate(doc), np.concatenate(at)
         gone = np.flatnonzero(d > _least(d, n))
         out: list[list] = [[], [], []]
-        _by_doc(d[gone], a[gone], a[gone] + LENGTH, RANGES, out)
-        yield _rows(out)
+        _ranges(d[gone], a[gone], a[gone] + LENGTH, RANGES, len(keys), out)
+        yield _rows(out, keys)
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
@@ -326,17 +358,19 @@ def _gathered(rows: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, blob): byte ranges to remove, in pieces; staged. ``docs``: doc_id long, text."""
+    """(doc_id, kind, blob): byte ranges to remove, one or two rows a document; staged. ``docs``: doc_id long, text."""
     named = docs.where("doc_id is not null and octet_length(text) >= 50")
     parts = partitions_for(docs, 4_000_000)
-    buckets = 8 * parts
-    shape = "doc_id long, kind int, blob binary"
-    dealt = named.mapInArrow(lambda it: _anchor_rows(it, buckets), f"{shape}, bucket int").repartition(parts, "bucket")
-    first = staged(dealt.mapInArrow(_judge, shape))
+    keys = even_keys(parts)
+    dealt, shape = "bucket int, kind int, blob binary", "doc_id long, kind int, blob binary"
+    found = named.mapInArrow(lambda it: _anchor_rows(it, keys), dealt).repartition(parts, "bucket")
+    found = found.mapInArrow(lambda it: _judge(it, keys), dealt).repartition(parts, "bucket")
+    first = staged(found.mapInArrow(_by_document, shape))
     asked = _gathered(first.where(F.col("kind") == ASKED))
     strings = named.join(asked, F.col("doc_id") == F.col("d")).select("doc_id", "text", "found")
-    dealt = strings.mapInArrow(lambda it: _string_rows(it, buckets), f"{shape}, bucket int").repartition(parts, "bucket")
-    second = staged(dealt.mapInArrow(_judge_strings, shape))
+    found = strings.mapInArrow(lambda it: _string_rows(it, keys), dealt).repartition(parts, "bucket")
+    found = found.mapInArrow(lambda it: _judge_strings(it, keys), dealt).repartition(parts, "bucket")
+    second = staged(found.mapInArrow(_by_document, shape))
     return first.where(F.col("kind") == RANGES).unionByName(second)
 
 
@@ -355,9 +389,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 raw = memoryview(text.as_buffer())
                 size.append(len(raw))
                 if found.is_valid:
-                    runs = np.concatenate([np.frombuffer(x.as_buffer(), "<u4").astype(np.int64).reshape(-1, 2) for x in found])
-                    runs = _merged(*np.minimum(runs, len(raw)).T)
-                    runs = runs[runs[:, 1] > runs[:, 0]].tolist()
+                    start, end = _runs([x.as_buffer() for x in found])
+                    runs = [(a, min(b, len(raw))) for a, b in zip(start.tolist(), end.tolist(), strict=True) if a < len(raw)]
                 else:
                     runs = []
                 removed.append(sum(b - a for a, b in runs))

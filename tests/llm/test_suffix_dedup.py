@@ -75,3 +75,13 @@ def test_kept_bytes_and_repeated_rows(spark):
     out = {(r.doc_id, bytes(r.kept).decode()): r.n_removed for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {(1, p + "one"): 0, (2, "two "): len(p), (None, p): 0, (3, "short"): 0}
     assert sd.removal_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_keys_are_dealt_one_to_a_partition(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm.common import even_keys
+
+    keys = even_keys(37)
+    out = spark.createDataFrame([(int(k),) for k in keys], "k int").repartition(37, "k").select("k", F.spark_partition_id().alias("p")).collect()
+    assert {r.p: r.k for r in out} == dict(enumerate(keys.tolist()))
