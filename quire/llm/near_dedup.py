@@ -240,5 +240,6 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Da
     Rows that share a kept document's id all stay.
     """
     found = near_duplicates(docs, shingle, percent)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = staged(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(docs.columns)

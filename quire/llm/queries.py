@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, near_dedup, packing, pii, quality_cnn, quality_rules, sharding, suffix_dedup
+from . import decontaminate, html_extract, line_dedup, near_dedup, packing, pii, quality_cnn, quality_rules, sharding, suffix_dedup
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_quality_cnn": op6_quality_cnn,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
 }
