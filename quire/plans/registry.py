@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import quality  # noqa: F401  (each module adds its operators to the catalogue)
+from ..operators.catalog import CATALOG
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return CATALOG["qc02_document_check"].query(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: op.query for name, op in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: op.oracle() for name, op in CATALOG.items()}
