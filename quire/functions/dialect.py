@@ -96,6 +96,10 @@ class Dialect:
     def collected(self, x: str) -> str:
         return f"array_sort(collect_list({x}))"
 
+    def carried(self, x: str, window: str) -> str:
+        """The last value that is not null."""
+        return f"last_value({x}) IGNORE NULLS OVER ({window})"
+
     def div(self, a: str, b: str) -> str:
         return f"CAST(floor(({a}) / ({b})) AS BIGINT)"
 
@@ -184,6 +188,9 @@ class DuckDB(Dialect):
     def collected(self, x: str) -> str:
         return f"list_sort(list({x}))"
 
+    def carried(self, x: str, window: str) -> str:
+        return f"last_value({x} IGNORE NULLS) OVER ({window})"
+
     def micros(self, ts: str) -> str:
         return f"CAST(epoch_us({ts}) AS BIGINT)"
 

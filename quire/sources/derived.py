@@ -35,10 +35,10 @@ def _definitions(d: Dialect) -> dict[str, str]:
         "glyphs": f"""(SELECT doc_id, page, seq, h, i, substr(source, CAST(i + 1 AS INT), 1) AS ch, bx + (i % 40) * 6 AS x, by2 - 12 * ({d.div("i", "40")} + 1) AS y, bx + (i % 40) * 6 + 5 AS x2, by2 - 12 * ({d.div("i", "40")} + 1) + 10 AS y2 FROM chars)""",
         "bench_words": f"(SELECT item_id, {d.split('text', ' ')} AS w FROM benchmark)",
         "glossary": f"""(SELECT item_id * 2 AS seq, {d.at("w", "1")} || ' ' || {d.at("w", "2")} AS source, '词' || CAST(item_id AS STRING) AS target, CASE WHEN item_id % 3 = 0 THEN 'zh-CN' WHEN item_id % 3 = 1 THEN 'zh_cn' ELSE '' END AS lang FROM bench_words
-            UNION ALL SELECT item_id * 2 + 1 AS seq, upper({d.at("w", "1")} || ' ' || {d.at("w", "2")}) AS source, '词' || CAST(item_id AS STRING) || 'b' AS target, 'zh-cn' AS lang FROM bench_words WHERE item_id % 2 = 0)""",
+            UNION ALL SELECT item_id * 2 + 1 AS seq, translate({d.at("w", "1")} || ' ' || {d.at("w", "2")}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS source, '词' || CAST(item_id AS STRING) || 'b' AS target, 'zh-cn' AS lang FROM bench_words WHERE item_id % 2 = 0)""",
         "term_pairs": f"(SELECT doc_id, seq, {d.at(d.split('line', ' '), '1')} AS src, 'T' || CAST(h % 3 AS STRING) AS tgt FROM numbered)",
-        "run_events": f"""(SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, {d.micros("ts")} AS at, event_type AS stage, CAST(floor(value * 1000) AS BIGINT) AS ms, props FROM events)""",
-        "log": f"(SELECT run_id, seq, at, stage, CASE WHEN seq % 2 = 1 THEN 'started' ELSE 'finished' END AS kind, {d.div('seq - 1', '2')} AS span, ms, props FROM run_events)",
+        "run_events": f"""(SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, {d.micros("ts")} AS at_us, event_type AS stage, CAST(floor(value * 1000) AS BIGINT) AS ms, props FROM events)""",
+        "log": f"(SELECT run_id, seq, at_us, stage, CASE WHEN seq % 2 = 1 THEN 'started' ELSE 'finished' END AS kind, {d.div('seq - 1', '2')} AS span, ms, props FROM run_events)",
         "edits": "(SELECT conv_id AS document, turn AS revision, CASE WHEN role = 'user' THEN 'manual' ELSE 'auto' END AS origin, text AS target FROM conversations)",
         "assets": f"(SELECT doc_id, {d.sha('text')} AS sha, n_chars AS size, source AS dir, doc_id % 97 AS mtime FROM documents)",
         "stage_inputs": d.unnest("documents", "doc_id", d.numbers("0", "6"), "stage"),
