@@ -7,9 +7,10 @@ a Jaccard similarity of ``percent`` or more; both are taken from the input, not
    level, then by hash: rare ones first. Any fixed order is exact, a rare-first one is fast.
 2. Equal lines collapse to their first occurrence (combined before the shuffle); only first ones go on.
 3. By the prefix filter two similar lines share one of their rarest tokens. Every line is first held against the
-   earliest line of each such token only, which decides most members of a group of near copies at linear cost.
+   earliest line of each such token only, under the same filters, which decides most members of a group of near copies at linear cost.
 4. Lines still undecided are joined with all earlier lines on a shared prefix token, under the length filter and the
-   positional filter. Pairs that pass are verified on the lines' own words.
+   positional filter and a bitmap filter (tokens set bits of two longs; more differing bits than the two sets may
+   differ by rule a pair out). Pairs that pass are verified on the lines' own words.
 
 Everything is DataFrame expressions; the level table, SLOTS small numbers whatever the corpus holds, stands in the plan
 as one constant array.
@@ -51,26 +52,43 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
 
 
-def _first_lines(docs: DataFrame) -> DataFrame:
-    """Distinct lines with a word and the place of their first occurrence."""
-    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("ln").cast("decimal(12,0)")
-    lines = _lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return lines.groupBy("line").agg(F.min(place.cast("decimal(38,0)")).alias("at"))
+def _digests(line: Column) -> list[Column]:
+    return [F.xxhash64(line), F.xxhash64(F.lit(1), line)]
 
 
-def _prefixes(first: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """(token, i, n, at): the rarest tokens of each distinct token set, with their place in its order."""
+def _place() -> Column:
+    return (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("ln").cast("decimal(12,0)")).cast("decimal(38,0)")
+
+
+def _worded(docs: DataFrame) -> DataFrame:
+    return _lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _prefixes(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """For each distinct line, placed by its first occurrence ``at``: its rarest tokens with their place i in its
+    order, its number of tokens n, its bitmap b1, b2; and, on the row of place 0, the digests of the line."""
+    first = _worded(docs).groupBy("line").agg(F.min(_place()).alias("at"))
     mask = F.lit((1 << 48) - 1)
     keyed = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(SLOTS - 1).cast("int")), 48).bitwiseOR(h.bitwiseAND(mask)))
-    sets = first.select("at", F.sort_array(F.array_distinct(keyed)).alias("t")).withColumn("n", F.size("t"))
+    h1, h2 = _digests(F.col("line"))
+    sets = first.select("at", h1.alias("h1"), h2.alias("h2"), F.sort_array(F.array_distinct(keyed)).alias("t")).withColumn("n", F.size("t"))
+    bits = lambda shift: F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(63).cast("int"))))
     length = F.col("n") + 1 - F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
-    return sets.select("at", "n", F.posexplode(F.slice("t", F.lit(1), length)).alias("i", "token"))
-
-
-def _passes(na: str, ia: str, nb: str, ib: str, percent: int) -> Column:
-    """Length and positional filters for two lines that share the token at places ia and ib."""
-    a, b = F.col(na), F.col(nb)
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * F.least(a - F.col(ia), b - F.col(ib)) >= percent * (a + b))
+    sets = sets.withColumn("b1", bits(20)).withColumn("b2", bits(30))
+    rows = sets.select("at", "n", "b1", "b2", "h1", "h2", F.posexplode(F.slice("t", F.lit(1), length)).alias("i", "token"))
+    return rows.withColumn("h1", F.when(F.col("i") == 0, F.col("h1"))).withColumn("h2", F.when(F.col("i") == 0, F.col("h2")))
+
+
+def _passes(a: str, b: str, percent: int) -> Column:
+    """Length, positional and bitmap filters for two lines that share a token; columns of the sides end in a and b."""
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    apart = F.bit_count(F.col(f"b1{a}").bitwiseXOR(F.col(f"b1{b}")))
+    apart2 = F.bit_count(F.col(f"b2{a}").bitwiseXOR(F.col(f"b2{b}")))
+    return (
+        (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+        & ((100 + percent) * F.least(na - F.col(f"i{a}"), nb - F.col(f"i{b}")) >= percent * (na + nb))
+        & ((100 + percent) * F.greatest(apart, apart2) <= (100 - percent) * (na + nb))
+    )
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -84,8 +102,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     found = docs.where("doc_id is not null and text is not null").join(numbers, F.col("doc_id") == F.col("d"))
     lines = found.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("ln"))
     words = F.array_distinct(F.array_remove(F.split(F.lower(F.get("lines", F.col("ln"))), SPACE), ""))
-    place = (F.col("doc_id").cast("decimal(38,0)") * base + F.col("ln").cast("decimal(12,0)")).cast("decimal(38,0)")
-    sets = staged(lines.select(place.alias("at"), words.alias("w")).dropDuplicates(["at"]))
+    sets = staged(lines.select(_place().alias("at"), words.alias("w")))
     left = sets.select(F.col("at").alias("a"), F.col("w").alias("wa"))
     right = sets.select(F.col("at").alias("b"), F.col("w").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
@@ -93,35 +110,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return staged(near.select("b").distinct())
 
 
-def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Each distinct line, the place of its first occurrence, and whether an earlier line is similar (``near``): then
-    every occurrence goes, else every later one. ``docs``: doc_id long, text string."""
-    levels = _levels(docs)
-    rows = staged(_prefixes(_first_lines(docs), levels, percent))
-    # the earliest line of each token by aggregation, so that a hot token is combined before the shuffle
-    heads = rows.groupBy("token").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    shared = staged(rows.join(heads.withColumnRenamed("token", "k"), F.col("token") == F.col("k")).drop("k"))
-    tops = shared.where("at = head").select(F.col("token").alias("k"), F.col("n").alias("n0"), F.col("i").alias("i0"))
-    near = shared.where("at > head").join(tops, F.col("token") == F.col("k")).where(_passes("n0", "i0", "n", "i", percent))
-    decided = _verified(staged(near.select(F.col("head").alias("a"), F.col("at").alias("b")).distinct()), docs, percent)
-    open_ = shared.where("at > head").join(decided.withColumnRenamed("b", "x"), F.col("at") == F.col("x"), "left_anti")
-    one = shared.select(F.col("token").alias("k"), F.col("at").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    two = open_.select("token", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), "head")
-    pairs = two.join(one, (F.col("token") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("a") > F.col("head")) & _passes("na", "ia", "nb", "ib", percent))
-    more = _verified(staged(pairs.select("a", "b").distinct()), docs, percent)
-    near_lines = decided.unionByName(more)
-    first = _first_lines(docs).join(near_lines.withColumnRenamed("b", "x"), F.col("at") == F.col("x"), "left").select("line", "at", F.col("x").isNotNull().alias("near"))
-    return first
-
-
 def _removed(docs: DataFrame, percent: int) -> DataFrame:
-    """(d, gone): for each document that loses lines, their numbers."""
-    base = F.lit(1 << 31).cast("decimal(12,0)")
-    place = (F.col("doc_id").cast("decimal(38,0)") * base + F.col("ln").cast("decimal(12,0)")).cast("decimal(38,0)")
-    first = staged(repeated_lines(docs, percent).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "at", "near"))
-    lines = _lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    lines = lines.select("doc_id", "ln", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"), place.alias("own"))
-    met = lines.join(first, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where("near or own > at")
+    """(d, gone): for each document that loses lines, their numbers. ``docs``: doc_id long, text string."""
+    rows = staged(_prefixes(docs, _levels(docs), percent))
+    side = lambda end: [F.col(c).alias(f"{c}{end}") for c in ("at", "n", "i", "b1", "b2")]
+    # the earliest line of each token by aggregation, so that a hot token is combined before the shuffle
+    heads = rows.groupBy("token").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("token").alias("k"), "head")
+    shared = staged(rows.drop("h1", "h2").join(heads, F.col("token") == F.col("k")).drop("k"))
+    tops = shared.where("at = head").select(F.col("token").alias("k"), *side("_a"))
+    later = shared.where("at > head").select("token", "head", *side("_b"))
+    near = later.join(tops, F.col("token") == F.col("k")).where(_passes("_a", "_b", percent))
+    decided = _verified(staged(near.select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()), docs, percent)
+    still = later.join(decided.withColumnRenamed("b", "x"), F.col("at_b") == F.col("x"), "left_anti")
+    every = shared.where("at > head").select(F.col("token").alias("k"), *side("_a"))
+    pairs = still.join(every, (F.col("token") == F.col("k")) & (F.col("at_a") < F.col("at_b")) & _passes("_a", "_b", percent))
+    more = _verified(staged(pairs.select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()), docs, percent)
+    # of a line like an earlier one every occurrence goes, of any other every later one
+    known = rows.where("i = 0").select("h1", "h2", "at").join(decided.unionByName(more).withColumnRenamed("b", "x"), F.col("at") == F.col("x"), "left")
+    known = staged(known.select("h1", "h2", "at", F.col("x").isNotNull().alias("near")))
+    k1, k2 = _digests(F.col("line"))
+    lines = _worded(docs).select("doc_id", "ln", k1.alias("k1"), k2.alias("k2"), _place().alias("own"))
+    met = lines.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where("near or own > at")
     return met.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("ln").alias("gone"))
 
 
