@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import merge, ordered, quality, selection, spatial, text, timeline  # noqa: F401  (each module adds its operators to the catalogue)
 from ..operators.catalog import CATALOG
 from ..operators.sequential import FOLDS
+from ..streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +19,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: op.query for name, op in CATALOG.items()} | {name: f.query for name, f in FOLDS.items()}
+    return {name: op.query for name, op in CATALOG.items()} | {name: f.query for name, f in FOLDS.items()} | events.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: op.oracle() for name, op in CATALOG.items()}
+    return {name: op.oracle() for name, op in CATALOG.items()} | events.ORACLE
