@@ -23,7 +23,7 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_glossary(spark: SparkSession, path: str, language: str | None = None) -> DataFrame:
     """Glossary CSV with a header (source, target and, if there, tgt_lng or note); rows of another language are left
     out, with case and - or _ alike."""
-    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    rows = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"').csv(path)
     rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
     if missing := {"source", "target"} - set(rows.columns):
         raise ValueError(f"glossary lacks {sorted(missing)}")
@@ -34,7 +34,7 @@ def read_glossary(spark: SparkSession, path: str, language: str | None = None) -
 
 
 def write_glossary(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def publish(df: DataFrame, path: str) -> str:
