@@ -29,15 +29,20 @@ simple("wf09_line_groups", "Glyphs joined to lines by a vertical overlap of more
 
 @operator("wf12_word_gaps")
 def word_gaps(d: Dialect) -> str:
-    """Text of each glyph line with a space where the gap to the next glyph exceeds the line's usual one."""
-    return f"WITH n AS (SELECT *, lead(x) OVER (PARTITION BY doc_id, seq, y ORDER BY x) - x2 AS gap FROM glyphs WHERE ch <> ' '), m AS (SELECT doc_id, seq, y, median(gap) AS usual FROM n GROUP BY doc_id, seq, y) SELECT n.doc_id, n.seq, n.y, {d.nlisted('n.ch || CASE WHEN n.gap > m.usual THEN chr(32) ELSE chr(95) END', d.lit(''), 'n.x')} AS text FROM n JOIN m ON n.doc_id = m.doc_id AND n.seq = m.seq AND n.y = m.y GROUP BY n.doc_id, n.seq, n.y"
+    """Text of each glyph line with a space where the gap to the next glyph reaches a tenth of the font size, 0.6 points
+    at least."""
+    return f"WITH n AS (SELECT g.*, f.src_font, lead(g.x) OVER (PARTITION BY g.doc_id, g.seq, g.y ORDER BY g.x) - g.x2 AS gap FROM glyphs g JOIN boxes f ON g.doc_id = f.doc_id AND g.seq = f.seq WHERE g.ch <> ' ') SELECT doc_id, seq, y, {d.nlisted('ch || CASE WHEN gap * 10 >= greatest(src_font, 6) AND gap > 1 THEN chr(32) ELSE chr(95) END', d.lit(''), 'x')} AS text FROM n GROUP BY doc_id, seq, y"
 
 
 simple("wf13_page_ids", "Deterministic ids by page and order.", "SELECT doc_id, seq, id, 'P' || lpad(CAST(page + 1 AS STRING), 2, '0') || '-' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS STRING), 3, '0') AS by_order FROM units")
 simple("wf14_short_line_split", "Paragraph starts: the line before is shorter than 0.8 of the document's median, or a bullet.", lambda d: f"WITH w AS (SELECT doc_id, seq, line, length(line) AS n FROM numbered), m AS (SELECT doc_id, median(n) AS mid FROM w GROUP BY doc_id), f AS (SELECT w.doc_id, w.seq, CASE WHEN lag(w.n) OVER (PARTITION BY w.doc_id ORDER BY w.seq) < 0.8 * m.mid OR {d.like('w.line', '^[-*•] ')} OR w.seq = 1 THEN 1 ELSE 0 END AS new FROM w JOIN m ON w.doc_id = m.doc_id) SELECT doc_id, seq, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY seq) AS BIGINT) AS paragraph FROM f")
 simple("wf19_neighbours", "Text before and after each unit.", "SELECT doc_id, seq, lag(id) OVER (PARTITION BY doc_id ORDER BY seq) AS before_id, lead(id) OVER (PARTITION BY doc_id ORDER BY seq) AS after_id, length(lag(source) OVER (PARTITION BY doc_id ORDER BY seq)) AS before_chars FROM units")
 simple("wf20_carried_title", "The first title and the latest one at each unit.", lambda d: f"SELECT doc_id, seq, {d.carried(chr(39).join(['CASE WHEN label IN (', 'title', ', ', 'paragraph_title', ') THEN id END']), 'PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS latest_title, min(CASE WHEN label = 'title' THEN seq END) OVER (PARTITION BY doc_id) AS first_title FROM units")
-simple("wf21_toc_level", "Depth of contents entries: dots of the numbering, else the rank of the indent.", lambda d: f"WITH e AS (SELECT doc_id, seq, CASE WHEN h % 3 = 0 THEN '1.' || CAST(h % 4 AS STRING) || ' ' || line WHEN h % 3 = 1 THEN '2 ' || line ELSE line END AS line, (h % 4) * 12 AS indent FROM numbered) SELECT doc_id, seq, CASE WHEN {d.like('line', r'^[0-9]+([.][0-9]+)* ')} THEN 1 + {d.times(d.group('line', r'^([0-9]+([.][0-9]+)*) ', 1), '[.]')} ELSE CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY indent) AS BIGINT) END AS level FROM e")
+simple(
+    "wf21_toc_level",
+    "Depth of contents entries: dots of the numbering plus one, else the page's distinct indents smaller by more than two points, plus one.",
+    lambda d: f"WITH e AS (SELECT doc_id, page, seq, CASE WHEN h % 3 = 0 THEN '1.' || CAST(h % 4 AS STRING) || ' ' || line WHEN h % 3 = 1 THEN '2 ' || line ELSE line END AS line, (h % 4) * 12 + h % 2 AS indent FROM numbered), i AS (SELECT DISTINCT doc_id, page, indent FROM e), s AS (SELECT e.doc_id, e.seq, count(i.indent) AS smaller FROM e LEFT JOIN i ON e.doc_id = i.doc_id AND e.page = i.page AND i.indent < e.indent - 2 GROUP BY e.doc_id, e.seq) SELECT e.doc_id, e.seq, CASE WHEN {d.like('e.line', r'^[0-9]+([.][0-9]+)* ')} THEN 1 + {d.times(d.group('e.line', r'^([0-9]+([.][0-9]+)*) ', 1), '[.]')} ELSE 1 + s.smaller END AS level FROM e JOIN s ON e.doc_id = s.doc_id AND e.seq = s.seq",
+)
 simple("wf22_tail", "The last ten events of each run, each number once (the last wins), ascending.", "WITH l AS (SELECT run_id, seq % 50 AS seq, ms, seq AS arrived FROM log), u AS (SELECT *, row_number() OVER (PARTITION BY run_id, seq ORDER BY arrived DESC) AS k FROM l), t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS n FROM u WHERE k = 1) SELECT run_id, seq, ms FROM t WHERE n <= 10")
 simple("wf23_line_spacing", "Upper median of the positive gaps between a unit's lines; 10 where there is none.", lambda d: f"WITH y AS (SELECT DISTINCT doc_id, seq, y FROM glyphs), g AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, seq ORDER BY y DESC) - y AS gap FROM y), a AS (SELECT doc_id, seq, {d.collected('CASE WHEN gap > 0 THEN gap END')} AS gaps FROM g GROUP BY doc_id, seq), p AS (SELECT doc_id, seq, {d.present('gaps')} AS gaps FROM a) SELECT doc_id, seq, coalesce({d.at('gaps', d.div(d.size('gaps'), '2') + ' + 1')}, 10) AS spacing FROM p")
 simple("st01_multi_key_sort", "Units by page descending, then label, then order.", "SELECT doc_id, seq, page, label, CAST(row_number() OVER (ORDER BY page DESC, label, doc_id, seq) AS BIGINT) AS place FROM units WHERE doc_id % 50 = 0")

@@ -55,9 +55,13 @@ def curve_formula(d: Dialect) -> str:
 simple("jn07_isolated_formula", "Regions of reference kind that no text region overlaps by half.", lambda d: f"SELECT r.doc_id, r.rid FROM regions r {anti(d)} regions t ON r.doc_id = t.doc_id AND r.page = t.page AND t.label = 'text' AND {inside('r', 't')} >= 0.5 WHERE r.label = 'reference'")
 
 
+#: Labels whose paragraphs are left as they are: two of them never count as an overlap.
+FIXED = "('table', 'header', 'footer', 'reference', 'figure')"
+
+
 def overlaps() -> str:
     return f"""SELECT a.doc_id, a.page, a.seq AS first, b.seq AS second, {iou("a", "b")} AS iou, greatest({inside("a", "b")}, {inside("b", "a")}) AS contained FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.page = b.page AND a.seq < b.seq AND {meets("a", "b")}
-        WHERE NOT ((a.label LIKE 'figure%' OR a.label LIKE 'table%') AND (b.label LIKE 'figure%' OR b.label LIKE 'table%')) AND least({area("a")}, {area("b")}) / CAST(greatest({area("a")}, {area("b")}, 1) AS DOUBLE) >= {SIZE_RATIO} AND ({iou("a", "b")} > {IOU} OR greatest({inside("a", "b")}, {inside("b", "a")}) > {CONTAINED})"""
+        WHERE NOT ((a.label LIKE 'figure%' OR a.label LIKE 'table%') AND (b.label LIKE 'figure%' OR b.label LIKE 'table%')) AND NOT (a.label IN {FIXED} AND b.label IN {FIXED}) AND least({area("a")}, {area("b")}) / CAST(greatest({area("a")}, {area("b")}, 1) AS DOUBLE) >= {SIZE_RATIO} AND ({iou("a", "b")} > {IOU} OR greatest({inside("a", "b")}, {inside("b", "a")}) > {CONTAINED})"""
 
 
 def on_figures() -> str:

@@ -27,7 +27,33 @@ simple("fs11_strip_comments", "HTML without comments, closed or dangling.", lamb
 simple("fs12_clean_markdown", "Markdown bodies cleaned by label.", lambda d: f"WITH m AS (SELECT doc_id, seq, label, CASE WHEN label = 'title' THEN '## ' || source WHEN label = 'reference' THEN '- ' || source ELSE source END AS md FROM units) SELECT doc_id, seq, CASE WHEN label IN ('title', 'paragraph_title') THEN {d.sub('md', '^#+ +')} WHEN label = 'reference' THEN {d.sub('md', '^[-*] +')} ELSE trim(md) END AS body FROM m")
 simple("fs13_term_normal_form", "Terms lowered, blanks to one, trimmed.", lambda d: f"SELECT seq, trim({d.sub('lower(source)', '[ ]+', ' ')}) AS term FROM glossary")
 simple("fs19_bidi", "Direction marks: unsafe ones and unbalanced isolates.", lambda d: f"WITH t AS (SELECT doc_id, seq, CASE WHEN h % 45 = 0 THEN target || '⁦' WHEN h % 46 = 0 THEN '‮' || target ELSE target END AS t FROM targets) SELECT doc_id, seq, {d.like('t', '[‪-‮]')} AS unsafe, {d.times('t', '[⁦-⁨]')} = {d.times('t', '⁩')} AS balanced FROM t WHERE {d.like('t', '[‪-‮⁦-⁩]')}")
-simple("fs26_anchor_variants", "Roman numerals to ten as Arabic ones.", "WITH r AS (SELECT 'I' AS roman, 1 AS n UNION ALL SELECT 'II', 2 UNION ALL SELECT 'III', 3 UNION ALL SELECT 'IV', 4 UNION ALL SELECT 'V', 5 UNION ALL SELECT 'VI', 6 UNION ALL SELECT 'VII', 7 UNION ALL SELECT 'VIII', 8 UNION ALL SELECT 'IX', 9 UNION ALL SELECT 'X', 10) SELECT u.doc_id, u.seq, 'Table ' || r.roman AS anchor, 'Table ' || CAST(r.n AS STRING) AS arabic FROM units u JOIN r ON u.h % 10 + 1 = r.n WHERE u.label = 'table'")
+def numerals(most: int = 99) -> str:
+    """1..most as Roman, Arabic and Chinese numerals, made by rule."""
+
+    def roman(n: int) -> str:
+        out = ""
+        for value, sign in ((90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
+            out += sign * (n // value)
+            n %= value
+        return out
+
+    def chinese(n: int) -> str:
+        ones = "零一二三四五六七八九"
+        tens = ("" if n < 20 else ones[n // 10]) + "十" if n >= 10 else ""
+        return tens + (ones[n % 10] if n % 10 else "")
+
+    return " UNION ALL ".join(f"SELECT {n} AS n, '{roman(n)}' AS roman, '{chinese(n)}' AS chinese" for n in range(1, most + 1))
+
+
+@operator("fs26_anchor_variants")
+def anchor_variants(d: Dialect) -> str:
+    """Spellings of a reference that count as the same: translated prefixes, and Roman numerals as Arabic and Chinese."""
+    prefix = {"Figure": "图", "Table": "表", "Equation": "式", "Section": "第"}
+    kinds = " ".join(f"WHEN kind = {k} THEN '{w}'" for k, w in enumerate(prefix))
+    translated = " ".join(f"WHEN kind = {k} THEN '{z}'" for k, z in enumerate(prefix.values()))
+    return f"WITH r AS ({numerals()}), a AS (SELECT u.doc_id, u.seq, u.h % 4 AS kind, r.n, r.roman, r.chinese FROM units u JOIN r ON u.h % 99 + 1 = r.n), b AS (SELECT doc_id, seq, CASE {kinds} END AS word, CASE {translated} END AS sign, n, roman, chinese FROM a) SELECT doc_id, seq, word || ' ' || roman AS anchor, sign || roman AS translated, CAST(n AS STRING) AS arabic, chinese FROM b"
+
+
 simple("fs27_reference_role", "Role of a link by its destination and by the text around it.", lambda d: "SELECT l.doc_id, l.ord, CASE WHEN l.target = 0 THEN 'cite' WHEN l.target = 1 THEN 'figure' WHEN l.target = 2 THEN 'table' ELSE 'section' END AS role, CASE WHEN u.label = 'figure_caption' THEN 'figure' WHEN u.label IN ('table', 'table_caption') THEN 'table' WHEN u.label = 'reference' THEN 'cite' ELSE 'section' END AS context_role FROM links l JOIN units u ON l.doc_id = u.doc_id AND l.ord = u.seq")
 simple("fs28_paper_meta", "First author and cleaned title of first lines.", lambda d: f"SELECT doc_id, {d.sub('line', '[^A-Za-z ]+')} AS title, {d.at(d.split('line', ','), '1')} AS first_author FROM numbered WHERE seq = 1")
 simple("fs29_slug", "Slugs: lower case, other signs to hyphens, forty characters.", lambda d: f"SELECT doc_id, seq, substr({d.sub(d.sub('lower(line)', '[^a-z0-9]+', '-'), '^-|-$')}, 1, 40) AS slug FROM numbered")

@@ -133,6 +133,14 @@ def stm01_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(tail(table_stream(spark, sf_dir, "events"), 1000, "error")).select("event_id", "user_id", "event_type")
 
 
+def stm02_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tail run twice from one checkpoint: the second run finds the cursor at the end and adds nothing."""
+    folder = _folder(spark)
+    for _ in range(2):
+        out = drain(tail(table_stream(spark, sf_dir, "events"), 500), folder)
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.max("event_id").alias("cursor_at"))
+
+
 def stm08_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table_stream(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     return drain(once(events.unionByName(events), ["user_id", "event_id"]))
@@ -161,9 +169,10 @@ def stm07_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_only(table_stream(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
 
 
-QUERIES = {"stm01_tail": stm01_tail, "stm04_block_assembly": stm04_blocks, "stm05_page_readiness": stm05_pages, "stm07_latest_only": stm07_latest, "stm08_once": stm08_once}
+QUERIES = {"stm01_tail": stm01_tail, "stm02_cursor": stm02_cursor, "stm04_block_assembly": stm04_blocks, "stm05_page_readiness": stm05_pages, "stm07_latest_only": stm07_latest, "stm08_once": stm08_once}
 
 ORACLE = {
+    "stm02_cursor": "SELECT user_id, count(*) AS events, max(event_id) AS cursor_at FROM events WHERE event_id > 500 GROUP BY user_id",
     "stm01_tail": "SELECT event_id, user_id, event_type FROM events WHERE event_id > 1000 AND event_type = 'error'",
     "stm04_block_assembly": "SELECT conv_id AS document, role || CAST(turn AS VARCHAR) AS block, trim(text) AS body FROM conversations",
     "stm05_page_readiness": "SELECT conv_id AS document, turn // 2 AS page, count(*) AS units, count(*) < 2 AS forced FROM conversations GROUP BY conv_id, turn // 2",
