@@ -59,10 +59,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
+#: Makes Spark drop a statement's shuffle files when the statement ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to shared storage and read back: lineage is cut, lost executors lose nothing."""
+    """``df`` written as Parquet to shared storage and read back: lineage is cut, lost executors lose nothing, and what
+    the step shuffled is dropped."""
     spark = df.sparkSession
-    spark.sparkContext._jvm.System.gc()  # so that shuffle files of steps that are done are dropped
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import ALNUM, Block, Words, blocks, pair, words
+from .bytescan import ALNUM, Block, Words, blocks, pair, trimmed, words
 
 WINDOW = 10
 PART_BYTES = 16_000_000
@@ -207,7 +207,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, part_bytes: int =
                 names=["doc_id", "n_words", "n_hit", "items", "matches"],
             )
 
-    return source.mapInArrow(scan, schema)
+    return source.mapInArrow(trimmed(scan), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -222,7 +222,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_
                 clean[block.first + w.doc[hit]] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(trimmed(keep), docs.schema)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

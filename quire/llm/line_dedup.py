@@ -9,8 +9,8 @@ a Jaccard similarity of ``percent`` or more; both are taken from the input, not
 3. By the prefix filter two similar lines share one of their rarest tokens. Every line is first held against the
    earliest line of each such token only, under the same filters, which decides most members of a group of near copies at linear cost.
 4. Lines still undecided are joined with all earlier lines on a shared prefix token, under the length filter and the
-   positional filter and a bitmap filter (tokens set bits of two longs; more differing bits than the two sets may
-   differ by rule a pair out). Pairs that pass are verified on the lines' own words.
+   positional filter and a bitmap filter (half of the tokens set one of 128 bits each; more differing bits than the two sets may
+   differ by rule a pair out). Pairs that pass are verified on the lines' whole token sets (words as 64-bit hashes).
 
 Everything is DataFrame expressions; the level table, SLOTS small numbers whatever the corpus holds, stands in the plan
 as one constant array.
@@ -24,24 +24,31 @@ from __future__ import annotations
 
 from math import log2
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
 SLOTS = 1 << 16
-SPACE = r"[\x20\x09-\x0D]+"
 #: Line numbers to verify are broadcast up to this many rows.
 BROADCAST_ROWS = 1_000_000
 
 
+def _words(line: Column) -> Column:
+    """Words of a line. Splitting at one character is several times as fast as at a class, so that other white space
+    becomes a space first, where there is any."""
+    low = F.lower(line)
+    one = F.when(low.rlike(r"[\x09-\x0D]"), F.regexp_replace(low, r"[\x09-\x0D]", " ")).otherwise(low)
+    return F.array_remove(F.split(one, " "), "")
+
+
 def _hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(F.split(F.lower(line), SPACE), ""), lambda w: F.xxhash64(w))
+    return F.transform(_words(line), lambda w: F.xxhash64(w))
 
 
 def _levels(docs: DataFrame) -> Column:
     """A constant array: for each slot the frequency of its tokens, eight levels to a factor of two."""
-    slots = docs.select(F.explode(F.transform(_hashes(F.col("text")), lambda h: h.bitwiseAND(SLOTS - 1).cast("int"))).alias("s"))
+    slots = docs.select(F.explode(F.transform(_hashes(F.replace(F.col("text"), F.lit("\n"), F.lit(" "))), lambda h: h.bitwiseAND(SLOTS - 1).cast("int"))).alias("s"))
     table = [0] * SLOTS
     for r in slots.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect():  # SLOTS rows at most
         table[r["s"]] = int(8 * log2(1 + r["n"]))
@@ -64,30 +71,35 @@ def _worded(docs: DataFrame) -> DataFrame:
     return _lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _bits(half: int) -> Column:
+    """Bits of the tokens of array t that fall in one half of 128, as a long. Only every second token sets one, so that
+    long lines don't fill the bitmap; the difference of the marked tokens still bounds that of the sets from below."""
+    one = lambda x: F.when(x.bitwiseAND(192) == half, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x)))
+
+
 def _prefixes(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
     """For each distinct line, placed by its first occurrence ``at``: its rarest tokens with their place i in its
-    order, its number of tokens n, its bitmap b1, b2; and, on the row of place 0, the digests of the line."""
+    order, its number of tokens n, its bitmap (bits, more); and, on the row of place 0, the digests of the line."""
     first = _worded(docs).groupBy("line").agg(F.min(_place()).alias("at"))
     mask = F.lit((1 << 48) - 1)
     keyed = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(SLOTS - 1).cast("int")), 48).bitwiseOR(h.bitwiseAND(mask)))
     h1, h2 = _digests(F.col("line"))
     sets = first.select("at", h1.alias("h1"), h2.alias("h2"), F.sort_array(F.array_distinct(keyed)).alias("t")).withColumn("n", F.size("t"))
-    bits = lambda shift: F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(63).cast("int"))))
+    low, high = _bits(0), _bits(64)
     length = F.col("n") + 1 - F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
-    sets = sets.withColumn("b1", bits(20)).withColumn("b2", bits(30))
-    rows = sets.select("at", "n", "b1", "b2", "h1", "h2", F.posexplode(F.slice("t", F.lit(1), length)).alias("i", "token"))
+    rows = sets.withColumn("bits", low).withColumn("more", high).select("at", "n", "bits", "more", "h1", "h2", F.posexplode(F.slice("t", F.lit(1), length)).alias("i", "token"))
     return rows.withColumn("h1", F.when(F.col("i") == 0, F.col("h1"))).withColumn("h2", F.when(F.col("i") == 0, F.col("h2")))
 
 
 def _passes(a: str, b: str, percent: int) -> Column:
     """Length, positional and bitmap filters for two lines that share a token; columns of the sides end in a and b."""
     na, nb = F.col(f"n{a}"), F.col(f"n{b}")
-    apart = F.bit_count(F.col(f"b1{a}").bitwiseXOR(F.col(f"b1{b}")))
-    apart2 = F.bit_count(F.col(f"b2{a}").bitwiseXOR(F.col(f"b2{b}")))
+    apart = F.bit_count(F.col(f"bits{a}").bitwiseXOR(F.col(f"bits{b}"))) + F.bit_count(F.col(f"more{a}").bitwiseXOR(F.col(f"more{b}")))
     return (
         (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
         & ((100 + percent) * F.least(na - F.col(f"i{a}"), nb - F.col(f"i{b}")) >= percent * (na + nb))
-        & ((100 + percent) * F.greatest(apart, apart2) <= (100 - percent) * (na + nb))
+        & ((100 + percent) * apart <= (100 - percent) * (na + nb))
     )
 
 
@@ -100,9 +112,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     numbers = wanted.groupBy("d").agg(F.collect_list((F.col("at") - F.col("d") * base).cast("int")).alias("wanted"))
     numbers = F.broadcast(numbers) if count <= BROADCAST_ROWS else numbers
     found = docs.where("doc_id is not null and text is not null").join(numbers, F.col("doc_id") == F.col("d"))
-    lines = found.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("ln"))
-    words = F.array_distinct(F.array_remove(F.split(F.lower(F.get("lines", F.col("ln"))), SPACE), ""))
-    sets = staged(lines.select(_place().alias("at"), words.alias("w")))
+    picked = F.element_at(F.transform(F.array(F.split("text", "\n")), lambda x: F.transform("wanted", lambda i: F.struct(i.alias("ln"), F.get(x, i).alias("line")))), 1)
+    lines = found.select("doc_id", F.explode(picked).alias("p")).select("doc_id", "p.ln", "p.line")
+    sets = staged(lines.select(_place().alias("at"), F.array_distinct(_hashes(F.col("line"))).alias("w")))
     left = sets.select(F.col("at").alias("a"), F.col("w").alias("wa"))
     right = sets.select(F.col("at").alias("b"), F.col("w").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
@@ -113,16 +125,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def _removed(docs: DataFrame, percent: int) -> DataFrame:
     """(d, gone): for each document that loses lines, their numbers. ``docs``: doc_id long, text string."""
     rows = staged(_prefixes(docs, _levels(docs), percent))
-    side = lambda end: [F.col(c).alias(f"{c}{end}") for c in ("at", "n", "i", "b1", "b2")]
-    # the earliest line of each token by aggregation, so that a hot token is combined before the shuffle
-    heads = rows.groupBy("token").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("token").alias("k"), "head")
-    shared = staged(rows.drop("h1", "h2").join(heads, F.col("token") == F.col("k")).drop("k"))
-    tops = shared.where("at = head").select(F.col("token").alias("k"), *side("_a"))
-    later = shared.where("at > head").select("token", "head", *side("_b"))
-    near = later.join(tops, F.col("token") == F.col("k")).where(_passes("_a", "_b", percent))
-    decided = _verified(staged(near.select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()), docs, percent)
-    still = later.join(decided.withColumnRenamed("b", "x"), F.col("at_b") == F.col("x"), "left_anti")
-    every = shared.where("at > head").select(F.col("token").alias("k"), *side("_a"))
+    # one shuffle by token: each row meets its token's earliest line
+    whole = Window.partitionBy("token").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    top = [F.first(c).over(whole).alias(f"{c}_a") for c in ("at", "n", "i", "bits", "more")]
+    own = [F.col(c).alias(f"{c}_b") for c in ("at", "n", "i", "bits", "more")]
+    met = rows.select("token", *own, *top, F.count(F.lit(1)).over(whole).alias("m")).where("at_b > at_a").withColumn("near", _passes("_a", "_b", percent))
+    # what neither passes the filters nor meets a third line is done
+    met = met.where("near or m > 2").withColumn("at_a", F.when(F.col("near"), F.col("at_a"))).withColumn("more_lines", F.col("m") > 2)
+    met = staged(met.select("token", "at_a", "more_lines", *[f"{c}_b" for c in ("at", "n", "i", "bits", "more")]))
+    near = met.where("at_a is not null").select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()
+    decided = _verified(staged(near), docs, percent)
+    # tokens of three lines or more may hold a pair without their earliest
+    many = met.where("more_lines").select("token", *[f"{c}_b" for c in ("at", "n", "i", "bits", "more")])
+    still = many.join(decided.withColumnRenamed("b", "x"), F.col("at_b") == F.col("x"), "left_anti")
+    every = many.select(F.col("token").alias("k"), *[F.col(f"{c}_b").alias(f"{c}_a") for c in ("at", "n", "i", "bits", "more")])
     pairs = still.join(every, (F.col("token") == F.col("k")) & (F.col("at_a") < F.col("at_b")) & _passes("_a", "_b", percent))
     more = _verified(staged(pairs.select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()), docs, percent)
     # of a line like an earlier one every occurrence goes, of any other every later one

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import NOT_SPACE, blocks, mix, pair, words
+from .bytescan import NOT_SPACE, blocks, mix, pair, trimmed, words
 from .common import staged
 from .components import components
 
@@ -115,7 +115,7 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "bands"],
             )
 
-    return source.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return source.mapInArrow(trimmed(run), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -128,7 +128,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(batch.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["node", "set"])
 
-    return staged(source.join(ids, "node", "left_semi").mapInArrow(run, "node long, set binary"))
+    return staged(source.join(ids, "node", "left_semi").mapInArrow(trimmed(run), "node long, set binary"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 union.append(len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "inter", "union"])
 
-    return staged(joined.mapInArrow(run, "a long, b long, inter long, union long"))
+    return staged(joined.mapInArrow(trimmed(run), "a long, b long, inter long, union long"))
 
 
 def _cross_pairs(sets: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _cross_pairs(sets: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
-    counts = theirs.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = theirs.select("set").mapInArrow(trimmed(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     table = np.zeros(SLOTS, np.int64)
     for r in counts.toLocalIterator():  # SLOTS rows at most
         table[r["slot"]] = r["n"]
@@ -184,7 +184,7 @@ def _cross_pairs(sets: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
             token, row, at, size = (pa.array(np.concatenate(x)) for x in (token, row, at, size))
             yield pa.RecordBatch.from_arrays([token, batch.column(0).take(row), batch.column(1).take(row), at, size], names=["token", "node", "component", "at", "n"])
 
-    rows = theirs.select("node", "component", "set").mapInArrow(prefixes, "token long, node long, component long, at long, n long")
+    rows = theirs.select("node", "component", "set").mapInArrow(trimmed(prefixes), "token long, node long, component long, at long, n long")
     several = rows.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("token")
     rows = staged(rows.join(several, "token"))
     one = rows.toDF("k", "a", "ca", "ia", "na")

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import cutting_stock
-from .bytescan import NOT_SPACE, Block, blocks, words
+from .bytescan import NOT_SPACE, Block, blocks, trimmed, words
 from .common import staged
 
 SEQUENCE = 2048
 QUANTUM = 8
 END_ID = 1
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 #: 1: ASCII letters; 2: marks that end a run of letters. The apostrophe begins contractions, and <, | and > stand in
 #: special tokens: no cut is made beside them.
 CUTS = np.zeros(256, np.uint8)
@@ -180,7 +180,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUEN
             long = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *long], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return source.mapInArrow(cut, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return source.mapInArrow(trimmed(cut), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def _layout(patterns: list[tuple[cutting_stock.Pattern, int]], classes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -227,6 +227,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(to)], names=[*names, "sequence_id"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in names)
-    placed = ranked.mapInArrow(place, f"{schema}, sequence_id long")
+    placed = ranked.mapInArrow(trimmed(place), f"{schema}, sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))

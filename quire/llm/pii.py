@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
+from .bytescan import trimmed
 
 # Kinds in their order, and the base patterns.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -300,7 +301,7 @@ def find(docs: DataFrame) -> DataFrame:
                 redacted.append("".join([*part, text[at:]]) if every else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span)), pa.array(redacted, pa.string())], names=["doc_id", "spans", "redacted"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, spans {SPANS}, redacted string")
+    return source.mapInArrow(trimmed(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, spans {SPANS}, redacted string")
 
 
 def report(docs: DataFrame) -> DataFrame:

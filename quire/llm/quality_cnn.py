@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import text_buffers
+from .bytescan import text_buffers, trimmed
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE = 8, 4
@@ -193,8 +193,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     """The network fitted on the bounded sample."""
     marks = labels.where(f"doc_id is not null and quality is not null and not ({HOLD_OUT})").groupBy(F.col("doc_id").alias("d")).agg(F.max("quality").alias("quality"))
     marks = F.broadcast(marks) if labels.count() <= BROADCAST_LABELS else marks
-    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, F.col("doc_id") == F.col("d"))
-    sample = known.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "quality").orderBy("h", "doc_id", "text").limit(SAMPLE).collect()
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    known = docs.where(size <= SAMPLE_BYTES).select("doc_id").join(marks, F.col("doc_id") == F.col("d"))
+    # ids first, then the texts of those: no task sends more than its share of the sample
+    picked = known.select(F.xxhash64("doc_id").alias("h"), "d", "quality").distinct().orderBy("h", "d").limit(SAMPLE)
+    texts = docs.where(size <= SAMPLE_BYTES).join(F.broadcast(picked), F.col("doc_id") == F.col("d"))
+    sample = texts.groupBy("h", "d", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    sample.sort(key=lambda r: (r["h"], r["d"]))
     return fit([r["text"].encode() for r in sample], np.array([float(r["quality"] == 1) for r in sample], np.float32))
 
 
@@ -208,4 +213,4 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
             p = _scores(net, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(trimmed(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import blocks, pair
+from .bytescan import blocks, pair, trimmed
 from .common import even_keys, partitions_for, staged
 
 LENGTH, GRAM = 50, 16
@@ -363,14 +363,14 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     parts = partitions_for(docs, 4_000_000)
     keys = even_keys(parts)
     dealt, shape = "bucket int, kind int, blob binary", "doc_id long, kind int, blob binary"
-    found = named.mapInArrow(lambda it: _anchor_rows(it, keys), dealt).repartition(parts, "bucket")
-    found = found.mapInArrow(lambda it: _judge(it, keys), dealt).repartition(parts, "bucket")
-    first = staged(found.mapInArrow(_by_document, shape))
+    found = named.mapInArrow(trimmed(lambda it: _anchor_rows(it, keys)), dealt).repartition(parts, "bucket")
+    found = found.mapInArrow(trimmed(lambda it: _judge(it, keys)), dealt).repartition(parts, "bucket")
+    first = staged(found.mapInArrow(trimmed(_by_document), shape))
     asked = _gathered(first.where(F.col("kind") == ASKED))
     strings = named.join(asked, F.col("doc_id") == F.col("d")).select("doc_id", "text", "found")
-    found = strings.mapInArrow(lambda it: _string_rows(it, keys), dealt).repartition(parts, "bucket")
-    found = found.mapInArrow(lambda it: _judge_strings(it, keys), dealt).repartition(parts, "bucket")
-    second = staged(found.mapInArrow(_by_document, shape))
+    found = strings.mapInArrow(trimmed(lambda it: _string_rows(it, keys)), dealt).repartition(parts, "bucket")
+    found = found.mapInArrow(trimmed(lambda it: _judge_strings(it, keys)), dealt).repartition(parts, "bucket")
+    second = staged(found.mapInArrow(trimmed(_by_document), shape))
     return first.where(F.col("kind") == RANGES).unionByName(second)
 
 
@@ -403,7 +403,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             arrays = [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(trimmed(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
