@@ -137,7 +137,9 @@ def _removed(docs: DataFrame, percent: int) -> DataFrame:
     decided = _verified(staged(near), docs, percent)
     # tokens of three lines or more may hold a pair without their earliest
     many = met.where("more_lines").select("token", *[f"{c}_b" for c in ("at", "n", "i", "bits", "more")])
-    still = many.join(decided.withColumnRenamed("b", "x"), F.col("at_b") == F.col("x"), "left_anti")
+    done = decided.withColumnRenamed("b", "x")
+    done = F.broadcast(done) if done.count() <= BROADCAST_ROWS else done
+    still = many.join(done, F.col("at_b") == F.col("x"), "left_anti")
     every = many.select(F.col("token").alias("k"), *[F.col(f"{c}_b").alias(f"{c}_a") for c in ("at", "n", "i", "bits", "more")])
     pairs = still.join(every, (F.col("token") == F.col("k")) & (F.col("at_a") < F.col("at_b")) & _passes("_a", "_b", percent))
     more = _verified(staged(pairs.select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()), docs, percent)
