@@ -31,8 +31,8 @@ def _definitions(d: Dialect) -> dict[str, str]:
             750 - {d.div("k", "2")} * 150 - (100 + h % 80) AS sy, 750 - {d.div("k", "2")} * 150 AS sy2, 10 + h % 4 AS src_font, CASE WHEN h % 9 = 0 THEN (10 + h % 4) * 7 ELSE (10 + h % 4) * 10 END AS font10 FROM units)""",
         "regions": """(SELECT doc_id, page, seq AS rid, label, 50 + seq % 50 AS conf, x - ((h % 7) - 3) AS x, y - ((h % 7) - 3) AS y, x2 + ((h % 7) - 3) AS x2, y2 + ((h % 7) - 3) AS y2 FROM boxes WHERE h % 16 <> 0
             UNION ALL SELECT doc_id, page, 100000 + page AS rid, 'figure' AS label, 40 AS conf, 300 AS x, 100 AS y, 560 AS x2, 330 AS y2 FROM boxes WHERE k = 0)""",
-        "chars": d.unnest("(SELECT b.doc_id, b.page, b.seq, b.h, b.x AS bx, b.y2 AS by2, u.source FROM boxes b JOIN units u ON b.doc_id = u.doc_id AND b.seq = u.seq WHERE b.doc_id % 7 = 0)", "doc_id, page, seq, h, bx, by2, source", d.numbers("0", "least(length(source), 60) - 1"), "i"),
-        "glyphs": f"""(SELECT doc_id, page, seq, h, i, substr(source, CAST(i + 1 AS INT), 1) AS ch, bx + (i % 40) * 6 AS x, by2 - 12 * ({d.div("i", "40")} + 1) AS y, bx + (i % 40) * 6 + 5 AS x2, by2 - 12 * ({d.div("i", "40")} + 1) + 10 AS y2 FROM chars)""",
+        "chars": d.unnest("(SELECT b.doc_id, b.page, b.seq, b.h, b.x AS bx, b.y2 AS by2, u.source FROM boxes b JOIN units u ON b.doc_id = u.doc_id AND b.seq = u.seq WHERE u.source <> '')", "doc_id, page, seq, h, bx, by2", d.split("source", ""), "ch", "place"),
+        "glyphs": f"""(SELECT doc_id, page, seq, h, i, ch, bx + (i % 40) * 6 AS x, by2 - 12 * ({d.div("i", "40")} + 1) AS y, bx + (i % 40) * 6 + 5 AS x2, by2 - 12 * ({d.div("i", "40")} + 1) + 10 AS y2 FROM (SELECT *, place - 1 AS i FROM chars) AS __i)""",
         "bench_words": f"(SELECT item_id, {d.split('text', ' ')} AS w FROM benchmark)",
         "glossary": f"""(SELECT item_id * 2 AS seq, {d.at("w", "1")} || ' ' || {d.at("w", "2")} AS source, '词' || CAST(item_id AS STRING) AS target, CASE WHEN item_id % 3 = 0 THEN 'zh-CN' WHEN item_id % 3 = 1 THEN 'zh_cn' ELSE '' END AS lang FROM bench_words
             UNION ALL SELECT item_id * 2 + 1 AS seq, translate({d.at("w", "1")} || ' ' || {d.at("w", "2")}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS source, '词' || CAST(item_id AS STRING) || 'b' AS target, 'zh-cn' AS lang FROM bench_words WHERE item_id % 2 = 0)""",
