@@ -1,7 +1,12 @@
 """Queries read every document and the whole of each text: small tables whose answer is known."""
 
+import difflib
+import random
+from collections import namedtuple
+
 import pytest
 
+from quire.operators import sequential
 from quire.plans import registry
 
 
@@ -33,3 +38,41 @@ def test_ocr_text_is_whole(spark, sf_of):
     """h = 312 has an OCR text, of 130 characters."""
     rows = registry.queries()["xo02_ocr_backfill"](spark, sf_of((10, "\n" + "ab" * 65))).collect()
     assert {r.i: r.ch for r in rows} == {i: "AB"[i % 2] for i in range(130)}
+
+
+def slow_ratio(a, b):
+    """2 LCS / (summed length), by the whole table."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for k, y in enumerate(b):
+            table[i + 1][k + 1] = table[i][k] + 1 if x == y else max(table[i][k + 1], table[i + 1][k])
+    return 2 * table[-1][-1] / (len(a) + len(b))
+
+
+def test_ratio_against_the_whole_table():
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abcé译") for _ in range(r.randrange(0, 90))) for _ in range(2))
+        assert sequential.indel_ratio(a, b) == (slow_ratio(a, b) if a or b else 1)
+
+
+def test_matching_blocks_against_difflib():
+    r, kind = random.Random(4), namedtuple("Row", "doc_id seq a b")
+    for _ in range(300):
+        a = "".join(r.choice("abc") for _ in range(r.randrange(1, 40)))
+        b = r.choice([a[r.randrange(9) :], a + "c", "b" + a[:9], "".join(r.choice("abc") for _ in range(20)), ""])
+        n = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        assert sequential.formula_match([kind(1, 1, a, b)]) == [(1, 1, n / len(a), n / len(a) >= 0.7)]
+
+
+def test_folds_over_every_document_and_whole_texts(spark, sf_of):
+    """h = 312 (h % 40 = 32, h % 50 = 12) and h = 32, of long lines."""
+    long = "abcdefghij " * 200
+    sf = sf_of((10, "\n" + long), (1, long))
+    run = lambda name: {(r.doc_id, r.seq): r for r in registry.queries()[name](spark, sf).collect()}
+    qc11, xo18, wf26 = run("qc11_back_translation"), run("xo18_formula_match"), run("wf26_line_breaking")
+    n = 2200 * 28 // 60
+    assert qc11[10, 2].similarity == qc11[1, 1].similarity == 2 * n / (2200 + n)
+    head = sum(c != " " for c in long[: 2200 * 68 // 80])
+    assert xo18[10, 2].covered == head / 2000 and set(xo18) == set(qc11) == {(1, 1), (10, 1), (10, 2)}
+    assert wf26[10, 2].n_lines == wf26[1, 1].n_lines == 40  # five words of ten letters fill 54 of 60
