@@ -76,3 +76,34 @@ def test_folds_over_every_document_and_whole_texts(spark, sf_of):
     head = sum(c != " " for c in long[: 2200 * 68 // 80])
     assert xo18[10, 2].covered == head / 2000 and set(xo18) == set(qc11) == {(1, 1), (10, 1), (10, 2)}
     assert wf26[10, 2].n_lines == wf26[1, 1].n_lines == 40  # five words of ten letters fill 54 of 60
+
+
+def slow_repeats(text, period=16, span=12):
+    most = 0
+    for i in range(len(text)):
+        for p in range(1, period + 1):
+            times = 1
+            while i + (times + 1) * p <= len(text) and text[i : i + p] == text[i + times * p : i + (times + 1) * p]:
+                times += 1
+            if times > 1 and times * p >= span:
+                most = max(most, times)
+    return most
+
+
+def test_repeats_against_every_start():
+    r = random.Random(5)
+    for _ in range(600):
+        text = "".join(r.choice(["a", "b", "é", "译", "𝒳", "ab" * 3, "abc" * 4, "a" * 7]) for _ in range(r.randrange(0, 25)))
+        assert sequential.repeats(text) == slow_repeats(text), text
+
+
+def test_repetition_of_every_reply_after_its_head(spark):
+    """h = 31 leaves a rest of 1 by 3; the reply runs away after 500 characters."""
+    r = random.Random(6)
+    head = "".join(r.choice("abcdefgh ") for _ in range(500))
+    replies = spark.createDataFrame([(1, 0, 31, head, head + "xyz" * 9)], "doc_id long, seq long, h long, source string, reply string")
+    replies.createOrReplaceTempView("replies")
+    fold = sequential.FOLDS["fs24_repetition"]
+    found = fold.on(spark.sql(fold.source)).collect()
+    spark.catalog.dropTempView("replies")
+    assert [(x.doc_id, x.in_reply, x.pathological) for x in found] == [(1, 9, True)]
