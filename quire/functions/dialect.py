@@ -96,6 +96,14 @@ class Dialect:
     def collected(self, x: str) -> str:
         return f"array_sort(collect_list({x}))"
 
+    def distance(self, a: str, b: str) -> str:
+        """Levenshtein distance in signs."""
+        return f"levenshtein({a}, {b})"
+
+    def closer(self, a: str, b: str, bound: int) -> str:
+        """Whether the distance is under the bound; beyond it none is computed (-1)."""
+        return f"(levenshtein({a}, {b}, {bound}) BETWEEN 0 AND {bound - 1})"
+
     def carried(self, x: str, window: str) -> str:
         """The last value that is not null."""
         return f"last_value({x}) IGNORE NULLS OVER ({window})"
@@ -188,6 +196,15 @@ class DuckDB(Dialect):
     def collected(self, x: str) -> str:
         return f"list_sort(list({x}))"
 
+    def distance(self, a: str, b: str) -> str:
+        """DuckDB counts bytes: each sign of the pair gets a byte of its own (up to 127 signs; beyond, an error)."""
+        signs = f"array_to_string(list_distinct(string_split({a} || {b}, '')), '')"
+        own = "array_to_string(list_transform(range(1, 128), lambda __k: chr(CAST(__k AS INT))), '')"
+        return f"CASE WHEN length({signs}) > 127 THEN error('too many signs') ELSE levenshtein(translate({a}, {signs}, {own}), translate({b}, {signs}, {own})) END"
+
+    def closer(self, a: str, b: str, bound: int) -> str:
+        return f"({self.distance(a, b)} < {bound})"
+
     def carried(self, x: str, window: str) -> str:
         return f"last_value({x} IGNORE NULLS) OVER ({window})"
 

@@ -195,13 +195,13 @@ simple("fs03_sentence_patterns", "Sentence ends, reference-like text and splices
 simple("fs04_placeholders", "Placeholders of a text, in order.", lambda d: f"SELECT doc_id, seq, {d.joined(d.found('source', PLACEHOLDER), ' ')} AS placeholders FROM units WHERE {d.times('source', PLACEHOLDER)} > 0")
 simple(
     "fs14_edit_distance",
-    "Levenshtein distance of the heads of source and reply (marks beyond ASCII count as one sign each).",
-    lambda d: f"SELECT doc_id, seq, CAST(levenshtein(substr({d.sub('source', '[^ -~]', '?')}, 1, 40), substr({d.sub('reply', '[^ -~]', '?')}, 1, 40)) AS BIGINT) AS distance FROM replies",
+    "Levenshtein distance of source and reply.",
+    lambda d: f"SELECT doc_id, seq, CAST({d.distance('source', 'reply')} AS BIGINT) AS distance FROM replies",
 )
 simple(
     "fs15_reply_gate",
     "Gate of a reply: same text, length ratio within 0.3 and 3, near-equal text, runaway marks.",
-    lambda d: f"SELECT u.doc_id, u.seq, CASE WHEN t.target = '' THEN 'empty' WHEN t.target = u.source AND length(u.source) > 10 THEN 'same' WHEN length(t.target) * 10 < 3 * length(u.source) THEN 'too_short' WHEN length(t.target) > 3 * length(u.source) THEN 'too_long' WHEN levenshtein(substr(u.source, 1, 60), substr(t.target, 1, 60)) < 5 AND length(u.source) > 20 THEN 'near_same' WHEN {d.like('t.target', '[.]{20,}')} THEN 'runaway' ELSE 'ok' END AS gate FROM units u JOIN targets t ON u.doc_id = t.doc_id AND u.seq = t.seq",
+    lambda d: f"SELECT u.doc_id, u.seq, CASE WHEN t.target = '' THEN 'empty' WHEN t.target = u.source AND length(u.source) > 10 THEN 'same' WHEN length(t.target) * 10 < 3 * length(u.source) THEN 'too_short' WHEN length(t.target) > 3 * length(u.source) THEN 'too_long' WHEN length(u.source) > 20 AND {d.closer('u.source', 't.target', 5)} THEN 'near_same' WHEN {d.like('t.target', '[.]{20,}')} THEN 'runaway' ELSE 'ok' END AS gate FROM units u JOIN targets t ON u.doc_id = t.doc_id AND u.seq = t.seq",
 )
 simple("fs18_control_characters", "Text without control characters.", lambda d: f"SELECT doc_id, seq, {d.sub('source', r'\p{C}')} AS clean, length(source) - length({d.sub('source', r'\p{C}')}) AS removed FROM units")
 simple("fs20_kana", "Kana that stayed in a target.", lambda d: f"SELECT doc_id, seq, {d.times('target', '[぀-ヿ]')} AS kana FROM targets")

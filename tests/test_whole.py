@@ -7,6 +7,7 @@ from collections import namedtuple
 import pytest
 
 from quire.operators import sequential
+from quire.operators.catalog import CATALOG
 from quire.plans import registry
 
 
@@ -107,3 +108,15 @@ def test_repetition_of_every_reply_after_its_head(spark):
     found = fold.on(spark.sql(fold.source)).collect()
     spark.catalog.dropTempView("replies")
     assert [(x.doc_id, x.in_reply, x.pathological) for x in found] == [(1, 9, True)]
+
+
+def test_distances_of_whole_texts(spark):
+    source = "The same sixty characters and more begin this text and its reply, then they part."
+    data = [(1, source, source[:62] + "译" * 19), (2, source, source[:-4] + "x译y"), (3, "x" * 21 + "译" * 9, "x" * 21 + "文" * 9), (4, "译" * 30, "译" * 26 + "文" * 4), (5, "a" * 30, "a" * 25)]
+    units = spark.createDataFrame([(i, 1, a) for i, a, _ in data], "doc_id long, seq long, source string")
+    targets = spark.createDataFrame([(i, 1, b) for i, _, b in data], "doc_id long, seq long, target string")
+    gate = {r.doc_id: r.gate for r in CATALOG["fs15_reply_gate"].on(spark, units=units, targets=targets).collect()}
+    assert gate == {1: "ok", 2: "near_same", 3: "ok", 4: "near_same", 5: "ok"}
+    replies = spark.createDataFrame(data, "doc_id long, source string, reply string").selectExpr("*", "1L AS seq")
+    far = {r.doc_id: r.distance for r in CATALOG["fs14_edit_distance"].on(spark, replies=replies).collect()}
+    assert far == {1: 19, 2: 4, 3: 9, 4: 4, 5: 5}
