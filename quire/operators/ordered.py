@@ -45,7 +45,20 @@ simple(
 )
 simple("wf22_tail", "The last ten events of each run, each number once (the last wins), ascending.", "WITH l AS (SELECT run_id, seq % 50 AS seq, ms, seq AS arrived FROM log), u AS (SELECT *, row_number() OVER (PARTITION BY run_id, seq ORDER BY arrived DESC) AS k FROM l), t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS n FROM u WHERE k = 1) SELECT run_id, seq, ms FROM t WHERE n <= 10")
 simple("wf23_line_spacing", "Upper median of the positive gaps between a unit's lines; 10 where there is none.", lambda d: f"WITH y AS (SELECT DISTINCT doc_id, seq, y FROM glyphs), g AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, seq ORDER BY y DESC) - y AS gap FROM y), a AS (SELECT doc_id, seq, {d.collected('CASE WHEN gap > 0 THEN gap END')} AS gaps FROM g GROUP BY doc_id, seq), p AS (SELECT doc_id, seq, {d.present('gaps')} AS gaps FROM a) SELECT doc_id, seq, coalesce({d.at('gaps', d.div(d.size('gaps'), '2') + ' + 1')}, 10) AS spacing FROM p")
-simple("st01_multi_key_sort", "Units by page descending, then label, then order.", "SELECT doc_id, seq, page, label, CAST(row_number() OVER (ORDER BY page DESC, label, doc_id, seq) AS BIGINT) AS place FROM units WHERE doc_id % 50 = 0")
+
+
+@operator("st01_multi_key_sort")
+def multi_key_sort(d: Dialect) -> str:
+    """Units by page descending, then label, then order."""
+    if d.name == "duckdb":
+        return "SELECT doc_id, seq, page, label, CAST(row_number() OVER (ORDER BY page DESC, label, doc_id, seq) AS BIGINT) AS place FROM units"
+    # Ranks within ranges of the order, and the sums of what stands before each range: no window holds all units.
+    return f"""WITH u AS (SELECT doc_id, seq, page, label, {d.div("doc_id", "500")} AS slab FROM units), p AS (SELECT page, label, slab, count(*) AS n FROM u GROUP BY page, label, slab),
+        q AS (SELECT page, label, slab, sum(n) OVER (PARTITION BY page, label ORDER BY slab) - n AS inside FROM p), g AS (SELECT page, label, sum(n) AS n FROM p GROUP BY page, label), t AS (SELECT page, label, sum(n) OVER (ORDER BY page DESC, label) - n AS ahead FROM g),
+        r AS (SELECT *, row_number() OVER (PARTITION BY page, label, slab ORDER BY doc_id, seq) AS k FROM u)
+        SELECT r.doc_id, r.seq, r.page, r.label, CAST(t.ahead + q.inside + r.k AS BIGINT) AS place FROM r JOIN q ON r.page = q.page AND r.label = q.label AND r.slab = q.slab JOIN t ON r.page = t.page AND r.label = t.label"""
+
+
 simple("st02_top_one", "The longest unit of each page; of equals the first.", "WITH r AS (SELECT doc_id, page, seq, length(source) AS n, row_number() OVER (PARTITION BY doc_id, page ORDER BY length(source) DESC, seq) AS k FROM units) SELECT doc_id, page, seq, n FROM r WHERE k = 1")
 simple("st03_limit", "The ten longest units.", "SELECT doc_id, seq, length(source) AS n FROM units ORDER BY n DESC, doc_id, seq LIMIT 10")
 simple("st04_latest", "The latest revision of each document.", "SELECT document, max(revision) AS revision, max_by(target, revision) AS target FROM edits GROUP BY document")

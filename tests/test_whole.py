@@ -120,3 +120,13 @@ def test_distances_of_whole_texts(spark):
     replies = spark.createDataFrame(data, "doc_id long, source string, reply string").selectExpr("*", "1L AS seq")
     far = {r.doc_id: r.distance for r in CATALOG["fs14_edit_distance"].on(spark, replies=replies).collect()}
     assert far == {1: 19, 2: 4, 3: 9, 4: 4, 5: 5}
+
+
+def test_no_row_is_left_out(spark, sf_of):
+    docs = [(i, "\n".join(f"line {k}" for k in range(9))) for i in (1, 2, 499, 500, 1200)]
+    sf = sf_of(*docs)
+    places = registry.queries()["st01_multi_key_sort"](spark, sf).collect()
+    assert [x.place for x in sorted(places, key=lambda x: (-x.page, x.label, x.doc_id, x.seq))] == list(range(1, 46))
+    assert registry.queries()["fs10_empty_spans"](spark, sf).count() == 45
+    log = spark.createDataFrame([(1, k, "view") for k in range(1, 6)], "run_id long, seq long, stage string")
+    assert sorted((x.seq, x.earlier) for x in CATALOG["xo24_inherited_evidence"].on(spark, log=log).collect() if x.seq > 1) == [(2, 1), (3, 2), (4, 3), (5, 4)]
