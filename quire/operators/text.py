@@ -61,4 +61,22 @@ simple("fs30_escape", "Block text with its entities escaped.", "SELECT doc_id, s
 simple("fs31_atoms", "Atoms of a unit: links, addresses, citations, numbers with units, in order.", lambda d: f"WITH a AS (SELECT doc_id, seq, {d.found('source', r'https?://[^ ]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\[[0-9, ]+\]|[0-9]+([.][0-9]+)? ?(%|kg|cm|ms)|[{]v[0-9]+[}]')} AS atoms FROM units) SELECT doc_id, seq, {d.size('atoms')} AS n, {d.joined('atoms', '|')} AS atoms FROM a WHERE {d.size('atoms')} > 0")
 simple("fs32_toc_split", "Contents lines: heading, leader and page.", lambda d: f"WITH l AS (SELECT doc_id, seq, line || ' . . . ' || CAST(h % 300 AS STRING) AS line FROM numbered WHERE h % 8 = 0) SELECT doc_id, seq, {d.group('line', r'^(.*?)([. ]*)([0-9]+)$', 1)} AS heading, length({d.group('line', r'^(.*?)([. ]*)([0-9]+)$', 2)}) AS leader, CAST({d.group('line', r'([0-9]+)$', 1)} AS BIGINT) AS page FROM l")
 simple("fh01_identity", "Content identity: SHA-256 of text and a key of sorted parameters.", lambda d: f"SELECT doc_id, {d.sha('text')} AS sha, md5('lang=' || lang || ';source=' || source) AS params FROM documents")
-simple("xo06_comma_split", "Pieces of a line between commas.", lambda d: f"SELECT doc_id, seq, place, trim(piece) AS piece FROM {d.unnest('(SELECT * FROM numbered WHERE h % 10 = 0) q', 'doc_id, seq', d.split('line', ','), 'piece', 'place')} z")
+
+
+# Brackets that keep a comma from splitting.
+OPENS, CLOSES = "({[", ")}]"
+
+
+@operator("xo06_comma_split")
+def comma_split(d: Dialect) -> str:
+    """Pieces of a line between commas outside brackets (depth floored at 0); empty pieces are left out."""
+    if d.name == "duckdb":
+        step = f"CASE WHEN contains('{OPENS}', ch) THEN 1 WHEN contains('{CLOSES}', ch) THEN -1 ELSE 0 END"
+        return f"""WITH c AS {d.unnest("numbered", "doc_id, seq", "string_split(line, '')", "ch", "i")}, s AS (SELECT *, sum({step}) OVER (PARTITION BY doc_id, seq ORDER BY i) AS s FROM c),
+            m AS (SELECT *, ch = ',' AND s <= least(0, min(s) OVER (PARTITION BY doc_id, seq ORDER BY i)) AS cut FROM s), p AS (SELECT *, count_if(cut) OVER (PARTITION BY doc_id, seq ORDER BY i) AS k FROM m),
+            j AS (SELECT doc_id, seq, k, string_agg(ch, '' ORDER BY i) AS piece FROM p WHERE NOT cut GROUP BY doc_id, seq, k) SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id, seq ORDER BY k) AS BIGINT) AS place, trim(piece) AS piece FROM j WHERE piece <> ''"""
+    tokens = d.found("line", r"[^(){}\[\],]+|[(){}\[\],]")
+    ended = "CASE WHEN z.piece = '' THEN z.pieces ELSE concat(z.pieces, array(z.piece)) END"
+    pieces = f"""aggregate({tokens}, named_struct('depth', 0, 'piece', '', 'pieces', CAST(array() AS ARRAY<STRING>)), (z, t) -> CASE WHEN t = ',' AND z.depth = 0 THEN named_struct('depth', 0, 'piece', '', 'pieces', {ended})
+        ELSE named_struct('depth', CASE WHEN contains('{OPENS}', t) THEN z.depth + 1 WHEN contains('{CLOSES}', t) THEN greatest(0, z.depth - 1) ELSE z.depth END, 'piece', concat(z.piece, t), 'pieces', z.pieces) END, z -> {ended})"""
+    return f"SELECT doc_id, seq, place, trim(piece) AS piece FROM {d.unnest('numbered', 'doc_id, seq', pieces, 'piece', 'place')} z"

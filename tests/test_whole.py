@@ -130,3 +130,10 @@ def test_no_row_is_left_out(spark, sf_of):
     assert registry.queries()["fs10_empty_spans"](spark, sf).count() == 45
     log = spark.createDataFrame([(1, k, "view") for k in range(1, 6)], "run_id long, seq long, stage string")
     assert sorted((x.seq, x.earlier) for x in CATALOG["xo24_inherited_evidence"].on(spark, log=log).collect() if x.seq > 1) == [(2, 1), (3, 2), (4, 3), (5, 4)]
+
+
+def test_commas_split_outside_brackets(spark):
+    lines = [(1, "f(a, b), c"), (2, "a), b, (c, d"), (3, ",,[x, {y, z}], w,"), (4, "plain")]
+    numbered = spark.createDataFrame([(i, 1, t, 31 * i + 1) for i, t in lines], "doc_id long, seq long, line string, h long")
+    found = sorted((x.doc_id, x.place, x.piece) for x in CATALOG["xo06_comma_split"].on(spark, numbered=numbered).collect())
+    assert found == [(1, 1, "f(a, b)"), (1, 2, "c"), (2, 1, "a)"), (2, 2, "b"), (2, 3, "(c, d"), (3, 1, "[x, {y, z}]"), (3, 2, "w"), (4, 1, "plain")]
