@@ -97,7 +97,9 @@ GENERATORS = {
     "machine": re.compile(r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b|\b(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}\b"),
     "secret": re.compile(r"[A-Za-z0-9_+/-]{16,}={0,2}"),
 }
-KEYED = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,200})", re.I)
+KEYED = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})", re.I)
+#: The end of ``email_words``, from its at sign on: no match without it.
+WORDS_END = re.compile(r"(?:@|\bat\b)[\])]?\s?[A-Za-z0-9-]{1,40}\s?(?:\.|[\[(]?\bdot\b[\])]?)\s?[A-Za-z]{2}", re.I)
 #: What must stand in a text for a generator to be tried.
 NEEDS = {"email_words": "dot", "phone_local": "0-9", "identity": "0-9", "account": "0-9", "machine": ":-", "secret": "0-9"}
 WORDS_BEFORE = (
@@ -118,7 +120,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     digits = DIGIT.search(text) is not None
     for kind, pattern in GENERATORS.items():
         need = NEEDS[kind]
-        if need == "0-9" and digits or need == ":-" and digits and (":" in text or "-" in text) or need == "dot" and ("dot" in text or "DOT" in text or "(at)" in text or "[at]" in text):
+        if need == "0-9" and digits or need == ":-" and digits and (":" in text or "-" in text) or need == "dot" and WORDS_END.search(text):
             for m in pattern.finditer(text):
                 if kind == "secret" and not (DIGIT.search(m[0]) and re.search("[A-Za-z]", m[0])):
                     continue
@@ -172,6 +174,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         float(right.isalnum() or right in "%/-_°$€£"),
         float("@" in s),
         len(re.findall(r"(?i)\bdot\b|\bat\b", s)),
+        float(re.search(r"\.\s", s) is not None),
     ]
 
 
@@ -193,6 +196,7 @@ def _examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     positive = [
         lambda: (r.choice(["write to", "mail", "email:", "reach", word()]), f"{word()}{at()}{word()}{dot()}{r.choice(['com', 'org', 'net', 'de', 'co'])}"),
         lambda: (r.choice(["email", word()]), f"{word()}{dot()}{word()}{at()}{word()}{dot()}{r.choice(['com', 'org', 'eu'])}"),
+        lambda: (r.choice(["write to", "mail", word()]), f"{word()}{at()}{word()}.{r.choice(['com', 'org', 'net', 'de'])}"),
         lambda: (r.choice(["call", "tel", "phone:", "mobile", word(), word()]), r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(3)}/{num(6)}"])),
         lambda: (r.choice(["ssn", "social security", word()]), f"{num(3)}-{num(2)}-{num(4)}"),
         lambda: (r.choice(["passport", "id", "licence"]), pick("ABCDEFGHJKLMNP", r.randrange(1, 3)) + num(r.randrange(6, 9))),
@@ -205,6 +209,7 @@ def _examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     ]
     negative = [
         lambda: (r.choice(["met", "stay", word()]), f"{word()} at {word()} dot {word()}"),
+        lambda: (r.choice(["met", "look", word()]), f"{word()} at {word()}.{r.choice([' ', chr(10)])}{r.choice([word(), word().capitalize()])}"),
         lambda: (r.choice(["isbn", "version", "pages", "order", "invoice", "no", "ref"]), r.choice([f"{num(3)}-{num(3)}-{num(4)}", f"978-{num(1)}-{num(3)}-{num(5)}", f"{num(4)}-{num(4)}", num(9), num(12)])),
         lambda: (r.choice(["on", "in", "from", word()]), r.choice([f"20{num(2)}-0{r.randrange(1, 9)}-{r.randrange(10, 28)}", f"{r.randrange(10, 28)}/0{r.randrange(1, 9)}/20{num(2)}", f"19{num(2)}-19{num(2)}", f"{r.randrange(10, 28)}.{r.randrange(10, 12)}.20{num(2)}"])),
         lambda: (r.choice(["price", "total", word(), "sum"]), r.choice([f"{num(3)} {num(3)} {num(3)}", f"{num(2)} {num(3)}", num(8), num(16), num(14)])),
