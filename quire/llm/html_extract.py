@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from .bytescan import trimmed
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,8000}+"|'[^']{0,8000}+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?/]""")
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?/]""")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
@@ -85,13 +85,17 @@ def parse(html: str) -> Node:
     root = Node("#page", None)
     stack = [root]
     opened: dict[str, int] = {}
+    unclosed: set[str] = set()  # raw elements whose end stands nowhere further on
 
     def pop_to(k: int) -> None:
         while len(stack) > k:
             opened[stack.pop().tag] -= 1
 
-    at, n = 0, len(html)
+    at, n, last = 0, len(html), html.rfind(">")
     while at < n:
+        if at > last:  # no tag ends any more: text up to a comment or the like, which has no end either
+            stack[-1].children.append(re.split("<[!?/]", html[at:], maxsplit=1)[0])
+            break
         m = TAG.search(html, at)
         if m is None:
             stack[-1].children.append(html[at:])
@@ -118,9 +122,14 @@ def parse(html: str) -> Node:
             elif tag in ("br", "p"):
                 stack[-1].children.append(Node("br", stack[-1]))
             continue
+        ended = (m[3] or m[6] or "").endswith("/")
         if tag in RAW:
+            if tag == "svg" and ended or tag in unclosed:
+                continue
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = close.end() if close else n
+            if close is None:
+                unclosed.add(tag)
+            at = close.end() if close else n if tag == "script" else at
             continue
         if tag in BLOCK and opened.get("p"):
             k = len(stack) - 1
@@ -142,7 +151,7 @@ def parse(html: str) -> Node:
         in_article = bool(opened.get("article") or opened.get("main"))
         node = Node(tag, parent, parent.aside or _is_aside(tag, m[3] or m[6] or "", parent, in_article))
         parent.children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and not (tag == "math" and ended):
             stack.append(node)
             opened[tag] = opened.get(tag, 0) + 1
     return root
