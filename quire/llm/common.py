@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, made from ``name``."""
+    taken = {c.lower() for c in df.columns}
+    k = 0
+    while (out := f"__{name}_{k}".lower()) in taken:
+        k += 1
+    return out
+
+
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes that the plan's own statistics give for ``df``, which reads no data; None where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

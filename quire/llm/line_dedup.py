@@ -3,35 +3,51 @@
 A line's tokens are its distinct lower-cased words. A line is removed if an earlier one, by (doc_id, line number), has
 a Jaccard similarity of ``percent`` or more; both are taken from the input, not from what is left.
 
-1. Token frequencies over all documents are counted in ``SLOTS`` hash slots and become levels; tokens are ordered by
-   level, then by hash: rare ones first. Any fixed order is exact, a rare-first one is fast.
-2. Equal lines collapse to their first occurrence (combined before the shuffle); only first ones go on.
-3. By the prefix filter two similar lines share one of their rarest tokens. Every line is first held against the
-   earliest line of each such token only, under the same filters, which decides most members of a group of near copies at linear cost.
-4. Lines still undecided are joined with all earlier lines on a shared prefix token, under the length filter and the
-   positional filter and a bitmap filter (half of the tokens set one of 128 bits each; more differing bits than the two sets may
-   differ by rule a pair out). Pairs that pass are verified on the lines' whole token sets (words as 64-bit hashes).
+1. Equal lines are found by a 128-bit digest; all but the first go, and only first ones are looked at further.
+2. Token frequencies over all documents are counted in ``SLOTS`` hash slots and become levels; a line's tokens are
+   ordered by level, then by hash: rare ones first. Any fixed order is exact, a rare-first one is fast.
+3. Prefix filter on pairs of neighbours in that order, since single tokens of prose make long lists. Of two lines of a
+   and b tokens with o in common, each token that only one has parts at most one pair of common tokens that follow one
+   another, so that the first pair that stands in both begins within 2(a-o) + (b-o) places of a's beginning. With the
+   least o that reaches ``percent`` this is 2(1 - percent/100) of the line's length. Lines of one token have it as key.
+4. Keys are counted. Two or three lines with a key are its candidates straight from the count. Lists of four and more
+   are joined: first each line with its list's earliest, and again with the earliest of those left undecided, which
+   decides the members of a group of near copies at linear cost; then what is still undecided with every earlier line.
+   Candidates must pass the length filter, the positional filter of step 3 and a bitmap filter (half of the tokens set
+   one of 128 bits each; more differing bits than the two sets may differ by rule a pair out).
+5. Candidates are verified on the lines' whole token sets (words as 64-bit hashes).
 
 Everything is DataFrame expressions; the level table, SLOTS small numbers whatever the corpus holds, stands in the plan
 as one constant array.
 
 Defined results: null and empty texts have one empty line; lines without words are never removed and remove nothing;
-rows of null doc_id are left alone; rows that share a doc_id are taken for one document (repeated rows lose the same
-lines, and none because of each other); other columns are carried or ignored.
+rows of null doc_id are left alone; rows that share a doc_id are taken for one document (repeated rows, however many,
+lose the same lines, and none because of each other); ties can't arise, as (doc_id, line number) is a total order;
+texts and lines of any length are read whole; an empty table gives an empty one; other columns are carried or ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from math import log2
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 
 SLOTS = 1 << 16
-#: Line numbers to verify are broadcast up to this many rows.
+#: Line numbers, ids and keys are broadcast up to this many rows; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Least similarity for which the prefix of pairs is proven (tests/llm/test_line_dedup.py counts all small cases).
+LEAST_PERCENT = 70
+#: Rounds in which what is undecided meets the earliest undecided line of each list.
+ROUNDS = 4
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A staged table, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _words(line: Column) -> Column:
@@ -48,27 +64,39 @@ def _hashes(line: Column) -> Column:
 
 def _levels(docs: DataFrame) -> Column:
     """A constant array: for each slot the frequency of its tokens, eight levels to a factor of two."""
-    slots = docs.select(F.explode(F.transform(_hashes(F.replace(F.col("text"), F.lit("\n"), F.lit(" "))), lambda h: h.bitwiseAND(SLOTS - 1).cast("int"))).alias("s"))
+    words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
+    slots = words.select(F.xxhash64("w").bitwiseAND(SLOTS - 1).cast("int").alias("s"))
     table = [0] * SLOTS
     for r in slots.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect():  # SLOTS rows at most
         table[r["s"]] = int(8 * log2(1 + r["n"]))
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-
-
-def _digests(line: Column) -> list[Column]:
-    return [F.xxhash64(line), F.xxhash64(F.lit(1), line)]
+def _worded(docs: DataFrame) -> DataFrame:
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _place() -> Column:
     return (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("ln").cast("decimal(12,0)")).cast("decimal(38,0)")
 
 
-def _worded(docs: DataFrame) -> DataFrame:
-    return _lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with equal rows once. Only documents whose id stands in several rows are shuffled."""
+    several = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if several.isEmpty():
+        return docs
+    several = _few(several)
+    return docs.join(several, "doc_id", "left_anti").unionByName(docs.join(several, "doc_id", "left_semi").distinct())
+
+
+def _later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, ln) of every line that an earlier one equals."""
+    every = staged(_worded(docs).select("doc_id", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
+    same = staged(every.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("d")).where("m > 1").drop("m"))
+    copies = staged(every.join(_few(same), ["h1", "h2"]))
+    first = copies.where("doc_id = d").groupBy("h1", "h2").agg(F.min("ln").alias("l"))
+    return staged(copies.join(first, ["h1", "h2"]).where("doc_id <> d or ln <> l").select("doc_id", "ln").distinct())
 
 
 def _bits(half: int) -> Column:
@@ -78,29 +106,97 @@ def _bits(half: int) -> Column:
     return F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x)))
 
 
-def _prefixes(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """For each distinct line, placed by its first occurrence ``at``: its rarest tokens with their place i in its
-    order, its number of tokens n, its bitmap (bits, more); and, on the row of place 0, the digests of the line."""
-    first = _worded(docs).groupBy("line").agg(F.min(_place()).alias("at"))
+def _prefix_length(n: Column, percent: int) -> Column:
+    """Pairs in the prefix of a line of n tokens, if it has as many."""
+    return (2 * (100 - percent) * n / 100).cast("int") + 1
+
+
+def _prefixes(lines: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """For each line: id, at (its place), n (tokens), bits and more (its bitmap), t (its rarest tokens, rare first)."""
     mask = F.lit((1 << 48) - 1)
-    keyed = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(SLOTS - 1).cast("int")), 48).bitwiseOR(h.bitwiseAND(mask)))
-    h1, h2 = _digests(F.col("line"))
-    sets = first.select("at", h1.alias("h1"), h2.alias("h2"), F.sort_array(F.array_distinct(keyed)).alias("t")).withColumn("n", F.size("t"))
-    low, high = _bits(0), _bits(64)
-    length = F.col("n") + 1 - F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
-    rows = sets.withColumn("bits", low).withColumn("more", high).select("at", "n", "bits", "more", "h1", "h2", F.posexplode(F.slice("t", F.lit(1), length)).alias("i", "token"))
-    return rows.withColumn("h1", F.when(F.col("i") == 0, F.col("h1"))).withColumn("h2", F.when(F.col("i") == 0, F.col("h2")))
-
-
-def _passes(a: str, b: str, percent: int) -> Column:
-    """Length, positional and bitmap filters for two lines that share a token; columns of the sides end in a and b."""
-    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
-    apart = F.bit_count(F.col(f"bits{a}").bitwiseXOR(F.col(f"bits{b}"))) + F.bit_count(F.col(f"more{a}").bitwiseXOR(F.col(f"more{b}")))
-    return (
-        (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-        & ((100 + percent) * F.least(na - F.col(f"i{a}"), nb - F.col(f"i{b}")) >= percent * (na + nb))
-        & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(SLOTS - 1).cast("int")), F.lit(0).cast("long"))
+    keyed = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(level(h), 48).bitwiseOR(h.bitwiseAND(mask)))
+    sets = lines.select(_place().alias("at"), F.sort_array(F.array_distinct(keyed)).alias("t")).withColumn("n", F.size("t"))
+    short = F.slice("t", F.lit(1), _prefix_length(F.col("n"), percent) + 1)
+    return sets.select(F.monotonically_increasing_id().alias("id"), "at", "n", _bits(0).alias("bits"), _bits(64).alias("more"), short.alias("t"))
+
+
+def _keys(lines: DataFrame, percent: int, *carried: str) -> DataFrame:
+    """Keys k of each line, with their place i: pairs of neighbours of the prefix, or the only token."""
+    length = F.greatest(F.lit(1), F.least(_prefix_length(F.col("n"), percent), F.col("n") - 1))
+    rows = lines.select(*carried, "n", "t", F.posexplode(F.slice("t", F.lit(1), length)).alias("i", "x"))
+    return rows.select(*carried, "n", "i", F.xxhash64("x", F.coalesce(F.get("t", F.col("i") + 1), F.lit(0).cast("long"))).alias("k"))
+
+
+def _alike(percent: int) -> Column:
+    """Length and bitmap filters for two lines; columns of the sides end in _a and _b."""
+    na, nb = F.col("n_a"), F.col("n_b")
+    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+
+
+def _placed(percent: int) -> Column:
+    """Positional filter: where the first pair that stands in both lines may stand in each."""
+    na, nb, ia, ib = (F.col(c) for c in ("n_a", "n_b", "i_a", "i_b"))
+    far = lambda i, n, m: (100 + percent) * i <= (200 - percent) * n + (100 - 2 * percent) * m
+    return far(ia, na, nb) & far(ib, nb, na) & ((100 + percent) * (ia + ib) <= 3 * (100 - percent) * (na + nb))
+
+
+SKETCH = ("at", "n", "bits", "more")
+
+
+def _side(df: DataFrame, end: str, *names: str) -> list[Column]:
+    return [df[c].alias(f"{c}_{end}") for c in names]
+
+
+def _of_counts(counts: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) among keys of two or three lines. ``counts``: m, least, most and sum of the ids of a key."""
+    third = F.col("total") - F.col("least") - F.col("most")
+    two = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    all_pairs = F.when(F.col("m") == 2, F.array(two(F.col("least"), F.col("most")))).otherwise(
+        F.array(two(F.col("least"), F.col("most")), two(F.col("least"), third), two(third, F.col("most")))
     )
+    pairs = counts.where("m between 2 and 3").select(F.explode(all_pairs).alias("p")).select("p.x", "p.y").where("x <> y").distinct()
+    sketch = lines.select("id", *SKETCH)
+    left = sketch.select(sketch["id"].alias("x"), *_side(sketch, "a", *SKETCH))
+    right = sketch.select(sketch["id"].alias("y"), *_side(sketch, "b", *SKETCH))
+    met = pairs.join(left, "x").join(right, "y").where(_alike(percent)).where("at_a <> at_b")
+    return met.select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b"))
+
+
+def _of_earliest(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b): each row with the earliest of its list."""
+    top = rows.groupBy("k").agg(F.min(F.struct("at", "n", "i", "bits", "more")).alias("top"))
+    top = top.select("k", *[F.col(f"top.{c}").alias(f"{c}_a") for c in ("at", "n", "i", "bits", "more")])
+    own = rows.select("k", *_side(rows, "b", "at", "n", "i", "bits", "more"))
+    return own.join(top, "k").where("at_a < at_b").where(_placed(percent) & _alike(percent)).select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()
+
+
+def _similar(lines: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Places b of the lines that an earlier one resembles."""
+    keys = _keys(lines, percent, "id")
+    counts = keys.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least"), F.max("id").alias("most"), F.sum("id").alias("total"))
+    counts = staged(counts.where("m > 1"))
+    many = _few(staged(counts.where("m > 3").select("k")))
+    rows = staged(_keys(lines, percent, *(c for c in SKETCH if c != "n")).join(many, "k", "left_semi"))
+    pairs = _of_counts(counts, lines, percent).unionByName(_of_earliest(rows, percent)).distinct()
+    decided = _verified(staged(pairs), docs, percent)
+    left = rows
+    for _ in range(ROUNDS):
+        left = staged(left.join(_few(decided).withColumnRenamed("b", "at"), "at", "left_anti"))
+        pairs = staged(_of_earliest(left, percent))
+        if pairs.isEmpty():
+            break
+        found = _verified(pairs, docs, percent)
+        if found.isEmpty():
+            break
+        decided = staged(decided.unionByName(found).distinct())
+    left = left.join(_few(decided).withColumnRenamed("b", "at"), "at", "left_anti")
+    own = left.select("k", *_side(left, "b", "at", "n", "i", "bits", "more"))
+    every = rows.select(F.col("k").alias("key"), *_side(rows, "a", "at", "n", "i", "bits", "more"))
+    met = own.join(every, (F.col("k") == F.col("key")) & (F.col("at_a") < F.col("at_b")) & _placed(percent) & _alike(percent))
+    last = _verified(staged(met.select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()), docs, percent)
+    return decided.unionByName(last).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -124,61 +220,45 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def _removed(docs: DataFrame, percent: int) -> DataFrame:
     """(d, gone): for each document that loses lines, their numbers. ``docs``: doc_id long, text string."""
-    rows = staged(_prefixes(docs, _levels(docs), percent))
-    # one shuffle by token: each row meets its token's earliest line
-    whole = Window.partitionBy("token").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    top = [F.first(c).over(whole).alias(f"{c}_a") for c in ("at", "n", "i", "bits", "more")]
-    own = [F.col(c).alias(f"{c}_b") for c in ("at", "n", "i", "bits", "more")]
-    met = rows.select("token", *own, *top, F.count(F.lit(1)).over(whole).alias("m")).where("at_b > at_a").withColumn("near", _passes("_a", "_b", percent))
-    # what neither passes the filters nor meets a third line is done
-    met = met.where("near or m > 2").withColumn("at_a", F.when(F.col("near"), F.col("at_a"))).withColumn("more_lines", F.col("m") > 2)
-    met = staged(met.select("token", "at_a", "more_lines", *[f"{c}_b" for c in ("at", "n", "i", "bits", "more")]))
-    near = met.where("at_a is not null").select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()
-    decided = _verified(staged(near), docs, percent)
-    # tokens of three lines or more may hold a pair without their earliest
-    many = met.where("more_lines").select("token", *[f"{c}_b" for c in ("at", "n", "i", "bits", "more")])
-    done = decided.withColumnRenamed("b", "x")
-    done = F.broadcast(done) if done.count() <= BROADCAST_ROWS else done
-    still = many.join(done, F.col("at_b") == F.col("x"), "left_anti")
-    every = many.select(F.col("token").alias("k"), *[F.col(f"{c}_b").alias(f"{c}_a") for c in ("at", "n", "i", "bits", "more")])
-    pairs = still.join(every, (F.col("token") == F.col("k")) & (F.col("at_a") < F.col("at_b")) & _passes("_a", "_b", percent))
-    more = _verified(staged(pairs.select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()), docs, percent)
-    # of a line like an earlier one every occurrence goes, of any other every later one
-    known = rows.where("i = 0").select("h1", "h2", "at").join(decided.unionByName(more).withColumnRenamed("b", "x"), F.col("at") == F.col("x"), "left")
-    known = staged(known.select("h1", "h2", "at", F.col("x").isNotNull().alias("near")))
-    k1, k2 = _digests(F.col("line"))
-    lines = _worded(docs).select("doc_id", "ln", k1.alias("k1"), k2.alias("k2"), _place().alias("own"))
-    met = lines.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where("near or own > at")
-    return met.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("ln").alias("gone"))
-
-
-def _with_removals(docs: DataFrame, percent: int) -> DataFrame:
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
+    docs = _one_row_each(docs)
+    later = _later_copies(docs)
+    first = _worded(docs).join(_few(later), ["doc_id", "ln"], "left_anti")
+    lines = staged(_prefixes(first, _levels(docs), percent))
+    base = F.lit(1 << 31).cast("decimal(12,0)")
+    doc = F.floor(F.col("b") / base).cast("long")
+    near = _similar(lines, docs, percent).select(doc.alias("doc_id"), (F.col("b") - doc * base).cast("int").alias("ln"))
+    return later.unionByName(near).groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("ln").alias("gone"))
+
+
+def _with_removals(docs: DataFrame, percent: int) -> tuple[DataFrame, Column, Column]:
+    """``docs`` with three more columns, and those: the lines of each text that remain (null text: null) and whether
+    any was removed."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = staged(_removed(narrow, percent))
-    gone = F.broadcast(gone) if gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0)).alias("n")).first()["n"] <= 4 * BROADCAST_ROWS else gone
-    joined = docs.join(gone, docs["doc_id"] == F.col("d"), "left")
-    lines = F.split(docs["text"], "\n")
-    sieve = F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i))
-    return joined.withColumn("__left", F.when(F.col("d").isNull(), lines).otherwise(sieve)).withColumn("__lines", F.size(lines))
+    key, gone, kept = fresh(docs, "key"), fresh(docs, "gone"), fresh(docs, "kept")
+    found = staged(_removed(narrow, percent)).toDF(key, gone)
+    size = found.agg(F.coalesce(F.sum(F.size(gone) + 4), F.lit(0)).alias("n")).first()["n"]
+    found = F.broadcast(found) if size <= 4 * BROADCAST_ROWS else found
+    joined = docs.join(found, docs["doc_id"].cast("long") == F.col(key), "left")
+    sieve = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col(gone), i))
+    joined = joined.withColumn(kept, F.when(F.col(key).isNull(), F.split(docs["text"], "\n")).otherwise(sieve))
+    return joined, F.col(kept), F.col(key).isNotNull()
 
 
 def report(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Query ``op8``: doc_id, n_lines, n_removed and the SHA-256 of the lines that remain, joined by newlines."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = _with_removals(docs, percent)
-    return found.select(
-        "doc_id",
-        F.col("__lines").cast("long").alias("n_lines"),
-        (F.col("__lines") - F.size("__left")).cast("long").alias("n_removed"),
-        F.sha2(F.array_join("__left", "\n"), 256).alias("kept_sha256"),
-    )
+    found, kept, _ = _with_removals(docs, percent)
+    lines = F.size(F.split("text", "\n"))
+    return found.select("doc_id", lines.cast("long").alias("n_lines"), (lines - F.size(kept)).cast("long").alias("n_removed"), F.sha2(F.array_join(kept, "\n"), 256).alias("kept_sha256"))
 
 
 def drop_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without the repeated lines; every other column as it was, but that ``n_chars``, if there, counts the new
     text. A document that lost lines and has no word left goes: all it said stands elsewhere."""
-    found = _with_removals(docs, percent)
-    text = F.when(F.col("d").isNull(), docs["text"]).otherwise(F.array_join("__left", "\n"))
-    found = found.withColumn("__text", text).where("d is null or __text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    columns = [F.col("__text").alias(c) if c == "text" else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    found, kept, lost = _with_removals(docs, percent)
+    text = F.when(lost, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    found = found.where(~lost | text.rlike(r"[^\x20\x09-\x0D]"))
+    columns = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return found.select(columns)
