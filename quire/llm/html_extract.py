@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from .bytescan import trimmed
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?/]""")
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after another, so that no value is taken for a name.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*+)\s*+(?:=\s*+("[^"]*"|'[^']*'|[^\s>]++))?""")
+#: Attributes that tell what an element is for.
+TELLING = frozenset("class id role hidden style aria-hidden".split())
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp svg".split())
@@ -70,7 +73,10 @@ def _is_aside(tag: str, attributes: str, parent: Node, in_article: bool) -> bool
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(attributes):
+        if name.lower() in TELLING:
+            found.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)  # the first counts, as in browsers
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return True
     if found.get("role", "").lower() in ASIDE_ROLES:
@@ -203,6 +209,18 @@ def _density(node: Node) -> float:
     return node.link / node.size if node.size else 0.0
 
 
+def _headings(node: Node) -> list[Node]:
+    """Headings below a node, at any depth, in page order."""
+    out, work = [], [c for c in reversed(node.children) if isinstance(c, Node)]
+    while work:
+        x = work.pop()
+        if x.tag in HEADINGS and not x.aside:
+            out.append(x)
+        elif not x.aside:
+            work.extend(c for c in reversed(x.children) if isinstance(c, Node))
+    return out
+
+
 def _blocks(nodes: list[Node | str]) -> Iterator[str]:
     """Text of each block, in page order."""
     part: list[str] = []
@@ -215,12 +233,12 @@ def _blocks(nodes: list[Node | str]) -> Iterator[str]:
             part = []
         elif isinstance(x, str):
             part.append(x)
-        elif x.aside or x.tag in ("ul", "ol", "div", "table") and x.size and _density(x) > 0.5 and x.size < 400:
+        elif x.aside:
             part.append(" ")
         elif x.tag == "br":
             part.append(" ")
         elif x.tag == "header":
-            work.extend(c for c in reversed(x.children) if isinstance(c, Node) and c.tag in HEADINGS)
+            work.extend(reversed(_headings(x)))
         else:
             if x.tag in BLOCK:
                 work.append(None)

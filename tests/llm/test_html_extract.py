@@ -42,3 +42,19 @@ def test_rows(spark):
     out = extract(spark.createDataFrame(data, "page_id long, url string, html string, text int")).collect()
     assert sorted(map(tuple, out), key=repr) == sorted([(1, "u", "Ünï", 3)] * 2 + [(2, None, "", 0), (None, "v", "", 0)], key=repr)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_nothing_of_an_article_is_lost():
+    page = lambda body: main_text(f"<body><nav>no</nav><article>{body}</article><footer>no</footer></body>")
+    for attribute in ('href="/hidden-gems"', 'title="a hidden thing"', 'data-hidden="false"', 'data-id="comment-1"', "title='class=advert'", "data-role=navigation", 'class="" class="advert"'):
+        assert page(f"<p {attribute}>{PROSE}</p>") == PROSE, attribute
+    for attribute in ("hidden", 'HIDDEN=""', 'class="a advert"', "style='color: red; display : none'", "role=navigation", 'aria-hidden="true"'):
+        assert page(f"<p {attribute}>no</p><p>{PROSE}</p>") == PROSE, attribute
+    assert page(f"<p>{PROSE}</p><svg viewBox='0'/><p>after</p>") == f"{PROSE} after"
+    assert page(f"<p>{PROSE} <math><mi>x</mi><mo>+</mo></math> y</p>") == f"{PROSE} x+ y"
+    assert page(f"<header><div><div><h1>Deep</h1></div><p>by line</p></div><h2>Second</h2></header><p>{PROSE}</p>") == f"Deep Second {PROSE}"
+    links = '<ul><li><a href="/1">Source one</a></li><li><a href="/2">Source two</a></li></ul>'
+    assert page(f"<p>{PROSE}</p>{links}") == f"{PROSE} Source one Source two"
+    assert page(f'<p data-x="{"a > b " * 3000}">{PROSE}</p>') == PROSE
+    long = f"{PROSE} " * 20_000
+    assert page(f"<p>{long}</p>") == long.strip()
