@@ -39,8 +39,11 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: IP as it is searched: a leftmost match always begins where a run of digits does and takes whole runs, so that no
+#: start within a run is tried and none is given back.
+IP_SEARCH = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+
 DIGIT = re.compile("[0-9]")
-LOCAL_AT = re.compile(r"[A-Za-z0-9._%+-]*@")
 
 
 def luhn(digits: str) -> bool:
@@ -74,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), sorted by start, then by kind as listed."""
     out = [(a, b, "email") for a, b in _emails(text)]
     if DIGIT.search(text):
-        for m in IP.finditer(text):
+        for m in IP_SEARCH.finditer(text):
             if all(int(p) <= 255 for p in m[0].split(".") if len(p.lstrip("0")) <= 3) and all(len(p.lstrip("0")) <= 3 for p in m[0].split(".")):
                 out.append((*m.span(), "ip"))
         for m in CARD.finditer(text):
@@ -90,7 +93,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # Generators of candidates, by kind.
 GENERATORS = {
-    "email_words": re.compile(r"\b[A-Za-z0-9][A-Za-z0-9_-]{0,40}(?:\s?(?:\.|[\[(]?dot[\])]?)\s?[A-Za-z0-9_-]{1,40}){0,3}\s?[\[(]?(?:@|\bat\b)[\])]?\s?[A-Za-z0-9-]{1,40}(?:\s?(?:\.|[\[(]?\bdot\b[\])]?)\s?[A-Za-z]{2,24}){1,3}\b", re.I),
+    "email_words": re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\s?(?:\.|[\[(]?dot[\])]?)\s?[A-Za-z0-9_-]++){0,3}\s?[\[(]?(?:@|\bat\b)[\])]?\s?[A-Za-z0-9-]++(?:\s?(?:\.|[\[(]?\bdot\b[\])]?)\s?[A-Za-z]{2,}+){1,3}\b", re.I),
     "phone_local": re.compile(r"(?<![0-9.+])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]?(?:[0-9]{2,4}[ ./-]?){1,4}[0-9]{2,4}(?![0-9])"),
     "identity": re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])|\b[A-Z]{1,2}[0-9]{6,8}[A-Z]?\b"),
     "account": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -99,7 +102,7 @@ GENERATORS = {
 }
 KEYED = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})", re.I)
 #: The end of ``email_words``, from its at sign on: no match without it.
-WORDS_END = re.compile(r"(?:@|\bat\b)[\])]?\s?[A-Za-z0-9-]{1,40}\s?(?:\.|[\[(]?\bdot\b[\])]?)\s?[A-Za-z]{2}", re.I)
+WORDS_END = re.compile(r"(?:@|\bat\b)[\])]?\s?[A-Za-z0-9-]++\s?(?:\.|[\[(]?\bdot\b[\])]?)\s?[A-Za-z]{2}", re.I)
 #: What must stand in a text for a generator to be tried.
 NEEDS = {"email_words": "dot", "phone_local": "0-9", "identity": "0-9", "account": "0-9", "machine": ":-", "secret": "0-9"}
 WORDS_BEFORE = (
@@ -169,9 +172,9 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         float(hexes),
         float(s[:1] == "0"),
         *(float(any(w in words for w in before)) for words in WORDS_BEFORE),
-        float(left in "\"'=:"),
-        float(left.isalnum() or left in "./-$€£#_"),
-        float(right.isalnum() or right in "%/-_°$€£"),
+        float(bool(left) and left in "\"'=:"),
+        float(bool(left) and (left.isalnum() or left in "./-$€£#_")),
+        float(bool(right) and (right.isalnum() or right in "%/-_°$€£")),
         float("@" in s),
         len(re.findall(r"(?i)\bdot\b|\bat\b", s)),
         float(re.search(r"\.\s", s) is not None),

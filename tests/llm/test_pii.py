@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from quire.llm import pii
 
@@ -59,3 +60,56 @@ def test_rows(spark):
     assert len(out) == 5
     red = {r.doc_id: r.redacted for r in pii.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert red[1] == "é <EMAIL> <IP> x" and red[2] == "" and red[None] == "plain"
+
+
+def other_spans(r, kind):
+    """Spans of a kind in other words and forms than the trees learn from: (text, the span in it)."""
+    num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    name = lambda: r.choice("anna bernd chloe diego emil fatima george hana ivan julia".split())
+    site = lambda: r.choice("example mailbox northwind contoso uni-bonn".split())
+    tail = r.choice([". We met on Monday.", ", thanks!", " or come by later.", ""])
+    if kind == "email_words":
+        s = r.choice([f"{name()} (at) {site()} (dot) org", f"{name()} at {site()} dot com", f"{name()}.{name()} [AT] {site()} [DOT] net"])
+        lead = "For questions please email "
+    elif kind == "phone_local":
+        s = r.choice([f"(0{num(3)}) {num(3)}-{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"{num(3)}-{num(3)}-{num(4)}"])
+        lead = r.choice(["You can call us on ", "Her telephone is "])
+    elif kind == "identity":
+        s, lead = f"{num(3)}-{num(2)}-{num(4)}", "Social security number: "
+    elif kind == "account":
+        body = num(18)
+        s = f"DE{98 - int(body + '131400') % 97:02d}{body}"
+        s, lead = r.choice([s, " ".join(s[i : i + 4] for i in range(0, len(s), 4))]), "Transfer it to IBAN "
+    elif kind == "machine":
+        s, lead = r.choice("-:").join("".join(r.choice("0123456789ABCDEF") for _ in range(2)) for _ in range(6)), "The adapter reports "
+    else:
+        s = "".join(r.choice("abcdefghjkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(36))
+        lead = r.choice(["export ACCESS_KEY=", "auth token: ", 'secret: "'])
+    return f"Dear all. {lead}{s}{tail}", s
+
+
+def test_recall_of_each_kind_on_other_forms():
+    forest, limits = pii.model()
+    found = {}
+    for kind in pii.ADDED_KINDS:
+        r, hits = random.Random(kind), 0
+        for _ in range(200):
+            text, span = other_spans(r, kind)
+            lo, hi = text.index(span), text.index(span) + len(span)
+            hits += any(a <= lo and b >= hi - 1 for a, b, *_ in pii.base_spans(text) + pii.added_spans(text, pii.base_spans(text), forest, limits))
+        found[kind] = hits / 200
+    print(found)
+    assert min(found.values()) >= 0.9, found
+
+
+def test_long_and_hostile_texts_are_linear():
+    forest, limits = pii.model()
+    for text in ("7" * 1_000_000, "1.2." * 250_000, "a@" * 300_000, "a-" * 300_000, "x" * 400_000 + "@" + "y" * 400_000, "at a." * 100_000):
+        began = time.time()
+        base = pii.base_spans(text)
+        pii.added_spans(text[:200_000], base, forest, limits)
+        assert time.time() - began < 20, text[:10]
+    local = "j" * 300
+    text = f"write to {local} (AT) {'d' * 90} [Dot] com, password: {'s3' * 300}"
+    spans = {text[a:b] for a, b, *_ in pii.added_spans(text, pii.base_spans(text), forest, limits)}
+    assert any(x.startswith(local) for x in spans) and "s3" * 300 in spans
