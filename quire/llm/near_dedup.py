@@ -14,7 +14,9 @@
 
 Words are maximal runs without white space, A-Z lowered. A set is the distinct ``shingle``-word sequences; a text with
 fewer words has its whole word sequence as its one shingle. Texts without words have no set and link with nothing.
-Rows that share a doc_id count as one document; a null doc_id links with nothing, has no component and is kept.
+Rows that share a doc_id count as one document, and equal rows, however many, are confirmed once; a null doc_id links
+with nothing, has no component and is kept. Texts of any length are read whole; ties go to the least doc_id; an empty
+table gives an empty one; other columns are ignored or, by ``keep_one_of_each``, carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import NOT_SPACE, blocks, mix, pair, trimmed, words
-from .common import staged
+from .common import BROADCAST_IDS, fresh, one_row_each, staged
 from .components import components
 
 PERMUTATIONS, BANDS, ROWS = 48, 24, 4
-#: A table of ids is broadcast up to this many; a larger one is joined by a shuffle.
-BROADCAST_IDS = 500_000
 #: Counters of shingle frequency.
 SLOTS = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20_260_101))
@@ -120,7 +120,7 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(node, set) for the documents in ``ids`` (node), staged."""
-    source = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    source = one_row_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).withColumnRenamed("doc_id", "node")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +240,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Da
     Rows that share a kept document's id all stay.
     """
     found = near_duplicates(docs, shingle, percent)
-    gone = staged(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    key = fresh(docs, "gone")
+    gone = staged(found.where("not kept").select(F.col("doc_id").alias(key)).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(docs.columns)
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(key), "left_anti").select([docs[f"`{c}`"] for c in docs.columns])

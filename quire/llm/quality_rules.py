@@ -10,8 +10,9 @@ All of it is DataFrame expressions. The counts are BUCKETS rows whatever the cor
 that stand in the plan as one constant array.
 
 Defined results: null and empty texts have no words and fail the base rule; a text without n-grams scores 0; with no
-trusted documents every score is 0; repeated rows count each; labels of null id are ignored; other columns are ignored
-or, by ``keep_good``, carried.
+trusted documents every score is 0; repeated rows count each; labels of null id are ignored; texts of any length are
+read whole; nothing is ordered, so that there are no ties; an empty table gives an empty one; other columns are ignored
+or, by ``keep_good``, carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BUCKETS = 16_384
 HALF = BUCKETS // 2
 #: N-grams added to each bucket at the overall share of trusted ones, which draws buckets with few towards ratio 1.
@@ -106,28 +109,29 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     table = weights(docs, labels)
     text = F.coalesce(F.col("text"), F.lit(""))
     others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "quality"]
+    own = {c: fresh(docs, c) for c in ("words", "lines", "text", "n", "chars", "symbols", "dup", "rep", "score")}
     words = F.array_remove(F.split(text, SPACE), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    first = docs.select(*others, words.alias("__words"), lines.alias("__lines"), text.alias("__text"))
+    first = docs.select(*others, words.alias(own["words"]), lines.alias(own["lines"]), text.alias(own["text"]))
     counts = first.select(
         *others,
-        F.size("__words").cast("long").alias("__n"),
-        F.length(F.array_join("__words", "")).cast("long").alias("__chars"),
-        F.regexp_count("__text", F.lit(r"[#*$%&|<>]")).cast("long").alias("__symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__dup"),
-        repeated_words(F.col("__words")).cast("long").alias("__rep"),
-        score(F.col("__text"), table).alias("__score"),
+        F.size(own["words"]).cast("long").alias(own["n"]),
+        F.length(F.array_join(own["words"], "")).cast("long").alias(own["chars"]),
+        F.regexp_count(own["text"], F.lit(r"[#*$%&|<>]")).cast("long").alias(own["symbols"]),
+        (F.size(own["lines"]) - F.size(F.array_distinct(own["lines"]))).cast("long").alias(own["dup"]),
+        repeated_words(F.col(own["words"])).cast("long").alias(own["rep"]),
+        score(F.col(own["text"]), table).alias(own["score"]),
     )
-    failed = (F.col("__n") < 20) | (100 * F.col("__rep") > 30 * F.col("__n"))
+    failed = (F.col(own["n"]) < 20) | (100 * F.col(own["rep"]) > 30 * F.col(own["n"]))
     quality = F.struct(
-        F.col("__n").alias("n_words"),
-        F.col("__chars").alias("word_chars"),
-        F.col("__symbols").alias("n_symbols"),
-        F.col("__dup").alias("n_dup_lines"),
-        F.col("__rep").alias("n_repeat_words"),
+        F.col(own["n"]).alias("n_words"),
+        F.col(own["chars"]).alias("word_chars"),
+        F.col(own["symbols"]).alias("n_symbols"),
+        F.col(own["dup"]).alias("n_dup_lines"),
+        F.col(own["rep"]).alias("n_repeat_words"),
         failed.alias("base_failed"),
-        F.col("__score").alias("score"),
-        (~failed & (F.col("__score") >= threshold)).alias("kept"),
+        F.col(own["score"]).alias("score"),
+        (~failed & (F.col(own["score"]) >= threshold)).alias("kept"),
     )
     return counts.select(*others, quality.alias("quality"))
 
@@ -140,8 +144,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, every column as it was."""
-    narrow = docs.select(*docs.columns)
-    if "quality" in {c.lower() for c in docs.columns}:
-        narrow = docs.select(*[F.col(f"`{c}`").alias(f"__own_{c}" if c.lower() == "quality" else c) for c in docs.columns])
+    own = {c: fresh(docs, c) for c in docs.columns if c.lower() == "quality"}
+    narrow = docs.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in docs.columns])
     kept = judged(narrow, labels).where("quality.kept")
-    return kept.select(*[F.col(f"`__own_{c}`").alias(c) if c.lower() == "quality" else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

@@ -73,3 +73,16 @@ def test_components_of_chains_and_stars(spark):
     out = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {i: 100 for i in range(100, 161)} | {i: 5 for i in [5, 7, *range(300, 350)]}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_many_equal_rows_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a", 0)] * 3000 + [(2, text + " x", "b", 1)] * 3000 + [(3, "other words " + " ".join(f"q{i}" for i in range(70_000)), "c", 2), (None, text, "d", 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __gone_0 string, __gone int").repartition(8)
+    sets = nd._sets_of(table, spark.createDataFrame([(1,), (2,)], "node long"), 5)
+    assert sets.count() == 2
+    out = nd.keep_one_of_each(table)
+    assert out.columns == table.columns
+    assert sorted(map(tuple, out.distinct().collect()), key=repr) == sorted([rows[0], rows[6000], rows[6001]], key=repr)
+    assert out.where("doc_id = 1").count() == 3000
+    assert nd.keep_one_of_each(table.limit(0)).collect() == []

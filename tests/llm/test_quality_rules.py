@@ -80,3 +80,14 @@ def test_no_labels_and_empty_tables(spark):
     out = q.report(*tables(spark, docs, [])).collect()
     assert all(r.score == 0 and r.kept == (not r.base_failed) for r in out)
     assert q.report(*tables(spark, [], [])).collect() == []
+
+
+def test_clashing_columns_long_and_empty(spark):
+    long = " ".join(f"word{i}" for i in range(120_000))
+    names = "doc_id long, text string, __words string, __n int, quality string, __quality_0 string, __score double"
+    rows = [(1, long, "a", 1, "q", "r", 0.5), (2, None, "a", 1, "q", "r", 0.5), (None, long, "b", 2, None, "r", 0.5)]
+    docs, labels = spark.createDataFrame(rows, names), spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    out = q.keep_good(docs, labels)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([rows[0], rows[2]], key=repr)
+    assert q.keep_good(docs.limit(0), labels).collect() == []
