@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +34,7 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     session's own number."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(df)
-    return least if size is None else max(least, min(-(-size // bytes_each), 100_000))
+    return least if size is None else max(least, -(-size // bytes_each))
 
 
 def _spark_hash(x: np.ndarray) -> np.ndarray:
@@ -61,26 +63,53 @@ def even_keys(parts: int) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; one of our own only where none is set, as in tests."""
+    """A new folder below the shared checkpoint folder; one of our own only where none is set and all runs on one machine,
+    as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not top:
         top = "/tmp/quire-checkpoints"
     return f"{top.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
-#: Makes Spark drop a statement's shuffle files when the statement ends, not when the driver next collects garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a step is written: shuffle files go when the statement ends, not when the driver next collects garbage, and the
+#: text of plans that hold a constant table is cut in logs.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "20000"}
+#: So many steps after the last time the driver is told to collect garbage, which lets Spark drop old broadcasts.
+COLLECT_AFTER = 12
+_steps = 0
 
 
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to shared storage and read back: lineage is cut, lost executors lose nothing, and what
     the step shuffled is dropped."""
+    global _steps
     spark = df.sparkSession
     path = shared_dir(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    _steps += 1
+    if _steps % COLLECT_AFTER == 0:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Ids are broadcast up to this many; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with equal rows once. Only documents whose id stands in several rows are shuffled."""
+    several = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    count = several.count()
+    if not count:
+        return docs
+    several = F.broadcast(several) if count <= BROADCAST_IDS else several
+    return docs.join(several, "doc_id", "left_anti").unionByName(docs.join(several, "doc_id", "left_semi").distinct())

@@ -29,20 +29,22 @@ whatever their names.
 
 from __future__ import annotations
 
-from math import log2
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, staged
+from .common import fresh, one_row_each, staged
 
-SLOTS = 1 << 16
+SLOTS = 1 << 18
 #: Line numbers, ids and keys are broadcast up to this many rows; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Least similarity for which the prefix of pairs is proven (tests/llm/test_line_dedup.py counts all small cases).
 LEAST_PERCENT = 70
-#: Rounds in which what is undecided meets the earliest undecided line of each list.
-ROUNDS = 4
+#: Classes of length to a factor of two.
+LENGTHS = 16
+#: Lists of so many lines are crowded: their lines meet leaders first, ``TURNS`` times more if they stay undecided.
+CROWD, TURNS = 16, 2
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -63,13 +65,23 @@ def _hashes(line: Column) -> Column:
 
 
 def _levels(docs: DataFrame) -> Column:
-    """A constant array: for each slot the frequency of its tokens, eight levels to a factor of two."""
+    """A constant array: for each slot the frequency of its tokens, eight levels to a factor of two, eight slots to a
+    long."""
     words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
-    slots = words.select(F.xxhash64("w").bitwiseAND(SLOTS - 1).cast("int").alias("s"))
-    table = [0] * SLOTS
-    for r in slots.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect():  # SLOTS rows at most
-        table[r["s"]] = int(8 * log2(1 + r["n"]))
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")
+    slots = words.select(F.xxhash64("w").bitwiseAND(SLOTS - 1).cast("int").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    known = slots.select(F.expr("s div 1024").alias("part"), F.concat_ws(":", "s", F.least(F.lit(255), F.floor(8 * F.log2(F.col("n") + 1)))).alias("e"))
+    table = bytearray(SLOTS)
+    for r in known.groupBy("part").agg(F.array_join(F.collect_list("e"), ",").alias("e")).collect():  # SLOTS short entries at most
+        for e in r["e"].split(","):
+            slot, level = e.split(":")
+            table[int(slot)] = int(level)
+    return F.split(F.lit(",".join(map(str, memoryview(table).cast("q")))), ",").cast("array<long>")
+
+
+def _level(levels: Column, h: Column) -> Column:
+    slot = h.bitwiseAND(SLOTS - 1).cast("int")
+    eight = F.coalesce(F.get(levels, F.shiftright(slot, 3)), F.lit(0).cast("long"))
+    return F.call_function("shiftright", eight, F.call_function("shiftleft", slot.bitwiseAND(7), F.lit(3))).bitwiseAND(255)
 
 
 def _worded(docs: DataFrame) -> DataFrame:
@@ -81,15 +93,6 @@ def _place() -> Column:
     return (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("ln").cast("decimal(12,0)")).cast("decimal(38,0)")
 
 
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with equal rows once. Only documents whose id stands in several rows are shuffled."""
-    several = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    if several.isEmpty():
-        return docs
-    several = _few(several)
-    return docs.join(several, "doc_id", "left_anti").unionByName(docs.join(several, "doc_id", "left_semi").distinct())
-
-
 def _later_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, ln) of every line that an earlier one equals."""
     every = staged(_worded(docs).select("doc_id", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
@@ -100,10 +103,10 @@ def _later_copies(docs: DataFrame) -> DataFrame:
 
 
 def _bits(half: int) -> Column:
-    """Bits of the tokens of array t that fall in one half of 128, as a long. Only every second token sets one, so that
-    long lines don't fill the bitmap; the difference of the marked tokens still bounds that of the sets from below."""
-    one = lambda x: F.when(x.bitwiseAND(192) == half, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x)))
+    """One half of a line's odd sketch, as a long: each token of array t turns one of 128 bits over. Of two lines, what
+    they share cancels out, so that no more bits differ than tokens do."""
+    one = lambda x: F.when(x.bitwiseAND(64) == half, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(one(x)))
 
 
 def _prefix_length(n: Column, percent: int) -> Column:
@@ -112,24 +115,26 @@ def _prefix_length(n: Column, percent: int) -> Column:
 
 
 def _prefixes(lines: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """For each line: id, at (its place), n (tokens), bits and more (its bitmap), t (its rarest tokens, rare first)."""
+    """For each line: id (its last byte: the class of its length), at (its place), n (tokens), bits and more (its sketch), t (its rarest tokens, rare first)."""
     mask = F.lit((1 << 48) - 1)
-    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(SLOTS - 1).cast("int")), F.lit(0).cast("long"))
-    keyed = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(level(h), 48).bitwiseOR(h.bitwiseAND(mask)))
+    keyed = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(_level(levels, h), 48).bitwiseOR(h.bitwiseAND(mask)))
     sets = lines.select(_place().alias("at"), F.sort_array(F.array_distinct(keyed)).alias("t")).withColumn("n", F.size("t"))
     short = F.slice("t", F.lit(1), _prefix_length(F.col("n"), percent) + 1)
-    return sets.select(F.monotonically_increasing_id().alias("id"), "at", "n", _bits(0).alias("bits"), _bits(64).alias("more"), short.alias("t"))
+    number = F.shiftleft(F.monotonically_increasing_id(), 8).bitwiseOR(F.least(F.lit(255), F.floor(LENGTHS * F.log2("n"))).cast("long"))
+    return sets.select(number.alias("id"), "at", "n", _bits(0).alias("bits"), _bits(64).alias("more"), short.alias("t"))
 
 
 def _keys(lines: DataFrame, percent: int, *carried: str) -> DataFrame:
-    """Keys k of each line, with their place i: pairs of neighbours of the prefix, or the only token."""
+    """Keys k of each line, with their place i: pairs of neighbours of the prefix, or the only token. v: the token before
+    the pair (none: 0)."""
     length = F.greatest(F.lit(1), F.least(_prefix_length(F.col("n"), percent), F.col("n") - 1))
     rows = lines.select(*carried, "n", "t", F.posexplode(F.slice("t", F.lit(1), length)).alias("i", "x"))
-    return rows.select(*carried, "n", "i", F.xxhash64("x", F.coalesce(F.get("t", F.col("i") + 1), F.lit(0).cast("long"))).alias("k"))
+    near = lambda step: F.coalesce(F.get("t", F.col("i") + step), F.lit(0).cast("long"))
+    return rows.select(*carried, "n", "i", F.xxhash64("x", near(1)).alias("k"), F.when(F.col("i") > 0, near(-1)).otherwise(F.lit(0).cast("long")).alias("v"))
 
 
 def _alike(percent: int) -> Column:
-    """Length and bitmap filters for two lines; columns of the sides end in _a and _b."""
+    """Length and sketch filters for two lines; columns of the sides end in _a and _b."""
     na, nb = F.col("n_a"), F.col("n_b")
     apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
@@ -156,7 +161,9 @@ def _of_counts(counts: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     all_pairs = F.when(F.col("m") == 2, F.array(two(F.col("least"), F.col("most")))).otherwise(
         F.array(two(F.col("least"), F.col("most")), two(F.col("least"), third), two(third, F.col("most")))
     )
-    pairs = counts.where("m between 2 and 3").select(F.explode(all_pairs).alias("p")).select("p.x", "p.y").where("x <> y").distinct()
+    apart = F.abs(F.col("x").bitwiseAND(255) - F.col("y").bitwiseAND(255))  # of lengths a factor of 100 / percent apart at most
+    pairs = counts.where("m between 2 and 3").select(F.explode(all_pairs).alias("p")).select("p.x", "p.y")
+    pairs = pairs.where((F.col("x") != F.col("y")) & (apart <= ceil(LENGTHS * log2(100 / percent)) + 1)).distinct()
     sketch = lines.select("id", *SKETCH)
     left = sketch.select(sketch["id"].alias("x"), *_side(sketch, "a", *SKETCH))
     right = sketch.select(sketch["id"].alias("y"), *_side(sketch, "b", *SKETCH))
@@ -164,12 +171,17 @@ def _of_counts(counts: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b"))
 
 
-def _of_earliest(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b): each row with the earliest of its list."""
-    top = rows.groupBy("k").agg(F.min(F.struct("at", "n", "i", "bits", "more")).alias("top"))
-    top = top.select("k", *[F.col(f"top.{c}").alias(f"{c}_a") for c in ("at", "n", "i", "bits", "more")])
-    own = rows.select("k", *_side(rows, "b", "at", "n", "i", "bits", "more"))
-    return own.join(top, "k").where("at_a < at_b").where(_placed(percent) & _alike(percent)).select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()
+def _of_leaders(left: DataFrame, rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Candidates (a, b): each of ``left`` with the earliest of its list; from the second turn on with the earliest of
+    its part of the list, which is dealt anew into about sqrt(m) parts for each key and turn, so that a line meets
+    another of its group at almost each of its keys."""
+    salt = F.pmod(F.xxhash64("at", "k", F.lit(turn)), F.ceil(F.sqrt("m"))) if turn else F.lit(0).cast("long")
+    rows, left = rows.withColumn("s", salt), left.withColumn("s", salt)
+    top = rows.groupBy("k", "s").agg(F.min(F.struct("at", "n", "i", "bits", "more")).alias("top"))
+    top = top.select("k", "s", *[F.col(f"top.{c}").alias(f"{c}_a") for c in ("at", "n", "i", "bits", "more")])
+    own = left.select("k", "s", *_side(left, "b", "at", "n", "i", "bits", "more"))
+    met = own.join(top, ["k", "s"]).where("at_a < at_b").where(_placed(percent) & _alike(percent))
+    return met.select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()
 
 
 def _similar(lines: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -177,26 +189,31 @@ def _similar(lines: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     keys = _keys(lines, percent, "id")
     counts = keys.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least"), F.max("id").alias("most"), F.sum("id").alias("total"))
     counts = staged(counts.where("m > 1"))
-    many = _few(staged(counts.where("m > 3").select("k")))
-    rows = staged(_keys(lines, percent, *(c for c in SKETCH if c != "n")).join(many, "k", "left_semi"))
-    pairs = _of_counts(counts, lines, percent).unionByName(_of_earliest(rows, percent)).distinct()
-    decided = _verified(staged(pairs), docs, percent)
-    left = rows
-    for _ in range(ROUNDS):
-        left = staged(left.join(_few(decided).withColumnRenamed("b", "at"), "at", "left_anti"))
-        pairs = staged(_of_earliest(left, percent))
+    many = _few(staged(counts.where("m > 3").select("k", "m")))
+    rows = staged(_keys(lines, percent, *(c for c in SKETCH if c != "n")).join(many, "k"))
+    crowded = rows.where(F.col("m") >= CROWD)
+    first = _of_counts(counts, lines, percent).unionByName(_of_leaders(crowded, crowded, 0, percent)).distinct()
+    decided = _few(_verified(staged(first), docs, percent))
+    for turn in range(1, TURNS + 1):
+        left = crowded.join(decided.withColumnRenamed("b", "at"), "at", "left_anti")
+        pairs = staged(_of_leaders(left, crowded, turn, percent))
         if pairs.isEmpty():
             break
-        found = _verified(pairs, docs, percent)
-        if found.isEmpty():
-            break
-        decided = staged(decided.unionByName(found).distinct())
-    left = left.join(_few(decided).withColumnRenamed("b", "at"), "at", "left_anti")
-    own = left.select("k", *_side(left, "b", "at", "n", "i", "bits", "more"))
-    every = rows.select(F.col("k").alias("key"), *_side(rows, "a", "at", "n", "i", "bits", "more"))
-    met = own.join(every, (F.col("k") == F.col("key")) & (F.col("at_a") < F.col("at_b")) & _placed(percent) & _alike(percent))
-    last = _verified(staged(met.select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()), docs, percent)
-    return decided.unionByName(last).distinct()
+        decided = _few(staged(decided.unionByName(_verified(pairs, docs, percent)).distinct()))
+    left = crowded.join(decided.withColumnRenamed("b", "at"), "at", "left_anti")
+    small = rows.where(F.col("m") < CROWD)
+    pairs = _within(small, small, percent).unionByName(_within(left, crowded, percent)).distinct()
+    return decided.unionByName(_verified(staged(pairs), docs, percent)).distinct()
+
+
+def _within(left: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b): each of ``left`` with every earlier row of its list."""
+    own = left.select("k", *_side(left, "b", "at", "n", "i", "bits", "more", "v"))
+    every = rows.select(F.col("k").alias("key"), *_side(rows, "a", "at", "n", "i", "bits", "more", "v"))
+    # of keys that follow one another in both lines the first is enough
+    begins = (F.col("v_a") != F.col("v_b")) | (F.col("i_a") == 0) | (F.col("i_b") == 0)
+    met = own.join(every, (F.col("k") == F.col("key")) & (F.col("at_a") < F.col("at_b")) & _placed(percent) & begins & _alike(percent))
+    return met.select(F.col("at_a").alias("a"), F.col("at_b").alias("b"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +239,7 @@ def _removed(docs: DataFrame, percent: int) -> DataFrame:
     """(d, gone): for each document that loses lines, their numbers. ``docs``: doc_id long, text string."""
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
-    docs = _one_row_each(docs)
+    docs = one_row_each(docs)
     later = _later_copies(docs)
     first = _worded(docs).join(_few(later), ["doc_id", "ln"], "left_anti")
     lines = staged(_prefixes(first, _levels(docs), percent))
