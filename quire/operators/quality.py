@@ -171,10 +171,17 @@ def counts_by_code(d: Dialect) -> str:
     return f"WITH {wide(d)}, found AS ({findings(d)}) SELECT code, severity, count(*) AS n, count(DISTINCT doc_id) AS documents FROM found GROUP BY code, severity"
 
 
+#: Codes that make a unit one of high risk, those of warnings before those of blockers.
+HIGH_RISK = ("intra_paragraph_truncated", "low_cjk", "sentence_end_mismatch", "missing_ids", "empty_target")
+
+
 @operator("qc10_high_risk")
 def high_risk(d: Dialect) -> str:
-    """The first forty units with a finding, in order of first sight, each once."""
-    return f"WITH {wide(d)}, found AS ({findings(d)}), ids AS (SELECT doc_id, seq, id, min(severity) AS worst FROM found GROUP BY doc_id, seq, id) SELECT doc_id, seq, id, worst FROM ids ORDER BY worst, doc_id, seq LIMIT 40"
+    """Of each document the first forty units of high risk, in order of first sight, each once."""
+    order = " ".join(f"WHEN '{code}' THEN {k}" for k, code in enumerate(HIGH_RISK))
+    return f"""WITH {wide(d)}, found AS ({findings(d)}), ids AS (SELECT doc_id, seq, id, min(CASE code {order} END) AS first_seen FROM found WHERE code IN {HIGH_RISK!r} GROUP BY doc_id, seq, id),
+        placed AS (SELECT doc_id, seq, id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_seen, seq) AS BIGINT) AS place FROM ids)
+    SELECT doc_id, seq, id, place FROM placed WHERE place <= 40"""
 
 
 @operator("qc12_fix_rounds")

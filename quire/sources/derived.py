@@ -21,7 +21,7 @@ def _definitions(d: Dialect) -> dict[str, str]:
         "lines": d.unnest("documents", "doc_id", "split(text, chr(10))" if d.name == "spark" else "string_split(text, chr(10))", "line", "seq"),
         "numbered": f"(SELECT doc_id, seq, line, doc_id * 31 + seq AS h, {d.div('seq - 1', '8')} AS page, (seq - 1) % 8 AS k FROM lines)",
         "units": f"""(SELECT doc_id, seq, h, page, k, 'P' || lpad(CAST(page + 1 AS STRING), 2, '0') || '-' || lpad(CAST(k + 1 AS STRING), 3, '0') AS id, {label} AS label,
-            CASE WHEN h % 29 = 0 THEN 'Appendix A' WHEN h % 23 = 0 THEN 'References' ELSE (CASE WHEN h % 5 = 0 THEN '<style id=' || chr(39) || '1' || chr(39) || '>' || line || '</style>' ELSE line END)
+            CASE WHEN h % 29 = 0 THEN 'Appendix A' WHEN h % 23 = 0 THEN 'References' ELSE (CASE WHEN h % 5 = 0 THEN '<style id=' || chr(39) || '1' || chr(39) || '>' || line || '</style>' WHEN seq = 8 THEN 'Abstract. ' || line ELSE line END)
             || (CASE WHEN h % 7 = 0 THEN '{{v1}}' ELSE '' END) END AS source FROM numbered)""",
         "targets": f"""(SELECT doc_id, seq, h, page, id, CASE WHEN h % 19 = 0 THEN '' WHEN h % 13 = 0 THEN repeat('译', CAST({d.div("length(source)", "10")} AS INT))
             WHEN h % 11 = 0 THEN source ELSE repeat('译', CAST({d.div("length(source) * 35", "100")} AS INT)) || '。' END AS target FROM units WHERE h % 17 <> 0)""",
