@@ -68,7 +68,7 @@ simple("sk09_report", "Figures of the final report.", "SELECT 'units' AS metric,
 simple("xo02_ocr_backfill", "Characters put in by place where the lengths agree.", lambda d: f"WITH c AS (SELECT doc_id, seq, count(*) AS n FROM glyphs GROUP BY doc_id, seq), o AS (SELECT u.doc_id, u.seq, translate(u.source, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS text FROM units u WHERE u.h % 3 = 0) SELECT g.doc_id, g.seq, g.i, substr(o.text, CAST(g.i + 1 AS INT), 1) AS ch FROM glyphs g JOIN c ON g.doc_id = c.doc_id AND g.seq = c.seq JOIN o ON g.doc_id = o.doc_id AND g.seq = o.seq AND length(o.text) = c.n WHERE {d.like('g.ch', '[a-zA-Z]')}")
 simple("xo23_replay", "What a run can be rebuilt from, with availability.", "SELECT u.doc_id, count(*) AS units, count(t.id) > 0 AS has_targets, count(l.ord) > 0 AS has_links FROM units u LEFT JOIN targets t ON u.doc_id = t.doc_id AND u.seq = t.seq LEFT JOIN links l ON u.doc_id = l.doc_id AND u.seq = l.ord GROUP BY u.doc_id")
 simple("xo24_inherited_evidence", "The latest earlier run of the same stage.", "WITH e AS (SELECT run_id, seq, stage, lag(seq) OVER (PARTITION BY run_id, stage ORDER BY seq) AS earlier FROM log) SELECT run_id, seq, stage, earlier FROM e")
-simple("xo25_run_index", "Runs newest first with their state.", "WITH r AS (SELECT run_id, max(at_us) AS last_us, max_by(kind, seq) AS last_kind, count(*) AS n FROM log GROUP BY run_id) SELECT run_id, last_us, CASE WHEN n < 5 THEN 'incomplete' WHEN last_kind = 'started' THEN 'interrupted' ELSE 'done' END AS state, CAST(row_number() OVER (ORDER BY last_us DESC, run_id DESC) AS BIGINT) AS place FROM r")
+simple("xo25_run_index", "Runs newest first with their state.", "WITH r AS (SELECT run_id, max(at_us) AS last_us, max_by(kind, seq) AS last_kind, count(*) AS n, CAST(floor(max(at_us) / 60000000) AS BIGINT) AS minute FROM log GROUP BY run_id), b AS (SELECT minute, count(*) AS n FROM r GROUP BY minute), o AS (SELECT minute, coalesce(sum(n) OVER (ORDER BY minute DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT r.run_id, r.last_us, CASE WHEN r.n < 5 THEN 'incomplete' WHEN r.last_kind = 'started' THEN 'interrupted' ELSE 'done' END AS state, CAST(o.before + row_number() OVER (PARTITION BY r.minute ORDER BY r.last_us DESC, r.run_id DESC) AS BIGINT) AS place FROM r JOIN o ON r.minute = o.minute")
 simple("xo32_toc_tail", "Contents rows split into title and tail.", lambda d: f"WITH l AS (SELECT doc_id, seq, line || ' .... ' || CAST(seq AS STRING) AS line FROM numbered WHERE h % 6 = 0) SELECT doc_id, seq, {d.group('line', r'^(.*?)([. ]*)([0-9]+)$', 1)} AS title, {d.group('line', r'^(.*?)([. ]*)([0-9]+)$', 3)} AS tail FROM l")
 simple("xo33_document_meta", "Title: stored, else the first title, else the first line.", "WITH t AS (SELECT doc_id, min_by(source, seq) AS title FROM units WHERE label = 'title' GROUP BY doc_id), f AS (SELECT doc_id, min_by(source, seq) AS line FROM units GROUP BY doc_id) SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 9 = 0 THEN d.source END, t.title, f.line) AS title FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN f ON d.doc_id = f.doc_id")
 simple("xo34_incremental", "Pages that edits touch.", "SELECT DISTINCT u.doc_id, u.page FROM units u JOIN (SELECT doc_id, seq FROM targets WHERE h % 23 = 0) e ON u.doc_id = e.doc_id AND u.seq = e.seq")

@@ -63,7 +63,7 @@ simple("st02_top_one", "The longest unit of each page; of equals the first.", "W
 simple("st03_limit", "The ten longest units.", "SELECT doc_id, seq, length(source) AS n FROM units ORDER BY n DESC, doc_id, seq LIMIT 10")
 simple("st04_latest", "The latest revision of each document.", "SELECT document, max(revision) AS revision, max_by(target, revision) AS target FROM edits GROUP BY document")
 simple("st05_keyset_page", "Events after a cursor, twenty a page, with the next cursor and whether there are more.", "WITH p AS (SELECT run_id, seq, ms, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS k FROM log WHERE seq > 30), q AS (SELECT * FROM p WHERE k <= 21) SELECT run_id, count_if(k <= 20) AS rows_out, max(CASE WHEN k <= 20 THEN seq END) AS next_after, count(*) > 20 AS has_more FROM q GROUP BY run_id")
-simple("st07_candidates", "Pending candidates first, newest first within each.", "SELECT document, revision, origin, CAST(row_number() OVER (ORDER BY CASE WHEN origin = 'manual' THEN 0 ELSE 1 END, revision DESC, document DESC) AS BIGINT) AS place FROM edits")
+simple("st07_candidates", "Pending candidates first, newest first within each.", "WITH e AS (SELECT document, revision, origin, CASE WHEN origin = 'manual' THEN 0 ELSE 1 END AS kind, CAST(floor(document / 100000) AS BIGINT) AS block FROM edits), b AS (SELECT kind, revision, block, count(*) AS n FROM e GROUP BY kind, revision, block), o AS (SELECT kind, revision, block, coalesce(sum(n) OVER (ORDER BY kind, revision DESC, block DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT e.document, e.revision, e.origin, CAST(o.before + row_number() OVER (PARTITION BY e.kind, e.revision, e.block ORDER BY e.document DESC) AS BIGINT) AS place FROM e JOIN o ON e.kind = o.kind AND e.revision = o.revision AND e.block = o.block")
 simple("st08_newest_first", "Jobs newest first, and each document's active one.", "SELECT document, revision, revision = max(revision) OVER (PARTITION BY document) AS active FROM edits")
 simple("st09_retention", "Rows kept by a cap on ids.", "SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 500")
 simple("so03_union_probe", "Documents known to any of three tables.", "SELECT doc_id FROM labels UNION SELECT doc_id FROM documents UNION SELECT conv_id AS doc_id FROM conversations")
@@ -74,7 +74,27 @@ simple("so07_glossary_last", "Glossary by source; the last entry wins, sorted, a
 simple("so08_uri_set", "Link targets lost and added between source and output.", "SELECT page, number, 'lost' AS change FROM (SELECT DISTINCT page, number FROM links EXCEPT SELECT DISTINCT page, number FROM out_links) a UNION ALL SELECT page, number, 'added' AS change FROM (SELECT DISTINCT page, number FROM out_links EXCEPT SELECT DISTINCT page, number FROM links) b")
 simple("so09_term_key", "Terms of a document sorted, each once, as a cache key.", lambda d: f"WITH t AS (SELECT DISTINCT doc_id, src FROM term_pairs WHERE src <> ''), a AS (SELECT doc_id, {d.collected('src')} AS terms FROM t GROUP BY doc_id) SELECT doc_id, {d.size('terms')} AS n, {d.sha(d.joined('terms', '|'))} AS cache_key FROM a")
 simple("so10_intersect", "Documents that have labels and conversations.", "SELECT doc_id FROM labels INTERSECT SELECT conv_id AS doc_id FROM conversations")
-simple("jn20_glossary_terms", "Glossary terms in a unit, ASCII letters alike in either case, each once.", "WITH u AS (SELECT doc_id, seq, translate(source, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM units), g AS (SELECT DISTINCT translate(source, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM glossary) SELECT DISTINCT u.doc_id, u.seq, g.term FROM u JOIN g ON contains(u.s, g.term)")
+
+
+#: Lengths of the keys by which terms are looked up: a term's key is its beginning of the greatest of them that it reaches.
+KEY_SIGNS = (1, 2, 6)
+
+
+@operator("jn20_glossary_terms")
+def glossary_terms(d: Dialect) -> str:
+    """Glossary terms in a unit, ASCII letters alike in either case, each once.
+
+    An equality join: every distinct run of a unit's signs that is as long as a key meets the terms that begin with it,
+    which are then looked for whole. A term without signs is in no unit.
+    """
+    lower = "translate(source, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    keys = "CASE " + " ".join(f"WHEN length(term) >= {n} THEN substr(term, 1, {n})" for n in reversed(KEY_SIGNS)) + " END"
+    runs = [d.distinct(d.map(d.numbers("1", f"{d.size('c')} - {n - 1}"), "i", " || ".join(d.at("c", f"i + {k}") for k in range(n)))) for n in KEY_SIGNS]
+    every = " UNION ALL ".join(f"SELECT * FROM {d.unnest('u', 'doc_id, seq, s', r, 'run')} AS __r{n}" for n, r in zip(KEY_SIGNS, runs))
+    return f"""WITH l AS (SELECT doc_id, seq, {lower} AS s FROM units), u AS (SELECT doc_id, seq, s, {d.split("s", "")} AS c FROM l), t AS (SELECT DISTINCT {lower} AS term FROM glossary),
+        g AS (SELECT term, {keys} AS start FROM t), r AS ({every}) SELECT DISTINCT r.doc_id, r.seq, g.term FROM r JOIN g ON r.run = g.start WHERE contains(r.s, g.term)"""
+
+
 simple("jn22_page_pairs", "Last body paragraph of a page with the first of the next.", "WITH b AS (SELECT doc_id, page, min(seq) AS first_seq, max(seq) AS last_seq FROM units WHERE label = 'text' GROUP BY doc_id, page) SELECT a.doc_id, a.page, a.last_seq, b.first_seq FROM b a JOIN b ON a.doc_id = b.doc_id AND b.page = a.page + 1")
 simple("jn23_column_pairs", "Body paragraphs, column by column, of which the second begins more than twenty points higher.", "WITH n AS (SELECT doc_id, page, seq, y2, lead(seq) OVER (PARTITION BY doc_id, page ORDER BY x, y2 DESC, seq) AS next_seq, lead(y2) OVER (PARTITION BY doc_id, page ORDER BY x, y2 DESC, seq) AS next_y2 FROM boxes WHERE label = 'text') SELECT doc_id, page, seq, next_seq FROM n WHERE next_y2 - y2 > 20")
 simple("xo07_numeric_formula", "Units of digits, commas, dots and spaces only.", lambda d: f"WITH u AS (SELECT doc_id, seq, CASE WHEN h % 21 = 0 THEN CAST(h AS STRING) || ', 3.5' ELSE source END AS s FROM units) SELECT doc_id, seq, s FROM u WHERE {d.like('s', '^[0-9, .]+$')}")

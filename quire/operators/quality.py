@@ -33,7 +33,7 @@ def wide(d: Dialect) -> str:
             1.0 - {share(f"length({plain(d, 'u.source')})", "length(u.source)")} AS density, length({plain(d, "t.target")}) AS tlen, {d.times(plain(d, "t.target"), CJK)} AS cjk, {d.times(plain(d, "t.target"), "[\\x00-\\x7f]")} AS ascii
         FROM units u LEFT JOIN targets t ON u.doc_id = t.doc_id AND u.seq = t.seq),
     ratios AS (SELECT doc_id, median(length(tp) / CAST(length(sp) AS DOUBLE)) AS mid FROM measured WHERE target IS NOT NULL AND sp <> '' GROUP BY doc_id),
-    wide AS (SELECT m.*, CASE WHEN m.target IS NOT NULL AND m.sp <> '' THEN length(m.tp) / CAST(length(m.sp) AS DOUBLE) END AS ratio, CASE WHEN r.mid > 0 AND m.target IS NOT NULL AND m.sp <> '' THEN length(m.tp) / CAST(length(m.sp) AS DOUBLE) / r.mid WHEN m.target IS NOT NULL AND m.sp <> '' THEN 0.0 END AS rel,
+    wide AS (SELECT m.*, r.mid, CASE WHEN m.target IS NOT NULL AND m.sp <> '' THEN length(m.tp) / CAST(length(m.sp) AS DOUBLE) END AS ratio, CASE WHEN r.mid > 0 AND m.target IS NOT NULL AND m.sp <> '' THEN length(m.tp) / CAST(length(m.sp) AS DOUBLE) / r.mid WHEN m.target IS NOT NULL AND m.sp <> '' THEN 0.0 END AS rel,
         {share("m.cjk", "m.tlen")} AS cjk_ratio, {share("m.ascii", "m.tlen")} AS ascii_ratio, {d.like("m.sp", REFERENCE_LIKE)} AS reference_like FROM measured m LEFT JOIN ratios r ON m.doc_id = r.doc_id)"""
 
 
@@ -45,13 +45,19 @@ RULES = {
 }
 
 
-def findings(d: Dialect) -> str:
-    rules = RULES | {
+def rules(d: Dialect) -> dict[str, tuple[str, str]]:
+    return RULES | {
         "markdown_comment_leak": ("P0", "target LIKE '%<!--%'"),
         "sentence_end_mismatch": ("P1", f"length(sp) >= {TRUNCATED_LEAST} AND tp <> '' AND {d.like('sp', SENTENCE_END)} AND NOT reference_like AND NOT {d.like('tp', TARGET_END)}"),
         "formula_splice": ("P2", d.like("source", SPLICE)),
     }
-    return " UNION ALL ".join(f"SELECT doc_id, seq, id, page, label, '{code}' AS code, '{sev}' AS severity FROM wide WHERE {rule}" for code, (sev, rule) in rules.items())
+
+
+def findings(d: Dialect) -> str:
+    """All rules judged in one pass over ``wide``: an array of codes a unit, exploded."""
+    codes = d.present(d.array(*(f"CASE WHEN {rule} THEN '{code}' END" for code, (_, rule) in rules(d).items())))
+    severity = "CASE code " + " ".join(f"WHEN '{code}' THEN '{sev}'" for code, (sev, _) in rules(d).items()) + " END"
+    return f"SELECT doc_id, seq, id, page, label, code, {severity} AS severity FROM {d.unnest('wide', 'doc_id, seq, id, page, label', codes, 'code')} AS __f"
 
 
 @operator("qc02_document_check")
@@ -63,11 +69,9 @@ def document_check(d: Dialect) -> str:
 @operator("qc02_metrics")
 def metrics(d: Dialect) -> str:
     """Per document: rows, checked targets, median length ratio and the number of findings of each kind."""
-    return f"""WITH {wide(d)}, found AS ({findings(d)}), kinds AS (SELECT doc_id, count_if(code = 'empty_target') AS empty_targets, count_if(code = 'intra_paragraph_truncated') AS truncated, count_if(code = 'low_cjk') AS low_cjk,
-        count_if(code = 'sentence_end_mismatch') AS sentence_end_mismatch, count_if(code = 'formula_splice') AS formula_splice FROM found GROUP BY doc_id)
-        SELECT w.doc_id, count(*) AS n_rows, count(w.target) AS checked_targets, coalesce(max(r.mid), 0.0) AS median_len_ratio, CAST(coalesce(max(k.empty_targets), 0) AS BIGINT) AS empty_targets, CAST(coalesce(max(k.truncated), 0) AS BIGINT) AS truncated, CAST(coalesce(max(k.low_cjk), 0) AS BIGINT) AS low_cjk,
-        CAST(coalesce(max(k.sentence_end_mismatch), 0) AS BIGINT) AS sentence_end_mismatch, CAST(coalesce(max(k.formula_splice), 0) AS BIGINT) AS formula_splice
-        FROM wide w LEFT JOIN ratios r ON w.doc_id = r.doc_id LEFT JOIN kinds k ON w.doc_id = k.doc_id GROUP BY w.doc_id"""
+    names = {"empty_target": "empty_targets", "intra_paragraph_truncated": "truncated", "low_cjk": "low_cjk", "sentence_end_mismatch": "sentence_end_mismatch", "formula_splice": "formula_splice"}
+    counts = ", ".join(f"CAST(count_if({rules(d)[code][1]}) AS BIGINT) AS {name}" for code, name in names.items())
+    return f"WITH {wide(d)} SELECT doc_id, count(*) AS n_rows, count(target) AS checked_targets, coalesce(max(mid), 0.0) AS median_len_ratio, {counts} FROM wide GROUP BY doc_id"
 
 
 @operator("qc03_suspect_merge")
@@ -162,7 +166,8 @@ def manual_edits(d: Dialect) -> str:
 @operator("ag18_verdict")
 def verdict(d: Dialect) -> str:
     """needs_fix if any blocker, unavailable if nothing was checked, else pass."""
-    return f"WITH {wide(d)}, found AS ({findings(d)}), sums AS (SELECT doc_id, count_if(severity = 'P0') AS blockers, count(*) AS found FROM found GROUP BY doc_id), seen AS (SELECT doc_id, count(target) AS checked FROM wide GROUP BY doc_id) SELECT s.doc_id, CASE WHEN s.checked = 0 THEN 'unavailable' WHEN f.blockers > 0 THEN 'needs_fix' ELSE 'pass' END AS verdict, CAST(coalesce(f.blockers, 0) AS BIGINT) AS blockers, CAST(coalesce(f.found, 0) AS BIGINT) AS findings FROM seen s LEFT JOIN sums f ON s.doc_id = f.doc_id"
+    hit = lambda sev: " + ".join(f"count_if({rule})" for s, rule in rules(d).values() if sev in (s, None))
+    return f"WITH {wide(d)}, seen AS (SELECT doc_id, count(target) AS checked, CAST({hit('P0')} AS BIGINT) AS blockers, CAST({hit(None)} AS BIGINT) AS findings FROM wide GROUP BY doc_id) SELECT doc_id, CASE WHEN checked = 0 THEN 'unavailable' WHEN blockers > 0 THEN 'needs_fix' ELSE 'pass' END AS verdict, blockers, findings FROM seen"
 
 
 @operator("ag14_counts_by_code")
