@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.dialect import Dialect
 from .catalog import operator, simple
+from .quality import tokens
 
 simple("ag04_common_translation", "Most common translation of each source term; of equals the one seen first.", "WITH c AS (SELECT src, tgt, count(*) AS n, min(doc_id * 100000 + seq) AS first FROM term_pairs WHERE src <> '' GROUP BY src, tgt), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, first) AS k FROM c) SELECT src, tgt, n FROM r WHERE k = 1")
 simple("ag05_style_mode", "Most common label of each page; of equals the first.", "WITH c AS (SELECT doc_id, page, label, count(*) AS n, min(seq) AS first FROM units GROUP BY doc_id, page, label), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, first) AS k FROM c) SELECT doc_id, page, label, n FROM r WHERE k = 1")
@@ -12,14 +13,14 @@ simple("ag07_scale_clamp", "Document mode of scales weighted by text length (tie
 simple("ag08_common_style", "The font size that all of a page's boxes share, else null.", "SELECT doc_id, page, CASE WHEN count(DISTINCT src_font) = 1 THEN min(src_font) END AS font, CASE WHEN count(DISTINCT label) = 1 THEN min(label) END AS label FROM boxes GROUP BY doc_id, page")
 simple("ag09_medians", "Median area, width and height of a page's boxes.", "SELECT doc_id, page, median((x2 - x) * (y2 - y)) AS area, median(x2 - x) AS width, median(y2 - y) AS height FROM boxes GROUP BY doc_id, page")
 simple("ag13_line_count", "Lines of a unit's glyphs: gaps above 0.6 of the font size.", "WITH y AS (SELECT DISTINCT g.doc_id, g.seq, g.y, b.src_font FROM glyphs g JOIN boxes b ON g.doc_id = b.doc_id AND g.seq = b.seq), l AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, seq ORDER BY y DESC) AS above FROM y) SELECT doc_id, seq, CAST(1 + sum(CASE WHEN (above - y) * 10 > 6 * src_font THEN 1 ELSE 0 END) AS BIGINT) AS n_lines FROM l GROUP BY doc_id, seq")
-simple("ag15_label_inventory", "Labels with their counts; none is a bucket of its own.", "SELECT CASE WHEN h % 40 = 13 THEN NULL ELSE label END AS label, count(*) AS n FROM units GROUP BY CASE WHEN h % 40 = 13 THEN NULL ELSE label END")
+simple("ag15_label_inventory", "Labels with their counts; none is a bucket of its own.", "SELECT label, count(*) AS n FROM label_records GROUP BY label")
 simple("ag17_alignment_summary", "Share of glyphs that lie in a box, by document.", "WITH a AS (SELECT g.doc_id, count(*) AS n, count_if(g.x >= b.x AND g.x2 <= b.x2 AND g.y >= b.y AND g.y2 <= b.y2) AS hit FROM glyphs g JOIN boxes b ON g.doc_id = b.doc_id AND g.seq = b.seq GROUP BY g.doc_id) SELECT doc_id, n, hit, hit / CAST(n AS DOUBLE) AS coverage FROM a")
 simple("ag23_document_counts", "Pages, paragraphs and translated ones; null where nothing is known, not 0.", "WITH t AS (SELECT doc_id, count_if(target <> '') AS n FROM targets GROUP BY doc_id) SELECT u.doc_id, count(DISTINCT u.page) AS pages, count(*) AS paragraphs, max(t.n) AS translated FROM units u LEFT JOIN t ON u.doc_id = t.doc_id GROUP BY u.doc_id")
 simple("ag24_page_completeness", "Pages of which every unit has a translation.", "SELECT u.doc_id, u.page, count(*) AS expected, count_if(coalesce(t.target, '') <> '') AS translated, count(t.id) AS settled, count_if(coalesce(t.target, '') <> '') = count(*) AS complete FROM units u LEFT JOIN targets t ON u.doc_id = t.doc_id AND u.seq = t.seq GROUP BY u.doc_id, u.page")
 simple("ag25_next_sequence", "Next sequence number of each run.", "SELECT run_id, coalesce(max(seq), 0) + 1 AS next_seq FROM log GROUP BY run_id")
-simple("ag26_retry_statistics", "Units by violation code.", "SELECT CASE WHEN h % 37 = 0 THEN 'placeholder_lost' WHEN h % 41 = 0 THEN 'placeholder_added' ELSE 'none' END AS code, count(*) AS n, count(DISTINCT doc_id) AS documents FROM replies GROUP BY CASE WHEN h % 37 = 0 THEN 'placeholder_lost' WHEN h % 41 = 0 THEN 'placeholder_added' ELSE 'none' END")
-simple("ag27_toc_score", "Whether a page is a table of contents: five entry lines and 0.6 of all.", lambda d: f"WITH l AS (SELECT doc_id, page, CASE WHEN (doc_id + page) % 9 = 0 AND h % 4 <> 0 THEN line || ' ..... ' || CAST(seq AS STRING) ELSE line END AS line FROM numbered) SELECT doc_id, page, count(*) AS n_lines, count_if({d.like('line', '[. ]{2,}[0-9]+$')}) AS entries, count_if({d.like('line', '[. ]{2,}[0-9]+$')}) >= 5 AND count_if({d.like('line', '[. ]{2,}[0-9]+$')}) * 10 >= 6 * count(*) AS is_toc FROM l GROUP BY doc_id, page")
-simple("ag28_scanned_verdict", "Documents of which four fifths of the pages are flagged as scans.", "SELECT doc_id, count(DISTINCT page) AS pages, count_if((doc_id % 3 = 0 OR h % 5 = 0)) * 10 >= 8 * count(*) AS scanned FROM units GROUP BY doc_id")
+simple("ag26_retry_statistics", "Units by violation code.", lambda d: f"WITH {tokens(d)}, bad AS (SELECT DISTINCT doc_id, seq, CASE WHEN actual < expected THEN 'placeholder_lost' ELSE 'placeholder_added' END AS code FROM diff WHERE expected <> actual) SELECT coalesce(b.code, 'none') AS code, count(*) AS n, count(DISTINCT r.doc_id) AS documents FROM replies r LEFT JOIN bad b ON r.doc_id = b.doc_id AND r.seq = b.seq GROUP BY coalesce(b.code, 'none')")
+simple("ag27_toc_score", "Whether a page is a table of contents: five entry lines and 0.6 of all.", lambda d: f"SELECT doc_id, page, count(*) AS n_lines, count_if({d.like('line', '[. ]{2,}[0-9]+$')}) AS entries, count_if({d.like('line', '[. ]{2,}[0-9]+$')}) >= 5 AND count_if({d.like('line', '[. ]{2,}[0-9]+$')}) * 10 >= 6 * count(*) AS is_toc FROM toc_candidates GROUP BY doc_id, page")
+simple("ag28_scanned_verdict", "Documents of which four fifths of the pages are flagged as scans.", "SELECT doc_id, count(*) AS pages, count_if(is_scan) * 10 >= 8 * count(*) AS scanned FROM page_flags GROUP BY doc_id")
 simple("ag30_valid_totals", "Characters and words over parts of five hundred documents.", lambda d: f"SELECT {d.div('doc_id', '500')} AS part, CAST(sum(length(source)) AS BIGINT) AS chars, CAST(sum({d.times('source', '[^ ]+')}) AS BIGINT) AS words FROM units GROUP BY {d.div('doc_id', '500')}")
 simple("ag32_unknown_types", "Unknown labels with their count and first page.", "SELECT label, count(*) AS n, min(page) AS first_page FROM regions WHERE label NOT IN ('text', 'title', 'figure') GROUP BY label")
 simple("ag33_acceptance_gates", "Gates of a document, one row each, and whether all hold.", "WITH g AS (SELECT doc_id, 'coverage' AS gate, count_if(target = '') * 20 <= count(*) AS ok FROM targets GROUP BY doc_id UNION ALL SELECT doc_id, 'length' AS gate, max(length(source)) < 4000 AS ok FROM units GROUP BY doc_id UNION ALL SELECT doc_id, 'pages' AS gate, max(page) < 12 AS ok FROM units GROUP BY doc_id) SELECT doc_id, gate, ok, bool_and(ok) OVER (PARTITION BY doc_id) AS accepted FROM g")
@@ -41,9 +42,9 @@ simple("wf20_carried_title", "The first title and the latest one at each unit.",
 simple(
     "wf21_toc_level",
     "Depth of contents entries: dots of the numbering plus one, else the page's distinct indents smaller by more than two points, plus one.",
-    lambda d: f"WITH e AS (SELECT doc_id, page, seq, CASE WHEN h % 3 = 0 THEN '1.' || CAST(h % 4 AS STRING) || ' ' || line WHEN h % 3 = 1 THEN '2 ' || line ELSE line END AS line, (h % 4) * 12 + h % 2 AS indent FROM numbered), i AS (SELECT DISTINCT doc_id, page, indent FROM e), s AS (SELECT e.doc_id, e.seq, count(i.indent) AS smaller FROM e LEFT JOIN i ON e.doc_id = i.doc_id AND e.page = i.page AND i.indent < e.indent - 2 GROUP BY e.doc_id, e.seq) SELECT e.doc_id, e.seq, CASE WHEN {d.like('e.line', r'^[0-9]+([.][0-9]+)* ')} THEN 1 + {d.times(d.group('e.line', r'^([0-9]+([.][0-9]+)*) ', 1), '[.]')} ELSE 1 + s.smaller END AS level FROM e JOIN s ON e.doc_id = s.doc_id AND e.seq = s.seq",
+    lambda d: f"WITH e AS (SELECT doc_id, page, seq, line, indent FROM toc_entries), i AS (SELECT DISTINCT doc_id, page, indent FROM e), s AS (SELECT e.doc_id, e.seq, count(i.indent) AS smaller FROM e LEFT JOIN i ON e.doc_id = i.doc_id AND e.page = i.page AND i.indent < e.indent - 2 GROUP BY e.doc_id, e.seq) SELECT e.doc_id, e.seq, CASE WHEN {d.like('e.line', r'^[0-9]+([.][0-9]+)* ')} THEN 1 + {d.times(d.group('e.line', r'^([0-9]+([.][0-9]+)*) ', 1), '[.]')} ELSE 1 + s.smaller END AS level FROM e JOIN s ON e.doc_id = s.doc_id AND e.seq = s.seq",
 )
-simple("wf22_tail", "The last ten events of each run, each number once (the last wins), ascending.", "WITH l AS (SELECT run_id, seq % 50 AS seq, ms, seq AS arrived FROM log), u AS (SELECT *, row_number() OVER (PARTITION BY run_id, seq ORDER BY arrived DESC) AS k FROM l), t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS n FROM u WHERE k = 1) SELECT run_id, seq, ms FROM t WHERE n <= 10")
+simple("wf22_tail", "The last ten events of each run, each number once (the last wins), ascending.", "WITH u AS (SELECT *, row_number() OVER (PARTITION BY run_id, seq ORDER BY arrived DESC) AS k FROM arriving_events), t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS n FROM u WHERE k = 1) SELECT run_id, seq, ms FROM t WHERE n <= 10")
 simple("wf23_line_spacing", "Upper median of the positive gaps between a unit's lines; 10 where there is none.", lambda d: f"WITH y AS (SELECT DISTINCT doc_id, seq, y FROM glyphs), g AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, seq ORDER BY y DESC) - y AS gap FROM y), a AS (SELECT doc_id, seq, {d.collected('CASE WHEN gap > 0 THEN gap END')} AS gaps FROM g GROUP BY doc_id, seq), p AS (SELECT doc_id, seq, {d.present('gaps')} AS gaps FROM a) SELECT doc_id, seq, coalesce({d.at('gaps', d.div(d.size('gaps'), '2') + ' + 1')}, 10) AS spacing FROM p")
 
 
@@ -67,7 +68,7 @@ simple("st07_candidates", "Pending candidates first, newest first within each.",
 simple("st08_newest_first", "Jobs newest first, and each document's active one.", "SELECT document, revision, revision = max(revision) OVER (PARTITION BY document) AS active FROM edits")
 simple("st09_retention", "Rows kept by a cap on ids.", "SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 500")
 simple("so03_union_probe", "Documents known to any of three tables.", "SELECT doc_id FROM labels UNION SELECT doc_id FROM documents UNION SELECT conv_id AS doc_id FROM conversations")
-simple("so04_strict_subset", "Whether a retry's leftovers are a strict subset of the first try's.", lambda d: f"WITH p AS (SELECT doc_id, {d.collected('CASE WHEN h % 19 = 0 THEN seq END')} AS a, {d.collected('CASE WHEN h % 38 = 0 OR h % 101 = 0 THEN seq END')} AS b FROM units GROUP BY doc_id), q AS (SELECT doc_id, {d.present('a')} AS a, {d.present('b')} AS b FROM p) SELECT doc_id, {d.size('a')} AS first_n, {d.size('b')} AS retry_n, {d.size(d.minus('b', 'a'))} = 0 AND {d.size('b')} < {d.size('a')} AS accepted FROM q")
+simple("so04_strict_subset", "Whether a retry's leftovers are a strict subset of the first try's.", lambda d: f"WITH p AS (SELECT doc_id, {d.collected('CASE WHEN left_first THEN seq END')} AS a, {d.collected('CASE WHEN left_retry THEN seq END')} AS b FROM tries GROUP BY doc_id), q AS (SELECT doc_id, {d.present('a')} AS a, {d.present('b')} AS b FROM p) SELECT doc_id, {d.size('a')} AS first_n, {d.size('b')} AS retry_n, {d.size(d.minus('b', 'a'))} = 0 AND {d.size('b')} < {d.size('a')} AS accepted FROM q")
 simple("so05_ordered_union", "Ids of three sources, each once, in the order of the first source that has it.", "WITH s AS (SELECT doc_id, id, 0 AS source_rank, seq FROM targets UNION ALL SELECT doc_id, id, 1 AS source_rank, seq FROM units UNION ALL SELECT doc_id, id, 2 AS source_rank, seq FROM boxes), f AS (SELECT doc_id, id, min(source_rank * 1000000 + seq) AS place FROM s GROUP BY doc_id, id) SELECT doc_id, id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) AS BIGINT) AS n FROM f")
 simple("so06_glossary_first", "Glossary by normalised source; the first entry wins.", lambda d: f"WITH g AS (SELECT lower(trim({d.sub('source', ' +', ' ')})) AS k, seq, source, target FROM glossary) SELECT k, min_by(source, seq) AS source, min_by(target, seq) AS target FROM g GROUP BY k")
 simple("so07_glossary_last", "Glossary by source; the last entry wins, sorted, a hundred at most.", "WITH g AS (SELECT source, max(seq) AS seq, max_by(target, seq) AS target FROM glossary WHERE trim(source) <> '' GROUP BY source) SELECT source, target FROM g ORDER BY source LIMIT 100")
@@ -76,34 +77,41 @@ simple("so09_term_key", "Terms of a document sorted, each once, as a cache key."
 simple("so10_intersect", "Documents that have labels and conversations.", "SELECT doc_id FROM labels INTERSECT SELECT conv_id AS doc_id FROM conversations")
 
 
-#: Lengths of the keys by which terms are looked up: a term's key is its beginning of the greatest of them that it reaches.
-KEY_SIGNS = (1, 2, 6)
+#: Lengths of the keys by which terms are looked up: of a word's beginning, and of a term's own where it has no blank.
+WORD_SIGNS, TERM_SIGNS = (1, 2, 4), (1, 2, 6)
 
 
 @operator("jn20_glossary_terms")
 def glossary_terms(d: Dialect) -> str:
-    """Glossary terms in a unit, ASCII letters alike in either case, each once.
+    """Glossary terms in a unit, ASCII letters alike in either case, each once; a term without signs is in no unit.
 
-    An equality join: every distinct run of a unit's signs that is as long as a key meets the terms that begin with it,
-    which are then looked for whole. A term without signs is in no unit.
+    An equality join on keys; the terms met are then looked for in the whole text. A term with a blank has its second word
+    at the beginning of a word of the text and its first at the end of the word before, so that the key is the second
+    word's beginning. Terms without a blank may stand inside a word: their keys meet every run of a unit's signs.
     """
     lower = "translate(source, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    keys = "CASE " + " ".join(f"WHEN length(term) >= {n} THEN substr(term, 1, {n})" for n in reversed(KEY_SIGNS)) + " END"
-    runs = [d.distinct(d.map(d.numbers("1", f"{d.size('c')} - {n - 1}"), "i", " || ".join(d.at("c", f"i + {k}") for k in range(n)))) for n in KEY_SIGNS]
-    every = " UNION ALL ".join(f"SELECT * FROM {d.unnest('u', 'doc_id, seq, s', r, 'run')} AS __r{n}" for n, r in zip(KEY_SIGNS, runs))
-    return f"""WITH l AS (SELECT doc_id, seq, {lower} AS s FROM units), u AS (SELECT doc_id, seq, s, {d.split("s", "")} AS c FROM l), t AS (SELECT DISTINCT {lower} AS term FROM glossary),
-        g AS (SELECT term, {keys} AS start FROM t), r AS ({every}) SELECT DISTINCT r.doc_id, r.seq, g.term FROM r JOIN g ON r.run = g.start WHERE contains(r.s, g.term)"""
+    first, second = (f"coalesce({d.at(d.split('term', ' '), k)}, '')" for k in "12")
+    start = lambda x, sizes: "CASE " + " ".join(f"WHEN length({x}) >= {n} THEN substr({x}, 1, {n})" for n in reversed(sizes)) + " END"
+    pairs = d.map(d.numbers("1", f"{d.size('w')} - 1"), "i", f"{d.at('w', 'i')} || ' ' || {d.at('w', 'i + 1')}")
+    starts = d.unnest("p", "doc_id, seq, pair", d.array(*(f"substr(word, 1, {n})" for n in WORD_SIGNS)), "run")
+    runs = [d.distinct(d.map(d.numbers("1", f"{d.size('c')} - {n - 1}"), "i", " || ".join(d.at("c", f"i + {k}") for k in range(n)))) for n in TERM_SIGNS]
+    every = " UNION ALL ".join(f"SELECT * FROM {d.unnest('u', 'doc_id, seq', r, 'run')} AS __r{n}" for n, r in zip(TERM_SIGNS, runs))
+    return f"""WITH l AS (SELECT doc_id, seq, {lower} AS s FROM units), t AS (SELECT DISTINCT {lower} AS term FROM glossary), spaced AS (SELECT term, {first} || ' ' || {second} AS beginning, {start(second, WORD_SIGNS)} AS start FROM t WHERE {second} <> ''),
+        solid AS (SELECT term, {start("term", TERM_SIGNS)} AS start FROM t WHERE {second} = ''), u AS (SELECT doc_id, seq, {d.split("s", "")} AS c FROM l), r AS ({every}), v AS (SELECT doc_id, seq, {d.split("s", " ")} AS w FROM l),
+        p AS (SELECT doc_id, seq, pair, {d.at(d.split("pair", " "), "2")} AS word FROM {d.unnest("v", "doc_id, seq", pairs, "pair")} AS __p), q AS (SELECT * FROM {starts} AS __q),
+        met AS (SELECT q.doc_id, q.seq, g.term FROM q JOIN spaced g ON q.run = g.start AND contains(q.pair, g.beginning) UNION SELECT r.doc_id, r.seq, g.term FROM r JOIN solid g ON r.run = g.start)
+        SELECT DISTINCT m.doc_id, m.seq, m.term FROM met m JOIN l ON m.doc_id = l.doc_id AND m.seq = l.seq WHERE contains(l.s, m.term)"""
 
 
 simple("jn22_page_pairs", "Last body paragraph of a page with the first of the next.", "WITH b AS (SELECT doc_id, page, min(seq) AS first_seq, max(seq) AS last_seq FROM units WHERE label = 'text' GROUP BY doc_id, page) SELECT a.doc_id, a.page, a.last_seq, b.first_seq FROM b a JOIN b ON a.doc_id = b.doc_id AND b.page = a.page + 1")
 simple("jn23_column_pairs", "Body paragraphs, column by column, of which the second begins more than twenty points higher.", "WITH n AS (SELECT doc_id, page, seq, y2, lead(seq) OVER (PARTITION BY doc_id, page ORDER BY x, y2 DESC, seq) AS next_seq, lead(y2) OVER (PARTITION BY doc_id, page ORDER BY x, y2 DESC, seq) AS next_y2 FROM boxes WHERE label = 'text') SELECT doc_id, page, seq, next_seq FROM n WHERE next_y2 - y2 > 20")
-simple("xo07_numeric_formula", "Units of digits, commas, dots and spaces only.", lambda d: f"WITH u AS (SELECT doc_id, seq, CASE WHEN h % 21 = 0 THEN CAST(h AS STRING) || ', 3.5' ELSE source END AS s FROM units) SELECT doc_id, seq, s FROM u WHERE {d.like('s', '^[0-9, .]+$')}")
+simple("xo07_numeric_formula", "Formulas to be translated: digits, commas, dots and spaces only, not raised, and not wholly within formula regions.", lambda d: f"SELECT doc_id, seq, text AS s FROM formulas WHERE {d.like('text', '^[0-9, .]+$')} AND y_offset <= 0.1 AND NOT all_in_regions")
 simple("xo08_shared_layout", "Neighbouring units in one region each, the same one.", "WITH r AS (SELECT b.doc_id, b.seq, count(DISTINCT r.rid) AS n, min(r.rid) AS rid FROM boxes b JOIN regions r ON b.doc_id = r.doc_id AND b.page = r.page AND b.x >= r.x AND b.x2 <= r.x2 AND b.y >= r.y AND b.y2 <= r.y2 GROUP BY b.doc_id, b.seq) SELECT a.doc_id, a.seq, b.seq AS next_seq, a.rid = b.rid AND a.n = 1 AND b.n = 1 AS shared FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.seq = a.seq + 1")
-simple("xo10_placeholder_ids", "Sequential placeholder ids: one for a formula, two for a styled run; over forty: plain.", "WITH p AS (SELECT doc_id, page, seq, CASE WHEN h % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN h % 5 = 0 THEN 2 ELSE 0 END AS inc FROM units) SELECT doc_id, seq, inc, CAST(1 + coalesce(sum(inc) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_id, sum(inc) OVER (PARTITION BY doc_id) > 40 AS plain FROM p")
+simple("xo10_placeholder_ids", "Sequential placeholder ids: one for a formula, two for a styled run; over forty: plain.", lambda d: f"WITH p AS (SELECT doc_id, page, seq, {d.times('source', '[{]v[0-9]+[}]')} + 2 * {d.times('source', '<style id=')} AS inc FROM units) SELECT doc_id, seq, inc, CAST(1 + coalesce(sum(inc) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_id, sum(inc) OVER (PARTITION BY doc_id) > 40 AS plain FROM p")
 simple("xo15_move_gate", "Whether a paragraph may move to the next page, and why not.", "SELECT doc_id, seq, CASE WHEN label NOT IN ('text') THEN 'label' WHEN y > 200 THEN 'not_low' WHEN page >= 5 THEN 'last_pages' ELSE 'ok' END AS gate FROM boxes")
 simple("xo19_log_owner", "Owner of each event: the nearest span start before it (backward as-of).", lambda d: f"SELECT run_id, seq, {d.carried(chr(39).join(['CASE WHEN stage = ', 'signup', ' THEN span END']), 'PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS owner FROM log")
-simple("xo20_best_variant", "The first passing variant of each page by priority.", "SELECT doc_id, page, min_by(seq, CASE label WHEN 'title' THEN 0 WHEN 'text' THEN 1 ELSE 2 END * 100000 + seq) AS seq FROM units WHERE h % 6 <> 0 GROUP BY doc_id, page")
-simple("xo21_rejections", "Candidates by the first reason that rejects them.", "SELECT CASE WHEN label = 'table' THEN 'table' WHEN length(source) < 30 THEN 'short' WHEN h % 13 = 0 THEN 'flagged' ELSE 'kept' END AS reason, count(*) AS n FROM units GROUP BY CASE WHEN label = 'table' THEN 'table' WHEN length(source) < 30 THEN 'short' WHEN h % 13 = 0 THEN 'flagged' ELSE 'kept' END")
-simple("xo26_entities", "Paragraph entities and their relation to a region.", "SELECT b.doc_id, b.seq, CASE WHEN b.h % 6 = 0 THEN 'ordinal-' || CAST(b.seq AS STRING) ELSE b.id END AS entity, r.rid AS region FROM boxes b LEFT JOIN regions r ON b.doc_id = r.doc_id AND r.rid = b.seq")
+simple("xo20_best_variant", "The first passing variant of each page by priority.", "SELECT doc_id, page, min_by(seq, CASE label WHEN 'title' THEN 0 WHEN 'text' THEN 1 ELSE 2 END * 100000 + seq) AS seq FROM variants WHERE passed GROUP BY doc_id, page")
+simple("xo21_rejections", "Candidates by the first reason that rejects them.", "SELECT CASE WHEN label = 'table' THEN 'table' WHEN length(source) < 30 THEN 'short' WHEN flagged THEN 'flagged' ELSE 'kept' END AS reason, count(*) AS n FROM flagged_units GROUP BY CASE WHEN label = 'table' THEN 'table' WHEN length(source) < 30 THEN 'short' WHEN flagged THEN 'flagged' ELSE 'kept' END")
+simple("xo26_entities", "Paragraph entities and their relation to a region.", "SELECT p.doc_id, p.seq, coalesce(p.id, 'ordinal-' || CAST(p.seq AS STRING)) AS entity, r.rid AS region FROM snapshot_paragraphs p LEFT JOIN regions r ON p.doc_id = r.doc_id AND r.rid = p.layout_id")
 simple("xo31_label_pairing", "The k-th source label with the k-th output label, where counts agree.", "WITH a AS (SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id, page, target ORDER BY ord) AS k, count(*) OVER (PARTITION BY doc_id, page, target) AS n, target FROM links), b AS (SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id, page, target ORDER BY ord) AS k, count(*) OVER (PARTITION BY doc_id, page, target) AS n, target FROM out_links) SELECT a.doc_id, a.ord, b.ord AS out_ord FROM a JOIN b ON a.doc_id = b.doc_id AND a.page = b.page AND a.target = b.target AND a.k = b.k AND a.n = b.n")
 simple("xo36_page_parts", "Pages in parts of two, and the merged counts.", lambda d: f"SELECT doc_id, {d.div('page', '2')} AS part, count(*) AS units, count(DISTINCT page) AS pages FROM units GROUP BY doc_id, {d.div('page', '2')}")

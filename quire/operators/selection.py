@@ -72,11 +72,11 @@ simple("pf04_caption_override", "Captions are translated though they lie in a pr
 simple("pf05_author_note", "Author and legal notes near the page's foot.", lambda d: f"WITH {context(d)} SELECT doc_id, seq, y, {d.like('text', AUTHOR_NOTE)} AS note, y <= 110 AS low FROM judged WHERE {d.like('text', AUTHOR_NOTE)} OR y <= 20")
 simple("pf06_link_only", "Texts that are one address or link.", lambda d: f"SELECT doc_id, seq, w FROM {d.unnest('numbered', 'doc_id, seq', d.split('line', ' '), 'w')} z WHERE {d.like('w', EMAIL)} OR {d.like('w', URL)}")
 simple("pf07_translatable", "Units that may go to a translator: label, text, length.", lambda d: f"SELECT doc_id, seq FROM units WHERE {among('label', ('text', 'title', 'paragraph_title', 'figure_caption', 'table_caption'))} AND source IS NOT NULL AND length(trim(source)) >= 5 AND NOT {d.like('source', r'^[(]cid:')}")
-simple("pf08_cid_paragraph", "Units of which more than four fifths of the words are unmapped glyph codes.", lambda d: f"WITH w AS (SELECT doc_id, seq, CASE WHEN h % 31 = 0 THEN '(cid:' || CAST(h % 97 AS STRING) || ')' ELSE t END AS t FROM {d.unnest('numbered', 'doc_id, seq, h', d.split('line', ' '), 't')} z) SELECT doc_id, seq, count(*) AS n, count_if({d.like('t', r'^[(]cid:[0-9]+[)]$')}) AS cids, count_if({d.like('t', r'^[(]cid:[0-9]+[)]$')}) * 5 > count(*) * 4 AS is_cid FROM w GROUP BY doc_id, seq")
-simple("ag29_cid_document", "Documents of which more than four fifths of the units are glyph codes.", "WITH u AS (SELECT doc_id, CASE WHEN h % 31 = 0 OR doc_id % 50 = 0 THEN 1 ELSE 0 END AS cid FROM numbered) SELECT doc_id, count(*) AS n, CAST(sum(cid) AS BIGINT) AS cids, sum(cid) * 5 > count(*) * 4 AS is_cid FROM u GROUP BY doc_id")
+simple("pf08_cid_paragraph", "Units of which more than four fifths of the words are unmapped glyph codes.", lambda d: f"WITH w AS (SELECT doc_id, seq, t FROM {d.unnest('coded_units', 'doc_id, seq', d.split('line', ' '), 't')} z) SELECT doc_id, seq, count(*) AS n, count_if({d.like('t', r'^[(]cid:[0-9]+[)]$')}) AS cids, count_if({d.like('t', r'^[(]cid:[0-9]+[)]$')}) * 5 > count(*) * 4 AS is_cid FROM w GROUP BY doc_id, seq")
+simple("ag29_cid_document", "Documents of which more than four fifths of the units are glyph codes.", lambda d: f"WITH w AS (SELECT doc_id, seq, t FROM {d.unnest('coded_units', 'doc_id, seq', d.split('line', ' '), 't')} z), u AS (SELECT doc_id, seq, CASE WHEN count_if({d.like('t', r'^[(]cid:[0-9]+[)]$')}) * 5 > count(*) * 4 THEN 1 ELSE 0 END AS cid FROM w GROUP BY doc_id, seq) SELECT doc_id, count(*) AS n, CAST(sum(cid) AS BIGINT) AS cids, sum(cid) * 5 > count(*) * 4 AS is_cid FROM u GROUP BY doc_id")
 simple("pf09_numeric", "Words that are one number.", lambda d: f"SELECT doc_id, seq, w FROM {d.unnest('numbered', 'doc_id, seq', d.split('line', ' '), 'w')} z WHERE {d.like('w', r'^-?[0-9]+([.][0-9]+)?$')}")
-simple("pf10_placeholder_only", "Units with nothing but placeholders.", lambda d: f"WITH u AS (SELECT doc_id, seq, CASE WHEN h % 14 = 0 THEN '{{v1}} <style id=2></style>' ELSE source END AS s FROM units) SELECT doc_id, seq, s FROM u WHERE trim({d.sub('s', CANONICAL)}) = ''")
-simple("pf11_line_number", "Units of ASCII digits and spaces.", lambda d: f"WITH u AS (SELECT doc_id, seq, CASE WHEN h % 33 = 0 THEN CAST(seq AS STRING) || ' ' ELSE source END AS s FROM units) SELECT doc_id, seq FROM u WHERE {d.like('s', r'^[0-9 ]*$')}")
+simple("pf10_placeholder_only", "Units with nothing but placeholders.", lambda d: f"SELECT doc_id, seq, source AS s FROM bare_units WHERE trim({d.sub('source', CANONICAL)}) = ''")
+simple("pf11_line_number", "Units of ASCII digits and spaces.", lambda d: f"SELECT doc_id, seq FROM margin_units WHERE {d.like('source', r'^[0-9 ]*$')}")
 simple("pf12_region_kind", "Labels mapped to region kinds, and which kinds are translated.", "WITH kinds AS (SELECT 'title' AS label, 'heading' AS kind UNION ALL SELECT 'paragraph_title', 'heading' UNION ALL SELECT 'text', 'body' UNION ALL SELECT 'figure_caption', 'caption' UNION ALL SELECT 'table_caption', 'caption' UNION ALL SELECT 'table', 'table' UNION ALL SELECT 'figure', 'figure' UNION ALL SELECT 'header', 'margin' UNION ALL SELECT 'footer', 'margin' UNION ALL SELECT 'reference', 'reference') SELECT k.kind, count(*) AS n, k.kind IN ('heading', 'body', 'caption') AS translatable FROM regions r JOIN kinds k ON r.label = k.label GROUP BY k.kind")
 simple("pf13_untranslatable", "Why a unit's content is not translated: kind, no letters, too short.", lambda d: f"SELECT doc_id, seq, CASE WHEN label IN ('table', 'header', 'footer', 'reference') THEN 'region_kind' WHEN NOT {d.like(d.sub('source', CANONICAL), r'\p{L}')} THEN 'no_letters' WHEN length(trim({d.sub('source', CANONICAL)})) < 12 THEN 'too_short' END AS reason FROM units")
 simple("pf16_front_matter", "First-page lines with an address, an affiliation or an email.", lambda d: f"SELECT doc_id, seq, {d.like('source', r'(?i)universi|institut|college|school|department')} AS affiliation, {d.like('source', '@')} AS email FROM units WHERE page = 0 AND ({d.like('source', r'(?i)universi|institut|college|school|department')} OR {d.like('source', '@')})")

@@ -110,6 +110,6 @@ simple("wf25_expand_box", "How far each box can grow down and up before it meets
 simple("xo13_expand_four_ways", "Nearest obstacles in all four directions; the page's edge where there is none.", "SELECT a.doc_id, a.seq, coalesce(max(CASE WHEN b.x2 <= a.x AND least(a.y2, b.y2) > greatest(a.y, b.y) THEN b.x2 END), 0) AS left_to, coalesce(min(CASE WHEN b.x >= a.x2 AND least(a.y2, b.y2) > greatest(a.y, b.y) THEN b.x END), 612) AS right_to, coalesce(max(CASE WHEN b.y2 <= a.y AND least(a.x2, b.x2) > greatest(a.x, b.x) THEN b.y2 END), 0) AS down_to, coalesce(min(CASE WHEN b.y >= a.y2 AND least(a.x2, b.x2) > greatest(a.x, b.x) THEN b.y END), 792) AS up_to FROM boxes a LEFT JOIN boxes b ON a.doc_id = b.doc_id AND a.page = b.page AND a.seq <> b.seq GROUP BY a.doc_id, a.seq")
 simple("xo09_decoration", "Link boxes outside figures and tables.", lambda d: f"SELECT l.doc_id, l.ord FROM links l {anti(d)} regions r ON l.doc_id = r.doc_id AND l.page = r.page AND r.label IN ('figure', 'table') AND {meets('l', 'r')}")
 simple("xo03_single_char_marker", "Small boxes that hold exactly one character.", lambda d: f"SELECT g.doc_id, g.seq, l.ord, min(g.i) AS i FROM links l JOIN glyphs g ON l.doc_id = g.doc_id AND l.page = g.page AND g.x >= l.x AND g.x2 <= l.x + 12 AND g.y >= l.y - 4 AND g.y2 <= l.y + 14 GROUP BY g.doc_id, g.seq, l.ord HAVING count(*) = 1")
-simple("xo27_apply_overrides", "Boxes after overrides: scaled from the top left corner.", "SELECT doc_id, seq, x, y2 - (y2 - y) * (CASE WHEN h % 10 = 0 THEN 8 WHEN h % 10 = 1 THEN 12 ELSE 10 END) / CAST(10 AS DOUBLE) AS y, x + (x2 - x) * (CASE WHEN h % 10 = 0 THEN 8 ELSE 10 END) / CAST(10 AS DOUBLE) AS x2, y2 FROM boxes")
+simple("xo27_apply_overrides", "Boxes after overrides: scaled from the top left corner.", "SELECT b.doc_id, b.seq, b.x, b.y2 - (b.y2 - b.y) * coalesce(o.height10, 10) / CAST(10 AS DOUBLE) AS y, b.x + (b.x2 - b.x) * coalesce(o.width10, 10) / CAST(10 AS DOUBLE) AS x2, b.y2 FROM boxes b LEFT JOIN box_overrides o ON b.doc_id = o.doc_id AND b.seq = o.seq")
 simple("xo12_descent", "Boxes shifted by their page's most common font size (ties: larger).", "WITH c AS (SELECT doc_id, page, src_font, count(*) AS n FROM boxes GROUP BY doc_id, page, src_font), m AS (SELECT doc_id, page, max_by(src_font, n * 1000 + src_font) AS f FROM c GROUP BY doc_id, page) SELECT b.doc_id, b.seq, b.y - m.f AS y, b.y2 - m.f AS y2 FROM boxes b JOIN m ON b.doc_id = m.doc_id AND b.page = m.page")
 simple("xo22_fill_ratio", "Width of the glyphs of each visual row against its box.", "SELECT g.doc_id, g.seq, g.y, CAST(sum(g.x2 - g.x) AS BIGINT) AS ink, CAST(sum(g.x2 - g.x) AS BIGINT) / CAST(max(b.x2 - b.x) AS DOUBLE) AS fill FROM glyphs g JOIN boxes b ON g.doc_id = b.doc_id AND g.seq = b.seq GROUP BY g.doc_id, g.seq, g.y")

@@ -9,9 +9,8 @@ from .catalog import operator, simple
 @operator("fs05_strip_wrappers")
 def strip_wrappers(d: Dialect) -> str:
     """Code fences and tags around a reply removed."""
-    wrapped = "CASE WHEN h % 3 = 0 THEN '```json' || chr(10) || source || chr(10) || '```' WHEN h % 3 = 1 THEN '<json>' || source || '</json>' ELSE '  ' || source END"
-    inner = d.sub(d.sub("trim(w)", r"^<json>|</json>$"), r"^```(json)?|```$")
-    return f"WITH w AS (SELECT doc_id, seq, {wrapped} AS w FROM units) SELECT doc_id, seq, trim(replace({inner}, chr(10), ' ')) AS clean FROM w"
+    inner = d.sub(d.sub("trim(reply)", r"^<json>|</json>$"), r"^```(json)?|```$")
+    return f"SELECT doc_id, seq, trim(replace({inner}, chr(10), ' ')) AS clean FROM wrapped_replies"
 
 
 @operator("fs06_text_repair")
@@ -22,11 +21,11 @@ def text_repair(d: Dialect) -> str:
     return f"SELECT doc_id, seq, replace({d.sub(x, '[ \\t]{2,}', ' ')}, chr(10), ' ') AS repaired FROM units"
 
 
-simple("fs08_markdown_to_canonical", "Markdown anchors as canonical ones.", lambda d: f"WITH m AS (SELECT doc_id, seq, '[[S1]]' || line || '[[/S]] [[F' || CAST(h % 5 AS STRING) || ']]' AS m FROM numbered) SELECT doc_id, seq, {d.sub(d.sub(d.sub('m', r'\[\[S([0-9]+)\]\]', '<style id=$1>'), r'\[\[/S\]\]', '</style>'), r'\[\[F([0-9]+)\]\]', '{v$1}')} AS canonical FROM m")
+simple("fs08_markdown_to_canonical", "Markdown anchors as canonical ones.", lambda d: f"SELECT doc_id, seq, {d.sub(d.sub(d.sub('markdown', r'\[\[S([0-9]+)\]\]', '<style id=$1>'), r'\[\[/S\]\]', '</style>'), r'\[\[F([0-9]+)\]\]', '{v$1}')} AS canonical FROM markdown_texts")
 simple("fs11_strip_comments", "HTML without comments, closed or dangling.", lambda d: f"SELECT page_id, length({d.sub(d.sub('html', r'(?s)<!--.*?-->'), r'(?s)<!--.*$')}) AS n, length(html) - length({d.sub('html', r'(?s)<!--.*?-->')}) AS removed FROM pages")
 simple("fs12_clean_markdown", "Markdown bodies cleaned by label.", lambda d: f"WITH m AS (SELECT doc_id, seq, label, CASE WHEN label = 'title' THEN '## ' || source WHEN label = 'reference' THEN '- ' || source ELSE source END AS md FROM units) SELECT doc_id, seq, CASE WHEN label IN ('title', 'paragraph_title') THEN {d.sub('md', '^#+ +')} WHEN label = 'reference' THEN {d.sub('md', '^[-*] +')} ELSE trim(md) END AS body FROM m")
 simple("fs13_term_normal_form", "Terms lowered, blanks to one, trimmed.", lambda d: f"SELECT seq, trim({d.sub('lower(source)', '[ ]+', ' ')}) AS term FROM glossary")
-simple("fs19_bidi", "Direction marks: unsafe ones and unbalanced isolates.", lambda d: f"WITH t AS (SELECT doc_id, seq, CASE WHEN h % 45 = 0 THEN target || '⁦' WHEN h % 46 = 0 THEN '‮' || target ELSE target END AS t FROM targets) SELECT doc_id, seq, {d.like('t', '[‪-‮]')} AS unsafe, {d.times('t', '[⁦-⁨]')} = {d.times('t', '⁩')} AS balanced FROM t WHERE {d.like('t', '[‪-‮⁦-⁩]')}")
+simple("fs19_bidi", "Direction marks: unsafe ones and unbalanced isolates.", lambda d: f"WITH t AS (SELECT doc_id, seq, target AS t FROM direction_texts) SELECT doc_id, seq, {d.like('t', '[‪-‮]')} AS unsafe, {d.times('t', '[⁦-⁨]')} = {d.times('t', '⁩')} AS balanced FROM t WHERE {d.like('t', '[‪-‮⁦-⁩]')}")
 def numerals(most: int = 99) -> str:
     """1..most as Roman, Arabic and Chinese numerals, made by rule."""
 
@@ -59,7 +58,7 @@ simple("fs28_paper_meta", "First author and cleaned title of first lines.", lamb
 simple("fs29_slug", "Slugs: lower case, other signs to hyphens, forty characters.", lambda d: f"SELECT doc_id, seq, substr({d.sub(d.sub('lower(line)', '[^a-z0-9]+', '-'), '^-|-$')}, 1, 40) AS slug FROM numbered")
 simple("fs30_escape", "Block text with its entities escaped.", "SELECT doc_id, seq, '<p id=' || id || '>' || replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' AS html FROM units")
 simple("fs31_atoms", "Atoms of a unit: links, addresses, citations, numbers with units, in order.", lambda d: f"WITH a AS (SELECT doc_id, seq, {d.found('source', r'https?://[^ ]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\[[0-9, ]+\]|[0-9]+([.][0-9]+)? ?(%|kg|cm|ms)|[{]v[0-9]+[}]')} AS atoms FROM units) SELECT doc_id, seq, {d.size('atoms')} AS n, {d.joined('atoms', '|')} AS atoms FROM a WHERE {d.size('atoms')} > 0")
-simple("fs32_toc_split", "Contents lines: heading, leader and page.", lambda d: f"WITH l AS (SELECT doc_id, seq, line || ' . . . ' || CAST(h % 300 AS STRING) AS line FROM numbered WHERE h % 8 = 0) SELECT doc_id, seq, {d.group('line', r'^(.*?)([. ]*)([0-9]+)$', 1)} AS heading, length({d.group('line', r'^(.*?)([. ]*)([0-9]+)$', 2)}) AS leader, CAST({d.group('line', r'([0-9]+)$', 1)} AS BIGINT) AS page FROM l")
+simple("fs32_toc_split", "Contents lines: heading, leader and page.", lambda d: f"SELECT doc_id, seq, {d.group('line', r'^(.*?)([. ]*)([0-9]+)$', 1)} AS heading, length({d.group('line', r'^(.*?)([. ]*)([0-9]+)$', 2)}) AS leader, CAST({d.group('line', r'([0-9]+)$', 1)} AS BIGINT) AS page FROM contents_rows WHERE {d.like('line', '[. ]{2,}[0-9]+$')}")
 simple("fh01_identity", "Content identity: SHA-256 of text and a key of sorted parameters.", lambda d: f"SELECT doc_id, {d.sha('text')} AS sha, md5('lang=' || lang || ';source=' || source) AS params FROM documents")
 
 

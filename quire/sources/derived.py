@@ -45,6 +45,49 @@ def _definitions(d: Dialect) -> dict[str, str]:
         "stage_hashes": "(SELECT doc_id, stage, md5(CAST(doc_id AS STRING) || '-' || CAST(stage AS STRING)) AS recorded, CASE WHEN (doc_id + stage) % 11 = 0 THEN 'changed' WHEN (doc_id + stage) % 29 = 0 THEN NULL ELSE md5(CAST(doc_id AS STRING) || '-' || CAST(stage AS STRING)) END AS current_hash FROM stage_inputs)",
         "links": f"(SELECT b.doc_id, b.page, b.seq AS ord, b.h, b.h % 5 AS target, b.x + 10 AS x, b.y + 5 AS y, b.x + 60 AS x2, b.y + 17 AS y2, CAST(b.h % 30 AS STRING) AS number FROM boxes b WHERE b.h % 3 = 0)",
         "out_links": "(SELECT doc_id, page, ord, target, x + 3 AS x, y - 4 AS y, x2 + 3 AS x2, y2 - 4 AS y2, CASE WHEN h % 47 = 0 THEN '99' ELSE number END AS number FROM links WHERE h % 43 <> 0)",
+        # What the operators below are to find: defects, decisions and drafts, put in by rule.
+        "label_records": "(SELECT doc_id, seq, CASE WHEN h % 40 = 13 THEN NULL ELSE label END AS label FROM units)",
+        "toc_candidates": "(SELECT doc_id, page, seq, CASE WHEN (doc_id + page) % 9 = 0 AND h % 4 <> 0 THEN line || ' ..... ' || CAST(seq AS STRING) ELSE line END AS line FROM numbered)",
+        "page_flags": "(SELECT DISTINCT doc_id, page, doc_id % 3 = 0 OR page % 5 = 0 AS is_scan FROM units)",
+        "toc_entries": "(SELECT doc_id, page, seq, CASE WHEN h % 3 = 0 THEN '1.' || CAST(h % 4 AS STRING) || ' ' || line WHEN h % 3 = 1 THEN '2 ' || line ELSE line END AS line, (h % 4) * 12 + h % 2 AS indent FROM numbered)",
+        "arriving_events": "(SELECT run_id, seq % 50 AS seq, ms, seq AS arrived FROM log)",
+        "tries": "(SELECT doc_id, seq, h % 19 = 0 AS left_first, h % 38 = 0 OR h % 101 = 0 AS left_retry FROM units)",
+        "formulas": "(SELECT doc_id, seq, CASE WHEN h % 21 = 0 THEN CAST(h AS STRING) || ', 3.5' ELSE source END AS text, CAST(h % 3 AS DOUBLE) / 10 AS y_offset, h % 4 = 0 AS all_in_regions FROM units)",
+        "variants": "(SELECT doc_id, page, seq, label, h % 6 <> 0 AS passed FROM units)",
+        "flagged_units": "(SELECT doc_id, seq, label, source, h % 13 = 0 AS flagged FROM units)",
+        "snapshot_paragraphs": "(SELECT doc_id, seq, CASE WHEN h % 6 = 0 THEN NULL ELSE id END AS id, seq AS layout_id FROM boxes)",
+        "placed_boxes": "(SELECT * FROM boxes WHERE h % 6 <> 0)",
+        "snapshot_labels": "(SELECT doc_id, seq, label FROM units WHERE h % 5 <> 0)",
+        "local_blocks": "(SELECT doc_id, page, seq FROM boxes WHERE h % 4 <> 0)",
+        "reply_ids": "(SELECT doc_id, CASE WHEN h % 43 = 0 THEN id || 'x' ELSE id END AS id FROM replies)",
+        "span_log": "(SELECT * FROM log WHERE NOT (kind = 'started' AND seq % 5 = 0))",
+        "block_geometry": "(SELECT doc_id, seq, CASE WHEN h % 4 = 0 THEN NULL ELSE x END AS x, CASE WHEN h % 6 = 0 THEN NULL ELSE y2 END AS y2 FROM boxes)",
+        "edit_bases": "(SELECT document, revision, origin, revision + CASE WHEN document % 4 = 0 THEN 1 ELSE 0 END AS base_revision FROM edits)",
+        "jobs": "(SELECT DISTINCT document, CASE WHEN document % 7 = 0 THEN 'cancelled' ELSE 'running' END AS state FROM edits)",
+        "draft_fields": "(SELECT doc_id, seq, h % 3 = 0 AS has_target, CASE WHEN h % 6 = 0 THEN NULL ELSE 'draft' END AS target FROM units WHERE h % 2 = 0)",
+        "replacements": "(SELECT doc_id, seq, target FROM targets WHERE h % 2 = 0)",
+        "deletions": "(SELECT doc_id FROM documents WHERE doc_id % 10 = 0)",
+        "block_hashes": "(SELECT doc_id, seq, page, md5(source) AS input_hash, CASE WHEN h % 31 = 0 THEN md5(source || 'x') ELSE md5(source) END AS compiled_hash FROM units)",
+        "draft_texts": "(SELECT doc_id, seq, 'draft ' || id AS target FROM targets WHERE h % 9 = 0)",
+        "overrides_before": "(SELECT doc_id, seq, src_font AS v FROM boxes WHERE h % 5 <> 0)",
+        "overrides_after": "(SELECT doc_id, seq, src_font + CASE WHEN h % 8 = 0 THEN 1 ELSE 0 END AS v FROM boxes WHERE h % 7 <> 0)",
+        "override_base": "(SELECT doc_id, 'P' || CAST(seq AS STRING) AS k, CAST(src_font AS STRING) AS v FROM boxes WHERE h % 5 = 0)",
+        "override_patches": "(SELECT doc_id, 'P' || CAST(seq AS STRING) AS k, CASE WHEN h % 4 = 0 THEN NULL ELSE 'new' END AS v FROM boxes WHERE h % 3 = 0)",
+        "override_entries": "(SELECT doc_id, seq, h % 37 AS scale, src_font AS font, CASE WHEN h % 6 = 0 THEN 'colour' WHEN h % 2 = 0 THEN 'box_scale' ELSE 'font_scale' END AS k FROM boxes)",
+        "marked_blocks": "(SELECT doc_id, seq, '<!-- id=' || CASE WHEN h % 9 = 0 THEN 'P00-000' ELSE id END || ' label=' || label || ' -->' AS mark, source FROM units)",
+        "incoming_events": "(SELECT user_id AS run_id, event_id, ts FROM events WHERE event_id % 20 = 0)",
+        "ocr_texts": "(SELECT doc_id, seq, translate(source, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS text FROM units WHERE h % 3 = 0)",
+        "toc_rows": "(SELECT doc_id, seq, CASE WHEN h % 6 = 0 THEN line || ' .... ' || CAST(seq AS STRING) ELSE line END AS line FROM numbered)",
+        "contents_rows": "(SELECT doc_id, seq, CASE WHEN h % 8 = 0 THEN line || ' . . . ' || CAST(h % 300 AS STRING) ELSE line END AS line FROM numbered)",
+        "stored_meta": "(SELECT doc_id, source AS title FROM documents WHERE doc_id % 9 = 0)",
+        "unit_edits": "(SELECT doc_id, seq FROM targets WHERE h % 23 = 0)",
+        "coded_units": f"(SELECT doc_id, seq, CASE WHEN h % 31 = 0 OR doc_id % 50 = 0 THEN {d.sub('line', '[^ ]+', '(cid:7)')} ELSE line END AS line FROM numbered)",
+        "bare_units": "(SELECT doc_id, seq, CASE WHEN h % 14 = 0 THEN '{v1} <style id=2></style>' ELSE source END AS source FROM units)",
+        "margin_units": "(SELECT doc_id, seq, CASE WHEN h % 33 = 0 THEN CAST(seq AS STRING) || ' ' ELSE source END AS source FROM units)",
+        "wrapped_replies": "(SELECT doc_id, seq, CASE WHEN h % 3 = 0 THEN '```json' || chr(10) || source || chr(10) || '```' WHEN h % 3 = 1 THEN '<json>' || source || '</json>' ELSE '  ' || source END AS reply FROM units)",
+        "markdown_texts": "(SELECT doc_id, seq, '[[S1]]' || line || '[[/S]] [[F' || CAST(h % 5 AS STRING) || ']]' AS markdown FROM numbered)",
+        "direction_texts": "(SELECT doc_id, seq, CASE WHEN h % 45 = 0 THEN target || '\u2066' WHEN h % 46 = 0 THEN '\u202e' || target ELSE target END AS target FROM targets)",
+        "box_overrides": "(SELECT doc_id, seq, CASE WHEN h % 10 = 0 THEN 8 ELSE 10 END AS width10, CASE WHEN h % 10 = 0 THEN 8 ELSE 12 END AS height10 FROM boxes WHERE h % 10 < 2)",
     }
 
 

@@ -32,3 +32,13 @@ def test_high_risk_is_limited_for_each_document(spark):
     for d in (1, 2):
         mine = sorted((r.place, r.seq) for r in out if r.doc_id == d)
         assert mine == [(k, k) for k in range(1, 41)]
+
+
+def test_glossary_terms_of_any_form(spark):
+    """Terms inside words, of one sign, with two blanks in a row, with a blank at either end, and one that is empty."""
+    terms = ["eep learn", "K", "a  b", "learning ", " of", "", "深度", "deep learning of", "absent term", "learnings"]
+    texts = ["Deep Learning of k things", "a  b", "一深度二", "", "of a b"]
+    units = spark.createDataFrame([(1, i, x) for i, x in enumerate(texts)], "doc_id long, seq long, source string")
+    glossary = spark.createDataFrame([(x,) for x in terms + ["EEP learn"]], "source string")
+    got = sorted((r.seq, r.term) for r in CATALOG["jn20_glossary_terms"].on(spark, units=units, glossary=glossary).collect())
+    assert got == sorted((i, t.lower()) for i, x in enumerate(texts) for t in terms if t and t.lower() in x.lower())
