@@ -29,7 +29,7 @@ simple("up09_cascade_delete", "What stays after some documents are deleted, in e
 simple("up10_stale_stage", "The first stage of each document whose recorded input differs from the current one.", "SELECT doc_id, min(CASE WHEN recorded IS DISTINCT FROM current_hash THEN stage END) AS first_stale, count_if(recorded IS DISTINCT FROM current_hash) AS stale FROM stage_hashes GROUP BY doc_id")
 simple("up11_dirty_pages", "Pages with a changed block.", "SELECT doc_id, page, count(*) AS blocks, count_if(input_hash IS DISTINCT FROM compiled_hash) AS dirty FROM block_hashes GROUP BY doc_id, page HAVING count_if(input_hash IS DISTINCT FROM compiled_hash) > 0")
 simple("up12_age_retention", "Files older than a bound.", "SELECT doc_id, mtime FROM assets WHERE mtime < 30")
-simple("up13_backfill", "Rows from files that the table does not have yet.", lambda d: f"WITH f AS (SELECT doc_id, seq, id FROM units WHERE page = 0) SELECT f.doc_id, f.seq, f.id FROM f {anti(d)} targets t ON f.doc_id = t.doc_id AND f.seq = t.seq")
+simple("up13_backfill", "Rows from files that the table does not have yet.", lambda d: f"WITH f AS (SELECT doc_id, seq, id FROM units) SELECT f.doc_id, f.seq, f.id FROM f {anti(d)} targets t ON f.doc_id = t.doc_id AND f.seq = t.seq")
 simple("up14_effective_target", "The draft over the translation.", "SELECT t.doc_id, t.seq, coalesce(f.target, t.target) AS target, f.target IS NOT NULL AS from_draft FROM targets t LEFT JOIN draft_texts f ON t.doc_id = f.doc_id AND t.seq = f.seq")
 simple("pf14_event_filter", "Events of a stage, with the cursor of the whole page scanned.", "WITH p AS (SELECT run_id, seq, stage, kind, max(seq) OVER (PARTITION BY run_id) AS cursor_to FROM log WHERE seq <= 200) SELECT run_id, seq, kind, cursor_to FROM p WHERE stage = 'error'")
 simple("pf18_override_diff", "Overrides added, changed and removed.", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.seq, b.seq) AS seq, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'changed' END AS change FROM overrides_before a FULL OUTER JOIN overrides_after b ON a.doc_id = b.doc_id AND a.seq = b.seq WHERE a.v IS DISTINCT FROM b.v")

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or one of our own where none is set
+    and all runs on one machine, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(top or '/tmp/quire-checkpoints').rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def storage(spark: SparkSession, path: str) -> tuple:
+    """The file system of ``path``, and a maker of its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a line that doesn't parse is skipped, as is a last line without an end."""
     lines = spark.read.text(path).where(F.trim("value") != "")
@@ -38,16 +54,26 @@ def write_glossary(rows: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, path: str) -> str:
-    """Writes beside ``path``, then puts the new table in the old one's place by a rename: no reader ever finds a table
-    half written (between the two steps it finds none)."""
+    """Writes beside ``path``, moves the old table aside, puts the new one in its place and drops the old one. No reader
+    ever finds a table half written, and at every moment one whole table is at ``path`` or ``path.old``: ``published``
+    reads it, and the next call puts it back where a crash left it aside. One writer at a time."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target):
+    fs, make = storage(spark, path)
+    target, aside, fresh = make(path), make(f"{path}.old"), make(f"{path}.{uuid.uuid4().hex}")
+    if not fs.exists(target) and fs.exists(aside):
+        fs.rename(aside, target)
+    df.write.parquet(fresh.toString())
+    fs.delete(aside, True)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(fresh, target):
+        fs.rename(aside, target)
         raise OSError(f"{path} could not be published")
+    fs.delete(aside, True)
     return path
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The table last published whole at ``path``."""
+    fs, make = storage(spark, path)
+    return spark.read.parquet(path if fs.exists(make(path)) else f"{path}.old")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +13,7 @@ from .derived import with_clause
 
 
 def _folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/quire-checkpoints"
-    return f"{top.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return files.shared_folder(spark, "files")
 
 
 def _table(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
@@ -26,7 +24,9 @@ def _table(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
 
 LOG = "SELECT run_id, seq, stage, kind FROM log"
 TERMS = "SELECT source, target, lang AS tgt_lng FROM glossary WHERE trim(source) <> ''"
-SHEET = "SELECT doc_id, id, label, source FROM units WHERE page = 0"
+SHEET = "SELECT doc_id, id, label, source FROM units"
+#: Documents of one JSON array, which a reader holds whole.
+ARRAY_DOCUMENTS = 500
 SIZES = "SELECT doc_id, sha, size FROM assets"
 
 
@@ -41,7 +41,7 @@ def sc01_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sc04_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON array a file, written whole."""
     path = _folder(spark)
-    rows = _table(spark, sf_dir, SIZES).groupBy((F.col("doc_id") % 7).alias("part")).agg(F.to_json(F.collect_list(F.struct("doc_id", "sha", "size"))).alias("value"))
+    rows = _table(spark, sf_dir, SIZES).groupBy(F.floor(F.col("doc_id") / ARRAY_DOCUMENTS).alias("part")).agg(F.to_json(F.collect_list(F.struct("doc_id", "sha", "size"))).alias("value"))
     rows.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return files.read_json(spark, path, "doc_id long, sha string, size long")
 
@@ -57,7 +57,7 @@ def sc06_tool_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glossary CSV with a byte-order mark and notes; a file without the columns is refused."""
     path = _folder(spark)
     terms = _table(spark, sf_dir, TERMS).select(F.col("source").alias("\ufeffsource"), "target", F.lit("n").alias("note"))
-    terms.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    terms.write.option("header", True).option("escape", '"').csv(path)
     return files.read_glossary(spark, path).select("source", "target", "note")
 
 
@@ -66,7 +66,7 @@ def sc07_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, array = _folder(spark), _folder(spark)
     units = _table(spark, sf_dir, SHEET)
     units.write.json(lines)
-    units.groupBy((F.col("doc_id") % 5).alias("part")).agg(F.to_json(F.collect_list(F.struct("doc_id", "id", "label", "source"))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(array)
+    units.groupBy(F.floor(F.col("doc_id") / ARRAY_DOCUMENTS).alias("part")).agg(F.to_json(F.collect_list(F.struct("doc_id", "id", "label", "source"))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(array)
     schema = "doc_id long, id string, label string, source string"
     first = files.read_jsonl(spark, lines, schema)
     second = files.read_json(spark, array, schema)
@@ -82,4 +82,4 @@ def sk01_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"sc01_jsonl": sc01_jsonl, "sc04_json": sc04_json, "sc05_glossary_csv": sc05_glossary_csv, "sc06_tool_glossary": sc06_tool_glossary, "sc07_sheet": sc07_sheet, "sk01_publish": sk01_publish}
-ORACLE = {"sc01_jsonl": with_clause(DUCKDB, LOG), "sc04_json": with_clause(DUCKDB, SIZES), "sc05_glossary_csv": with_clause(DUCKDB, TERMS.replace("SELECT source, target, lang AS tgt_lng", "SELECT source, target")), "sc06_tool_glossary": with_clause(DUCKDB, TERMS.replace("lang AS tgt_lng", "'n' AS note")), "sc07_sheet": with_clause(DUCKDB, "SELECT doc_id, id, label, source, form FROM units, (SELECT 'lines' AS form UNION ALL SELECT 'array' AS form) f WHERE page = 0"), "sk01_publish": with_clause(DUCKDB, SIZES)}
+ORACLE = {"sc01_jsonl": with_clause(DUCKDB, LOG), "sc04_json": with_clause(DUCKDB, SIZES), "sc05_glossary_csv": with_clause(DUCKDB, TERMS.replace("SELECT source, target, lang AS tgt_lng", "SELECT source, target")), "sc06_tool_glossary": with_clause(DUCKDB, TERMS.replace("lang AS tgt_lng", "'n' AS note")), "sc07_sheet": with_clause(DUCKDB, "SELECT doc_id, id, label, source, form FROM units, (SELECT 'lines' AS form UNION ALL SELECT 'array' AS form) f"), "sk01_publish": with_clause(DUCKDB, SIZES)}

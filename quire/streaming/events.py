@@ -8,7 +8,6 @@ where the last run ended, which is the persisted cursor.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import files
+
 
 def _folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/quire-checkpoints"
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return files.shared_folder(spark, "stream")
 
 
 def drain(stream: DataFrame, folder: str | None = None) -> DataFrame:
@@ -110,20 +110,28 @@ def page_readiness(arrivals: DataFrame) -> DataFrame:
 
 
 def latest_only(stream: DataFrame, key: str, order: str, folder: str | None = None) -> DataFrame:
-    """Coalescing sink: each batch keeps the latest row a key, merged into a table that is written anew and swapped."""
+    """Coalescing sink: each batch keeps the latest row a key, merged with the table of the batch before.
+
+    The table of batch n is folder/latest-n, made from batch n's rows and latest-(n-1), so that a restart from the same
+    folder goes on with what is there and a batch that is run again gives the same table. Only the last two are kept. A
+    source without rows gives an empty table.
+    """
     spark = stream.sparkSession
     folder = folder or _folder(spark)
-    written: list[str] = []
+    fs, make = files.storage(spark, folder)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if not written else batch.unionByName(spark.read.schema(batch.schema).parquet(written[-1]))
+        before = f"{folder}/latest-{number - 1}"
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(before)) if number and fs.exists(make(before)) else batch
         latest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
         latest.write.mode("overwrite").parquet(f"{folder}/latest-{number}")
-        written.append(f"{folder}/latest-{number}")
+        fs.delete(make(f"{folder}/latest-{number - 2}"), True)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(written[-1])
+    found = fs.globStatus(make(f"{folder}/latest-*/_SUCCESS")) or []
+    last = max((int(s.getPath().getParent().getName().rpartition("-")[2]) for s in found), default=None)
+    return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{folder}/latest-{last}")
 
 
 # Queries over the driver's tables ------------------------------------------------------------------------------

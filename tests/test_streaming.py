@@ -39,3 +39,25 @@ def test_sources(spark, tmp_path):
     for n in (3, 5):
         files.publish(spark.range(n), f"{tmp_path}/table")
     assert spark.read.parquet(f"{tmp_path}/table").agg(F.count("id")).first()[0] == 5
+
+
+def test_latest_rows_survive_a_restart(spark, tmp_path):
+    src, folder, schema = f"{tmp_path}/in", f"{tmp_path}/out", "k long, n long, v string"
+    stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
+    spark.createDataFrame([], schema).write.parquet(f"{src}/none")
+    assert events.latest_only(stream(), "k", "n", folder).count() == 0
+    for name, rows in (("a", [(1, 1, "a"), (2, 1, "b")]), ("b", [(1, 2, "c")]), ("c", [(3, 1, "d"), (1, 1, "old")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/{name}")
+        out = events.latest_only(stream(), "k", "n", folder)
+    assert sorted(map(tuple, out.collect())) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+    assert sorted(map(tuple, events.latest_only(stream(), "k", "n", folder).collect())) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+
+
+def test_publish_leaves_a_whole_table_after_a_crash(spark, tmp_path):
+    path = tmp_path / "table"
+    files.publish(spark.range(3), str(path))
+    path.rename(f"{path}.old")  # as a crash between the two moves leaves it
+    assert files.published(spark, str(path)).count() == 3
+    files.publish(spark.range(5), str(path))
+    assert files.published(spark, str(path)).count() == 5
+    assert [x.name for x in tmp_path.iterdir()] == ["table"]
