@@ -70,7 +70,7 @@ def document_check(d: Dialect) -> str:
 def metrics(d: Dialect) -> str:
     """Per document: rows, checked targets, median length ratio and the number of findings of each kind."""
     names = {"empty_target": "empty_targets", "intra_paragraph_truncated": "truncated", "low_cjk": "low_cjk", "sentence_end_mismatch": "sentence_end_mismatch", "formula_splice": "formula_splice"}
-    counts = ", ".join(f"CAST(count_if({rules(d)[code][1]}) AS BIGINT) AS {name}" for code, name in names.items())
+    counts = ", ".join(f"count(CASE WHEN {rules(d)[code][1]} THEN 1 END) AS {name}" for code, name in names.items())
     return f"WITH {wide(d)} SELECT doc_id, count(*) AS n_rows, count(target) AS checked_targets, coalesce(max(mid), 0.0) AS median_len_ratio, {counts} FROM wide GROUP BY doc_id"
 
 
@@ -166,7 +166,7 @@ def manual_edits(d: Dialect) -> str:
 @operator("ag18_verdict")
 def verdict(d: Dialect) -> str:
     """needs_fix if any blocker, unavailable if nothing was checked, else pass."""
-    hit = lambda sev: " + ".join(f"count_if({rule})" for s, rule in rules(d).values() if sev in (s, None))
+    hit = lambda sev: " + ".join(f"count(CASE WHEN {rule} THEN 1 END)" for s, rule in rules(d).values() if sev in (s, None))
     return f"WITH {wide(d)}, seen AS (SELECT doc_id, count(target) AS checked, CAST({hit('P0')} AS BIGINT) AS blockers, CAST({hit(None)} AS BIGINT) AS findings FROM wide GROUP BY doc_id) SELECT doc_id, CASE WHEN checked = 0 THEN 'unavailable' WHEN blockers > 0 THEN 'needs_fix' ELSE 'pass' END AS verdict, blockers, findings FROM seen"
 
 
