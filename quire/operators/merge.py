@@ -6,21 +6,17 @@ from ..functions.dialect import Dialect
 from .catalog import operator, simple
 from .spatial import anti
 
-# A second version of each document's edits: what the merge operators bring together.
-NEW = "SELECT document, revision, origin, target FROM edits WHERE revision % 2 = 1"
-OLD = "SELECT document, revision, origin, target FROM edits WHERE revision % 2 = 0 AND document % 3 <> 0"
-
 simple("jn12_paragraph_view", "One row a known id over four sources; the first source that has a field gives it.", "WITH ids AS (SELECT doc_id, seq FROM placed_boxes UNION SELECT doc_id, seq FROM links UNION SELECT doc_id, seq FROM targets) SELECT i.doc_id, i.seq, coalesce(b.label, u.label) AS label, coalesce(b.x, l.x) AS x, t.target IS NOT NULL AS translated, CASE WHEN b.seq IS NULL THEN NULL ELSE b.src_font END AS font FROM ids i LEFT JOIN placed_boxes b ON i.doc_id = b.doc_id AND i.seq = b.seq LEFT JOIN (SELECT doc_id, ord, x FROM links) l ON i.doc_id = l.doc_id AND i.seq = l.ord LEFT JOIN snapshot_labels u ON i.doc_id = u.doc_id AND i.seq = u.seq LEFT JOIN targets t ON i.doc_id = t.doc_id AND i.seq = t.seq".replace("SELECT doc_id, seq FROM links", "SELECT doc_id, ord AS seq FROM links"))
 simple("jn13_blocks_translations", "Blocks with their translations, if any.", "SELECT u.doc_id, u.seq, u.id, t.target FROM units u LEFT JOIN targets t ON u.doc_id = t.doc_id AND u.id = t.id")
 simple("jn14_pages_local", "Pages joined to their local pages.", "WITH p AS (SELECT DISTINCT doc_id, page FROM units), l AS (SELECT doc_id, page, count(*) AS blocks FROM local_blocks GROUP BY doc_id, page) SELECT p.doc_id, p.page, l.blocks FROM p JOIN l ON p.doc_id = l.doc_id AND p.page = l.page")
 simple("jn21_id_alignment", "Ids missing from the replies and ids they add.", lambda d: f"SELECT u.doc_id, u.id, 'missing' AS side FROM units u {anti(d)} reply_ids r ON u.doc_id = r.doc_id AND u.id = r.id UNION ALL SELECT r.doc_id, r.id, 'extra' AS side FROM reply_ids r {anti(d)} units u ON u.doc_id = r.doc_id AND u.id = r.id")
-simple("jn25_layered_lookup", "A page's own font wins over the document's.", "WITH doc AS (SELECT doc_id, min(src_font) AS font FROM boxes GROUP BY doc_id), own AS (SELECT doc_id, page, max(src_font) AS font FROM boxes WHERE page % 2 = 1 GROUP BY doc_id, page) SELECT b.doc_id, b.seq, coalesce(o.font, d.font) AS font FROM boxes b LEFT JOIN own o ON b.doc_id = o.doc_id AND b.page = o.page LEFT JOIN doc d ON b.doc_id = d.doc_id")
+simple("jn25_layered_lookup", "Fonts by name: the form's own map wins over the page's.", "SELECT u.doc_id, u.seq, coalesce(x.font, p.font) AS font, x.font IS NOT NULL AS own FROM font_uses u LEFT JOIN xobject_fonts x ON u.doc_id = x.doc_id AND u.page = x.page AND u.xobject = x.xobject AND u.name = x.name LEFT JOIN page_fonts p ON u.doc_id = p.doc_id AND u.page = p.page AND u.name = p.name")
 simple("jn26_span_pairs", "Starts and finishes of a span; a lone finish starts its duration earlier.", "WITH s AS (SELECT run_id, span, at_us FROM span_log WHERE kind = 'started'), f AS (SELECT run_id, span, at_us, ms FROM span_log WHERE kind = 'finished') SELECT coalesce(s.run_id, f.run_id) AS run_id, coalesce(s.span, f.span) AS span, coalesce(s.at_us, f.at_us - f.ms * 1000) AS start_us, f.at_us AS end_us FROM s FULL OUTER JOIN f ON s.run_id = f.run_id AND s.span = f.span")
 simple("jn30_hydrate", "Missing geometry from the parse state.", "SELECT g.doc_id, g.seq, coalesce(g.x, b.x) AS x, coalesce(g.y2, b.y2) AS y2 FROM block_geometry g LEFT JOIN boxes b ON g.doc_id = b.doc_id AND g.seq = b.seq")
-simple("up01_upsert", "Rows of the old table replaced or joined by the new ones' last.", f"WITH n AS (SELECT document, max(revision) AS revision, max_by(target, revision) AS target FROM ({NEW}) a GROUP BY document), o AS (SELECT document, max(revision) AS revision, max_by(target, revision) AS target FROM ({OLD}) b GROUP BY document) SELECT coalesce(n.document, o.document) AS document, coalesce(n.revision, o.revision) AS revision, coalesce(n.target, o.target) AS target FROM n FULL OUTER JOIN o ON n.document = o.document")
-simple("up02_guarded_upsert", "As an upsert, but a manual text is never overwritten by an automatic one, and unchanged rows stay.", f"WITH n AS (SELECT document, max_by(origin, revision) AS origin, max_by(target, revision) AS target FROM ({NEW}) a GROUP BY document), o AS (SELECT document, max_by(origin, revision) AS origin, max_by(target, revision) AS target FROM ({OLD}) b GROUP BY document) SELECT coalesce(n.document, o.document) AS document, CASE WHEN o.origin = 'manual' AND n.origin = 'auto' THEN o.target WHEN n.target IS NULL THEN o.target ELSE n.target END AS target, o.document IS NULL OR (n.document IS NOT NULL AND n.target IS DISTINCT FROM o.target AND NOT (o.origin = 'manual' AND n.origin = 'auto')) AS written FROM n FULL OUTER JOIN o ON n.document = o.document")
-simple("up03_replace_cache", "The latest row of each key.", "SELECT role AS k, max(conv_id * 1000 + turn) AS version, max_by(text, conv_id * 1000 + turn) AS text FROM conversations GROUP BY role")
-simple("up04_insert_or_ignore", "New rows whose key is not there yet.", lambda d: f"WITH o AS ({OLD}), n AS ({NEW}) SELECT n.document, n.revision, n.target FROM n {anti(d)} o ON n.document = o.document")
+simple("up01_upsert", "Rows of the old table replaced or joined by the new ones' last.", "WITH n AS (SELECT document, max(revision) AS revision, max_by(target, revision) AS target FROM arriving_rows GROUP BY document), o AS (SELECT document, max(revision) AS revision, max_by(target, revision) AS target FROM stored_rows GROUP BY document) SELECT coalesce(n.document, o.document) AS document, coalesce(n.revision, o.revision) AS revision, coalesce(n.target, o.target) AS target FROM n FULL OUTER JOIN o ON n.document = o.document")
+simple("up02_guarded_upsert", "As an upsert, but a manual text is never overwritten by an automatic one, and unchanged rows stay.", "WITH n AS (SELECT document, max_by(origin, revision) AS origin, max_by(target, revision) AS target FROM arriving_rows GROUP BY document), o AS (SELECT document, max_by(origin, revision) AS origin, max_by(target, revision) AS target FROM stored_rows GROUP BY document) SELECT coalesce(n.document, o.document) AS document, CASE WHEN o.origin = 'manual' AND n.origin = 'auto' THEN o.target WHEN n.target IS NULL THEN o.target ELSE n.target END AS target, o.document IS NULL OR (n.document IS NOT NULL AND n.target IS DISTINCT FROM o.target AND NOT (o.origin = 'manual' AND n.origin = 'auto')) AS written FROM n FULL OUTER JOIN o ON n.document = o.document")
+simple("up03_replace_cache", "The last put of each key, and how many it replaced.", "SELECT engine, source, max(put) AS put, max_by(translation, put) AS translation, count(*) - 1 AS replaced FROM cache_puts GROUP BY engine, source")
+simple("up04_insert_or_ignore", "New rows whose key is not there yet.", lambda d: f"SELECT n.document, n.revision, n.target FROM arriving_rows n {anti(d)} stored_rows o ON n.document = o.document")
 simple("up05_compare_and_set", "Edits accepted where their base revision is the current one.", "WITH c AS (SELECT document, max(revision) AS current_revision FROM edits GROUP BY document) SELECT e.document, e.revision, c.current_revision, e.base_revision = c.current_revision AS accepted FROM edit_bases e JOIN c ON e.document = c.document")
 simple("up06_guarded_commit", "Commits: revision matches and the job is active; a manual text wins.", "WITH c AS (SELECT document, max(revision) AS head, bool_or(origin = 'manual') AS hand FROM edits GROUP BY document) SELECT e.document, e.revision, CASE WHEN j.state IS DISTINCT FROM 'running' THEN coalesce(j.state, 'no_job') WHEN e.revision <> c.head THEN 'stale' WHEN c.hand AND e.origin = 'auto' THEN 'manual_kept' ELSE 'committed' END AS outcome FROM edits e JOIN c ON e.document = c.document LEFT JOIN jobs j ON e.document = j.document")
 simple("up07_draft_merge", "Drafts field by field: set, cleared or left; empty rows go.", "WITH b AS (SELECT doc_id, seq, id, target FROM targets), p AS (SELECT doc_id, seq, has_target, target FROM draft_fields), m AS (SELECT coalesce(b.doc_id, p.doc_id) AS doc_id, coalesce(b.seq, p.seq) AS seq, CASE WHEN p.has_target THEN p.target ELSE b.target END AS target FROM b FULL OUTER JOIN p ON b.doc_id = p.doc_id AND b.seq = p.seq) SELECT doc_id, seq, target FROM m WHERE target IS NOT NULL AND target <> ''")

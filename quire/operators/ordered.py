@@ -64,6 +64,7 @@ simple("st02_top_one", "The longest unit of each page; of equals the first.", "W
 simple("st03_limit", "The ten longest units.", "SELECT doc_id, seq, length(source) AS n FROM units ORDER BY n DESC, doc_id, seq LIMIT 10")
 simple("st04_latest", "The latest revision of each document.", "SELECT document, max(revision) AS revision, max_by(target, revision) AS target FROM edits GROUP BY document")
 simple("st05_keyset_page", "Events after a cursor, twenty a page, with the next cursor and whether there are more.", "WITH p AS (SELECT run_id, seq, ms, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS k FROM log WHERE seq > 30), q AS (SELECT * FROM p WHERE k <= 21) SELECT run_id, count_if(k <= 20) AS rows_out, max(CASE WHEN k <= 20 THEN seq END) AS next_after, count(*) > 20 AS has_more FROM q GROUP BY run_id")
+simple("st06_priority_queue", "Waiting batches in the order they are taken: most tokens first, of equals the first put; a batch put again stands with its last put only.", "WITH q AS (SELECT doc_id, batch, max(put) AS put, max_by(tokens, put) AS tokens FROM queue_puts GROUP BY doc_id, batch) SELECT doc_id, batch, tokens, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tokens DESC, put) AS BIGINT) AS place FROM q")
 simple("st07_candidates", "Pending candidates first, newest first within each.", "WITH e AS (SELECT document, revision, origin, CASE WHEN origin = 'manual' THEN 0 ELSE 1 END AS kind, CAST(floor(document / 100000) AS BIGINT) AS block FROM edits), b AS (SELECT kind, revision, block, count(*) AS n FROM e GROUP BY kind, revision, block), o AS (SELECT kind, revision, block, coalesce(sum(n) OVER (ORDER BY kind, revision DESC, block DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT e.document, e.revision, e.origin, CAST(o.before + row_number() OVER (PARTITION BY e.kind, e.revision, e.block ORDER BY e.document DESC) AS BIGINT) AS place FROM e JOIN o ON e.kind = o.kind AND e.revision = o.revision AND e.block = o.block")
 simple("st08_newest_first", "Jobs newest first, and each document's active one.", "SELECT document, revision, revision = max(revision) OVER (PARTITION BY document) AS active FROM edits")
 simple("st09_retention", "Rows kept by a cap on ids.", "SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 500")

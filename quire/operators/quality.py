@@ -224,5 +224,5 @@ simple("fs17_compat_ideographs", "Compatibility ideographs in a target.", lambda
 simple(
     "fs23_context_leak",
     "Sixteen-character windows, every eight characters, of the neighbour before that stand in the reply and not in the source.",
-    lambda d: f"WITH c AS (SELECT r.doc_id, r.seq, r.source, CASE WHEN r.h % 53 = 0 THEN r.reply || substr(p.source, 1, 20) ELSE r.reply END AS reply, p.source AS before FROM replies r JOIN units p ON p.doc_id = r.doc_id AND p.seq = r.seq - 1), w AS (SELECT *, {d.map(d.numbers('0', 'CAST(floor((length(before) - 16) / 8) AS BIGINT)'), 'q', 'substr(before, CAST(q * 8 + 1 AS INT), 16)')} AS windows FROM c WHERE length(before) >= 16) SELECT doc_id, seq, {d.size(d.keep('windows', 'z', f'{d.has("reply", "z")} AND NOT {d.has("source", "z")}'))} AS leaked FROM w",
+    lambda d: f"WITH c AS (SELECT r.doc_id, r.seq, r.source, r.reply, p.source AS before FROM leaky_replies r JOIN units p ON p.doc_id = r.doc_id AND p.seq = r.seq - 1), w AS (SELECT *, {d.map(d.numbers('0', 'CAST(floor((length(before) - 16) / 8) AS BIGINT)'), 'q', 'substr(before, CAST(q * 8 + 1 AS INT), 16)')} AS windows FROM c WHERE length(before) >= 16) SELECT doc_id, seq, {d.size(d.keep('windows', 'z', f'{d.has("reply", "z")} AND NOT {d.has("source", "z")}'))} AS leaked FROM w",
 )

@@ -23,6 +23,15 @@ APPENDIX = "(?i)^(?:append(?:ix|ices)|open science|artifact|supplement(?:ary)?|
 LETTER_APPENDIX = r"^[A-Z]\s*[.:)—-]\s*\S.{2,80}$"
 AUTHOR_NOTE = r"(?i)corresponding author|the author worked|permission to make digital|all rights reserved|copyright|permission is required|isbn\b"
 OVERLAP = 0.55
+# Patterns of front matter.
+EMAIL_PART = r"(?:^|[\s,;{<>])[^\s,;{<>@]+@[^\s,;{<>]*\.[^\s,;{<>]*[^.\s,;{<>](?:[\s,;{<>]|$)"
+AFFILIATION = r"(?i)university|college|institute|department|school of|laboratory|research center|research centre"
+STREET = r"(?i)[0-9].* (?:street|st\.|avenue|ave\.|road|rd\.|boulevard|blvd|p\.o\. box)| (?:street|st\.|avenue|ave\.|road|rd\.|boulevard|blvd|p\.o\. box).*[0-9]"
+CAPITALISED = r"^(?:(?:(?i:of|and|the)|[^\p{L}\s]*\p{Lu}\S*)(?:\s+|$))+$"
+NAMES = r"^[\s,;†‡*]*\p{Lu}[\p{L}'-]*(?:[\s,;†‡*]+\p{Lu}[\p{L}'-]*){1,11}[\s,;†‡*]*$"
+AUTHORS_HEADING = r"(?i)^(?:(?:[a-z]|[0-9]+(?:\.[0-9]+)*)[.)]?\s+)?(?:author list|authors|contributors)$"
+ROSTER_NAME = r"[*†‡]*\p{Lu}[\p{L}.'’-]*[*†‡]*(?:\s+[*†‡]*\p{Lu}[\p{L}.'’-]*[*†‡]*){1,5}"
+ROSTER = rf"^[\s,]*{ROSTER_NAME}(?:\s*,[\s,]*{ROSTER_NAME})+[\s,]*$"
 
 
 def among(x: str, values: tuple[str, ...]) -> str:
@@ -79,5 +88,29 @@ simple("pf10_placeholder_only", "Units with nothing but placeholders.", lambda d
 simple("pf11_line_number", "Units of ASCII digits and spaces.", lambda d: f"SELECT doc_id, seq FROM margin_units WHERE {d.like('source', r'^[0-9 ]*$')}")
 simple("pf12_region_kind", "Labels mapped to region kinds, and which kinds are translated.", "WITH kinds AS (SELECT 'title' AS label, 'heading' AS kind UNION ALL SELECT 'paragraph_title', 'heading' UNION ALL SELECT 'text', 'body' UNION ALL SELECT 'figure_caption', 'caption' UNION ALL SELECT 'table_caption', 'caption' UNION ALL SELECT 'table', 'table' UNION ALL SELECT 'figure', 'figure' UNION ALL SELECT 'header', 'margin' UNION ALL SELECT 'footer', 'margin' UNION ALL SELECT 'reference', 'reference') SELECT k.kind, count(*) AS n, k.kind IN ('heading', 'body', 'caption') AS translatable FROM regions r JOIN kinds k ON r.label = k.label GROUP BY k.kind")
 simple("pf13_untranslatable", "Why a unit's content is not translated: kind, no letters, too short.", lambda d: f"SELECT doc_id, seq, CASE WHEN label IN ('table', 'header', 'footer', 'reference') THEN 'region_kind' WHEN NOT {d.like(d.sub('source', CANONICAL), r'\p{L}')} THEN 'no_letters' WHEN length(trim({d.sub('source', CANONICAL)})) < 12 THEN 'too_short' END AS reason FROM units")
-simple("pf16_front_matter", "First-page lines with an address, an affiliation or an email.", lambda d: f"SELECT doc_id, seq, {d.like('source', r'(?i)universi|institut|college|school|department')} AS affiliation, {d.like('source', '@')} AS email FROM units WHERE page = 0 AND ({d.like('source', r'(?i)universi|institut|college|school|department')} OR {d.like('source', '@')})")
+@operator("pf16_front_matter")
+def front_matter(d: Dialect) -> str:
+    """First-page lines between the lowest line of the title and the abstract that tell of the authors: short centred
+    lines with an address, an affiliation or names, protected in runs of lines at most 24 points apart that hold an
+    email or an affiliation. Page of 612 by 792 points."""
+    email, address = d.like("t", EMAIL_PART), d.like("t", STREET)
+    affiliation = f"({d.like('t', AFFILIATION)} AND {d.like('t', CAPITALISED)} AND NOT {d.like('t', r'[!?]|[.]$')})"
+    return f"""WITH p AS (SELECT *, trim(text) AS t FROM front_paragraphs WHERE page = 0 AND rotation % 180 = 0), top AS (SELECT doc_id, max(y) AS top_y FROM p WHERE kind = 'title' GROUP BY doc_id),
+        low AS (SELECT p.doc_id, max(p.y2) AS low_y FROM p JOIN top ON p.doc_id = top.doc_id WHERE (p.kind = 'abstract' OR p.kind = 'paragraph_title' AND lower(p.t) = 'abstract') AND p.y2 < top.top_y GROUP BY p.doc_id),
+        c AS (SELECT p.doc_id, p.seq, p.y, p.y2, p.translatable, {email} OR {affiliation} AS anchor, {email} OR {affiliation} OR {address} OR {d.like('t', NAMES)} AS told FROM p JOIN top ON p.doc_id = top.doc_id JOIN low ON p.doc_id = low.doc_id
+            WHERE top_y - low_y >= 12 AND 100 * (top_y - low_y) <= 28 * 792 AND p.kind = 'text' AND p.y > low_y + 1 AND p.y2 < top_y - 1 AND 4 * (p.x2 - p.x) <= 3 * 612 AND 100 * abs(p.x + p.x2 - 612) <= 32 * 612 AND p.n_lines BETWEEN 1 AND 2 AND length(p.text) <= 160 AND p.y2 - p.y <= 2 * (p.x2 - p.x)),
+        g AS (SELECT *, lag(y) OVER (PARTITION BY doc_id ORDER BY y DESC, seq) - y2 AS gap FROM c WHERE told), r AS (SELECT *, sum(CASE WHEN gap > 24 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY y DESC, seq) AS run FROM g),
+        s AS (SELECT *, max(CASE WHEN anchor THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run) AS anchored FROM r) SELECT doc_id, seq, anchor FROM s WHERE anchored = 1 AND translatable"""
+
+
+@operator("pf16_author_roster")
+def author_roster(d: Dialect) -> str:
+    """Lists of names under a heading that announces authors, up to the next heading, over pages."""
+    names = f"CASE WHEN {d.like('text', '^[^:]{0,80}:')} THEN {d.sub('text', '^[^:]*:')} ELSE text END"
+    state = d.carried("heading", "PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    return f"""WITH h AS (SELECT *, CASE WHEN kind NOT IN ('title', 'paragraph_title') THEN NULL WHEN {d.like("trim(text)", AUTHORS_HEADING)} THEN 'on' ELSE 'off' END AS heading FROM front_paragraphs),
+        s AS (SELECT *, {state} AS state FROM h) SELECT doc_id, page, seq FROM s WHERE state = 'on' AND kind = 'text' AND translatable AND {d.like(names, ROSTER)}"""
+
+
+
 simple("pf20_redaction", "Secrets and addresses scrubbed from texts.", lambda d: f"SELECT doc_id, seq, {d.sub(d.sub('line', '(?i)(token|key|secret|password)( ?[=:] ?).?[A-Za-z0-9]{8,}.?', '$1$2***'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '<email>')} AS scrubbed FROM numbered WHERE {d.like('line', '(?i)token|@')}")

@@ -23,7 +23,7 @@ def text_repair(d: Dialect) -> str:
 
 simple("fs08_markdown_to_canonical", "Markdown anchors as canonical ones.", lambda d: f"SELECT doc_id, seq, {d.sub(d.sub(d.sub('markdown', r'\[\[S([0-9]+)\]\]', '<style id=$1>'), r'\[\[/S\]\]', '</style>'), r'\[\[F([0-9]+)\]\]', '{v$1}')} AS canonical FROM markdown_texts")
 simple("fs11_strip_comments", "HTML without comments, closed or dangling.", lambda d: f"SELECT page_id, length({d.sub(d.sub('html', r'(?s)<!--.*?-->'), r'(?s)<!--.*$')}) AS n, length(html) - length({d.sub('html', r'(?s)<!--.*?-->')}) AS removed FROM pages")
-simple("fs12_clean_markdown", "Markdown bodies cleaned by label.", lambda d: f"WITH m AS (SELECT doc_id, seq, label, CASE WHEN label = 'title' THEN '## ' || source WHEN label = 'reference' THEN '- ' || source ELSE source END AS md FROM units) SELECT doc_id, seq, CASE WHEN label IN ('title', 'paragraph_title') THEN {d.sub('md', '^#+ +')} WHEN label = 'reference' THEN {d.sub('md', '^[-*] +')} ELSE trim(md) END AS body FROM m")
+simple("fs12_clean_markdown", "Markdown bodies cleaned by label.", lambda d: f"SELECT doc_id, seq, CASE WHEN label IN ('title', 'paragraph_title') THEN {d.sub('md', '^#+ +')} WHEN label = 'reference' THEN {d.sub('md', '^[-*] +')} ELSE trim(md) END AS body FROM markdown_bodies")
 simple("fs13_term_normal_form", "Terms lowered, blanks to one, trimmed.", lambda d: f"SELECT seq, trim({d.sub('lower(source)', '[ ]+', ' ')}) AS term FROM glossary")
 simple("fs19_bidi", "Direction marks: unsafe ones and unbalanced isolates.", lambda d: f"WITH t AS (SELECT doc_id, seq, target AS t FROM direction_texts) SELECT doc_id, seq, {d.like('t', '[‪-‮]')} AS unsafe, {d.times('t', '[⁦-⁨]')} = {d.times('t', '⁩')} AS balanced FROM t WHERE {d.like('t', '[‪-‮⁦-⁩]')}")
 def numerals(most: int = 99) -> str:
@@ -48,9 +48,9 @@ def numerals(most: int = 99) -> str:
 def anchor_variants(d: Dialect) -> str:
     """Spellings of a reference that count as the same: translated prefixes, and Roman numerals as Arabic and Chinese."""
     prefix = {"Figure": "图", "Table": "表", "Equation": "式", "Section": "第"}
-    kinds = " ".join(f"WHEN kind = {k} THEN '{w}'" for k, w in enumerate(prefix))
-    translated = " ".join(f"WHEN kind = {k} THEN '{z}'" for k, z in enumerate(prefix.values()))
-    return f"WITH r AS ({numerals()}), a AS (SELECT u.doc_id, u.seq, u.h % 4 AS kind, r.n, r.roman, r.chinese FROM units u JOIN r ON u.h % 99 + 1 = r.n), b AS (SELECT doc_id, seq, CASE {kinds} END AS word, CASE {translated} END AS sign, n, roman, chinese FROM a) SELECT doc_id, seq, word || ' ' || roman AS anchor, sign || roman AS translated, CAST(n AS STRING) AS arabic, chinese FROM b"
+    sign = " ".join(f"WHEN '{w}' THEN '{z}'" for w, z in prefix.items())
+    word, numeral = d.group("anchor", "^([A-Za-z]+) ", 1), d.group("anchor", " ([A-Z0-9]+)$", 1)
+    return f"WITH n AS ({numerals()}), k AS (SELECT roman AS spelled, n, roman, chinese FROM n UNION ALL SELECT CAST(n AS STRING) AS spelled, n, roman, chinese FROM n), a AS (SELECT doc_id, seq, anchor, {word} AS word, {numeral} AS spelled FROM reference_anchors) SELECT a.doc_id, a.seq, a.anchor, CASE a.word {sign} END || k.roman AS translated, CAST(k.n AS STRING) AS arabic, k.chinese FROM a JOIN k ON a.spelled = k.spelled"
 
 
 simple("fs27_reference_role", "Role of a link by its destination and by the text around it.", lambda d: "SELECT l.doc_id, l.ord, CASE WHEN l.target = 0 THEN 'cite' WHEN l.target = 1 THEN 'figure' WHEN l.target = 2 THEN 'table' ELSE 'section' END AS role, CASE WHEN u.label = 'figure_caption' THEN 'figure' WHEN u.label IN ('table', 'table_caption') THEN 'table' WHEN u.label = 'reference' THEN 'cite' ELSE 'section' END AS context_role FROM links l JOIN units u ON l.doc_id = u.doc_id AND l.ord = u.seq")

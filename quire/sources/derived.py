@@ -87,6 +87,23 @@ def _definitions(d: Dialect) -> dict[str, str]:
         "wrapped_replies": "(SELECT doc_id, seq, CASE WHEN h % 3 = 0 THEN '```json' || chr(10) || source || chr(10) || '```' WHEN h % 3 = 1 THEN '<json>' || source || '</json>' ELSE '  ' || source END AS reply FROM units)",
         "markdown_texts": "(SELECT doc_id, seq, '[[S1]]' || line || '[[/S]] [[F' || CAST(h % 5 AS STRING) || ']]' AS markdown FROM numbered)",
         "direction_texts": "(SELECT doc_id, seq, CASE WHEN h % 45 = 0 THEN target || '\u2066' WHEN h % 46 = 0 THEN '\u202e' || target ELSE target END AS target FROM targets)",
+        "stored_rows": "(SELECT document, revision, origin, target FROM edits WHERE revision % 2 = 0 AND document % 3 <> 0)",
+        "arriving_rows": "(SELECT document, revision, origin, target FROM edits WHERE revision % 2 = 1)",
+        "cache_puts": "(SELECT role AS engine, text AS source, conv_id * 1000 + turn AS put, CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS translation FROM conversations)",
+        "font_uses": "(SELECT doc_id, page, seq, CASE WHEN h % 4 < 2 THEN k END AS xobject, 'F' || CAST(h % 3 AS STRING) AS name FROM boxes)",
+        "page_fonts": "(SELECT DISTINCT doc_id, page, 'F' || CAST(h % 3 AS STRING) AS name, 10 + h % 3 AS font FROM boxes)",
+        "xobject_fonts": "(SELECT doc_id, page, k AS xobject, 'F' || CAST(h % 3 AS STRING) AS name, 20 + h % 3 AS font FROM boxes WHERE h % 4 = 0)",
+        "markdown_bodies": "(SELECT doc_id, seq, label, CASE WHEN label = 'title' THEN '## ' || source WHEN label = 'reference' THEN '- ' || source ELSE source END AS md FROM units)",
+        "leaky_replies": "(SELECT r.doc_id, r.seq, r.source, CASE WHEN r.h % 53 = 0 THEN r.reply || coalesce(substr(p.source, 1, 20), '') ELSE r.reply END AS reply FROM replies r LEFT JOIN units p ON p.doc_id = r.doc_id AND p.seq = r.seq - 1)",
+        "reference_anchors": f"""(SELECT doc_id, seq, CASE h % 4 WHEN 0 THEN 'Figure ' WHEN 1 THEN 'Table ' WHEN 2 THEN 'Equation ' ELSE 'Section ' END
+            || CASE WHEN h % 8 < 4 THEN {d.at(d.split("'I II III IV V VI VII VIII IX X XI XII'", ' '), 'h % 12 + 1')} ELSE CAST(h % 99 + 1 AS STRING) END AS anchor FROM units)""",
+        "queue_puts": "(SELECT doc_id, seq AS put, CASE WHEN h % 6 = 0 THEN 'repeated' ELSE id END AS batch, length(source) AS tokens FROM units)",
+        "subscriptions": "(SELECT DISTINCT run_id, 'a' AS subscriber FROM log WHERE run_id % 4 <> 0 UNION ALL SELECT DISTINCT run_id, 'b' AS subscriber FROM log WHERE run_id % 6 = 0)",
+        "requests": "(SELECT run_id AS limiter, seq AS ord, at_us AS arrived_us, 3600000000 * (1 + run_id % 8) AS interval_us FROM log)",
+        "front_paragraphs": """(SELECT doc_id, page, seq, h % 17 <> 0 AS translatable, CASE WHEN seq = 1 THEN 'title' WHEN seq = 6 OR h % 25 = 0 THEN 'paragraph_title' ELSE 'text' END AS kind,
+            CASE WHEN seq = 2 THEN 'Ada Vale, Bo Lind*' WHEN seq = 3 AND doc_id % 3 = 0 THEN 'University of Vale' WHEN seq = 4 AND doc_id % 4 = 0 THEN '{ada, bo}@vale.edu' WHEN seq = 4 AND doc_id % 4 = 1 THEN '12 Hill Street, Vale' WHEN seq = 6 THEN 'Abstract'
+                WHEN seq > 6 AND h % 50 = 0 THEN 'Authors' WHEN seq > 6 AND h % 25 = 0 THEN 'B. Contributors' WHEN seq > 6 AND h % 25 = 1 THEN 'Team: Ada Vale, Bo Lind*, Cy Orr' ELSE line END AS text,
+            CASE WHEN h % 13 = 0 THEN 20 ELSE 200 END AS x, 760 - 30 * (k + 1) AS y, CASE WHEN h % 13 = 0 THEN 180 ELSE 412 END AS x2, 780 - 30 * (k + 1) AS y2, 1 + h % 3 AS n_lines, 0 AS rotation FROM numbered)""",
         "box_overrides": "(SELECT doc_id, seq, CASE WHEN h % 10 = 0 THEN 8 ELSE 10 END AS width10, CASE WHEN h % 10 = 0 THEN 8 ELSE 12 END AS height10 FROM boxes WHERE h % 10 < 2)",
     }
 

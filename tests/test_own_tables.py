@@ -114,3 +114,47 @@ def test_document_check_in_one_pass(spark):
     targets = ("doc_id long, seq long, target string", [(1, 1, ""), (1, 2, "译 <!-- x -->")])
     assert rows(spark, "qc02_document_check", "doc_id", "seq", "code", "severity", units=units, targets=targets) == [(1, 1, "empty_target", "P0"), (1, 2, "formula_splice", "P2"), (1, 2, "markdown_comment_leak", "P0"), (2, 1, "missing_ids", "P0")]
     assert rows(spark, "ag18_verdict", "doc_id", "verdict", "blockers", "findings", units=units, targets=targets) == [(1, "needs_fix", 2, 3), (2, "unavailable", 1, 1)]
+
+
+def test_queues_inboxes_and_rates(spark):
+    puts = ("doc_id long, put long, batch string, tokens long", [(1, 1, "a", 5), (1, 2, "b", 9), (1, 3, "a", 9), (1, 4, "c", 1)])
+    assert rows(spark, "st06_priority_queue", "place", "batch", "tokens", queue_puts=puts) == [(1, "b", 9), (2, "a", 9), (3, "c", 1)]
+    log = ("run_id long, seq long, kind string", [(r, s, "x") for r in (1, 2) for s in range(1, 71)])
+    got = rows(spark, "stm03_bounded_inbox", "subscriber", "run_id", "seq", "dropped", log=log, subscriptions=("run_id long, subscriber string", [(1, "a")]))
+    assert sorted(got) == [("a", 1, s, 6) for s in range(7, 71)]
+    arrivals = [0, 1, 2, 50, 51, 51, 90]
+    start, want = None, []
+    for k, a in enumerate(arrivals):
+        start = a if start is None else max(a, start + 10)
+        want.append((k, start, start - a))
+    requests = ("limiter long, ord long, arrived_us long, interval_us long", [(1, k, a, 10) for k, a in enumerate(arrivals)])
+    assert rows(spark, "stm10_rate_limit", "ord", "start_us", "waited_us", requests=requests) == want
+
+
+def test_front_matter_and_rosters(spark):
+    schema = "doc_id long, page long, seq long, translatable boolean, kind string, text string, x long, y long, x2 long, y2 long, n_lines long, rotation long"
+    line = lambda seq, kind, text, y, page=0, ok=True, x=200: (1, page, seq, ok, kind, text, x, y, x + 200, y + 20, 1, 0)
+    page = [
+        line(1, "title", "On Things", 730), line(2, "text", "Ada Vale, Bo Lind*", 700), line(3, "text", "University of Vale", 670), line(4, "text", "we met at the college.", 640),
+        line(5, "text", "Cy Orr", 600), line(6, "paragraph_title", "Abstract", 560), line(7, "text", "University of Vale", 500),
+    ]
+    pick = lambda p: rows(spark, "pf16_front_matter", "seq", "anchor", front_paragraphs=(schema, p))
+    assert pick(page) == [(2, False), (3, True)]  # the name below stands in a run of its own
+    assert pick([p for p in page if p[2] != 3]) == [] and pick([p for p in page if p[2] != 6]) == []
+    assert pick([*page[:2], line(3, "text", "{ada, bo}@vale.edu", 670, ok=False), page[5]]) == [(2, False)]
+    assert pick([page[0], line(2, "text", "University of Vale", 700, x=0), page[5]]) == []
+    roster = [
+        line(1, "text", "Ada Vale, Bo Lind", 700), line(2, "paragraph_title", "B. Contributors", 600), line(3, "text", "Team: Ada Vale, Bo J. Lind*,", 500), line(4, "text", "Ada Vale wrote, Bo Lind read", 400),
+        line(5, "text", "Cy Orr, D'Arcy O’Neil", 700, page=1), line(6, "paragraph_title", "Results", 600, page=1), line(7, "text", "Ada Vale, Bo Lind", 500, page=1),
+    ]
+    assert rows(spark, "pf16_author_roster", "seq", front_paragraphs=(schema, roster)) == [(3,), (5,)]
+
+
+def test_layers_caches_and_anchors(spark):
+    uses = ("doc_id long, page long, seq long, xobject long, name string", [(1, 0, 1, None, "F0"), (1, 0, 2, 7, "F0"), (1, 0, 3, 8, "F0"), (1, 0, 4, 7, "F9")])
+    got = rows(spark, "jn25_layered_lookup", "seq", "font", "own", font_uses=uses, page_fonts=("doc_id long, page long, name string, font long", [(1, 0, "F0", 10)]), xobject_fonts=("doc_id long, page long, xobject long, name string, font long", [(1, 0, 7, "F0", 20)]))
+    assert got == [(1, 10, False), (2, 20, True), (3, 10, False), (4, None, False)]
+    puts = ("engine string, source string, put long, translation string", [("e", "s", 1, "x"), ("e", "s", 3, "z"), ("e", "s", 2, "y"), ("f", "s", 1, "w")])
+    assert rows(spark, "up03_replace_cache", "engine", "put", "translation", "replaced", cache_puts=puts) == [("e", 3, "z", 2), ("f", 1, "w", 0)]
+    anchors = ("doc_id long, seq long, anchor string", [(1, 1, "Figure IV"), (1, 2, "Table 12"), (1, 3, "Table twelve")])
+    assert rows(spark, "fs26_anchor_variants", "seq", "translated", "arabic", "chinese", reference_anchors=anchors) == [(1, "图IV", "4", "四"), (2, "表XII", "12", "十二")]
