@@ -92,8 +92,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 # Generators of candidates, by kind.
+#: A dot within an address in words: a plain one alone or between two blanks (before one blank only it ends a sentence),
+#: or the word, bracketed or not.
+SPOKEN_DOT = r"(?:\.|\s\.\s|\s?[\[(]?\bdot\b[\])]?\s?)"
 GENERATORS = {
-    "email_words": re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\s?(?:\.|[\[(]?dot[\])]?)\s?[A-Za-z0-9_-]++){0,3}\s?[\[(]?(?:@|\bat\b)[\])]?\s?[A-Za-z0-9-]++(?:\s?(?:\.|[\[(]?\bdot\b[\])]?)\s?[A-Za-z]{2,}+){1,3}\b", re.I),
+    "email_words": re.compile(rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:{SPOKEN_DOT}[A-Za-z0-9_-]++){{0,3}}\s?[\[(]?(?:@|\bat\b)[\])]?\s?[A-Za-z0-9-]++(?:{SPOKEN_DOT}[A-Za-z]{{2,}}+){{1,3}}\b", re.I),
     "phone_local": re.compile(r"(?<![0-9.+])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]?(?:[0-9]{2,4}[ ./-]?){1,4}[0-9]{2,4}(?![0-9])"),
     "identity": re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])|\b[A-Z]{1,2}[0-9]{6,8}[A-Z]?\b"),
     "account": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -313,12 +316,12 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Contract of ``op10``, derived from the spans."""
+    """Contract of ``op10``, derived from the spans, with n_spans (spans of all kinds) after it."""
     found = find(docs)
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as long) as n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def base_digest(text: str | None) -> str:

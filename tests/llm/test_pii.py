@@ -43,6 +43,15 @@ def test_added_spans_and_clean_text():
         assert add(clean) == [], clean
 
 
+def test_sentence_ends_are_no_dots_of_addresses():
+    forest, limits = pii.model()
+    for prose in ("an aning. Erti thea to of lyorwh.\nIs at and. Ereast. For", "we met the team at noon. We left", "he looked up. Ha at that.\nIs it so"):
+        assert not [c for c in pii.candidates(prose) if c[2] == "email_words"], prose
+    for said in ("jane at example.com", "jane.roe at example . com", "jane dot roe (at) example [dot] com", "jane [At] example Dot com"):
+        found = [(a, b) for a, b, k, _ in pii.added_spans(f"write to {said} today", [], forest, limits) if k == "email_words"]
+        assert found == [(9, 9 + len(said))], said
+
+
 def test_held_out_accuracy():
     forest, limits = pii.model()
     x, y, kinds = pii._examples(99, 1500)
@@ -58,6 +67,7 @@ def test_rows(spark):
     assert one.base_sha256 == hashlib.sha256(b"email:2:8,ip:9:16").hexdigest() == pii.base_digest(data[0][1])
     assert {r.base_sha256 for r in out if r.doc_id != 1} == {hashlib.sha256(b"").hexdigest()}
     assert len(out) == 5
+    assert one.n_spans == 2 and sum(r.n_spans for r in out) == 4
     red = {r.doc_id: r.redacted for r in pii.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert red[1] == "é <EMAIL> <IP> x" and red[2] == "" and red[None] == "plain"
 
