@@ -23,7 +23,31 @@ simple("ag27_toc_score", "Whether a page is a table of contents: five entry line
 simple("ag28_scanned_verdict", "Documents of which four fifths of the pages are flagged as scans.", "SELECT doc_id, count(*) AS pages, count_if(is_scan) * 10 >= 8 * count(*) AS scanned FROM page_flags GROUP BY doc_id")
 simple("ag30_valid_totals", "Characters and words over parts of five hundred documents.", lambda d: f"SELECT {d.div('doc_id', '500')} AS part, CAST(sum(length(source)) AS BIGINT) AS chars, CAST(sum({d.times('source', '[^ ]+')}) AS BIGINT) AS words FROM units GROUP BY {d.div('doc_id', '500')}")
 simple("ag32_unknown_types", "Unknown labels with their count and first page.", "SELECT label, count(*) AS n, min(page) AS first_page FROM regions WHERE label NOT IN ('text', 'title', 'figure') GROUP BY label")
-simple("ag33_acceptance_gates", "Gates of a document, one row each, and whether all hold.", "WITH g AS (SELECT doc_id, 'coverage' AS gate, count_if(target = '') * 20 <= count(*) AS ok FROM targets GROUP BY doc_id UNION ALL SELECT doc_id, 'length' AS gate, max(length(source)) < 4000 AS ok FROM units GROUP BY doc_id UNION ALL SELECT doc_id, 'pages' AS gate, max(page) < 12 AS ok FROM units GROUP BY doc_id) SELECT doc_id, gate, ok, bool_and(ok) OVER (PARTITION BY doc_id) AS accepted FROM g")
+
+
+@operator("ag33_acceptance_gates")
+def acceptance_gates(d: Dialect) -> str:
+    """Five gates of a document, each with its status and figure: coverage of the layout (equal to the bound passes), the
+    same set of links in source and output, contents entries like their rows in order, protected tokens (for information),
+    replies for exactly the known ids. A document is accepted if no hard gate fails; what can't be judged doesn't fail."""
+    plain = lambda x: d.sub(d.sub(d.sub(f"coalesce({x}, '')", r"<style\b[^>]*>|</style>"), r"\[\[\s*/?\s*[SFsf]\s*[0-9]*\s*\]\]"), r"\s+")
+    sides = lambda a, b, key: f"SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, count_if(a.{key} IS NULL) + count_if(b.{key} IS NULL) AS bad FROM {a} a FULL OUTER JOIN {b} b ON a.doc_id = b.doc_id AND a.{key} = b.{key} GROUP BY coalesce(a.doc_id, b.doc_id)"
+    gate = lambda name, table, hard, status, figure: f"SELECT g.doc_id, '{name}' AS gate, {hard} AS hard, CASE {status} END AS status, CAST(coalesce({figure}, 0) AS BIGINT) AS figure FROM gated_documents g LEFT JOIN {table} t ON g.doc_id = t.doc_id"
+    judged = "WHEN coalesce(t.bad, 0) = 0 THEN 'pass' ELSE 'fail'"
+    gates = " UNION ALL ".join((
+        gate("layout_coverage", "coverage_reports", "true", "WHEN t.doc_id IS NULL THEN 'not_available' WHEN t.uncovered_chars * 1000 <= t.per_mille * t.total_chars THEN 'pass' ELSE 'fail'", "t.uncovered_chars"),
+        gate("link_integrity", "uris", "g.rebuilt", f"WHEN NOT g.rebuilt THEN 'not_reconstructed' {judged}", "t.bad"),
+        gate("toc_integrity", "toc", "true", f"WHEN NOT g.parsed THEN 'not_available' {judged}", "t.bad"),
+        gate("protected_tokens", "tokens", "false", "WHEN NOT g.parsed THEN 'not_available' ELSE 'pass'", "t.n"),
+        gate("protocol", "known", "true", f"WHEN NOT g.applied THEN 'not_available' {judged}", "t.bad"),
+    ))
+    return f"""WITH src AS (SELECT DISTINCT doc_id, uri FROM source_uris), dst AS (SELECT DISTINCT doc_id, uri FROM output_uris), uris AS ({sides("src", "dst", "uri")}),
+        want AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n, {plain("heading")} AS t FROM toc_headings), have AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n, {plain("canonical")} AS t FROM toc_anchor_rows),
+        toc AS (SELECT coalesce(w.doc_id, h.doc_id) AS doc_id, count_if(w.t IS DISTINCT FROM h.t) AS bad FROM want w FULL OUTER JOIN have h ON w.doc_id = h.doc_id AND w.n = h.n GROUP BY coalesce(w.doc_id, h.doc_id)),
+        tokens AS (SELECT doc_id, sum({d.times("source", "[{]v[0-9]+[}]")}) AS n FROM units GROUP BY doc_id), ids AS (SELECT DISTINCT doc_id, id FROM units), said AS (SELECT DISTINCT doc_id, id FROM reply_ids), known AS ({sides("ids", "said", "id")}), gates AS ({gates})
+        SELECT doc_id, gate, hard, status, figure, max(CASE WHEN hard AND status = 'fail' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) = 0 AS accepted FROM gates"""
+
+
 simple("wf05_run_lengths", "Runs of consecutive units of one label.", "WITH f AS (SELECT doc_id, seq, label, CASE WHEN lag(label) OVER (PARTITION BY doc_id ORDER BY seq) = label THEN 0 ELSE 1 END AS new FROM units), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM f) SELECT doc_id, CAST(run AS BIGINT) AS run, min(label) AS label, min(seq) AS first_seq, count(*) AS n FROM g GROUP BY doc_id, run")
 simple("wf09_line_groups", "Glyphs joined to lines by a vertical overlap of more than half with the one before.", "WITH o AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, seq ORDER BY y + y2 DESC, x, i) AS py, lag(y2) OVER (PARTITION BY doc_id, seq ORDER BY y + y2 DESC, x, i) AS py2 FROM glyphs), f AS (SELECT *, CASE WHEN 2 * (least(y2, py2) - greatest(y, py)) > least(y2 - y, py2 - py) THEN 0 ELSE 1 END AS new FROM o), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, seq ORDER BY y + y2 DESC, x, i) AS line FROM f) SELECT doc_id, seq, CAST(line AS BIGINT) AS line, count(*) AS n, min(x) AS x, max(x2) AS x2 FROM g GROUP BY doc_id, seq, line")
 

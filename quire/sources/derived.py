@@ -104,6 +104,12 @@ def _definitions(d: Dialect) -> dict[str, str]:
             CASE WHEN seq = 2 THEN 'Ada Vale, Bo Lind*' WHEN seq = 3 AND doc_id % 3 = 0 THEN 'University of Vale' WHEN seq = 4 AND doc_id % 4 = 0 THEN '{ada, bo}@vale.edu' WHEN seq = 4 AND doc_id % 4 = 1 THEN '12 Hill Street, Vale' WHEN seq = 6 THEN 'Abstract'
                 WHEN seq > 6 AND h % 50 = 0 THEN 'Authors' WHEN seq > 6 AND h % 25 = 0 THEN 'B. Contributors' WHEN seq > 6 AND h % 25 = 1 THEN 'Team: Ada Vale, Bo Lind*, Cy Orr' ELSE line END AS text,
             CASE WHEN h % 13 = 0 THEN 20 ELSE 200 END AS x, 760 - 30 * (k + 1) AS y, CASE WHEN h % 13 = 0 THEN 180 ELSE 412 END AS x2, 780 - 30 * (k + 1) AS y2, 1 + h % 3 AS n_lines, 0 AS rotation FROM numbered)""",
+        "gated_documents": "(SELECT doc_id, doc_id % 13 <> 0 AS parsed, doc_id % 11 <> 0 AS rebuilt, doc_id % 7 <> 0 AS applied FROM documents)",
+        "coverage_reports": "(SELECT doc_id, CAST(sum(length(source)) AS BIGINT) AS total_chars, CAST(sum(CASE WHEN h % 31 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS uncovered_chars, 5 AS per_mille FROM units WHERE doc_id % 13 <> 0 GROUP BY doc_id)",
+        "source_uris": "(SELECT doc_id, CAST(target AS STRING) || ':' || number AS uri FROM links)",
+        "output_uris": "(SELECT doc_id, CAST(target AS STRING) || ':' || number AS uri FROM out_links WHERE doc_id % 11 <> 0)",
+        "toc_headings": "(SELECT doc_id, seq AS ord, '[[S1]]' || source AS heading FROM units WHERE label IN ('title', 'paragraph_title'))",
+        "toc_anchor_rows": "(SELECT doc_id, seq AS ord, CASE WHEN h % 16 = 0 THEN 'other ' || source ELSE replace(source, ' ', '  ') END AS canonical FROM units WHERE label IN ('title', 'paragraph_title'))",
         "box_overrides": "(SELECT doc_id, seq, CASE WHEN h % 10 = 0 THEN 8 ELSE 10 END AS width10, CASE WHEN h % 10 = 0 THEN 8 ELSE 12 END AS height10 FROM boxes WHERE h % 10 < 2)",
     }
 

@@ -158,3 +158,23 @@ def test_layers_caches_and_anchors(spark):
     assert rows(spark, "up03_replace_cache", "engine", "put", "translation", "replaced", cache_puts=puts) == [("e", 3, "z", 2), ("f", 1, "w", 0)]
     anchors = ("doc_id long, seq long, anchor string", [(1, 1, "Figure IV"), (1, 2, "Table 12"), (1, 3, "Table twelve")])
     assert rows(spark, "fs26_anchor_variants", "seq", "translated", "arabic", "chinese", reference_anchors=anchors) == [(1, "图IV", "4", "四"), (2, "表XII", "12", "十二")]
+
+
+def test_acceptance_gates(spark):
+    flags = "doc_id long, parsed boolean, rebuilt boolean, applied boolean"
+    tables = {
+        "gated_documents": (flags, [(1, True, True, True), (2, True, True, True), (3, False, False, False)]),
+        "coverage_reports": ("doc_id long, total_chars long, uncovered_chars long, per_mille long", [(1, 1000, 5, 5), (2, 1000, 6, 5)]),
+        "source_uris": ("doc_id long, uri string", [(1, "a"), (1, "a"), (2, "a"), (3, "a")]),
+        "output_uris": ("doc_id long, uri string", [(1, "a"), (2, "b")]),
+        "toc_headings": ("doc_id long, ord long, heading string", [(1, 1, "[[S1]]One  Two[[/S]]"), (2, 1, "x"), (2, 2, "y")]),
+        "toc_anchor_rows": ("doc_id long, ord long, canonical string", [(1, 9, "<style id='1'>One</style> Two"), (2, 1, "x")]),
+        "units": ("doc_id long, id string, source string", [(1, "p", "{v1} and {v2}"), (2, "p", "t")]),
+        "reply_ids": ("doc_id long, id string", [(1, "p"), (2, "q")]),
+    }
+    got = {(r[0], r[1]): r[2:] for r in rows(spark, "ag33_acceptance_gates", "doc_id", "gate", "status", "hard", "figure", "accepted", **tables)}
+    assert got[1, "layout_coverage"] == ("pass", True, 5, True) and got[2, "layout_coverage"] == ("fail", True, 6, False)
+    assert got[1, "link_integrity"] == ("pass", True, 0, True) and got[2, "link_integrity"] == ("fail", True, 2, False) and got[3, "link_integrity"] == ("not_reconstructed", False, 1, True)
+    assert got[1, "toc_integrity"] == ("pass", True, 0, True) and got[2, "toc_integrity"] == ("fail", True, 1, False)
+    assert got[1, "protected_tokens"] == ("pass", False, 2, True) and got[1, "protocol"] == ("pass", True, 0, True) and got[2, "protocol"] == ("fail", True, 2, False)
+    assert {got[3, g][0] for g in ("layout_coverage", "toc_integrity", "protected_tokens", "protocol")} == {"not_available"} and len(got) == 15
