@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, line_dedup, near_dedup, packing, pii, quality_cnn, quality_rules, sharding, suffix_dedup
+from . import decontaminate, html_extract, line_dedup, near_dedup, packing, pii, quality_cnn, quality_rules, sharding, suffix_dedup, token_files
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_suffix_array": op2_suffix_array,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE: dict[str, str] = {}
