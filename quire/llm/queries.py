@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, decontaminate, html_extract, line_dedup, near_dedup, packing, pii, quality_cnn, quality_rules, sharding, suffix_dedup, token_files
+from . import conversation_repair, conversation_trie, decontaminate, html_extract, line_dedup, near_dedup, packing, pii, quality_cnn, quality_rules, sharding, suffix_dedup, token_files
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_token_files": op13_token_files,
 }
