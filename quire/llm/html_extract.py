@@ -1,14 +1,17 @@
 """Main text of web pages by tree scoring.
 
 A tolerant parser builds the page's tree. Blocks that can't be content (menus, page headers and footers, side bars,
-notices, adverts, forms, scripts, reader comments) are set aside by element, role or class words. Every paragraph left
-gives points for its length and its commas to its parent, half of them to its grandparent; a container's points are
-discounted by the share of its text that stands in links. The best container is kept with those of its siblings that
-score well or read like prose. Its text is taken block by block in page order.
+notices, adverts, forms, scripts, reader comments) are set aside by element, role or class words. A class name such as
+``has-sidebar`` says what stands elsewhere and marks nothing; what holds ``main``, or ``h1`` and paragraphs, or a form around
+the page's own header, menu or article, is no side matter; and where the class words would leave no text at all, they
+are not believed. Every paragraph left gives points for its length and its commas to its parent, half of them to its
+grandparent; a container's points are discounted by the share of its text that stands in links. The best container is
+kept with those of its siblings that are not made of links. Its text is taken block by block in page order.
 
 Defined results: null or empty html, and pages without text, give an empty text; unclosed and stray tags are mended
-as browsers do for paragraphs, list items and cells; repeated rows are extracted alike; other columns are ignored.
-Work is linear in the page, with no recursion and no limit on its length.
+as browsers do for paragraphs, list items and cells; of containers with equal points the first in page order is the best;
+repeated rows are extracted alike; an empty table gives an empty one; other columns are ignored. Work is linear in the
+page, with no recursion and no limit on its length.
 """
 
 from __future__ import annotations
@@ -45,7 +48,10 @@ CLOSES = {
     "option": ("option", ("select",)),
 }
 #: Elements and roles that hold no content.
-ASIDE_TAGS = frozenset("nav footer aside form button select dialog menu head title object input label fieldset".split())
+ASIDE_TAGS = frozenset("nav footer aside form button select dialog menu head title input label fieldset".split())
+FORMS = frozenset("form fieldset".split())
+#: A form around one of these is the page's frame.
+FRAMED = frozenset("article main h1 nav header footer".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id that mark what is not content.
 ASIDE_WORDS = frozenset(
@@ -54,37 +60,77 @@ ASIDE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 HEAD_WORDS = frozenset(["header"])
+#: Parts of a class name that say that another part stands elsewhere, or nowhere.
+ELSEWHERE = frozenset("has no not with without after before above below hide hides show shows".split())
+#: Least share of a sibling's text in links for which it goes.
+LINKED = 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 
 
 class Node:
-    __slots__ = ("aside", "children", "inner", "link", "parent", "score", "size", "tag")
+    __slots__ = ("aside", "children", "inner", "link", "parent", "score", "size", "tag", "why")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False) -> None:
-        self.tag, self.parent, self.aside = tag, parent, aside
+    def __init__(self, tag: str, parent: Node | None, why: str = "") -> None:
+        self.tag, self.parent, self.why = tag, parent, why
+        self.aside = bool(why)
         self.children: list[Node | str] = []
         self.size = self.link = self.inner = 0
         self.score = 0.0
 
 
-def _is_aside(tag: str, attributes: str, parent: Node, in_article: bool) -> bool:
+def _named(names: str, wanted: frozenset[str]) -> bool:
+    """Whether one of the names (of class or id) is made of a wanted word and of none that puts it elsewhere."""
+    for name in names.split():
+        parts = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+        if parts & wanted and not parts & ELSEWHERE:
+            return True
+    return False
+
+
+def _why_aside(tag: str, attributes: str, in_article: bool) -> str:
+    """Why an element holds no content: form, tag, comment or word; empty if it may hold some."""
+    if tag in FORMS:
+        return "form"
     if tag in ASIDE_TAGS or tag == "header" and not in_article:
-        return True
+        return "tag"
     if not attributes or tag in ("html", "body"):
-        return False
+        return ""
     found: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(attributes):
         if name.lower() in TELLING:
             found.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)  # the first counts, as in browsers
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return True
+        return "tag"
     if found.get("role", "").lower() in ASIDE_ROLES:
-        return True
-    words = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", found.get("class", "") + " " + found.get("id", "")).lower()))
+        return "tag"
+    names = found.get("class", "") + " " + found.get("id", "")
+    if _named(names, COMMENT_WORDS):
+        return "comment"
     if tag in ("main", "article"):
-        return bool(words & COMMENT_WORDS)
-    return bool(words & ASIDE_WORDS) or bool(words & HEAD_WORDS) and not in_article
+        return ""
+    return "word" if _named(names, ASIDE_WORDS) or not in_article and _named(names, HEAD_WORDS) else ""
+
+
+def _settle(root: Node, believe: bool) -> None:
+    """Sets aside what is marked and all below it, but for frames of the page; class words only if they are believed."""
+    order, work = [], [root]
+    while work:
+        node = work.pop()
+        order.append(node)
+        work.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    framed, holds = set(), {id(node): set() for node in order}
+    for node in reversed(order):
+        if node.parent is None:
+            continue
+        if node.tag in FRAMED or id(node) in framed and node.why not in ("tag", "comment"):
+            framed.add(id(node.parent))
+        if node.why not in ("tag", "comment"):
+            holds[id(node.parent)] |= holds[id(node)] | {node.tag} & {"main", "h1", "p"}
+    parts = {k for k, tags in holds.items() if "main" in tags or {"h1", "p"} <= tags}
+    for node in order:
+        own = node.why == "form" and id(node) not in framed or node.why in ("tag", "comment") or node.why == "word" and believe and id(node) not in parts
+        node.aside = own or node.parent is not None and node.parent.aside
 
 
 def parse(html: str) -> Node:
@@ -155,7 +201,7 @@ def parse(html: str) -> Node:
             continue
         parent = stack[-1]
         in_article = bool(opened.get("article") or opened.get("main"))
-        node = Node(tag, parent, parent.aside or _is_aside(tag, m[3] or m[6] or "", parent, in_article))
+        node = Node(tag, parent, _why_aside(tag, m[3] or m[6] or "", in_article))
         parent.children.append(node)
         if tag not in VOID and not (tag == "math" and ended):
             stack.append(node)
@@ -254,21 +300,24 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    for believe in (True, False):
+        _settle(root, believe)
+        if text := _best_text(root):
+            return text
+    return ""
+
+
+def _best_text(root: Node) -> str:
     order = _score(root)
+    if not order:
+        return ""
     final = {id(x): x.score * (1 - _density(x)) for x in order}
     best = max(order, key=lambda x: final[id(x)])
     if final[id(best)] <= 0:
         return " ".join(_blocks([root]))
     kept: list[Node | str] = [best]
     if best.parent is not None:
-        kept, least = [], max(10.0, final[id(best)] * 0.2)
-        for x in best.parent.children:
-            if x is best:
-                kept.append(x)
-            elif isinstance(x, Node) and not x.aside:
-                prose = x.tag == "p" and (x.size > 80 and _density(x) < 0.25)
-                if final[id(x)] >= least or prose or x.tag == "h1":
-                    kept.append(x)
+        kept = [x for x in best.parent.children if x is best or isinstance(x, Node) and not x.aside and _density(x) < LINKED]
     return " ".join(_blocks(kept))
 
 

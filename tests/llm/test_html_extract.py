@@ -1,5 +1,7 @@
+import random
 import time
 
+from quire.llm import html_extract
 from quire.llm.html_extract import extract, main_text
 
 PROSE = "It was, all told, a long and winding sentence, with commas, clauses and a length that prose has but menus have not."
@@ -58,3 +60,73 @@ def test_nothing_of_an_article_is_lost():
     assert page(f'<p data-x="{"a > b " * 3000}">{PROSE}</p>') == PROSE
     long = f"{PROSE} " * 20_000
     assert page(f"<p>{long}</p>") == long.strip()
+
+
+def test_names_of_wrappers_do_not_take_the_article():
+    body = f"<h1>Head</h1><p>{PROSE}</p><p>Short.</p>"
+    want = f"Head {PROSE} Short."
+    for attribute in ('class="has-sidebar"', 'class="no-sidebar wide"', 'id="page-with-footer"', 'class="layoutWithMenu"', 'class="content-widget"', 'class="page share-links"', 'id="subscription-page"'):
+        assert main_text(f"<body><nav>no</nav><div {attribute}><div>{body}</div></div></body>") == want, attribute
+        assert main_text(f"<body><div {attribute}><main>{body}</main><footer>no</footer></div></body>") == want, attribute
+    assert main_text(f'<body><div class="widget"><p>{PROSE}</p></div></body>') == PROSE
+    assert main_text(f'<body><div class="masthead"><h1>Site</h1></div><div><p>{PROSE}</p></div></body>') == PROSE
+    assert main_text(f'<body><div class="comments"><p>{PROSE}</p></div></body>') == ""
+
+
+def test_form_around_the_page():
+    body = f"<header><h1>Site</h1></header><article><p>{PROSE}</p><form><label>Name</label><p>no</p></form></article><footer>no</footer>"
+    assert main_text(f'<body><form id="all" method=post>{body}</form></body>') == PROSE
+    assert main_text(f"<body><form><fieldset><nav>no</nav><div><p>{PROSE}</p></div></fieldset></form></body>") == PROSE
+    assert main_text(f"<body><form><p>{PROSE}</p></form><article><p>{PROSE}</p></article></body>") == PROSE
+    assert main_text(f"<article><p>{PROSE}</p><object data=x><p>Instead of it.</p></object></article>") == f"{PROSE} Instead of it."
+
+
+def test_short_siblings_of_the_best_container():
+    links = '<div><a href="/1">One</a> <a href="/2">Two</a></div>'
+    assert main_text(f"<body><div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><p>The end.</p></div>{links}</div></body>") == f"{PROSE} {PROSE} The end."
+    assert main_text("<body><section><p>First part.</p></section><section><p>Other part.</p></section></body>") == "First part. Other part."
+
+
+def test_points_of_small_trees_by_recursion():
+    """Scores of random trees of div, p and a: a paragraph gives its points to its parent and half of them to its
+    grandparent."""
+    r = random.Random(8)
+
+    def tree(depth):
+        tag = r.choice(["div", "p"]) if depth else "div"
+        kids = []
+        for _ in range(r.randrange(1, 4)):
+            kids.append("x" * r.randrange(1, 70) + "," * r.randrange(3) if tag == "p" or r.random() < 0.3 else ("a", ["y" * r.randrange(1, 30)]) if r.random() < 0.3 or depth > 2 else tree(depth + 1))
+        return tag, kids
+
+    def text(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(text, node[1]))}</{node[0]}>"
+
+    def expected(node, parent, grand, out, linked=False):
+        tag, kids = node
+        size = sum(len(k) if isinstance(k, str) else 0 for k in kids)
+        inner, link, commas, mine = size, size if linked else 0, sum(k.count(",") for k in kids if isinstance(k, str)), len(out)
+        out.append(0.0)
+        for k in kids:
+            if not isinstance(k, str):
+                s, n, c = expected(k, mine, parent, out, linked or k[0] == "a")
+                size, link, commas = size + s, link + n, commas + (c if k[0] == "a" else 0)
+        points = (1 + commas + min(size / 100, 3)) * (1 - link / max(1, size))
+        if tag == "p" and size and parent is not None:
+            out[parent] += points
+            if grand is not None:
+                out[grand] += points / 2
+        elif tag == "div" and inner >= 80:
+            out[mine] += points
+            if parent is not None:
+                out[parent] += points / 2
+        return size, link, commas
+
+    for _ in range(300):
+        t = tree(0)
+        root = html_extract.parse(text(t))
+        html_extract._settle(root, True)
+        order = html_extract._score(root)
+        out = []
+        expected(t, None, None, out)
+        assert [round(x.score, 6) for x in order[1:]] == [round(x, 6) for x in out]
