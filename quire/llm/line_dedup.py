@@ -155,8 +155,9 @@ def _side(df: DataFrame, end: str, *names: str) -> list[Column]:
 
 
 def _of_counts(counts: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) among keys of two or three lines. ``counts``: m, least, most and sum of the ids of a key."""
-    third = F.col("total") - F.col("least") - F.col("most")
+    """Candidates (a, b) among keys of two or three lines. ``counts``: m, least, most and exclusive or of the ids of a key,
+    which gives the third of three whatever the ids are, where a sum would overflow."""
+    third = F.col("mixed").bitwiseXOR(F.col("least")).bitwiseXOR(F.col("most"))
     two = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
     all_pairs = F.when(F.col("m") == 2, F.array(two(F.col("least"), F.col("most")))).otherwise(
         F.array(two(F.col("least"), F.col("most")), two(F.col("least"), third), two(third, F.col("most")))
@@ -187,7 +188,7 @@ def _of_leaders(left: DataFrame, rows: DataFrame, turn: int, percent: int) -> Da
 def _similar(lines: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Places b of the lines that an earlier one resembles."""
     keys = _keys(lines, percent, "id")
-    counts = keys.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least"), F.max("id").alias("most"), F.sum("id").alias("total"))
+    counts = keys.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least"), F.max("id").alias("most"), F.bit_xor("id").alias("mixed"))
     counts = staged(counts.where("m > 1"))
     many = _few(staged(counts.where("m > 3").select("k", "m")))
     rows = staged(_keys(lines, percent, *(c for c in SKETCH if c != "n")).join(many, "k"))

@@ -115,3 +115,11 @@ def test_clashing_columns_and_long_texts(spark):
     assert {tuple(x) for x in out.collect()} == {rows[0], (2, "y", *rows[1][2:]), (3, "a b" + "\n", *rows[2][2:])}
     with pytest.raises(ValueError):
         ld.report(spark.createDataFrame(rows, names), percent=50)
+
+
+def test_common_key_over_many_partitions(spark):
+    """25,000 lines with one key, in 400 partitions: ids are large and there are many of them."""
+    docs = spark.range(25_000, numPartitions=400).selectExpr("id AS doc_id", "concat('alpha beta u', id) AS text")
+    near = spark.createDataFrame([(30_000 + i, f"one two three four five six seven eight nine {x}") for i, x in enumerate(["ten", "tenth", "tens", "ten ten"])], "doc_id long, text string")
+    out = ld.report(docs.unionByName(near)).where("n_removed > 0").select("doc_id").collect()
+    assert sorted(r.doc_id for r in out) == [30_001, 30_002, 30_003]
