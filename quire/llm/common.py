@@ -24,8 +24,12 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def input_bytes(df: DataFrame) -> int | None:
-    """Bytes that the plan's own statistics give for ``df``, which reads no data; None where it has none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that the plan's own statistics give for ``df``, which reads no data; None where it has none. No more than all
+    that the plan reads: the estimate for a join is the product of its sides."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    size = min(read, int(str(plan.stats().sizeInBytes())))
     return size if size < 1 << 57 else None
 
 
