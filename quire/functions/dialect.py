@@ -104,6 +104,15 @@ class Dialect:
         """Whether the distance is under the bound; beyond it none is computed (-1)."""
         return f"(levenshtein({a}, {b}, {bound}) BETWEEN 0 AND {bound - 1})"
 
+    def repeats(self, x: str, period: int = 16, span: int = 12) -> str:
+        """How often the most repeated stretch of up to ``period`` signs follows itself, if that covers ``span`` signs; at
+        least four times, else 0. The text is compared with itself a period on; equal stretches of that are repeats."""
+        signs, run = f"split({x}, '')", "array_max(transform(regexp_extract_all({}, r'1+', 0), __s -> length(__s)))"
+        same = f"array_join(zip_with({signs}, slice({signs}, CAST(__p + 1 AS INT), length({x})), (__a, __b) -> CASE WHEN __a = __b THEN '1' ELSE '0' END), '')"
+        times = f"transform(sequence(1, {period}), __p -> CASE WHEN __p < length({x}) THEN coalesce({run.format(same)}, 0) div __p + 1 ELSE 0 END)"
+        counted = f"array_max(transform({times}, (__k, __i) -> CASE WHEN __k >= 4 AND __k * (__i + 1) >= {span} THEN __k ELSE 0 END))"
+        return f"CAST(CASE WHEN {x} RLIKE r'(?s)(.{{1,{period}}}?)\\1{{3}}' THEN {counted} ELSE 0 END AS BIGINT)".replace("\\\\", "\\")
+
     def carried(self, x: str, window: str) -> str:
         """The last value that is not null."""
         return f"last_value({x}) IGNORE NULLS OVER ({window})"
@@ -205,6 +214,13 @@ class DuckDB(Dialect):
     def closer(self, a: str, b: str, bound: int) -> str:
         return f"({self.distance(a, b)} < {bound})"
 
+    def repeats(self, x: str, period: int = 16, span: int = 12) -> str:
+        signs = f"string_split({x}, '')"
+        same = f"array_to_string(list_transform(list_zip({signs}, ({signs})[__p + 1:], true), lambda __z: CASE WHEN __z[1] = __z[2] THEN '1' ELSE '0' END), '')"
+        run = f"coalesce(list_max(list_transform(regexp_extract_all({same}, '1+'), lambda __s: length(__s))), 0) // __p + 1"
+        times = f"list_transform(generate_series(1, {period}), lambda __p: list_transform([{run}], lambda __k: CASE WHEN __p < length({x}) AND __k >= 4 AND __k * __p >= {span} THEN __k ELSE 0 END)[1])"
+        return f"CAST(list_max({times}) AS BIGINT)"
+
     def carried(self, x: str, window: str) -> str:
         return f"last_value({x} IGNORE NULLS) OVER ({window})"
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import merge, ordered, quality, regions, selection, spatial, text, timeline  # noqa: F401  (each module adds its operators to the catalogue)
+from ..operators import merge, ordered, quality, regions, selection, spatial, text, timeline, unit_html  # noqa: F401  (each module adds its operators to the catalogue)
 from ..operators.catalog import CATALOG
 from ..operators.sequential import FOLDS
 from ..sources import round_trips

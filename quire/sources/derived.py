@@ -104,6 +104,18 @@ def _definitions(d: Dialect) -> dict[str, str]:
             CASE WHEN seq = 2 THEN 'Ada Vale, Bo Lind*' WHEN seq = 3 AND doc_id % 3 = 0 THEN 'University of Vale' WHEN seq = 4 AND doc_id % 4 = 0 THEN '{ada, bo}@vale.edu' WHEN seq = 4 AND doc_id % 4 = 1 THEN '12 Hill Street, Vale' WHEN seq = 6 THEN 'Abstract'
                 WHEN seq > 6 AND h % 50 = 0 THEN 'Authors' WHEN seq > 6 AND h % 25 = 0 THEN 'B. Contributors' WHEN seq > 6 AND h % 25 = 1 THEN 'Team: Ada Vale, Bo Lind*, Cy Orr' ELSE line END AS text,
             CASE WHEN h % 13 = 0 THEN 20 ELSE 200 END AS x, 760 - 30 * (k + 1) AS y, CASE WHEN h % 13 = 0 THEN 180 ELSE 412 END AS x2, 780 - 30 * (k + 1) AS y2, 1 + h % 3 AS n_lines, 0 AS rotation FROM numbered)""",
+        "escaped_lines": "(SELECT doc_id, seq, h, line, 'P' || lpad(CAST(page + 1 AS STRING), 2, '0') || '-' || lpad(CAST(k + 1 AS STRING), 3, '0') AS id, replace(replace(line, '&', '&amp;'), '<', '&lt;') AS safe FROM numbered)",
+        "unit_html": """(SELECT doc_id, seq, h, id, line, '<p id="' || id || '">' || CASE WHEN h % 11 = 0 THEN '<br>' ELSE '' END || CASE WHEN h % 5 = 0 THEN '<span data-style="1">' || safe || '</span>' ELSE safe END
+            || CASE WHEN h % 7 = 0 THEN ' {{KEEP_1}}' ELSE '' END || CASE WHEN h % 9 = 0 THEN ' see www.example.org/' || CAST(seq AS STRING) ELSE '' END || CASE WHEN h % 4 = 0 THEN ' in ' || CAST(h AS STRING) ELSE '' END || '</p>' AS html FROM escaped_lines)""",
+        # Replies that repeat their source, but for one defect each, by h % 47.
+        "html_replies": f"""(SELECT u.doc_id, u.seq, u.html AS source, coalesce(p.line, '') AS before, coalesce(n.line, '') AS after, {d.array("'x^2 + y^2'", "'ab'")} AS hints, CASE WHEN u.doc_id % 8 = 0 THEN 'ja-JP' ELSE 'zh-CN' END AS language,
+            CASE u.h % 47 WHEN 1 THEN replace(u.html, '</p>', '<b>x</b></p>') WHEN 2 THEN replace(u.html, '</p>', '') WHEN 3 THEN replace(u.html, '</p>', '<span data-style="1">a<span data-style="1">b</span></span></p>') WHEN 4 THEN replace(u.html, '</p>', '<span data-style="1">a</p>')
+            WHEN 5 THEN replace(u.html, ' {{{{KEEP_1}}}}', '') WHEN 6 THEN replace(u.html, '</p>', ' {{{{KEEP_9}}}}</p>') WHEN 7 THEN replace(u.html, '</p>', ' x^2 + y^2</p>') WHEN 8 THEN replace(u.html, 'example.org', 'example.com') WHEN 9 THEN replace(u.html, '</p>', '<span data-style="9">z</span></p>')
+            WHEN 10 THEN replace(u.html, '</p>', '‮q</p>') WHEN 11 THEN replace(u.html, '</p>', '⁦q</p>') WHEN 12 THEN replace(u.html, '</p>', '⁩q⁦</p>') WHEN 13 THEN u.html || u.html WHEN 14 THEN replace(u.html, '</p>', ' ' || coalesce(p.safe, '') || '</p>')
+            WHEN 15 THEN replace(u.html, '</p>', 'abcabcabcabcabc</p>') WHEN 16 THEN replace(u.html, '</p>', ' 4,2</p>') WHEN 17 THEN replace(u.html, u.line, u.line || ' ' || u.line || ' ' || u.line || ' ' || u.line) WHEN 18 THEN replace(u.html, '</p>', 'かな</p>') WHEN 19 THEN replace(u.html, u.id, 'P99-999')
+            WHEN 20 THEN replace(u.html, '</p>', '{{{{KEEP_0}}}}</p>') WHEN 21 THEN u.line WHEN 22 THEN u.html || ' more' WHEN 23 THEN replace(u.html, '</p>', '{{{{KEEP_</p>') WHEN 24 THEN replace(u.html, '</p>', '</span></p>') WHEN 25 THEN replace(u.html, u.id, 'P00-001') WHEN 26 THEN replace(u.html, '</p>', '<span class="a">b</span></p>')
+            WHEN 27 THEN u.html || replace(u.html, u.id, 'P99-999') WHEN 28 THEN replace(u.html, '<br>', '<br/> <br />') WHEN 29 THEN replace(u.html, '</p>', '&lt;b&gt; &amp;amp; &copy;</p> ') ELSE u.html END AS reply
+            FROM unit_html u LEFT JOIN escaped_lines p ON p.doc_id = u.doc_id AND p.seq = u.seq - 1 LEFT JOIN escaped_lines n ON n.doc_id = u.doc_id AND n.seq = u.seq + 1)""",
         "gated_documents": "(SELECT doc_id, doc_id % 13 <> 0 AS parsed, doc_id % 11 <> 0 AS rebuilt, doc_id % 7 <> 0 AS applied FROM documents)",
         "coverage_reports": "(SELECT doc_id, CAST(sum(length(source)) AS BIGINT) AS total_chars, CAST(sum(CASE WHEN h % 31 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS uncovered_chars, 5 AS per_mille FROM units WHERE doc_id % 13 <> 0 GROUP BY doc_id)",
         "source_uris": "(SELECT doc_id, CAST(target AS STRING) || ':' || number AS uri FROM links)",
