@@ -80,6 +80,10 @@ class Dialect:
         """Without nulls."""
         return f"array_compact({a})"
 
+    def tuple(self, *items: str) -> str:
+        """Values that are ordered one after the other."""
+        return f"struct({', '.join(items)})"
+
     def has(self, x: str, part: str) -> str:
         return f"contains({x}, {part})"
 
@@ -136,6 +140,9 @@ class Dialect:
 class DuckDB(Dialect):
     name = "duckdb"
 
+    def tuple(self, *items: str) -> str:
+        return f"row({', '.join(items)})"
+
     def lit(self, text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 

@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCKDB, SPARK, Dialect
-from ..sources.derived import with_clause
+from ..sources.derived import prefixed, with_clause
 
 BASE_TABLES = ("documents", "pages", "benchmark", "labels", "conversations", "events", "embeddings", "lineitem", "orders", "customer", "supplier", "part", "nation", "region")
 
 
+def over(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A statement over frames by name. The frames stand in views of names of their own, which only common table expressions
+    of the statement see and which go once it is analysed, so that neither the session's views nor other threads' are met."""
+    views = {name: f"quire_{uuid.uuid4().hex}" for name in tables}
+    for name, frame in tables.items():
+        frame.createOrReplaceTempView(views[name])
+    try:
+        return spark.sql(prefixed(text, [f"{name} AS (SELECT * FROM {view})" for name, view in views.items()]))
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+
+
+def over_files(spark: SparkSession, text: str, sf_dir: str) -> DataFrame:
+    """A statement over those of the driver's tables that it names."""
+    return over(spark, text, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE_TABLES if re.search(rf"\b{t}\b", text)})
+
+
 @dataclass(frozen=True)
 class Operator:
     name: str
@@ -25,22 +45,10 @@ class Operator:
 
     def on(self, spark: SparkSession, **tables: DataFrame) -> DataFrame:
         """The operator on the caller's own tables: each table that its definition names is taken from ``tables``."""
-        for name, frame in tables.items():
-            frame.createOrReplaceTempView(name)
-        try:
-            return spark.sql(self.body(SPARK))
-        finally:
-            for name in tables:
-                spark.catalog.dropTempView(name)
+        return over(spark, self.body(SPARK), tables)
 
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        import re
-
-        text = self.sql(SPARK)
-        for t in BASE_TABLES:
-            if re.search(rf"\b{t}\b", text):
-                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(text)
+        return over_files(spark, self.sql(SPARK), sf_dir)
 
     def oracle(self) -> str:
         return self.sql(DUCKDB)

@@ -46,7 +46,7 @@ def override_validation(d: Dialect) -> str:
 
 simple("qc09_document_parity", "Source and output compared: pages, links, leftovers.", "WITH s AS (SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS links FROM links GROUP BY doc_id), o AS (SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS links FROM out_links GROUP BY doc_id) SELECT s.doc_id, s.pages AS source_pages, o.pages AS output_pages, s.links AS source_links, o.links AS output_links, s.pages IS DISTINCT FROM o.pages OR s.links IS DISTINCT FROM o.links AS differs FROM s LEFT JOIN o ON s.doc_id = o.doc_id")
 simple("ag16_link_summary", "Links of a document by what became of them.", "WITH j AS (SELECT l.doc_id, CASE WHEN o.ord IS NULL THEN 'missing' WHEN o.number <> l.number THEN 'renumbered' ELSE 'ok' END AS status FROM links l LEFT JOIN out_links o ON l.doc_id = o.doc_id AND l.ord = o.ord) SELECT doc_id, count(*) AS n, count_if(status = 'missing') AS missing, count_if(status = 'renumbered') AS renumbered, bool_and(status = 'ok') AS all_ok, bool_or(status <> 'ok') AS any_bad FROM j GROUP BY doc_id")
-simple("sc10_newest_artefact", "The latest run that has a stage.", "SELECT stage, max(run_id * 100000 + seq) AS place, max_by(run_id, run_id * 100000 + seq) AS run_id FROM log WHERE kind = 'finished' GROUP BY stage")
+simple("sc10_newest_artefact", "The latest run that has a stage, and its last event of it.", lambda d: f"SELECT stage, max_by(seq, {d.tuple('run_id', 'seq')}) AS seq, max(run_id) AS run_id FROM log WHERE kind = 'finished' GROUP BY stage")
 simple("sc11_library_scan", "One row a distinct content, the newest; test folders skipped.", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY mtime DESC, doc_id) AS k FROM assets WHERE dir <> 'src3') SELECT doc_id, sha, mtime FROM r WHERE k = 1")
 simple("sc09_point_scan", "Range scan by key, in order.", "SELECT document, revision, origin FROM edits WHERE document BETWEEN 10 AND 30 ORDER BY document, revision")
 simple("sc13_markdown_blocks", "Blocks of marked text; of one id the last wins.", lambda d: f"WITH p AS (SELECT doc_id, seq, {d.group('mark', 'id=([A-Z0-9-]+)', 1)} AS id, {d.group('mark', 'label=([a-z_]+)', 1)} AS label, source FROM marked_blocks) SELECT doc_id, id, max_by(label, seq) AS label, max_by(source, seq) AS body FROM p GROUP BY doc_id, id")

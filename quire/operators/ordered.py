@@ -6,7 +6,7 @@ from ..functions.dialect import Dialect
 from .catalog import operator, simple
 from .quality import tokens
 
-simple("ag04_common_translation", "Most common translation of each source term; of equals the one seen first.", "WITH c AS (SELECT src, tgt, count(*) AS n, min(doc_id * 100000 + seq) AS first FROM term_pairs WHERE src <> '' GROUP BY src, tgt), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, first) AS k FROM c) SELECT src, tgt, n FROM r WHERE k = 1")
+simple("ag04_common_translation", "Most common translation of each source term; of equals the one seen first.", lambda d: f"WITH c AS (SELECT src, tgt, count(*) AS n, min({d.tuple('doc_id', 'seq')}) AS first FROM term_pairs WHERE src <> '' GROUP BY src, tgt), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, first) AS k FROM c) SELECT src, tgt, n FROM r WHERE k = 1")
 simple("ag05_style_mode", "Most common label of each page; of equals the first.", "WITH c AS (SELECT doc_id, page, label, count(*) AS n, min(seq) AS first FROM units GROUP BY doc_id, page, label), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, first) AS k FROM c) SELECT doc_id, page, label, n FROM r WHERE k = 1")
 simple("ag06_mode_largest", "Most common font size; of equals the largest.", "WITH c AS (SELECT doc_id, src_font, count(*) AS n FROM boxes GROUP BY doc_id, src_font), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, src_font DESC) AS k FROM c) SELECT doc_id, src_font, n FROM r WHERE k = 1")
 simple("ag07_scale_clamp", "Document mode of scales weighted by text length (ties: smallest); scales above it are clamped to it.", "WITH s AS (SELECT u.doc_id, u.seq, b.font10, length(u.source) AS w FROM units u JOIN boxes b ON u.doc_id = b.doc_id AND u.seq = b.seq), c AS (SELECT doc_id, font10, sum(w) AS w FROM s GROUP BY doc_id, font10), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, font10) AS k FROM c) SELECT s.doc_id, s.seq, least(s.font10, r.font10) AS font10 FROM s JOIN r ON s.doc_id = r.doc_id AND r.k = 1")
@@ -94,10 +94,15 @@ simple("st08_newest_first", "Jobs newest first, and each document's active one."
 simple("st09_retention", "Rows kept by a cap on ids.", "SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 500")
 simple("so03_union_probe", "Documents known to any of three tables.", "SELECT doc_id FROM labels UNION SELECT doc_id FROM documents UNION SELECT conv_id AS doc_id FROM conversations")
 simple("so04_strict_subset", "Whether a retry's leftovers are a strict subset of the first try's.", lambda d: f"WITH p AS (SELECT doc_id, {d.collected('CASE WHEN left_first THEN seq END')} AS a, {d.collected('CASE WHEN left_retry THEN seq END')} AS b FROM tries GROUP BY doc_id), q AS (SELECT doc_id, {d.present('a')} AS a, {d.present('b')} AS b FROM p) SELECT doc_id, {d.size('a')} AS first_n, {d.size('b')} AS retry_n, {d.size(d.minus('b', 'a'))} = 0 AND {d.size('b')} < {d.size('a')} AS accepted FROM q")
-simple("so05_ordered_union", "Ids of three sources, each once, in the order of the first source that has it.", "WITH s AS (SELECT doc_id, id, 0 AS source_rank, seq FROM targets UNION ALL SELECT doc_id, id, 1 AS source_rank, seq FROM units UNION ALL SELECT doc_id, id, 2 AS source_rank, seq FROM boxes), f AS (SELECT doc_id, id, min(source_rank * 1000000 + seq) AS place FROM s GROUP BY doc_id, id) SELECT doc_id, id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) AS BIGINT) AS n FROM f")
+simple("so05_ordered_union", "Ids of three sources, each once, in the order of the first source that has it.", lambda d: f"WITH s AS (SELECT doc_id, id, 0 AS source_rank, seq FROM targets UNION ALL SELECT doc_id, id, 1 AS source_rank, seq FROM units UNION ALL SELECT doc_id, id, 2 AS source_rank, seq FROM boxes), f AS (SELECT doc_id, id, min({d.tuple('source_rank', 'seq')}) AS place FROM s GROUP BY doc_id, id) SELECT doc_id, id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) AS BIGINT) AS n FROM f")
 simple("so06_glossary_first", "Glossary by normalised source; the first entry wins.", lambda d: f"WITH g AS (SELECT lower(trim({d.sub('source', ' +', ' ')})) AS k, seq, source, target FROM glossary) SELECT k, min_by(source, seq) AS source, min_by(target, seq) AS target FROM g GROUP BY k")
 simple("so07_glossary_last", "Glossary by source; the last entry wins, sorted, a hundred at most.", "WITH g AS (SELECT source, max(seq) AS seq, max_by(target, seq) AS target FROM glossary WHERE trim(source) <> '' GROUP BY source) SELECT source, target FROM g ORDER BY source LIMIT 100")
-simple("so08_uri_set", "Link targets lost and added between source and output.", "SELECT page, number, 'lost' AS change FROM (SELECT DISTINCT page, number FROM links EXCEPT SELECT DISTINCT page, number FROM out_links) a UNION ALL SELECT page, number, 'added' AS change FROM (SELECT DISTINCT page, number FROM out_links EXCEPT SELECT DISTINCT page, number FROM links) b")
+simple(
+    "so08_uri_set",
+    "Link targets of each document that are lost or added between source and output.",
+    """SELECT doc_id, page, number, 'lost' AS change FROM (SELECT DISTINCT doc_id, page, number FROM links EXCEPT SELECT DISTINCT doc_id, page, number FROM out_links) a
+    UNION ALL SELECT doc_id, page, number, 'added' AS change FROM (SELECT DISTINCT doc_id, page, number FROM out_links EXCEPT SELECT DISTINCT doc_id, page, number FROM links) b""",
+)
 simple("so09_term_key", "Terms of a document sorted, each once, as a cache key.", lambda d: f"WITH t AS (SELECT DISTINCT doc_id, src FROM term_pairs WHERE src <> ''), a AS (SELECT doc_id, {d.collected('src')} AS terms FROM t GROUP BY doc_id) SELECT doc_id, {d.size('terms')} AS n, {d.sha(d.joined('terms', '|'))} AS cache_key FROM a")
 simple("so10_intersect", "Documents that have labels and conversations.", "SELECT doc_id FROM labels INTERSECT SELECT conv_id AS doc_id FROM conversations")
 
@@ -135,7 +140,7 @@ simple("xo08_shared_layout", "Neighbouring units in one region each, the same on
 simple("xo10_placeholder_ids", "Sequential placeholder ids: one for a formula, two for a styled run; over forty: plain.", lambda d: f"WITH p AS (SELECT doc_id, page, seq, {d.times('source', '[{]v[0-9]+[}]')} + 2 * {d.times('source', '<style id=')} AS inc FROM units) SELECT doc_id, seq, inc, CAST(1 + coalesce(sum(inc) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_id, sum(inc) OVER (PARTITION BY doc_id) > 40 AS plain FROM p")
 simple("xo15_move_gate", "Whether a paragraph may move to the next page, and why not.", "SELECT doc_id, seq, CASE WHEN label NOT IN ('text') THEN 'label' WHEN y > 200 THEN 'not_low' WHEN page >= 5 THEN 'last_pages' ELSE 'ok' END AS gate FROM boxes")
 simple("xo19_log_owner", "Owner of each event: the nearest span start before it (backward as-of).", lambda d: f"SELECT run_id, seq, {d.carried(chr(39).join(['CASE WHEN stage = ', 'signup', ' THEN span END']), 'PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS owner FROM log")
-simple("xo20_best_variant", "The first passing variant of each page by priority.", "SELECT doc_id, page, min_by(seq, CASE label WHEN 'title' THEN 0 WHEN 'text' THEN 1 ELSE 2 END * 100000 + seq) AS seq FROM variants WHERE passed GROUP BY doc_id, page")
+simple("xo20_best_variant", "The first passing variant of each page by priority.", lambda d: f"SELECT doc_id, page, min_by(seq, {d.tuple('rank', 'seq')}) AS seq FROM (SELECT *, CASE label WHEN 'title' THEN 0 WHEN 'text' THEN 1 ELSE 2 END AS rank FROM variants) AS __v WHERE passed GROUP BY doc_id, page")
 simple("xo21_rejections", "Candidates by the first reason that rejects them.", "SELECT CASE WHEN label = 'table' THEN 'table' WHEN length(source) < 30 THEN 'short' WHEN flagged THEN 'flagged' ELSE 'kept' END AS reason, count(*) AS n FROM flagged_units GROUP BY CASE WHEN label = 'table' THEN 'table' WHEN length(source) < 30 THEN 'short' WHEN flagged THEN 'flagged' ELSE 'kept' END")
 simple("xo26_entities", "Paragraph entities and their relation to a region.", "SELECT p.doc_id, p.seq, coalesce(p.id, 'ordinal-' || CAST(p.seq AS STRING)) AS entity, r.rid AS region FROM snapshot_paragraphs p LEFT JOIN regions r ON p.doc_id = r.doc_id AND r.rid = p.layout_id")
 simple("xo31_label_pairing", "The k-th source label with the k-th output label, where counts agree.", "WITH a AS (SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id, page, target ORDER BY ord) AS k, count(*) OVER (PARTITION BY doc_id, page, target) AS n, target FROM links), b AS (SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id, page, target ORDER BY ord) AS k, count(*) OVER (PARTITION BY doc_id, page, target) AS n, target FROM out_links) SELECT a.doc_id, a.ord, b.ord AS out_ord FROM a JOIN b ON a.doc_id = b.doc_id AND a.page = b.page AND a.target = b.target AND a.k = b.k AND a.n = b.n")

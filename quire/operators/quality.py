@@ -107,7 +107,7 @@ def reply_protocol(d: Dialect) -> str:
 def protocol_rates(d: Dialect) -> str:
     """Share of units with a violation, and a histogram by code."""
     return f"""WITH {tokens(d)}, bad AS (SELECT doc_id, seq, CASE WHEN actual < expected THEN 'placeholder_lost' ELSE 'placeholder_hallucinated' END AS code FROM diff WHERE expected <> actual),
-        total AS (SELECT count(*) AS n FROM replies) SELECT code, count(*) AS violations, count(DISTINCT doc_id * 100000 + seq) AS units, count(DISTINCT doc_id * 100000 + seq) / CAST(max(total.n) AS DOUBLE) AS rate FROM bad, total GROUP BY code"""
+        total AS (SELECT count(*) AS n FROM replies) SELECT code, count(*) AS violations, count(DISTINCT {d.tuple('doc_id', 'seq')}) AS units, count(DISTINCT {d.tuple('doc_id', 'seq')}) / CAST(max(total.n) AS DOUBLE) AS rate FROM bad, total GROUP BY code"""
 
 
 @operator("so02_placeholder_order")

@@ -48,7 +48,7 @@ def context(d: Dialect) -> str:
         marked AS (SELECT *, CASE WHEN {d.like("text", REFERENCE_HEADING)} THEN 'on' WHEN {d.like("text", APPENDIX)} OR ({among("kind", ("title", "doc_title", "paragraph_title"))} AND {d.like("text", LETTER_APPENDIX)}) THEN 'off' END AS mark FROM texts),
         stated AS (SELECT *, {d.carried("mark", "PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")} AS state FROM marked),
         hits AS (SELECT DISTINCT t.doc_id, t.seq FROM texts t JOIN regions r ON t.doc_id = r.doc_id AND t.page = r.page WHERE {among("r.label", PROTECTED_REGIONS)} AND {inside("t", "r")} >= {OVERLAP}),
-        titles AS (SELECT doc_id, max_by(y, {area("texts")} * 100000 - seq) AS title_y FROM texts WHERE page = 0 AND {among("kind", ("title", "doc_title"))} AND text <> '' AND NOT {d.like("text", ABSTRACT)} GROUP BY doc_id),
+        titles AS (SELECT doc_id, max_by(y, {d.tuple(area("texts"), "-seq")}) AS title_y FROM texts WHERE page = 0 AND {among("kind", ("title", "doc_title"))} AND text <> '' AND NOT {d.like("text", ABSTRACT)} GROUP BY doc_id),
         abstracts AS (SELECT doc_id, max(y2) AS abstract_y2 FROM texts WHERE page = 0 AND {d.like("text", ABSTRACT)} GROUP BY doc_id),
         judged AS (SELECT s.*, h.seq IS NOT NULL AS in_region, s.page = 0 AND NOT {among("s.kind", (*CAPTIONS, "title", "doc_title", "paragraph_title"))} AND t.title_y IS NOT NULL AND a.abstract_y2 IS NOT NULL AND s.y2 <= t.title_y + 2 AND s.y >= a.abstract_y2 - 2 AS in_band
             FROM stated s LEFT JOIN hits h ON s.doc_id = h.doc_id AND s.seq = h.seq LEFT JOIN titles t ON s.doc_id = t.doc_id LEFT JOIN abstracts a ON s.doc_id = a.doc_id)"""

@@ -16,11 +16,43 @@ def caption(label: str) -> str:
     return f"(right({label}, 8) = '_caption' OR right({label}, 9) = '_footnote' OR right({label}, 5) = '_text')"
 
 
+#: Side of a cell, in points.
+CELL = 128
+CENTRE = "g.x + g.x2 BETWEEN 2 * r.x AND 2 * r.x2 AND g.y + g.y2 BETWEEN 2 * r.y AND 2 * r.y2"
+
+
+def near(table: str, fields: str, slack: int = 0) -> str:
+    """Common table expressions ``placed`` (glyphs, each in the cell of its lower left corner: cx, cy) and ``near`` (for each
+    cell the boxes of ``table`` that a glyph there may touch: rs, an array of structs). A box stands in every cell that it
+    meets once it has grown to the left and down by the page's largest glyph, so that a glyph need look into one cell only,
+    nothing is found twice, and what a glyph is compared with are its neighbours, however many boxes the page has. Boxes are
+    cut to where the page has glyphs before they are dealt into cells. For Spark only: the check uses a plain join."""
+    cells = lambda lo, hi: f"explode(CASE WHEN {hi} >= {lo} THEN sequence(CAST(floor(({lo}) / {CELL}) AS BIGINT), CAST(floor(({hi}) / {CELL}) AS BIGINT)) ELSE array() END)"
+    sides = {c: (f"greatest(r.{c} - s.wide_{c} - {slack}, s.low_{c})", f"least(r.{c}2 + {slack}, s.high_{c})") for c in "xy"}
+    return f"""spans AS (SELECT doc_id, page, {", ".join(f"max({c}2 - {c}) AS wide_{c}, min({c}) AS low_{c}, max({c}) AS high_{c}" for c in "xy")} FROM glyphs GROUP BY doc_id, page),
+        dealt AS (SELECT r.doc_id, r.page, struct({fields}) AS r, cx, cy FROM {table} r JOIN spans s ON r.doc_id = s.doc_id AND r.page = s.page LATERAL VIEW {cells(*sides["x"])} AS cx LATERAL VIEW {cells(*sides["y"])} AS cy),
+        near AS (SELECT doc_id, page, cx, cy, collect_list(r) AS rs FROM dealt GROUP BY doc_id, page, cx, cy),
+        placed AS (SELECT *, CAST(floor(x / {CELL}) AS BIGINT) AS cx, CAST(floor(y / {CELL}) AS BIGINT) AS cy FROM glyphs)"""
+
+
+SAME_CELL = "g.doc_id = n.doc_id AND g.page = n.page AND g.cx = n.cx AND g.cy = n.cy"
+SIDES = "r.x, r.y, r.x2, r.y2"
+
+
+def touched(test: str) -> str:
+    """Whether a glyph has a box that passes the test, as a column of ``placed g LEFT JOIN near n``."""
+    return f"coalesce(exists(n.rs, r -> {test}), false)"
+
+
 @operator("jn01_char_region")
 def char_region(d: Dialect) -> str:
     """Each character's best region: label priority, then share of its area, then region order."""
-    return f"""WITH c AS (SELECT g.doc_id, g.page, g.seq, g.i, r.rid, r.label, row_number() OVER (PARTITION BY g.doc_id, g.seq, g.i ORDER BY {PRIORITY}, {shared("g", "r")} DESC, r.rid) AS n
-        FROM glyphs g JOIN regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets("g", "r")}) SELECT doc_id, page, seq, i, rid, label FROM c WHERE n = 1"""
+    if d.name == "duckdb":
+        return f"""WITH c AS (SELECT g.doc_id, g.page, g.seq, g.i, r.rid, r.label, row_number() OVER (PARTITION BY g.doc_id, g.seq, g.i ORDER BY {PRIORITY}, {shared("g", "r")} DESC, r.rid) AS n
+            FROM glyphs g JOIN regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets("g", "r")}) SELECT doc_id, page, seq, i, rid, label FROM c WHERE n = 1"""
+    best = f"array_min(transform(filter(n.rs, r -> {meets('g', 'r')}), r -> struct(r.rank, -{shared('g', 'r')} AS part, r.rid, r.label)))"
+    return f"""WITH {near("regions", f"{SIDES}, {PRIORITY} AS rank, r.rid, r.label")}
+        SELECT g.doc_id, g.page, g.seq, g.i, best.rid, best.label FROM placed g JOIN near n ON {SAME_CELL} LATERAL VIEW explode(array_compact(array({best}))) AS best"""
 
 
 def anti(d: Dialect) -> str:
@@ -31,18 +63,35 @@ def semi(d: Dialect) -> str:
     return "LEFT SEMI JOIN" if d.name == "spark" else "SEMI JOIN"
 
 
-simple("jn02_uncovered_chars", "Characters that no region overlaps.", lambda d: f"SELECT g.doc_id, g.page, g.seq, g.i FROM glyphs g {anti(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets('g', 'r')}")
-simple("jn03_glyph_centre", "Glyphs whose centre lies in a region, edges included.", lambda d: f"SELECT g.doc_id, g.seq, g.i FROM glyphs g {semi(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND g.x + g.x2 BETWEEN 2 * r.x AND 2 * r.x2 AND g.y + g.y2 BETWEEN 2 * r.y AND 2 * r.y2")
+@operator("jn02_uncovered_chars")
+def uncovered_chars(d: Dialect) -> str:
+    """Characters that no region overlaps."""
+    if d.name == "duckdb":
+        return f"SELECT g.doc_id, g.page, g.seq, g.i FROM glyphs g {anti(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets('g', 'r')}"
+    return f"WITH {near('regions', SIDES)} SELECT g.doc_id, g.page, g.seq, g.i FROM placed g LEFT JOIN near n ON {SAME_CELL} WHERE NOT {touched(meets('g', 'r'))}"
+
+
+@operator("jn03_glyph_centre")
+def glyph_centre(d: Dialect) -> str:
+    """Glyphs whose centre lies in a region, edges included."""
+    if d.name == "duckdb":
+        return f"SELECT g.doc_id, g.seq, g.i FROM glyphs g {semi(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {CENTRE}"
+    return f"WITH {near('regions', SIDES)} SELECT g.doc_id, g.seq, g.i FROM placed g JOIN near n ON {SAME_CELL} WHERE exists(n.rs, r -> {CENTRE})"
 
 
 @operator("jn04_char_span")
 def char_span(d: Dialect) -> str:
     """Each character's provider box: by centre (one point of tolerance), else by 0.6 of its area; ambiguous if several."""
-    return f"""WITH hit AS (SELECT g.doc_id, g.seq, g.i, b.seq AS box, 1 AS rank, {area("b")} AS a FROM glyphs g JOIN boxes b ON g.doc_id = b.doc_id AND g.page = b.page AND g.x + g.x2 BETWEEN 2 * b.x - 2 AND 2 * b.x2 + 2 AND g.y + g.y2 BETWEEN 2 * b.y - 2 AND 2 * b.y2 + 2),
-        rest AS (SELECT g.* FROM glyphs g {anti(d)} hit h ON g.doc_id = h.doc_id AND g.seq = h.seq AND g.i = h.i),
-        second AS (SELECT g.doc_id, g.seq, g.i, b.seq AS box, 2 AS rank, {area("b")} AS a FROM rest g JOIN boxes b ON g.doc_id = b.doc_id AND g.page = b.page AND {inside("g", "b")} >= 0.6),
-        every_hit AS (SELECT * FROM hit UNION ALL SELECT * FROM second), ranked AS (SELECT *, count(*) OVER (PARTITION BY doc_id, seq, i) AS many, row_number() OVER (PARTITION BY doc_id, seq, i ORDER BY rank, a, box) AS n FROM every_hit)
-        SELECT doc_id, seq, i, box, CAST(rank AS BIGINT) AS stage, many > 1 AS ambiguous FROM ranked WHERE n = 1"""
+    centre = "g.x + g.x2 BETWEEN 2 * b.x - 2 AND 2 * b.x2 + 2 AND g.y + g.y2 BETWEEN 2 * b.y - 2 AND 2 * b.y2 + 2"
+    if d.name == "duckdb":
+        return f"""WITH hit AS (SELECT g.doc_id, g.seq, g.i, b.seq AS box, 1 AS rank, {area("b")} AS a FROM glyphs g JOIN boxes b ON g.doc_id = b.doc_id AND g.page = b.page AND {centre}),
+            rest AS (SELECT g.* FROM glyphs g {anti(d)} hit h ON g.doc_id = h.doc_id AND g.seq = h.seq AND g.i = h.i),
+            second AS (SELECT g.doc_id, g.seq, g.i, b.seq AS box, 2 AS rank, {area("b")} AS a FROM rest g JOIN boxes b ON g.doc_id = b.doc_id AND g.page = b.page AND {inside("g", "b")} >= 0.6),
+            every_hit AS (SELECT * FROM hit UNION ALL SELECT * FROM second), ranked AS (SELECT *, count(*) OVER (PARTITION BY doc_id, seq, i) AS many, row_number() OVER (PARTITION BY doc_id, seq, i ORDER BY rank, a, box) AS n FROM every_hit)
+            SELECT doc_id, seq, i, box, CAST(rank AS BIGINT) AS stage, many > 1 AS ambiguous FROM ranked WHERE n = 1"""
+    hits = f"filter(transform(n.rs, b -> struct(CASE WHEN {centre} THEN 1L WHEN {inside('g', 'b')} >= 0.6 THEN 2L ELSE 3L END AS rank, b.a, b.box)), z -> z.rank < 3)"
+    return f"""WITH {near("boxes", f"{SIDES}, {area('r')} AS a, r.seq AS box", 1)}, found AS (SELECT g.doc_id, g.seq, g.i, hits FROM placed g JOIN near n ON {SAME_CELL} LATERAL VIEW explode(array({hits})) AS hits)
+        SELECT doc_id, seq, i, best.box, best.rank AS stage, size(filter(hits, z -> z.rank = best.rank)) > 1 AS ambiguous FROM found LATERAL VIEW explode(array_compact(array(array_min(hits)))) AS best"""
 
 
 @operator("jn06_curve_formula")
@@ -100,16 +149,39 @@ simple("fm03_y_overlap", "Vertical overlap by the first height and by the smalle
 simple("fm04_box_distance", "Distance between the nearest edges of neighbours.", "SELECT a.doc_id, a.seq, sqrt(CAST(greatest(0, b.x - a.x2, a.x - b.x2) * greatest(0, b.x - a.x2, a.x - b.x2) + greatest(0, b.y - a.y2, a.y - b.y2) * greatest(0, b.y - a.y2, a.y - b.y2) AS DOUBLE)) AS distance FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.page = b.page AND b.seq = a.seq + 3")
 simple("fm05_y_flip", "Boxes with the origin at the top left.", "SELECT doc_id, seq, x, 792 - y2 AS y, x2, 792 - y AS y2 FROM boxes")
 simple("fm07_overflow", "How far a box passes a crop box (55, 150, 550, 745).", "SELECT doc_id, seq, greatest(0, 55 - x, 150 - y, x2 - 550, y2 - 745) AS overflow FROM boxes WHERE greatest(0, 55 - x, 150 - y, x2 - 550, y2 - 745) > 0")
-simple("ag01_coverage", "Characters a page and in all, uncovered ones and white space.", lambda d: f"WITH u AS (SELECT g.doc_id, g.seq, g.i FROM glyphs g {anti(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets('g', 'r')}), m AS (SELECT g.doc_id, g.page, g.ch, u.i IS NOT NULL AS bare FROM glyphs g LEFT JOIN u ON g.doc_id = u.doc_id AND g.seq = u.seq AND g.i = u.i) SELECT doc_id, page, count(*) AS total, count_if(bare AND ch <> ' ') AS uncovered, count_if(ch = ' ') AS blanks, CASE WHEN count_if(ch <> ' ') = 0 THEN 1.0 ELSE 1.0 - count_if(bare AND ch <> ' ') / CAST(count_if(ch <> ' ') AS DOUBLE) END AS ratio FROM m GROUP BY ROLLUP (doc_id, page)")
-simple("ag02_coverage_gate", "Documents of which more than 0.005 of the characters are uncovered.", lambda d: f"WITH u AS (SELECT g.doc_id, g.seq, g.i FROM glyphs g {anti(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets('g', 'r')}), t AS (SELECT doc_id, count(*) AS n FROM glyphs GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id) SELECT t.doc_id, t.n AS total, coalesce(b.n, 0) AS uncovered, coalesce(b.n, 0) * 1000 > t.n * 5 AS fails FROM t LEFT JOIN b ON t.doc_id = b.doc_id")
-simple("ag03_glyph_report", "Glyphs with their centre in a region, by page.", lambda d: f"WITH c AS (SELECT g.doc_id, g.seq, g.i FROM glyphs g {semi(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND g.x + g.x2 BETWEEN 2 * r.x AND 2 * r.x2 AND g.y + g.y2 BETWEEN 2 * r.y AND 2 * r.y2) SELECT g.doc_id, g.page, count(*) AS glyphs, count(c.i) AS covered FROM glyphs g LEFT JOIN c ON g.doc_id = c.doc_id AND g.seq = c.seq AND g.i = c.i GROUP BY g.doc_id, g.page")
+@operator("ag01_coverage")
+def coverage(d: Dialect) -> str:
+    """Characters a page and in all, uncovered ones and white space."""
+    if d.name == "duckdb":
+        return f"WITH u AS (SELECT g.doc_id, g.seq, g.i FROM glyphs g {anti(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets('g', 'r')}), m AS (SELECT g.doc_id, g.page, g.ch, u.i IS NOT NULL AS bare FROM glyphs g LEFT JOIN u ON g.doc_id = u.doc_id AND g.seq = u.seq AND g.i = u.i) SELECT doc_id, page, count(*) AS total, count_if(bare AND ch <> ' ') AS uncovered, count_if(ch = ' ') AS blanks, CASE WHEN count_if(ch <> ' ') = 0 THEN 1.0 ELSE 1.0 - count_if(bare AND ch <> ' ') / CAST(count_if(ch <> ' ') AS DOUBLE) END AS ratio FROM m GROUP BY ROLLUP (doc_id, page)"
+    return f"""WITH {near("regions", SIDES)}, pages AS (SELECT g.doc_id, g.page, count(*) AS total, count_if(ch <> ' ' AND NOT {touched(meets("g", "r"))}) AS uncovered, count_if(ch = ' ') AS blanks, count_if(ch <> ' ') AS signs FROM placed g LEFT JOIN near n ON {SAME_CELL} GROUP BY g.doc_id, g.page)
+        SELECT doc_id, page, sum(total) AS total, sum(uncovered) AS uncovered, sum(blanks) AS blanks, CASE WHEN sum(signs) = 0 THEN 1.0D ELSE 1.0D - sum(uncovered) / CAST(sum(signs) AS DOUBLE) END AS ratio FROM pages GROUP BY ROLLUP (doc_id, page)"""
+
+
+@operator("ag02_coverage_gate")
+def coverage_gate(d: Dialect) -> str:
+    """Documents of which more than 0.005 of the characters are uncovered."""
+    if d.name == "duckdb":
+        return f"WITH u AS (SELECT g.doc_id, g.seq, g.i FROM glyphs g {anti(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets('g', 'r')}), t AS (SELECT doc_id, count(*) AS n FROM glyphs GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id) SELECT t.doc_id, t.n AS total, coalesce(b.n, 0) AS uncovered, coalesce(b.n, 0) * 1000 > t.n * 5 AS fails FROM t LEFT JOIN b ON t.doc_id = b.doc_id"
+    return f"""WITH {near("regions", SIDES)}, t AS (SELECT g.doc_id, count(*) AS total, count_if(NOT {touched(meets("g", "r"))}) AS uncovered FROM placed g LEFT JOIN near n ON {SAME_CELL} GROUP BY g.doc_id)
+        SELECT doc_id, total, uncovered, uncovered * 1000 > total * 5 AS fails FROM t"""
+
+
+@operator("ag03_glyph_report")
+def glyph_report(d: Dialect) -> str:
+    """Glyphs with their centre in a region, by page."""
+    if d.name == "duckdb":
+        return f"WITH c AS (SELECT g.doc_id, g.seq, g.i FROM glyphs g {semi(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {CENTRE}) SELECT g.doc_id, g.page, count(*) AS glyphs, count(c.i) AS covered FROM glyphs g LEFT JOIN c ON g.doc_id = c.doc_id AND g.seq = c.seq AND g.i = c.i GROUP BY g.doc_id, g.page"
+    return f"WITH {near('regions', SIDES)} SELECT g.doc_id, g.page, count(*) AS glyphs, count_if({touched(CENTRE)}) AS covered FROM placed g LEFT JOIN near n ON {SAME_CELL} GROUP BY g.doc_id, g.page"
+
+
 simple("ag11_box_union", "Box around all of a page's boxes.", "SELECT doc_id, page, min(x) AS x, min(y) AS y, max(x2) AS x2, max(y2) AS y2 FROM boxes GROUP BY doc_id, page")
 simple("ag12_geometry_summary", "Per page: union, fonts, counts.", "SELECT doc_id, page, min(x) AS x, max(y2) AS y2, min(src_font) AS min_font, max(src_font) AS max_font, count(*) AS n, count(DISTINCT label) AS labels FROM boxes GROUP BY doc_id, page")
-simple("wf24_free_slot", "The topmost free vertical slot of sixty points in each page.", "WITH e AS (SELECT doc_id, page, y, y2 FROM boxes UNION ALL SELECT DISTINCT doc_id, page, -100 AS y, 0 AS y2 FROM boxes), o AS (SELECT *, coalesce(min(y) OVER (PARTITION BY doc_id, page ORDER BY y2 DESC, y DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 792) AS ceiling FROM e) SELECT doc_id, page, max(ceiling) AS top, max_by(y2, ceiling * 10000 - y2) AS bottom FROM o WHERE ceiling - y2 >= 60 GROUP BY doc_id, page")
+simple("wf24_free_slot", "The topmost free vertical slot of sixty points in each page.", lambda d: f"WITH e AS (SELECT doc_id, page, y, y2 FROM boxes UNION ALL SELECT DISTINCT doc_id, page, -100 AS y, 0 AS y2 FROM boxes), o AS (SELECT *, coalesce(min(y) OVER (PARTITION BY doc_id, page ORDER BY y2 DESC, y DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 792) AS ceiling FROM e) SELECT doc_id, page, max(ceiling) AS top, max_by(y2, {d.tuple('ceiling', '-y2')}) AS bottom FROM o WHERE ceiling - y2 >= 60 GROUP BY doc_id, page")
 simple("wf25_expand_box", "How far each box can grow down and up before it meets another.", "SELECT a.doc_id, a.seq, coalesce(max(CASE WHEN b.y2 <= a.y THEN b.y2 END), 0) AS down_to, coalesce(min(CASE WHEN b.y >= a.y2 THEN b.y END), 792) AS up_to FROM boxes a LEFT JOIN boxes b ON a.doc_id = b.doc_id AND a.page = b.page AND a.seq <> b.seq AND least(a.x2, b.x2) > greatest(a.x, b.x) GROUP BY a.doc_id, a.seq")
 simple("xo13_expand_four_ways", "Nearest obstacles in all four directions; the page's edge where there is none.", "SELECT a.doc_id, a.seq, coalesce(max(CASE WHEN b.x2 <= a.x AND least(a.y2, b.y2) > greatest(a.y, b.y) THEN b.x2 END), 0) AS left_to, coalesce(min(CASE WHEN b.x >= a.x2 AND least(a.y2, b.y2) > greatest(a.y, b.y) THEN b.x END), 612) AS right_to, coalesce(max(CASE WHEN b.y2 <= a.y AND least(a.x2, b.x2) > greatest(a.x, b.x) THEN b.y2 END), 0) AS down_to, coalesce(min(CASE WHEN b.y >= a.y2 AND least(a.x2, b.x2) > greatest(a.x, b.x) THEN b.y END), 792) AS up_to FROM boxes a LEFT JOIN boxes b ON a.doc_id = b.doc_id AND a.page = b.page AND a.seq <> b.seq GROUP BY a.doc_id, a.seq")
 simple("xo09_decoration", "Link boxes outside figures and tables.", lambda d: f"SELECT l.doc_id, l.ord FROM links l {anti(d)} regions r ON l.doc_id = r.doc_id AND l.page = r.page AND r.label IN ('figure', 'table') AND {meets('l', 'r')}")
 simple("xo03_single_char_marker", "Small boxes that hold exactly one character.", lambda d: f"SELECT g.doc_id, g.seq, l.ord, min(g.i) AS i FROM links l JOIN glyphs g ON l.doc_id = g.doc_id AND l.page = g.page AND g.x >= l.x AND g.x2 <= l.x + 12 AND g.y >= l.y - 4 AND g.y2 <= l.y + 14 GROUP BY g.doc_id, g.seq, l.ord HAVING count(*) = 1")
 simple("xo27_apply_overrides", "Boxes after overrides: scaled from the top left corner.", "SELECT b.doc_id, b.seq, b.x, b.y2 - (b.y2 - b.y) * coalesce(o.height10, 10) / CAST(10 AS DOUBLE) AS y, b.x + (b.x2 - b.x) * coalesce(o.width10, 10) / CAST(10 AS DOUBLE) AS x2, b.y2 FROM boxes b LEFT JOIN box_overrides o ON b.doc_id = o.doc_id AND b.seq = o.seq")
-simple("xo12_descent", "Boxes shifted by their page's most common font size (ties: larger).", "WITH c AS (SELECT doc_id, page, src_font, count(*) AS n FROM boxes GROUP BY doc_id, page, src_font), m AS (SELECT doc_id, page, max_by(src_font, n * 1000 + src_font) AS f FROM c GROUP BY doc_id, page) SELECT b.doc_id, b.seq, b.y - m.f AS y, b.y2 - m.f AS y2 FROM boxes b JOIN m ON b.doc_id = m.doc_id AND b.page = m.page")
+simple("xo12_descent", "Boxes shifted by their page's most common font size (ties: larger).", lambda d: f"WITH c AS (SELECT doc_id, page, src_font, count(*) AS n FROM boxes GROUP BY doc_id, page, src_font), m AS (SELECT doc_id, page, max_by(src_font, {d.tuple('n', 'src_font')}) AS f FROM c GROUP BY doc_id, page) SELECT b.doc_id, b.seq, b.y - m.f AS y, b.y2 - m.f AS y2 FROM boxes b JOIN m ON b.doc_id = m.doc_id AND b.page = m.page")
 simple("xo22_fill_ratio", "Width of the glyphs of each visual row against its box.", "SELECT g.doc_id, g.seq, g.y, CAST(sum(g.x2 - g.x) AS BIGINT) AS ink, CAST(sum(g.x2 - g.x) AS BIGINT) / CAST(max(b.x2 - b.x) AS DOUBLE) AS fill FROM glyphs g JOIN boxes b ON g.doc_id = b.doc_id AND g.seq = b.seq GROUP BY g.doc_id, g.seq, g.y")

@@ -116,6 +116,28 @@ def _definitions(d: Dialect) -> dict[str, str]:
             WHEN 20 THEN replace(u.html, '</p>', '{{{{KEEP_0}}}}</p>') WHEN 21 THEN u.line WHEN 22 THEN u.html || ' more' WHEN 23 THEN replace(u.html, '</p>', '{{{{KEEP_</p>') WHEN 24 THEN replace(u.html, '</p>', '</span></p>') WHEN 25 THEN replace(u.html, u.id, 'P00-001') WHEN 26 THEN replace(u.html, '</p>', '<span class="a">b</span></p>')
             WHEN 27 THEN u.html || replace(u.html, u.id, 'P99-999') WHEN 28 THEN replace(u.html, '<br>', '<br/> <br />') WHEN 29 THEN replace(u.html, '</p>', '&lt;b&gt; &amp;amp; &copy;</p> ') ELSE u.html END AS reply
             FROM unit_html u LEFT JOIN escaped_lines p ON p.doc_id = u.doc_id AND p.seq = u.seq - 1 LEFT JOIN escaped_lines n ON n.doc_id = u.doc_id AND n.seq = u.seq + 1)""",
+        # Six events of a run are a job's; what they are, and how an exit went, is by rule.
+        "job_steps": f"(SELECT CAST(run_id AS STRING) || '-' || CAST({d.div('seq - 1', '6')} AS STRING) AS job, seq, (seq - 1) % 6 AS step, {d.div('ms', '10')} AS ms FROM log)",
+        "job_events": """(SELECT job, seq, CASE step WHEN 0 THEN CASE WHEN ms % 11 = 0 THEN 'start' ELSE 'create' END WHEN 1 THEN CASE WHEN ms % 11 < 2 THEN 'cancel' WHEN ms % 11 = 2 THEN 'exit' WHEN ms % 11 = 3 THEN 'restart' WHEN ms % 11 = 4 THEN 'create' ELSE 'start' END
+            WHEN 2 THEN CASE WHEN ms % 11 < 3 THEN 'cancel' WHEN ms % 11 = 3 THEN 'restart' WHEN ms % 11 = 4 THEN 'start' WHEN ms % 11 < 7 THEN 'progress' ELSE 'exit' END WHEN 3 THEN CASE WHEN ms % 3 = 0 THEN 'progress' ELSE 'exit' END WHEN 4 THEN CASE WHEN ms % 5 = 0 THEN 'exit' WHEN ms % 5 = 1 THEN 'start' ELSE 'progress' END ELSE 'cancel' END AS kind,
+            ms % 13 = 0 AS timed_out, ms % 7 <> 0 AS enveloped, ms % 5 <> 0 AS ok, ms % 3 AS exit_code, CASE WHEN ms % 4 = 0 THEN 'bad_input' ELSE '' END AS error_code FROM job_steps)""",
+        "asset_ledger": "(SELECT 'A' || CAST(doc_id % 50 AS STRING) || '-' || label AS sha, doc_id * 1048576 + seq AS place, CASE WHEN h % 7 IN (0, 2, 5) THEN 'release' ELSE 'put' END AS op FROM units)",
+        # Segments of a run's log overlap and nest; every fifth line has no number, some lie in no segment.
+        "log_places": f"(SELECT run_id, seq, span, kind, {d.div('ms', '10')} AS ms FROM log)",
+        "log_segments": "(SELECT run_id, span AS segment, span * 20 AS lo, span * 20 + 5 + (ms % 7) * (ms % 7) AS hi FROM log_places WHERE kind = 'started')",
+        "log_lines": "(SELECT run_id, seq, CASE WHEN ms % 5 = 0 THEN NULL ELSE seq * 10 + ms % 90 - 40 END AS number, CASE WHEN kind = 'started' AND ms % 3 > 0 THEN span END AS marker, ms % 4 > 0 AS is_issue FROM log_places)",
+        "label_links": "(SELECT doc_id, number AS label, CASE WHEN CAST(number AS BIGINT) % 5 = 0 THEN target % 2 ELSE 0 END AS destination, CASE WHEN CAST(number AS BIGINT) % 5 = 0 AND CAST(number AS BIGINT) % 10 > 0 THEN target % 2 ELSE 0 END AS kind, ord, CAST(row_number() OVER (PARTITION BY doc_id, number ORDER BY ord) AS BIGINT) + CASE WHEN h % 13 = 0 THEN 1 ELSE 0 END AS occurrence FROM links)",
+        "label_places": "(SELECT doc_id, number AS label, ord AS place, CASE WHEN CAST(number AS BIGINT) % 5 = 0 THEN target % 2 WHEN CAST(number AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS kind FROM out_links)",
+        "label_sources": "(SELECT doc_id, number AS label, count(*) AS occurrences FROM links GROUP BY doc_id, number)",
+        "frame_paragraphs": """(SELECT b.doc_id, b.page, b.seq, b.x, b.y, b.x2, b.y2, coalesce(r.x, b.x) AS rx, coalesce(r.x2, b.x2) AS rx2, b.h % 6 = 0 AS centred, CASE WHEN b.label IN ('figure_caption', 'table_caption') THEN 'caption' WHEN b.label IN ('title', 'paragraph_title') THEN 'heading' ELSE 'text' END AS kind,
+            b.y2 - b.src_font AS baseline, CASE WHEN b.h % 4 = 0 THEN (b.y2 - b.y) * 2 ELSE (b.y2 - b.y) - b.h % 20 END AS used FROM boxes b LEFT JOIN regions r ON b.doc_id = r.doc_id AND b.seq = r.rid WHERE b.label NOT IN ('header', 'footer', 'table'))""",
+        "frame_obstacles": "(SELECT doc_id, page, seq AS owner, x, y, x2, y2 FROM boxes)",
+        # Five units are a batch. Of 23 batches some replies are broken, whole or in one entry.
+        "batch_items": f"(SELECT doc_id, {d.div('seq - 1', '5')} AS batch, (seq - 1) % 5 AS id, source AS input, (doc_id * 7 + {d.div('seq - 1', '5')}) % 23 AS fault, reply, seq FROM replies)",
+        "batch_entries": f"""(SELECT doc_id, batch, id, fault, '{{"' || CASE WHEN fault = 7 AND id = 1 THEN 'no' ELSE 'id' END || '": ' || CASE WHEN fault = 5 AND id = 0 THEN '"0"' WHEN fault = 9 AND id = 0 THEN '77' ELSE CAST(id AS STRING) END || ', "output": '
+            || CASE WHEN fault = 6 AND id = 0 THEN '12' WHEN fault = 11 AND id = 0 THEN 'null' ELSE '"' || replace(replace(replace({d.sub('reply', '[{chr92}x00-{chr92}x1f]', ' ').replace('{chr92}', chr(92))}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), '/', chr(92) || '/') || '"' END || '}}' AS entry FROM batch_items)""",
+        "batch_replies": f"""(SELECT doc_id, batch, CASE fault WHEN 0 THEN 'Here it is: ' || min(entry) WHEN 1 THEN '{{"a": 1}}' WHEN 2 THEN '```json' || chr(10) || '[' || {d.nlisted('entry', "', '", 'id')} || ']' || chr(10) || '```' WHEN 3 THEN '[' || min(entry) || ']' WHEN 4 THEN min(entry) WHEN 8 THEN '<json>[' || {d.nlisted('entry', "', '", 'id')} || ']</json>'
+            WHEN 10 THEN NULL WHEN 12 THEN '[]' WHEN 13 THEN '[7, ' || {d.nlisted('entry', "', '", 'id')} || ']' ELSE '[' || {d.nlisted('entry', "', '", 'id')} || ']' END AS output FROM batch_entries GROUP BY doc_id, batch, fault)""",
         "gated_documents": "(SELECT doc_id, doc_id % 13 <> 0 AS parsed, doc_id % 11 <> 0 AS rebuilt, doc_id % 7 <> 0 AS applied FROM documents)",
         "coverage_reports": "(SELECT doc_id, CAST(sum(length(source)) AS BIGINT) AS total_chars, CAST(sum(CASE WHEN h % 31 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS uncovered_chars, 5 AS per_mille FROM units WHERE doc_id % 13 <> 0 GROUP BY doc_id)",
         "source_uris": "(SELECT doc_id, CAST(target AS STRING) || ':' || number AS uri FROM links)",
@@ -146,7 +168,11 @@ def with_clause(d: Dialect, body: str) -> str:
             if name not in needed and re.search(rf"\b{name}\b(?!\s*\()", text):
                 needed.add(name)
                 work.append(found[name])
-    parts = [f"{n} AS (SELECT * FROM {found[n]} AS __{n})" for n in found if n in needed]
+    return prefixed(body, [f"{n} AS (SELECT * FROM {found[n]} AS __{n})" for n in found if n in needed])
+
+
+def prefixed(body: str, parts: list[str]) -> str:
+    """``body`` with more common table expressions before its own."""
     if not parts:
         return body
     if body.lstrip().upper().startswith("WITH RECURSIVE "):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +40,53 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def charsets(spark: SparkSession, path: str) -> DataFrame:
+    """(path, charset) of every file: by the mark it begins with; else UTF-16 where every other byte of its first thousand
+    pairs is nearly always nought; else UTF-8 if all of it is valid; else GB18030. Files are looked at where they lie."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    first = lambda *b: F.substring("content", 1, len(b)) == F.lit(bytes(b))
+    pairs = F.hex(F.substring("content", 1, 2000))
+    noughts = lambda half: F.size(F.filter(F.sequence(F.lit(half), F.length(pairs) - 1, F.lit(4)), lambda i: F.substr(pairs, i, F.lit(2)) == "00"))
+    many = lambda half: (F.length(pairs) >= 8) & (noughts(half) * 8 >= F.length(pairs))
+    found = F.when(first(0xFF, 0xFE), "UTF-16LE").when(first(0xFE, 0xFF), "UTF-16BE").when(first(0xEF, 0xBB, 0xBF), "UTF-8").when(many(3), "UTF-16LE").when(many(1), "UTF-16BE")
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    return files.select("path", found.when(valid, "UTF-8").otherwise("GB18030").alias("charset"))
+
+
+#: Charsets that Spark's own CSV reader takes.
+SPARK_CHARSETS = ("UTF-8", "UTF-16LE", "UTF-16BE")
+GLOSSARY_COLUMNS = ("source", "target", "tgt_lng", "note")
+
+
+def _decoded_csv(files: DataFrame, charset: str) -> DataFrame:
+    """Glossaries in a charset that Spark's reader does not know, one file at a time."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                records = list(csv.DictReader(io.StringIO(bytes(content).decode(charset, "replace"), newline="")))
+                yield pd.DataFrame([[r.get(c) for c in GLOSSARY_COLUMNS] for r in records], columns=list(GLOSSARY_COLUMNS), dtype=object)
+
+    return files.select("content").mapInPandas(rows, ", ".join(f"{c} string" for c in GLOSSARY_COLUMNS))
+
+
 def read_glossary(spark: SparkSession, path: str, language: str | None = None) -> DataFrame:
-    """Glossary CSV with a header (source, target and, if there, tgt_lng or note); rows of another language are left
-    out, with case and - or _ alike."""
-    rows = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"').csv(path)
-    rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
+    """Glossary CSVs with a header (source, target and, if there, tgt_lng or note), each in its own charset; rows of another
+    language are left out, with case and - or _ alike. Columns that only some files have are null in the others."""
+    by_charset: dict[str, list[str]] = {}
+    for r in charsets(spark, path).collect():  # names of files, not what they hold
+        by_charset.setdefault(r["charset"], []).append(r["path"])
+    rows = None
+    for charset, paths in sorted(by_charset.items()):
+        if charset not in SPARK_CHARSETS:
+            part = _decoded_csv(spark.read.format("binaryFile").load(paths), charset)
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+            continue
+        part = spark.read.option("header", True).option("encoding", charset).option("multiLine", True).option("escape", '"').csv(paths)
+        part = part.toDF(*[c.lstrip("\ufeff").strip() for c in part.columns])
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if rows is None:
+        raise ValueError(f"no glossary at {path}")
     if missing := {"source", "target"} - set(rows.columns):
         raise ValueError(f"glossary lacks {sorted(missing)}")
     if language and "tgt_lng" in rows.columns:

@@ -178,3 +178,26 @@ def test_acceptance_gates(spark):
     assert got[1, "toc_integrity"] == ("pass", True, 0, True) and got[2, "toc_integrity"] == ("fail", True, 1, False)
     assert got[1, "protected_tokens"] == ("pass", False, 2, True) and got[1, "protocol"] == ("pass", True, 0, True) and got[2, "protocol"] == ("fail", True, 2, False)
     assert {got[3, g][0] for g in ("layout_coverage", "toc_integrity", "protected_tokens", "protocol")} == {"not_available"} and len(got) == 15
+
+
+def test_places_beyond_a_hundred_thousand_lines(spark):
+    """Order is by document, then line, whatever the numbers: a packed number would take document 2 first, or one for the other."""
+    pairs = [(1, 100_005, "a", "x"), (2, 1, "a", "y")]
+    assert rows(spark, "ag04_common_translation", "src", "tgt", term_pairs=("doc_id long, seq long, src string, tgt string", pairs)) == [("a", "x")]
+    ids = "doc_id long, id string, seq long"
+    got = rows(spark, "so05_ordered_union", "id", "n", targets=(ids, [(1, "t", 2_000_000)]), units=(ids, [(1, "u", 1)]), boxes=(ids, [(1, "b", 0)]))
+    assert got == [("b", 3), ("t", 1), ("u", 2)]
+    variants = ("doc_id long, page long, seq long, label string, passed boolean", [(1, 0, 250_000, "title", True), (1, 0, 5, "text", True), (1, 0, 1, "title", False)])
+    assert rows(spark, "xo20_best_variant", "seq", variants=variants) == [(250_000,)]
+    log = ("run_id long, seq long, kind string, stage string", [(1, 250_000, "finished", "a"), (2, 3, "finished", "a"), (2, 9, "started", "a")])
+    assert rows(spark, "sc10_newest_artefact", "run_id", "seq", log=log) == [(2, 3)]
+    boxes = ("doc_id long, page long, seq long, src_font long, y long, y2 long", [(1, 0, 1, 2_000, 0, 9), (1, 0, 2, 9, 0, 9), (1, 0, 3, 9, 0, 9)])
+    assert rows(spark, "xo12_descent", "seq", "y", boxes=boxes) == [(1, -9), (2, -9), (3, -9)]
+    replies = ("doc_id long, seq long, id string, source string, reply string", [(1, 100_001, "x", "a {v1}", "a"), (2, 1, "y", "a {v1}", "a"), (2, 2, "z", "a", "a")])
+    assert rows(spark, "ag19_protocol_rates", "code", "violations", "units", replies=replies) == [("placeholder_lost", 2, 2)]
+
+
+def test_links_lost_in_one_document_only(spark):
+    links = ("doc_id long, page long, number string", [(1, 0, "7"), (2, 0, "7"), (2, 0, "7")])
+    out = ("doc_id long, page long, number string", [(1, 0, "7"), (2, 0, "8")])
+    assert rows(spark, "so08_uri_set", "doc_id", "number", "change", links=links, out_links=out) == [(2, "7", "lost"), (2, "8", "added")]
