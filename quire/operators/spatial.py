@@ -35,6 +35,8 @@ def near(table: str, fields: str, slack: int = 0) -> str:
         placed AS (SELECT *, CAST(floor(x / {CELL}) AS BIGINT) AS cx, CAST(floor(y / {CELL}) AS BIGINT) AS cy FROM glyphs)"""
 
 
+#: Cells' boxes are the small side of their join: hashed, so that glyphs need no sort.
+HASHED = "/*+ SHUFFLE_HASH(n) */"
 SAME_CELL = "g.doc_id = n.doc_id AND g.page = n.page AND g.cx = n.cx AND g.cy = n.cy"
 SIDES = "r.x, r.y, r.x2, r.y2"
 
@@ -52,7 +54,7 @@ def char_region(d: Dialect) -> str:
             FROM glyphs g JOIN regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets("g", "r")}) SELECT doc_id, page, seq, i, rid, label FROM c WHERE n = 1"""
     best = f"array_min(transform(filter(n.rs, r -> {meets('g', 'r')}), r -> struct(r.rank, -{shared('g', 'r')} AS part, r.rid, r.label)))"
     return f"""WITH {near("regions", f"{SIDES}, {PRIORITY} AS rank, r.rid, r.label")}
-        SELECT g.doc_id, g.page, g.seq, g.i, best.rid, best.label FROM placed g JOIN near n ON {SAME_CELL} LATERAL VIEW explode(array_compact(array({best}))) AS best"""
+        SELECT {HASHED} g.doc_id, g.page, g.seq, g.i, best.rid, best.label FROM placed g JOIN near n ON {SAME_CELL} LATERAL VIEW explode(array_compact(array({best}))) AS best"""
 
 
 def anti(d: Dialect) -> str:
@@ -68,7 +70,7 @@ def uncovered_chars(d: Dialect) -> str:
     """Characters that no region overlaps."""
     if d.name == "duckdb":
         return f"SELECT g.doc_id, g.page, g.seq, g.i FROM glyphs g {anti(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets('g', 'r')}"
-    return f"WITH {near('regions', SIDES)} SELECT g.doc_id, g.page, g.seq, g.i FROM placed g LEFT JOIN near n ON {SAME_CELL} WHERE NOT {touched(meets('g', 'r'))}"
+    return f"WITH {near('regions', SIDES)} SELECT {HASHED} g.doc_id, g.page, g.seq, g.i FROM placed g LEFT JOIN near n ON {SAME_CELL} WHERE NOT {touched(meets('g', 'r'))}"
 
 
 @operator("jn03_glyph_centre")
@@ -76,7 +78,7 @@ def glyph_centre(d: Dialect) -> str:
     """Glyphs whose centre lies in a region, edges included."""
     if d.name == "duckdb":
         return f"SELECT g.doc_id, g.seq, g.i FROM glyphs g {semi(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {CENTRE}"
-    return f"WITH {near('regions', SIDES)} SELECT g.doc_id, g.seq, g.i FROM placed g JOIN near n ON {SAME_CELL} WHERE exists(n.rs, r -> {CENTRE})"
+    return f"WITH {near('regions', SIDES)} SELECT {HASHED} g.doc_id, g.seq, g.i FROM placed g JOIN near n ON {SAME_CELL} WHERE exists(n.rs, r -> {CENTRE})"
 
 
 @operator("jn04_char_span")
@@ -90,7 +92,7 @@ def char_span(d: Dialect) -> str:
             every_hit AS (SELECT * FROM hit UNION ALL SELECT * FROM second), ranked AS (SELECT *, count(*) OVER (PARTITION BY doc_id, seq, i) AS many, row_number() OVER (PARTITION BY doc_id, seq, i ORDER BY rank, a, box) AS n FROM every_hit)
             SELECT doc_id, seq, i, box, CAST(rank AS BIGINT) AS stage, many > 1 AS ambiguous FROM ranked WHERE n = 1"""
     hits = f"filter(transform(n.rs, b -> struct(CASE WHEN {centre} THEN 1L WHEN {inside('g', 'b')} >= 0.6 THEN 2L ELSE 3L END AS rank, b.a, b.box)), z -> z.rank < 3)"
-    return f"""WITH {near("boxes", f"{SIDES}, {area('r')} AS a, r.seq AS box", 1)}, found AS (SELECT g.doc_id, g.seq, g.i, hits FROM placed g JOIN near n ON {SAME_CELL} LATERAL VIEW explode(array({hits})) AS hits)
+    return f"""WITH {near("boxes", f"{SIDES}, {area('r')} AS a, r.seq AS box", 1)}, found AS (SELECT {HASHED} g.doc_id, g.seq, g.i, hits FROM placed g JOIN near n ON {SAME_CELL} LATERAL VIEW explode(array({hits})) AS hits)
         SELECT doc_id, seq, i, best.box, best.rank AS stage, size(filter(hits, z -> z.rank = best.rank)) > 1 AS ambiguous FROM found LATERAL VIEW explode(array_compact(array(array_min(hits)))) AS best"""
 
 
@@ -154,8 +156,8 @@ def coverage(d: Dialect) -> str:
     """Characters a page and in all, uncovered ones and white space."""
     if d.name == "duckdb":
         return f"WITH u AS (SELECT g.doc_id, g.seq, g.i FROM glyphs g {anti(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets('g', 'r')}), m AS (SELECT g.doc_id, g.page, g.ch, u.i IS NOT NULL AS bare FROM glyphs g LEFT JOIN u ON g.doc_id = u.doc_id AND g.seq = u.seq AND g.i = u.i) SELECT doc_id, page, count(*) AS total, count_if(bare AND ch <> ' ') AS uncovered, count_if(ch = ' ') AS blanks, CASE WHEN count_if(ch <> ' ') = 0 THEN 1.0 ELSE 1.0 - count_if(bare AND ch <> ' ') / CAST(count_if(ch <> ' ') AS DOUBLE) END AS ratio FROM m GROUP BY ROLLUP (doc_id, page)"
-    return f"""WITH {near("regions", SIDES)}, pages AS (SELECT g.doc_id, g.page, count(*) AS total, count_if(ch <> ' ' AND NOT {touched(meets("g", "r"))}) AS uncovered, count_if(ch = ' ') AS blanks, count_if(ch <> ' ') AS signs FROM placed g LEFT JOIN near n ON {SAME_CELL} GROUP BY g.doc_id, g.page)
-        SELECT doc_id, page, sum(total) AS total, sum(uncovered) AS uncovered, sum(blanks) AS blanks, CASE WHEN sum(signs) = 0 THEN 1.0D ELSE 1.0D - sum(uncovered) / CAST(sum(signs) AS DOUBLE) END AS ratio FROM pages GROUP BY ROLLUP (doc_id, page)"""
+    return f"""WITH {near("regions", SIDES)}, by_page AS (SELECT {HASHED} g.doc_id, g.page, count(*) AS total, count_if(ch <> ' ' AND NOT {touched(meets("g", "r"))}) AS uncovered, count_if(ch = ' ') AS blanks, count_if(ch <> ' ') AS signs FROM placed g LEFT JOIN near n ON {SAME_CELL} GROUP BY g.doc_id, g.page)
+        SELECT doc_id, page, sum(total) AS total, sum(uncovered) AS uncovered, sum(blanks) AS blanks, CASE WHEN sum(signs) = 0 THEN 1.0D ELSE 1.0D - sum(uncovered) / CAST(sum(signs) AS DOUBLE) END AS ratio FROM by_page GROUP BY ROLLUP (doc_id, page)"""
 
 
 @operator("ag02_coverage_gate")
@@ -163,7 +165,7 @@ def coverage_gate(d: Dialect) -> str:
     """Documents of which more than 0.005 of the characters are uncovered."""
     if d.name == "duckdb":
         return f"WITH u AS (SELECT g.doc_id, g.seq, g.i FROM glyphs g {anti(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets('g', 'r')}), t AS (SELECT doc_id, count(*) AS n FROM glyphs GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id) SELECT t.doc_id, t.n AS total, coalesce(b.n, 0) AS uncovered, coalesce(b.n, 0) * 1000 > t.n * 5 AS fails FROM t LEFT JOIN b ON t.doc_id = b.doc_id"
-    return f"""WITH {near("regions", SIDES)}, t AS (SELECT g.doc_id, count(*) AS total, count_if(NOT {touched(meets("g", "r"))}) AS uncovered FROM placed g LEFT JOIN near n ON {SAME_CELL} GROUP BY g.doc_id)
+    return f"""WITH {near("regions", SIDES)}, t AS (SELECT {HASHED} g.doc_id, count(*) AS total, count_if(NOT {touched(meets("g", "r"))}) AS uncovered FROM placed g LEFT JOIN near n ON {SAME_CELL} GROUP BY g.doc_id)
         SELECT doc_id, total, uncovered, uncovered * 1000 > total * 5 AS fails FROM t"""
 
 
@@ -172,7 +174,7 @@ def glyph_report(d: Dialect) -> str:
     """Glyphs with their centre in a region, by page."""
     if d.name == "duckdb":
         return f"WITH c AS (SELECT g.doc_id, g.seq, g.i FROM glyphs g {semi(d)} regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {CENTRE}) SELECT g.doc_id, g.page, count(*) AS glyphs, count(c.i) AS covered FROM glyphs g LEFT JOIN c ON g.doc_id = c.doc_id AND g.seq = c.seq AND g.i = c.i GROUP BY g.doc_id, g.page"
-    return f"WITH {near('regions', SIDES)} SELECT g.doc_id, g.page, count(*) AS glyphs, count_if({touched(CENTRE)}) AS covered FROM placed g LEFT JOIN near n ON {SAME_CELL} GROUP BY g.doc_id, g.page"
+    return f"WITH {near('regions', SIDES)} SELECT {HASHED} g.doc_id, g.page, count(*) AS glyphs, count_if({touched(CENTRE)}) AS covered FROM placed g LEFT JOIN near n ON {SAME_CELL} GROUP BY g.doc_id, g.page"
 
 
 simple("ag11_box_union", "Box around all of a page's boxes.", "SELECT doc_id, page, min(x) AS x, min(y) AS y, max(x2) AS x2, max(y2) AS y2 FROM boxes GROUP BY doc_id, page")

@@ -168,9 +168,11 @@ def judged(d: Dialect) -> str:
         "unknown_paragraph": f"n_ids > 0 AND (n_ids > 1 OR s_error IS NULL OR r_error IS NOT NULL) AND {unknown}",
     }.get(code, f"whole AND {text_checks.get(code)}")
     found = d.present(d.array(*(f"CASE WHEN {case(code)} THEN '{code}' END" for code in CODES)))
+    # one row each: what reads the codes then never works them out again
+    once = d.unnest("counted", "doc_id, seq", d.array(found), "codes")
     return f"""{parse_stages(d, {"s_": "source", "r_": "reply"}, "html_replies")}, scanned AS (SELECT *, {ids} AS ids FROM stage_4),
         counted AS (SELECT *, {d.size("ids")} AS n_ids, {d.size("ids")} = 1 AND s_error IS NULL AND r_error IS NULL AS whole FROM scanned),
-        judged AS (SELECT doc_id, seq, {found} AS codes FROM counted)"""
+        judged AS (SELECT doc_id, seq, codes FROM {once} AS __c)"""
 
 
 @operator("qc06_unit_codes")
