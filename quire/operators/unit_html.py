@@ -123,10 +123,11 @@ def _links(d: Dialect, text: str) -> str:
 
 
 def _leaks(d: Dialect, context: str) -> str:
-    """Whether a window of a neighbour stands in the reply's text and not, trimmed, in the source's."""
-    places = d.numbers("0", f"CAST(floor((length(trim({context})) - {WINDOW}) / {STEP}) AS BIGINT)")
-    window = f"substr(trim({context}), CAST(q * {STEP} + 1 AS INT), {WINDOW})"
-    return d.any(places, "q", f"length(trim({window})) >= {LEAST_WINDOW} AND {d.has('r_text', window)} AND NOT {d.has('s_text', f'trim({window})')}")
+    """Whether a window of a neighbour stands in the reply's text and not, trimmed, in the source's. Windows begin every half
+    window: two cuts of the neighbour into whole windows, one a half further on."""
+    whole = r"[\s\S]{%d}" % WINDOW
+    test = f"{d.has('r_text', 'w')} AND length(trim(w)) >= {LEAST_WINDOW} AND NOT {d.has('s_text', 'trim(w)')}"
+    return f"({d.any(d.found(f'trim({context})', whole), 'w', test)} OR {d.any(d.found(f'substr(trim({context}), {STEP + 1})', whole), 'w', test)})"
 
 
 def _unbalanced(d: Dialect, text: str) -> str:
@@ -139,7 +140,7 @@ def _unbalanced(d: Dialect, text: str) -> str:
 def checks(d: Dialect) -> dict[str, str]:
     """Tests of a well-formed reply (columns r_) of a well-formed source (columns s_), by code."""
     atoms = f"{d.sort('s_atoms')} <> {d.sort('r_atoms')}"
-    repeated = d.repeats("r_text")
+    repeated, source_repeated = d.repeats("r_text"), d.repeats("s_text")
     return {
         "invalid_markup": "s_breaks <> r_breaks",
         "placeholder_count": atoms,
@@ -149,8 +150,8 @@ def checks(d: Dialect) -> dict[str, str]:
         "unknown_style": f"{d.size(d.minus('r_styles', 's_styles'))} > 0",
         "unsafe_bidi_control": d.like("r_text", UNSAFE_BIDI),
         "unbalanced_bidi_isolate": _unbalanced(d, "r_text"),
-        "neighbor_context_leakage": f"({_leaks(d, 'before')} OR {_leaks(d, 'after')})",
-        "pathological_text_repetition": f"{repeated} >= {REPEATED_TIMES} AND {repeated} > {d.repeats('s_text')}",
+        "neighbor_context_leakage": f"r_text <> s_text AND ({_leaks(d, 'before')} OR {_leaks(d, 'after')})",
+        "pathological_text_repetition": f"r_text <> s_text AND {d.any(d.array(repeated), 'k', f'k >= {REPEATED_TIMES} AND k > {source_repeated}')}",
         "protected_literal_count": f"{d.sort(d.found('s_text', NUMBER))} <> {d.sort(d.found('r_text', NUMBER))}",
         "excessive_target_expansion": f"length(s_text) >= {SHORT_SOURCE} AND length(r_text) > {EXPANSION} * length(s_text)",
         "residual_japanese": f"language NOT LIKE 'ja%' AND {d.like('r_text', KANA)}",
