@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept, as that stage wrote it. All but
 the last return the columns of ``documents``; the last returns the packed pieces.
+
+Defined results: null and empty texts fail the quality rules; rows that share a doc_id are one document to line dedup and
+near-dedup, and all of them stay or go; rows of null doc_id lose no lines and are in no group of near-duplicates, but are
+judged, decontaminated and packed; of equal documents the one of least doc_id stays; texts of any length are read whole; an
+empty table passes through every stage and gives no piece; columns beyond those of ``documents`` are carried up to the last
+stage, whatever their names.
 """
 
 from __future__ import annotations
