@@ -11,7 +11,8 @@ The benchmark is read to the driver in parts of at most ``PART_BYTES`` (checked
 a larger benchmark makes more parts, and each document passes through all of them.
 
 Defined results: a null or empty text has no words and is never contaminated; items without id or text are ignored;
-items that share an id count once; repeated document rows are treated alike; other columns are carried, never read.
+items that share an id count once; repeated document rows are treated alike; texts of any length are read whole, in blocks; an empty table of documents gives
+an empty one, an empty benchmark hits nothing; other columns are carried, never read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ near a special token's string are cut at white space only and keep their case. W
 table are tokenised together.
 
 Defined results: null text is an empty text and still one piece of one token (the end id); repeated rows are packed
-once each; an empty table gives an empty one; other columns are ignored.
+once each; pieces of equal length are ranked by id, start and checksum, equal ones in any order; a text of any length is
+tokenised whole, in slices cut at white space; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ passwords. Boosted trees judge each by its format and by the words around it; a
 examples so that few of its negatives pass. The trees learn from examples made here by rule, positive and negative,
 with a fixed seed: no label of any table is used, and training needs no data from the cluster.
 
-Defined results: null text is empty and has no spans; repeated rows are treated alike; other columns are ignored. Texts
-are searched whole; patterns are linear in the text. Spans count code points, the end is exclusive, and added spans
+Defined results: null text is empty and has no spans; repeated rows are treated alike; of spans that begin together the
+kind listed first comes first; an empty table gives an empty one; other columns are ignored, whatever their names. Texts
+of any length are searched whole; patterns are linear in the text. Spans count code points, the end is exclusive, and added spans
 never overlap a base span or each other.
 """
 

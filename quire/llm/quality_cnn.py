@@ -10,7 +10,8 @@ document, in batches of chunks, without a shuffle.
 
 Defined results: null and empty texts are one empty chunk and get a score like any other; without labels of both kinds
 every score is the share of label 1 (0.5 without any label); repeated rows score alike; labels of null id or null
-quality are ignored; a null doc_id is never held out; columns other than doc_id and text are never read.
+quality are ignored; a null doc_id is never held out; labels that repeat with other values count each; texts of any length are scored whole, in
+chunks; an empty table gives an empty one; columns other than doc_id and text are never read.
 """
 
 from __future__ import annotations

@@ -6,6 +6,11 @@ Feistel network over Z_a x Z_b, with a = ceil(sqrt(N)) and b = ceil(N / a), perm
 above N walks on along its cycle until it is below N. ``shard = image mod S`` and ``slot = image div S``, so both
 are computable from the row number alone, shard sizes differ by one row at most and slots have no gap.
 
+Defined results of ``shard_documents``: null text has size 16 and the checksum of nothing; ids may be null or repeat, and
+equal rows have a slot each; ties can't arise, as rows that equal each other in all columns are numbered one after the
+other; a text of any length counts by its size and checksum only; an empty table gives an empty one; other columns are
+ignored, whatever their names.
+
 Everything is DataFrame expressions; equal rows are counted before they are shuffled and expanded again after it,
 so that no row, however often repeated, gathers in one task.
 """

@@ -18,7 +18,8 @@ stretch held by a third of all documents arrives once per batch only.
 
 Defined results: null text is empty; texts under ``length`` bytes lose nothing; documents of null id lose nothing and
 count for none; repeated rows (equal id and text) lose the same bytes; rows that share an id but not the text are
-taken for one document, each losing what was found in any; other columns are ignored.
+taken for one document, each losing what was found in any; texts of any length are read whole; an empty table gives an empty one; other columns
+are ignored.
 """
 
 from __future__ import annotations
