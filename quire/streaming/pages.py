@@ -203,7 +203,7 @@ QUERIES = {"stm05_page_schedule": stm05_page_schedule, "stm06_republished_pages"
 ORACLE = {
     "stm05_page_schedule": """WITH p AS (SELECT conv_id AS document, turn // 2 AS page, count(*) AS expected, count(CASE WHEN (conv_id + turn) % 5 <> 0 THEN 1 END) AS arrived, (conv_id + turn // 2) % 3 = 0 AND count(CASE WHEN turn % 2 = 0 THEN 1 END) > 0 AS again
         FROM conversations GROUP BY conv_id, turn // 2), d AS (SELECT conv_id AS document FROM conversations WHERE turn = 0)
-        SELECT document, page, arrived AS units, 1 AS revision, FALSE AS forced FROM p WHERE arrived = expected
-        UNION ALL SELECT document, page, arrived AS units, 2 AS revision, FALSE AS forced FROM p WHERE arrived = expected AND again
-        UNION ALL SELECT document, page, arrived AS units, 1 AS revision, TRUE AS forced FROM p WHERE arrived < expected AND document IN (SELECT document FROM d)""",
+        SELECT document, page, arrived AS units, CAST(1 AS BIGINT) AS revision, FALSE AS forced FROM p WHERE arrived = expected
+        UNION ALL SELECT document, page, arrived AS units, CAST(2 AS BIGINT) AS revision, FALSE AS forced FROM p WHERE arrived = expected AND again
+        UNION ALL SELECT document, page, arrived AS units, CAST(1 AS BIGINT) AS revision, TRUE AS forced FROM p WHERE arrived < expected AND document IN (SELECT document FROM d)""",
 }
