@@ -121,6 +121,10 @@ class Dialect:
         """The last value that is not null."""
         return f"last_value({x}) IGNORE NULLS OVER ({window})"
 
+    def hashed(self, *tables: str) -> str:
+        """Tables whose rows a join holds in a hash, after SELECT: the other side then needs no order. For Spark only."""
+        return f"/*+ SHUFFLE_HASH({', '.join(tables)}) */ "
+
     def div(self, a: str, b: str) -> str:
         return f"CAST(floor(({a}) / ({b})) AS BIGINT)"
 
@@ -140,6 +144,9 @@ class Dialect:
 class DuckDB(Dialect):
     name = "duckdb"
 
+    def hashed(self, *tables: str) -> str:
+        return ""
+
     def tuple(self, *items: str) -> str:
         return f"row({', '.join(items)})"
 

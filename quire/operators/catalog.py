@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCKDB, SPARK, Dialect
-from ..sources.derived import prefixed, with_clause
+from ..sources.derived import DEAL, prefixed, with_clause
 
 BASE_TABLES = ("documents", "pages", "benchmark", "labels", "conversations", "events", "embeddings", "lineitem", "orders", "customer", "supplier", "part", "nation", "region")
 
@@ -28,9 +28,34 @@ def over(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFr
             spark.catalog.dropTempView(view)
 
 
+#: Bytes of a file of documents to a part of the deal: sixty times as much, what glyphs take, is sorted in a task's memory.
+PART = 1 << 21
+
+
+def parts(spark: SparkSession, documents: DataFrame) -> int:
+    """Parts that documents are dealt into: by their size, and no fewer than the session's own number."""
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(-(-size // PART), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealing(spark: SparkSession) -> SparkSession:
+    """A session of its own with the caller's settings, in which a join by document and page or unit keeps to a deal by document;
+    the caller's session is left as it is."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return own
+
+
 def over_files(spark: SparkSession, text: str, sf_dir: str) -> DataFrame:
     """A statement over those of the driver's tables that it names."""
-    return over(spark, text, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE_TABLES if re.search(rf"\b{t}\b", text)})
+    spark = dealing(spark) if DEAL in text else spark
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE_TABLES if re.search(rf"\b{t}\b", text)}
+    if DEAL in text:
+        text = text.replace(DEAL, DEAL.replace("(", f"({parts(spark, tables['documents'])}, "))
+    return over(spark, text, tables)
 
 
 @dataclass(frozen=True)
