@@ -14,7 +14,7 @@ simple("ag08_common_style", "The font size that all of a page's boxes share, els
 simple("ag09_medians", "Median area, width and height of a page's boxes.", "SELECT doc_id, page, median((x2 - x) * (y2 - y)) AS area, median(x2 - x) AS width, median(y2 - y) AS height FROM boxes GROUP BY doc_id, page")
 simple("ag13_line_count", "Lines of a unit's glyphs: gaps above 0.6 of the font size.", "WITH y AS (SELECT DISTINCT g.doc_id, g.seq, g.y, b.src_font FROM glyphs g JOIN boxes b ON g.doc_id = b.doc_id AND g.seq = b.seq), l AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, seq ORDER BY y DESC) AS above FROM y) SELECT doc_id, seq, CAST(1 + sum(CASE WHEN (above - y) * 10 > 6 * src_font THEN 1 ELSE 0 END) AS BIGINT) AS n_lines FROM l GROUP BY doc_id, seq")
 simple("ag15_label_inventory", "Labels with their counts; none is a bucket of its own.", "SELECT label, count(*) AS n FROM label_records GROUP BY label")
-simple("ag17_alignment_summary", "Share of glyphs that lie in a box, by document.", "WITH a AS (SELECT g.doc_id, count(*) AS n, count_if(g.x >= b.x AND g.x2 <= b.x2 AND g.y >= b.y AND g.y2 <= b.y2) AS hit FROM glyphs g JOIN boxes b ON g.doc_id = b.doc_id AND g.seq = b.seq GROUP BY g.doc_id) SELECT doc_id, n, hit, hit / CAST(n AS DOUBLE) AS coverage FROM a")
+simple("ag17_alignment_summary", "Share of glyphs that lie in a box, by document.", lambda d: f"WITH a AS (SELECT {d.hashed('b')}g.doc_id, count(*) AS n, count_if(g.x >= b.x AND g.x2 <= b.x2 AND g.y >= b.y AND g.y2 <= b.y2) AS hit FROM glyphs g JOIN boxes b ON g.doc_id = b.doc_id AND g.seq = b.seq GROUP BY g.doc_id) SELECT doc_id, n, hit, hit / CAST(n AS DOUBLE) AS coverage FROM a")
 simple("ag23_document_counts", "Pages, paragraphs and translated ones; null where nothing is known, not 0.", "WITH t AS (SELECT doc_id, count_if(target <> '') AS n FROM targets GROUP BY doc_id) SELECT u.doc_id, count(DISTINCT u.page) AS pages, count(*) AS paragraphs, max(t.n) AS translated FROM units u LEFT JOIN t ON u.doc_id = t.doc_id GROUP BY u.doc_id")
 simple("ag24_page_completeness", "Pages of which every unit has a translation.", "SELECT u.doc_id, u.page, count(*) AS expected, count_if(coalesce(t.target, '') <> '') AS translated, count(t.id) AS settled, count_if(coalesce(t.target, '') <> '') = count(*) AS complete FROM units u LEFT JOIN targets t ON u.doc_id = t.doc_id AND u.seq = t.seq GROUP BY u.doc_id, u.page")
 simple("ag25_next_sequence", "Next sequence number of each run.", "SELECT run_id, coalesce(max(seq), 0) + 1 AS next_seq FROM log GROUP BY run_id")
@@ -56,7 +56,7 @@ simple("wf09_line_groups", "Glyphs joined to lines by a vertical overlap of more
 def word_gaps(d: Dialect) -> str:
     """Text of each glyph line with a space where the gap to the next glyph reaches a tenth of the font size, 0.6 points
     at least."""
-    return f"WITH n AS (SELECT g.*, f.src_font, lead(g.x) OVER (PARTITION BY g.doc_id, g.seq, g.y ORDER BY g.x) - g.x2 AS gap FROM glyphs g JOIN boxes f ON g.doc_id = f.doc_id AND g.seq = f.seq WHERE g.ch <> ' ') SELECT doc_id, seq, y, {d.nlisted('ch || CASE WHEN gap * 10 >= greatest(src_font, 6) AND gap > 1 THEN chr(32) ELSE chr(95) END', d.lit(''), 'x')} AS text FROM n GROUP BY doc_id, seq, y"
+    return f"WITH n AS (SELECT {d.hashed('f')}g.*, f.src_font, lead(g.x) OVER (PARTITION BY g.doc_id, g.seq, g.y ORDER BY g.x) - g.x2 AS gap FROM glyphs g JOIN boxes f ON g.doc_id = f.doc_id AND g.seq = f.seq WHERE g.ch <> ' ') SELECT doc_id, seq, y, {d.nlisted('ch || CASE WHEN gap * 10 >= greatest(src_font, 6) AND gap > 1 THEN chr(32) ELSE chr(95) END', d.lit(''), 'x')} AS text FROM n GROUP BY doc_id, seq, y"
 
 
 simple("wf13_page_ids", "Deterministic ids by page and order.", "SELECT doc_id, seq, id, 'P' || lpad(CAST(page + 1 AS STRING), 2, '0') || '-' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS STRING), 3, '0') AS by_order FROM units")
