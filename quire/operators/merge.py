@@ -61,7 +61,7 @@ simple("sk06_stage_cache", "Results by content and stage.", "SELECT a.sha, s.sta
 simple("sk07_capped_history", "The last fifty entries of each run.", "WITH r AS (SELECT run_id, seq, stage, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS k FROM log) SELECT run_id, seq, stage FROM r WHERE k <= 50")
 simple("sk08_bounded_versions", "One row a revision, the newest three.", "WITH u AS (SELECT document, revision, max(target) AS target FROM edits GROUP BY document, revision), r AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY revision DESC) AS k FROM u) SELECT document, revision FROM r WHERE k <= 3")
 simple("sk09_report", "Figures of the final report.", "SELECT 'units' AS metric, count(*) AS n FROM units UNION ALL SELECT 'targets' AS metric, count(*) AS n FROM targets UNION ALL SELECT 'empty' AS metric, count(*) AS n FROM targets WHERE target = '' UNION ALL SELECT 'links' AS metric, count(*) AS n FROM links")
-simple("xo02_ocr_backfill", "Characters put in by place where the lengths agree.", lambda d: f"WITH c AS (SELECT doc_id, seq, count(*) AS n FROM glyphs GROUP BY doc_id, seq) SELECT g.doc_id, g.seq, g.i, substr(o.text, CAST(g.i + 1 AS INT), 1) AS ch FROM glyphs g JOIN c ON g.doc_id = c.doc_id AND g.seq = c.seq JOIN ocr_texts o ON g.doc_id = o.doc_id AND g.seq = o.seq AND length(o.text) = c.n WHERE {d.like('g.ch', '[a-zA-Z]')}")
+simple("xo02_ocr_backfill", "Characters put in by place where the lengths agree.", lambda d: f"WITH c AS (SELECT doc_id, seq, count(*) AS n FROM glyphs GROUP BY doc_id, seq) SELECT {d.hashed('c', 'o')}g.doc_id, g.seq, g.i, substr(o.text, CAST(g.i + 1 AS INT), 1) AS ch FROM glyphs g JOIN c ON g.doc_id = c.doc_id AND g.seq = c.seq JOIN ocr_texts o ON g.doc_id = o.doc_id AND g.seq = o.seq AND length(o.text) = c.n WHERE {d.like('g.ch', '[a-zA-Z]')}")
 simple("xo23_replay", "What a run can be rebuilt from, with availability.", "SELECT u.doc_id, count(*) AS units, count(t.id) > 0 AS has_targets, count(l.ord) > 0 AS has_links FROM units u LEFT JOIN targets t ON u.doc_id = t.doc_id AND u.seq = t.seq LEFT JOIN links l ON u.doc_id = l.doc_id AND u.seq = l.ord GROUP BY u.doc_id")
 simple("xo24_inherited_evidence", "The latest earlier run of the same stage.", "WITH e AS (SELECT run_id, seq, stage, lag(seq) OVER (PARTITION BY run_id, stage ORDER BY seq) AS earlier FROM log) SELECT run_id, seq, stage, earlier FROM e")
 simple("xo25_run_index", "Runs newest first with their state.", "WITH r AS (SELECT run_id, max(at_us) AS last_us, max_by(kind, seq) AS last_kind, count(*) AS n, CAST(floor(max(at_us) / 60000000) AS BIGINT) AS minute FROM log GROUP BY run_id), b AS (SELECT minute, count(*) AS n FROM r GROUP BY minute), o AS (SELECT minute, coalesce(sum(n) OVER (ORDER BY minute DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT r.run_id, r.last_us, CASE WHEN r.n < 5 THEN 'incomplete' WHEN r.last_kind = 'started' THEN 'interrupted' ELSE 'done' END AS state, CAST(o.before + row_number() OVER (PARTITION BY r.minute ORDER BY r.last_us DESC, r.run_id DESC) AS BIGINT) AS place FROM r JOIN o ON r.minute = o.minute")
