@@ -54,9 +54,10 @@ def char_region(d: Dialect) -> str:
     if d.name == "duckdb":
         return f"""WITH c AS (SELECT g.doc_id, g.page, g.seq, g.i, r.rid, r.label, row_number() OVER (PARTITION BY g.doc_id, g.seq, g.i ORDER BY {PRIORITY}, {shared("g", "r")} DESC, r.rid) AS n
             FROM glyphs g JOIN regions r ON g.doc_id = r.doc_id AND g.page = r.page AND {meets("g", "r")}) SELECT doc_id, page, seq, i, rid, label FROM c WHERE n = 1"""
-    best = f"array_min(transform(filter(n.rs, r -> {meets('g', 'r')}), r -> struct(r.rank, -{shared('g', 'r')} AS part, r.rid, r.label)))"
-    return f"""WITH {near("regions", f"{SIDES}, {PRIORITY} AS rank, r.rid, r.label")}
-        SELECT {HASHED} g.doc_id, g.page, g.seq, g.i, best.rid, best.label FROM placed g JOIN near n ON {SAME_CELL} LATERAL VIEW explode(array_compact(array({best}))) AS best"""
+    # A glyph's best box is the one that no other of its cell beats; both joins look boxes up in a hash, in compiled code.
+    part = shared("g", "n.r")
+    return f"""WITH {near("regions", f"{PRIORITY} AS rank, r.rid, r.label, {SIDES}")}, alone AS (SELECT DISTINCT * FROM dealt), met AS (SELECT {HASHED} g.doc_id, g.page, g.seq, g.i, g.x, g.y, g.x2, g.y2, g.cx, g.cy, n.r, {part} AS part FROM placed g JOIN alone n ON {SAME_CELL} AND {meets('g', 'n.r')})
+        SELECT {HASHED} g.doc_id, g.page, g.seq, g.i, g.r.rid, g.r.label FROM met g LEFT ANTI JOIN dealt n ON {SAME_CELL} AND {meets('g', 'n.r')} AND (n.r.rank < g.r.rank OR n.r.rank = g.r.rank AND ({part} > g.part OR {part} = g.part AND n.r < g.r))"""
 
 
 def anti(d: Dialect) -> str:

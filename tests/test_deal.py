@@ -30,6 +30,12 @@ def test_joins_and_groups_keep_to_the_deal(spark, no_broadcast, name):
     assert kept and len(found) - len(kept) <= (name == "ag01_coverage")  # its rollup is over pages
 
 
+def test_a_glyphs_best_region_is_found_in_compiled_code(spark, no_broadcast):
+    """No function over an array, which Spark does not compile, and no order of glyphs by region."""
+    plan = registry.queries()["jn01_char_region"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "LeftAnti" in plan and not re.search("array_min|collect_list|Window", plan)
+
+
 def test_links_are_looked_up_in_a_hash(spark, no_broadcast):
     """Only what a link matched is grouped, and glyphs are not sorted by page."""
     for name in ("jn18_link_chars", "xo03_single_char_marker"):
