@@ -205,11 +205,23 @@ simple("fs01_plain", "Text without anchors.", lambda d: f"SELECT doc_id, seq, {p
 simple("fs02_densities", "Anchor density, CJK share and ASCII share.", lambda d: f"WITH {wide(d)} SELECT doc_id, seq, density AS anchor_density, cjk_ratio, ascii_ratio FROM wide WHERE target IS NOT NULL")
 simple("fs03_sentence_patterns", "Sentence ends, reference-like text and splices.", lambda d: f"SELECT doc_id, seq, {d.like('source', SENTENCE_END)} AS sentence_end, {d.like('source', REFERENCE_LIKE)} AS reference_like, {d.times('source', SPLICE)} AS splices FROM units")
 simple("fs04_placeholders", "Placeholders of a text, in order.", lambda d: f"SELECT doc_id, seq, {d.joined(d.found('source', PLACEHOLDER), ' ')} AS placeholders FROM units WHERE {d.times('source', PLACEHOLDER)} > 0")
-simple(
-    "fs14_edit_distance",
-    "Levenshtein distance of source and reply.",
-    lambda d: f"SELECT doc_id, seq, CAST({d.distance('source', 'reply')} AS BIGINT) AS distance FROM replies",
-)
+
+
+@operator("fs14_edit_distance")
+def edit_distance(d: Dialect) -> str:
+    """Levenshtein distance of source and reply."""
+    if d.name == "duckdb":
+        return f"SELECT doc_id, seq, CAST({d.distance('source', 'reply')} AS BIGINT) AS distance FROM replies"
+    # The table of all pairs of signs only where it is needed: ends that agree are cut off, texts without a sign in common differ
+    # by the longer one's length, and near ones are found in a band.
+    cut = "SELECT doc_id, seq, source, reply FROM replies"
+    for n in (8, 4, 2, 1):
+        same = f"length(source) >= {n} AND length(reply) >= {n} AND right(source, {n}) = right(reply, {n})"
+        cut = f"SELECT doc_id, seq, {', '.join(f'CASE WHEN {same} THEN left({c}, length({c}) - {n}) ELSE {c} END AS {c}' for c in ('source', 'reply'))} FROM ({cut})"
+    return f"""SELECT doc_id, seq, CAST(CASE WHEN source = reply THEN 0 WHEN translate(source, reply, '') = source THEN greatest(length(source), length(reply))
+        ELSE coalesce(nullif(CASE WHEN abs(length(source) - length(reply)) <= 16 THEN levenshtein(source, reply, 16) ELSE -1 END, -1), levenshtein(source, reply)) END AS BIGINT) AS distance FROM ({cut})"""
+
+
 simple(
     "fs15_reply_gate",
     "Gate of a reply: same text, length ratio within 0.3 and 3, near-equal text, runaway marks.",

@@ -153,3 +153,26 @@ def test_commas_split_outside_brackets(spark):
     numbered = spark.createDataFrame([(i, 1, t, 31 * i + 1) for i, t in lines], "doc_id long, seq long, line string, h long")
     found = sorted((x.doc_id, x.place, x.piece) for x in CATALOG["xo06_comma_split"].on(spark, numbered=numbered).collect())
     assert found == [(1, 1, "f(a, b)"), (1, 2, "c"), (2, 1, "a)"), (2, 2, "b"), (2, 3, "(c, d"), (3, 1, "[x, {y, z}]"), (3, 2, "w"), (4, 1, "plain")]
+
+
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        before, row = row, [i + 1]
+        for k, y in enumerate(b):
+            row.append(min(before[k] + (x != y), before[k + 1] + 1, row[k] + 1))
+    return row[-1]
+
+
+def test_distances_against_the_whole_table(spark):
+    """Ends that agree, texts without a sign in common, near and far ones; and long units, which need no table."""
+    r, pairs = random.Random(7), [("", ""), ("", "ab"), ("a{v1}", "译{v1}"), ("{v1}", "x{v1}{v1}"), ("aaaaaaaaaaaaaaaaaaaa", "aaa"), ("𝒳b", "𝒳译")]
+    for _ in range(300):
+        a = "".join(r.choice("abcd𝒳") for _ in range(r.randrange(0, 45)))
+        b = r.choice([a + "{v1}", a[3:], "".join(r.choice("abcd译") for _ in range(r.randrange(0, 45))), "译" * r.randrange(0, 30) + "。" + a[-20:], a[:9] + "xy" + a[9:]])
+        pairs.append((a, b))
+    run = lambda rows: {x.seq: x.distance for x in CATALOG["fs14_edit_distance"].on(spark, replies=spark.createDataFrame([(1, k, *p) for k, p in enumerate(rows)], "doc_id long, seq long, source string, reply string")).collect()}
+    assert run(pairs) == {k: slow_distance(a, b) for k, (a, b) in enumerate(pairs)}
+    began = time.monotonic()
+    assert run([("ab" * 60000 + "{v1}", "译" * 60000 + "。{v1}")] * 6) == dict.fromkeys(range(6), 120000)
+    assert time.monotonic() - began < 15
