@@ -94,9 +94,19 @@ def char_span(d: Dialect) -> str:
             second AS (SELECT g.doc_id, g.seq, g.i, b.seq AS box, 2 AS rank, {area("b")} AS a FROM rest g JOIN boxes b ON g.doc_id = b.doc_id AND g.page = b.page AND {inside("g", "b")} >= 0.6),
             every_hit AS (SELECT * FROM hit UNION ALL SELECT * FROM second), ranked AS (SELECT *, count(*) OVER (PARTITION BY doc_id, seq, i) AS many, row_number() OVER (PARTITION BY doc_id, seq, i ORDER BY rank, a, box) AS n FROM every_hit)
             SELECT doc_id, seq, i, box, CAST(rank AS BIGINT) AS stage, many > 1 AS ambiguous FROM ranked WHERE n = 1"""
-    hits = f"filter(transform(n.rs, b -> struct(CASE WHEN {centre} THEN 1L WHEN {inside('g', 'b')} >= 0.6 THEN 2L ELSE 3L END AS rank, b.a, b.box)), z -> z.rank < 3)"
-    return f"""WITH {near("boxes", f"{SIDES}, {area('r')} AS a, r.seq AS box", 1)}, found AS (SELECT {HASHED} g.doc_id, g.seq, g.i, hits FROM placed g JOIN near n ON {SAME_CELL} LATERAL VIEW explode(array({hits})) AS hits)
-        SELECT doc_id, seq, i, best.box, best.rank AS stage, size(filter(hits, z -> z.rank = best.rank)) > 1 AS ambiguous FROM found LATERAL VIEW explode(array_compact(array(array_min(hits)))) AS best"""
+    # What a centre is compared with hangs on its height and its stretch of that height only. Pieces are the stretches' parts
+    # between edges of boxes, a point or what lies between two, so that no two hold one centre: glyphs look theirs up in a
+    # hash, in compiled code. A box that holds 0.6 of a glyph's area holds its middle on both axes, so that the second stage
+    # finds nothing that the first has left.
+    return f"""WITH centred AS (SELECT doc_id, page, seq, i, x + x2 AS mx, y + y2 AS my, floor((x + x2) / {2 * CELL}) AS cell FROM glyphs),
+        stretches AS (SELECT doc_id, page, my, cell, min(mx) AS low, max(mx) AS high FROM centred GROUP BY doc_id, page, my, cell),
+        held AS (SELECT /*+ SHUFFLE_HASH(b) */ s.doc_id, s.page, s.my, s.cell, s.low, s.high, array_sort(collect_list(struct({area("b")} AS a, b.seq AS box, greatest(2 * b.x - 2, s.low) AS lo, least(2 * b.x2 + 2, s.high) AS hi))) AS bs
+            FROM stretches s JOIN boxes b ON s.doc_id = b.doc_id AND s.page = b.page AND s.my BETWEEN 2 * b.y - 2 AND 2 * b.y2 + 2 AND s.high >= 2 * b.x - 2 AND s.low <= 2 * b.x2 + 2 AND b.x2 - b.x >= -2 GROUP BY s.doc_id, s.page, s.my, s.cell, s.low, s.high),
+        edged AS (SELECT *, array_sort(array_distinct(flatten(transform(bs, b -> array(b.lo, b.hi))))) AS es FROM held),
+        cut AS (SELECT doc_id, page, my, cell, bs, p.lo, p.hi, p.open FROM edged LATERAL VIEW explode(CASE WHEN size(bs) = 1 THEN array(struct(es[0] AS lo, es[size(es) - 1] AS hi, false AS open))
+            ELSE concat(transform(es, e -> struct(e AS lo, e AS hi, false AS open)), transform(slice(es, 2, size(es) - 1), (e, k) -> struct(es[k] AS lo, e AS hi, true AS open))) END) AS p),
+        pieces AS (SELECT doc_id, page, my, cell, lo, hi, open, found[0].box AS box, size(found) > 1 AS ambiguous FROM cut LATERAL VIEW explode(array(filter(bs, b -> b.lo <= cut.lo AND cut.hi <= b.hi))) AS found WHERE size(found) > 0)
+        SELECT /*+ SHUFFLE_HASH(n) */ g.doc_id, g.seq, g.i, n.box, 1L AS stage, n.ambiguous FROM centred g JOIN pieces n ON g.doc_id = n.doc_id AND g.page = n.page AND g.my = n.my AND g.cell = n.cell AND (g.mx > n.lo OR NOT n.open AND g.mx = n.lo) AND (g.mx < n.hi OR NOT n.open AND g.mx = n.hi)"""
 
 
 @operator("jn06_curve_formula")

@@ -75,6 +75,21 @@ def test_cells_against_every_pair(spark, seed):
     assert sum(q.covered for q in run("ag03_glyph_report", glyphs=g, regions=r)) == len(centre)
 
 
+def test_a_centre_on_the_edge_of_a_piece(spark):
+    """Boxes that share edges, lie in one another or are fractions apart: on an edge a centre is in both, beside it in one."""
+    boxes = [(0, 0, 10, 10), (12, 0, 20, 10), (2, 2, 8, 8), (2, 2, 8, 8), (40.5, 0, 41, 10), (300, 0, 298.5, 10)]
+    glyphs = [(x / 4, 4, x / 4 + w, 6) for x in range(-8, 170) for w in (0, 0.5)] + [(x / 4, y, x / 4, y) for x in range(1190, 1210) for y in (-1, 11, 11.5)]
+    want = {}
+    for i, g in enumerate(glyphs):
+        hit = [((b[2] - b[0]) * (b[3] - b[1]) if b[2] > b[0] else 0, k) for k, b in enumerate(boxes) if centred(g, b, 2)]
+        if hit:
+            want[i] = (min(hit)[1], 1, len(hit) > 1)
+    box = BOX.replace("long", "double")
+    g = spark.createDataFrame([(1, 0, 1, i, "a", *map(float, x)) for i, x in enumerate(glyphs)], f"doc_id long, page long, seq long, i long, ch string, {box}")
+    b = spark.createDataFrame([(1, 0, k, *map(float, x)) for k, x in enumerate(boxes)], f"doc_id long, page long, seq long, {box}")
+    assert {q.i: (q.box, q.stage, q.ambiguous) for q in CATALOG["jn04_char_span"].on(spark, glyphs=g, boxes=b).collect()} == want
+
+
 def test_views_of_the_session_are_left_alone(spark):
     spark.range(3).createOrReplaceTempView("label_records")
     records = spark.createDataFrame([("text",), (None,)], "label string")

@@ -36,6 +36,13 @@ def test_a_glyphs_best_region_is_found_in_compiled_code(spark, no_broadcast):
     assert "ShuffledHashJoin" in plan and "LeftAnti" in plan and not re.search("array_min|collect_list|Window", plan)
 
 
+def test_a_glyphs_box_is_looked_up_in_compiled_code(spark, no_broadcast):
+    """No function over an array for a glyph: the pieces of its stretch are made once, and glyphs find theirs in a hash."""
+    plan = registry.queries()["jn04_char_span"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    join = plan[: plan.index("BuildRight")]
+    assert "ShuffledHashJoin" in join and not re.search("array_min|filter\\(|transform\\(", join)
+
+
 def test_glyphs_of_one_height_are_counted_before_their_fold(spark, no_broadcast):
     """What Python gets are rows of glyphs, not glyphs, and they stay where their document was dealt to."""
     frame = registry.queries()["xo17_source_lines"](spark, SF)
