@@ -43,6 +43,13 @@ def test_a_glyphs_box_is_looked_up_in_compiled_code(spark, no_broadcast):
     assert "ShuffledHashJoin" in join and not re.search("array_min|filter\\(|transform\\(", join)
 
 
+@pytest.mark.parametrize("name", ["ag01_coverage", "ag02_coverage_gate", "ag03_glyph_report"])
+def test_glyphs_are_counted_by_joins(spark, no_broadcast, name):
+    """Whether a box touches a glyph is a join's matter, which Spark compiles, not that of a function over its cell's boxes."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search("LeftAnti|LeftSemi", plan) and not re.search("collect_list|exists", plan)
+
+
 def test_glyphs_of_one_height_are_counted_before_their_fold(spark, no_broadcast):
     """What Python gets are rows of glyphs, not glyphs, and they stay where their document was dealt to."""
     frame = registry.queries()["xo17_source_lines"](spark, SF)
