@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import quire.plans.registry  # noqa: F401
 from quire.operators.catalog import CATALOG
@@ -194,3 +195,16 @@ def test_batch_protocol(spark):
         17: [("no_output", "0"), *style, ("placeholder_lost", "1 {v1}")], 18: [("not_json", "")],
     }
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_a_batch_is_judged_in_one_row(spark):
+    """One join, of replies and items, however many codes; of entries and items of one id the last entry counts for all."""
+    text = "{v1} <b>"
+    items = spark.createDataFrame([(d, 0, i, text) for d in (1, 2, None) for i in (7, 7, 8)], "doc_id long, batch long, id long, input string")
+    replies = spark.createDataFrame(
+        [(1, 0, '[{"id": 7, "output": "{v1}"}, {"id": 8, "output": "{v1}{v2}"}, {"id": 7, "output": "{v1}{v1}"}]'), (2, 0, '[{"id": 7, "output": "a"}, {"id": 7}, {"id": 8, "output": "{v1}"}]'), (3, 0, '[{"id": 7, "output": "a"}, 1]'), (None, 0, "[]"), (None, 0, "x")], "doc_id long, batch long, output string"
+    )
+    frame = CATALOG["qc01_batch_protocol"].on(spark, batch_items=items, batch_replies=replies)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = sorted((r.doc_id or 0, r.code, r.detail) for r in frame.collect())
+    assert got == [(0, "not_json", ""), (1, "placeholder_hallucinated", "8 {v2}"), (2, "no_output", "7"), (2, "no_output", "7"), (3, "id_mismatch", "entry 2"), (3, "id_mismatch", "ids")]
