@@ -6,6 +6,8 @@ import re
 import pytest
 
 import quire.plans.registry  # noqa: F401
+from quire.functions.dialect import SPARK
+from quire.operators import unit_html
 from quire.operators.catalog import CATALOG
 from quire.operators.unit_html import CODES, STRUCTURAL
 
@@ -163,3 +165,16 @@ def test_valid_replies_and_edits_by_hand(spark):
 def run_documents(spark, cases):
     rows = [(1, k, *(c + ("", "", [], "en")[len(c) - 2 :])) for k, c in enumerate(cases)]
     return CATALOG["qc07_manual_codes"].on(spark, html_replies=spark.createDataFrame(rows, SCHEMA)).first()
+
+
+def test_guards_let_every_fault_through(spark):
+    """Tests behind their guards find what they find without, and the dear ones stand behind one."""
+    texts = ["", "plain", "see http://a.b/c 1,2", "see http://a.b/d 1,2", "(www.ab.cd), 3", "mail x@y.z now 4.5", "x@y.z", "\u2066a\u2069", "\u2069a\u2066", "\u2066a", "hint and more", None]
+    rows = [(s, r, ["hint", "ab"], "zh-CN") for s in texts for r in texts]
+    frame = spark.createDataFrame(rows, "s_text string, r_text string, hints array<string>, language string")
+    codes = ["atom_hint_leakage", "link_label_changed", "unbalanced_bidi_isolate", "protected_literal_count"]
+    plain, behind = unit_html.checks(SPARK), unit_html.guarded(SPARK)
+    got = frame.selectExpr(*(f"coalesce({t[c]}, false) AS {c}_{k}" for k, t in (("plain", plain), ("behind", behind)) for c in codes)).collect()
+    for c in codes:
+        assert behind[c] != plain[c] and any(r[f"{c}_plain"] for r in got)
+        assert [r[f"{c}_plain"] for r in got] == [r[f"{c}_behind"] for r in got]
