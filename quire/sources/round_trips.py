@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import DUCKDB, SPARK
+from ..operators.catalog import over_files
 from . import files
 from .derived import with_clause
 
@@ -17,9 +18,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
-    for t in ("events", "benchmark", "documents"):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(with_clause(SPARK, body))
+    return over_files(spark, with_clause(SPARK, body), sf_dir)
 
 
 LOG = "SELECT run_id, seq, stage, kind FROM log"

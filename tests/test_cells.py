@@ -90,6 +90,11 @@ def test_a_centre_on_the_edge_of_a_piece(spark):
     assert {q.i: (q.box, q.stage, q.ambiguous) for q in CATALOG["jn04_char_span"].on(spark, glyphs=g, boxes=b).collect()} == want
 
 
+def test_round_trips_leave_no_views(spark):
+    quire.plans.registry.queries()["sc05_glossary_csv"](spark, "/root/testdata/sf0.001").count()
+    assert not any(spark.catalog.tableExists(t) for t in ("documents", "benchmark", "events"))
+
+
 def test_views_of_the_session_are_left_alone(spark):
     spark.range(3).createOrReplaceTempView("label_records")
     records = spark.createDataFrame([("text",), (None,)], "label string")
