@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from ..functions.dialect import Dialect
-from .catalog import operator
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.dialect import SPARK, Dialect
+from ..sources.derived import with_clause
+from .catalog import operator, over_files
 from .sequential import fold
 
 #: The crop box, clearance around an obstacle, gap between glyphs of a line in heights.
@@ -79,7 +87,129 @@ LINES = f"""WITH ordered AS (SELECT doc_id, page, seq, i, x, y, x2, y2, lag(x2)
     UNION ALL SELECT doc_id, page, rid, 1 AS what, x, y, x2, y2 FROM regions WHERE label = 'text'"""
 
 
-@fold("xo29_region_fixpoint", LINES, "doc_id page", "what rid y x", "doc_id long, page long, rid long, x double, y double, x2 double, y2 double, lines long, rounds long")
+def page_starts(doc: np.ndarray, page: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (page[1:] != page[:-1])))
+
+
+def lines_of_pages(doc: np.ndarray, page: np.ndarray, x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> list[np.ndarray]:
+    """The lines of ``LINES`` of whole pages, one after the other. Glyphs of a page and height that come in order, each
+    beginning no more than the gap after the one before, are a run, which no glyph of any width can part; only runs are
+    sorted. A run that begins beyond all before it goes on their line if it is near enough to the last glyph. Where a
+    glyph's edges are the wrong way round, each glyph is a run of its own and the glyph before counts."""
+    begin = page_starts(doc, page)
+    group = np.repeat(np.arange(len(begin)), np.diff([*begin, len(x)]))
+    gap = LINE_GAP * (y2 - y)
+    plain = bool((x2 >= x).all() and (gap >= 0).all())
+    new = np.ones(len(x), bool)
+    if plain:
+        step = x[1:] - x[:-1]
+        new[1:] = (step < 0) | (step > gap[1:]) | (y[1:] != y[:-1]) | (y2[1:] != y2[:-1]) | (step == 0) & (x2[1:] < x2[:-1])
+        new[begin] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(x)) - 1
+    top = np.maximum.reduceat(x2, first)
+    at = np.lexsort((x2[first], x[first], y2[first], y[first], group[first]))
+    first, last, top = first[at], last[at], top[at]
+    begins = np.ones(len(at), bool)
+    begins[1:] = (np.diff(group[first]) != 0) | (np.diff(y[first]) != 0) | (np.diff(y2[first]) != 0)
+    before = last[:-1]
+    if plain:  # of the runs so far of this page and height, the one whose last glyph is the last of all
+        order = np.lexsort((x2[last], x[last]))
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.arange(len(at))
+        rank += np.cumsum(begins) * len(at)
+        before = last[order[np.maximum.accumulate(rank)[:-1] % len(at)]]
+    cut = begins.copy()
+    cut[1:] |= x[first[1:]] - x2[before] > gap[first[1:]]
+    if plain:
+        cut[1:] &= begins[1:] | (x[first[1:]] > x[before])
+    line = np.flatnonzero(cut)
+    head = first[line]
+    return [doc[head], page[head], x[head], y[head], np.maximum.reduceat(top, line), y2[head]]
+
+
+def lines_in_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a partition's glyphs, sorted by page; a batch's last page waits for what follows."""
+    held: list[list[np.ndarray]] = []
+    names = ("doc_id", "page", "x", "y", "x2", "y2")
+
+    def out(pieces: list[list[np.ndarray]]) -> pa.RecordBatch:
+        found = lines_of_pages(*(np.concatenate(c) for c in zip(*pieces)))
+        return pa.RecordBatch.from_arrays([pa.array(v if k < 2 else v.astype(float)) for k, v in enumerate(found)], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
+        same = held and all(held[-1][k][-1] == new[k][0] for k in (0, 1))
+        last = int(page_starts(*new[:2])[-1])
+        if last or held and not same:
+            whole = [*held, *([[v[:last] for v in new]] if last else [])]
+            if whole:
+                yield out(whole)
+            held = []
+        held.append([v[last:] for v in new])
+    if held:
+        yield out(held)
+
+
+def lines_and_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``LINES`` gives, but that lines have region 0, and that glyphs of no document, which have no height and are on no
+    line that a region meets, are left out. Glyphs are whole pages where they were dealt to and come in arrays, sorted by page."""
+    box = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("x", "y", "x2", "y2"))
+    glyphs = over_files(spark, with_clause(SPARK, "SELECT doc_id, page, x, y, x2, y2 FROM glyphs WHERE ch <> ' ' AND doc_id IS NOT NULL"), sf_dir)
+    lines = glyphs.sortWithinPartitions("doc_id", "page").mapInArrow(lines_in_arrays, "doc_id long, page long, x double, y double, x2 double, y2 double")
+    regions = over_files(lines.sparkSession, with_clause(SPARK, f"SELECT doc_id, page, CAST(rid AS BIGINT) AS rid, 1 AS what, {box} FROM regions WHERE label = 'text'"), sf_dir)
+    return lines.selectExpr("doc_id", "page", "0L AS rid", "0 AS what", "x", "y", "x2", "y2").unionByName(regions)
+
+
+#: Pairs of a region and a line of its page that are looked at together.
+PAIRS = 1 << 19
+
+
+def region_fixpoint_table(rows: pd.DataFrame, group: np.ndarray, begin: np.ndarray) -> pd.DataFrame:
+    """``region_fixpoint`` of many pages: in each round all regions that grew meet the lines of their page that they have not
+    taken in. Rows of a page: lines, then regions."""
+    what = rows["what"].to_numpy()
+    box = rows[["x", "y", "x2", "y2"]].to_numpy(float)
+    is_line = what == 0
+    count = np.bincount(group[is_line], minlength=len(begin))
+    regions = np.flatnonzero(what == 1)
+    grown, inside, rounds = box[regions], np.zeros(len(regions), np.int64), np.zeros(len(regions), np.int64)
+    many = count[group[regions]]
+    total, lo = np.cumsum(many), 0
+    while lo < len(regions):
+        done = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        n = many[lo:hi]
+        region = np.repeat(np.arange(lo, hi), n)
+        line = np.repeat(begin[group[regions[lo:hi]]] - np.cumsum(n) + n, n) + np.arange(len(region))
+        while len(region):
+            a, b = box[line], grown[region]
+            met = (a[:, 0] < b[:, 2]) & (b[:, 0] < a[:, 2]) & (a[:, 1] < b[:, 3]) & (b[:, 1] < a[:, 3])
+            who, taken = region[met], a[met]
+            if not len(who):
+                break
+            first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+            which = who[first]
+            inside[which] += np.diff(np.append(first, len(who)))
+            wide = np.concatenate([np.minimum.reduceat(taken[:, :2], first), np.maximum.reduceat(taken[:, 2:], first)], axis=1)
+            wide = np.concatenate([np.minimum(wide[:, :2], grown[which, :2]), np.maximum(wide[:, 2:], grown[which, 2:])], axis=1)
+            which = which[(wide != grown[which]).any(axis=1)]
+            moved = np.zeros(hi - lo, bool)
+            moved[which - lo] = True
+            grown[who[first]] = wide
+            rounds[which] += 1
+            left = ~met & moved[region - lo]
+            region, line = region[left], line[left]
+        lo = hi
+    if (rounds > many).any():
+        raise RuntimeError("a region grew more often than there are lines")
+    out = rows.iloc[regions]
+    return pd.DataFrame({"doc_id": out["doc_id"].to_numpy(), "page": out["page"].to_numpy(), "rid": out["rid"].to_numpy(), "x": grown[:, 0], "y": grown[:, 1], "x2": grown[:, 2], "y2": grown[:, 3], "lines": inside, "rounds": rounds})
+
+
+@fold("xo29_region_fixpoint", LINES, "doc_id page", "what rid y x", "doc_id long, page long, rid long, x double, y double, x2 double, y2 double, lines long, rounds long", table=region_fixpoint_table, made=lines_and_regions)
 def region_fixpoint(rows: list) -> list[tuple]:
     """Text regions grown until they cut no line: a region takes in each line that it meets, whole, and what it has grown to may
     meet others. Each round takes a line at least, so that there are no more rounds than lines; a region is given with the
