@@ -33,6 +33,8 @@ def _definitions(d: Dialect) -> dict[str, str]:
             UNION ALL SELECT doc_id, page, 100000 + page AS rid, 'figure' AS label, 40 AS conf, 300 AS x, 100 AS y, 560 AS x2, 330 AS y2 FROM boxes WHERE k = 0)""",
         "chars": d.unnest("(SELECT b.doc_id, b.page, b.seq, b.h, b.x AS bx, b.y2 AS by2, u.source FROM boxes b JOIN units u ON b.doc_id = u.doc_id AND b.seq = u.seq WHERE u.source <> '')", "doc_id, page, seq, h, bx, by2", d.split("source", ""), "ch", "place"),
         "glyphs": f"""(SELECT doc_id, page, seq, h, i, ch, bx + (i % 40) * 6 AS x, by2 - 12 * ({d.div("i", "40")} + 1) AS y, bx + (i % 40) * 6 + 5 AS x2, by2 - 12 * ({d.div("i", "40")} + 1) + 10 AS y2 FROM (SELECT *, place - 1 AS i FROM chars) AS __i)""",
+        # A row for all glyphs of a text, whose places and signs follow from it by the definition above.
+        "glyph_texts": "(SELECT b.doc_id, b.page, b.seq, b.h, b.x, b.y2, u.source FROM boxes b JOIN units u ON b.doc_id = u.doc_id AND b.seq = u.seq WHERE u.source <> '')",
         "bench_words": f"(SELECT item_id, {d.split('text', ' ')} AS w FROM benchmark)",
         "glossary": f"""(SELECT item_id * 2 AS seq, {d.at("w", "1")} || ' ' || {d.at("w", "2")} AS source, '词' || CAST(item_id AS STRING) AS target, CASE WHEN item_id % 3 = 0 THEN 'zh-CN' WHEN item_id % 3 = 1 THEN 'zh_cn' ELSE '' END AS lang FROM bench_words
             UNION ALL SELECT item_id * 2 + 1 AS seq, translate({d.at("w", "1")} || ' ' || {d.at("w", "2")}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS source, '词' || CAST(item_id AS STRING) || 'b' AS target, 'zh-cn' AS lang FROM bench_words WHERE item_id % 2 = 0)""",
@@ -151,7 +153,7 @@ def _definitions(d: Dialect) -> dict[str, str]:
 #: What makes many rows of a text's, or joins a text's rows with each other. A Spark query that reads one of these deals the
 #: documents' texts by id once, and all that is made of them stays where it is: joins, groups and windows by document and page
 #: or unit need no shuffle of what is up to sixty times as large. ``catalog.over_files`` says into how many parts.
-DEALT = {"glyphs", "replies", "html_replies"}
+DEALT = {"glyphs", "glyph_texts", "replies", "html_replies"}
 DEAL = "REPARTITION(doc_id)"
 
 
